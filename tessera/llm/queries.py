@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, mixing, quality
+from tessera.llm import chat_format, mixing, quality, simhash, topk, url_filter
 from tessera.llm.common import checkpointed, table
 
 CONVERSATION = "<|im_end|><|im_start|>assistant ok"
@@ -64,7 +64,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH w AS (
   SELECT row_number() OVER () AS row_id, doc_id, lang, source, coalesce(text, '') AS text,
-         regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words
+         regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS words
   FROM documents
 ), wins AS (
   SELECT row_id, i, array_to_string(words[i:i + 4], ' ') AS win
@@ -76,10 +77,12 @@ WITH w AS (
 ), lines AS (
   SELECT row_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup
   FROM (SELECT row_id, unnest(string_split(text, chr(10))) AS line FROM w)
-  WHERE regexp_matches(line, '[^ 	-]') GROUP BY row_id
+  WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY row_id
 ), m AS (
   SELECT w.row_id, doc_id, lang, source, len(words)::BIGINT AS n_words,
-         length(regexp_replace(text, '[ 	-]', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[ 	-
+]', '', 'g'))::BIGINT AS word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(lines.n, 0) AS n_lines
   FROM w LEFT JOIN covered USING (row_id) LEFT JOIN lines USING (row_id)
@@ -115,12 +118,54 @@ FROM b LEFT JOIN j USING (row_id)
 """
 
 
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict; the trees learn from the urls that the rules decide."""
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_rule").alias("rule"), F.col("url_verdict").alias("verdict"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest doc_id that links reach from it."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("simhash_fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest codes of every vector whose id is divisible by 100, among all vectors."""
+    coded = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.sign_code(F.col("embedding")).alias("code"))
+    asked = coded.where("id % 100 = 0").select(F.col("id").alias("query_id"), "code")
+    return topk.top_k(coded, asked).select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("vec_id"), F.col("distance").cast("long").alias("distance"))
+
+
+OP6_SQL = r"""
+WITH bits AS (
+  SELECT vec_id, i, CASE WHEN embedding[i + 1] > 0 THEN 1 ELSE 0 END AS bit
+  FROM embeddings, range(0, 64) AS r(i) WHERE len(embedding) = 64
+), codes AS (
+  SELECT vec_id, string_agg(bit::VARCHAR, '' ORDER BY i)::BIT AS code FROM bits GROUP BY vec_id
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code))::BIGINT AS distance
+  FROM codes q JOIN codes c ON q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs
+)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op4_mix_sources": op4_mix_sources,
+    "op5_simhash": op5_simhash,
+    "op6_top_k": op6_top_k,
     "op7_quality_rules": op7_quality_rules,
     "op9_chat_format": op9_chat_format,
 }
 SQL: dict[str, str] = {
+    "op6_top_k": OP6_SQL,
     "op7_quality_rules": OP7_SQL,
     "op9_chat_format": OP9_SQL,
 }

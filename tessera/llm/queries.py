@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, mixing, quality, simhash, topk, url_filter
+from tessera.llm import bpe, chat_format, mixing, quality, simhash, topk, url_filter
 from tessera.llm.common import checkpointed, table
 
 CONVERSATION = "<|im_end|><|im_start|>assistant ok"
@@ -156,6 +157,11 @@ SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
 """
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and what they decode to, as digests."""
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op4_mix_sources": op4_mix_sources,
@@ -163,6 +169,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_top_k": op6_top_k,
     "op7_quality_rules": op7_quality_rules,
     "op9_chat_format": op9_chat_format,
+    "op10_bpe": op10_bpe,
 }
 SQL: dict[str, str] = {
     "op6_top_k": OP6_SQL,

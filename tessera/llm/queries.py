@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat_format, mixing, quality, simhash, topk, url_filter
+from tessera.llm import bpe, chat_format, lang_id, mixing, quality, simhash, topk, url_filter
 from tessera.llm.common import checkpointed, table
 
 CONVERSATION = "<|im_end|><|im_start|>assistant ok"
@@ -162,8 +162,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learnt from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)))
+    model = lang_id.train(docs.where("NOT held_out"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return lang_id.identify(docs, model, ["doc_id", "held_out"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
     "op5_simhash": op5_simhash,
     "op6_top_k": op6_top_k,

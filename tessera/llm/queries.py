@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat_format, lang_id, mixing, quality, simhash, topk, url_filter
+from tessera.llm import bpe, chat_format, html_extract, lang_id, mixing, quality, simhash, topk, url_filter
 from tessera.llm.common import checkpointed, table
 
 CONVERSATION = "<|im_end|><|im_start|>assistant ok"
@@ -157,6 +157,12 @@ SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
 """
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    found = html_extract.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return found.select("page_id", "url", F.col("html_main").alias("text"), F.char_length("html_main").cast("long").alias("n_chars"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and what they decode to, as digests."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
@@ -177,6 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_top_k": op6_top_k,
     "op7_quality_rules": op7_quality_rules,
+    "op8_html_extract": op8_html_extract,
     "op9_chat_format": op9_chat_format,
     "op10_bpe": op10_bpe,
 }

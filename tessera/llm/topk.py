@@ -3,7 +3,7 @@
 Codes are 64 bits: the signs of a vector's values (or any longs). The index holds each distinct code once,
 with its ``k`` least ids, under each of its four 16-bit segments; copies of a code, however many, can so
 add at most ``k`` answers. A round of radius ``r`` probes, for each unfinished query and segment, the values that
-differ from its own in just ``r`` bits. All codes within distance ``4 r + 3`` are then known, since one of
+differ from its own in just ``r`` bits, and verifies what it meets within the join. All codes within distance ``4 r + 3`` are then known, since one of
 their segments is within ``r``; a query is finished once its ``k``-th verified distance is no more.
 
 Defined cases: a null vector, or one whose length is not 64, has no code, so it is neither indexed nor a query;
@@ -36,31 +36,42 @@ def _segment(code: Column, s: Column | int) -> Column:
     return F.call_function("shiftrightunsigned", code, shift.cast("int")).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("long"))
 
 
+def _segments(code: Column, flip: Column) -> Column:
+    """A row ``x(s, value)`` for each segment, with the bits ``flip`` turned over."""
+    return F.explode(F.array(*(F.struct(F.lit(s).alias("s"), _segment(code, s).bitwiseXOR(flip).alias("value")) for s in range(SEGMENTS)))).alias("x")
+
+
 def top_k(coded: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``(query_id, rank, id, distance)``: the ``k`` nearest of ``coded(id, code)`` for each of ``queries(query_id, code)``."""
     nth = F.row_number().over(Window.partitionBy("code").orderBy("id"))
     ids = coded.where("code IS NOT NULL").withColumn("n", nth).where(F.col("n") <= k).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     ids = checkpointed(ids)
     total = ids.agg(F.sum(F.size("ids"))).first()[0] or 0
-    index = ids.select(F.explode(F.array(*(F.struct(F.lit(s).alias("s"), _segment(F.col("code"), s).alias("value")) for s in range(SEGMENTS)))).alias("x"), "code").select("x.*", "code")
+    index = ids.select("code", F.get("ids", 0).alias("first"), _segments(F.col("code"), F.lit(0).cast("long"))).select("x.*", "code", "first")
     index = checkpointed(index)
-    pending = checkpointed(queries.where("code IS NOT NULL").select("query_id", F.col("code").alias("q")).distinct())
+    pending = checkpointed(queries.where("code IS NOT NULL").select("query_id", F.col("code").alias("q")).distinct().withColumn("far", F.lit(64)))
     best = None
     for r in range(WIDTH + 1):
         if pending.isEmpty():
             break
         flips = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << WIDTH) - 1).cast("long")), lambda f: F.bit_count(f) == r)
-        probe = pending.withColumn("flip", F.explode(flips))
-        probe = probe.select("query_id", "q", F.explode(F.array(*(F.struct(F.lit(s).alias("s"), _segment(F.col("q"), s).bitwiseXOR(F.col("flip")).alias("value")) for s in range(SEGMENTS)))).alias("x"))
-        met = probe.select("query_id", "q", "x.*").join(index, ["s", "value"]).select("query_id", "q", "code").distinct()
-        met = met.withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))))
-        met = met if best is None else met.unionByName(best.select("query_id", "q", "code", "distance").join(pending, ["query_id", "q"], "left_semi")).distinct()
+        probe = pending.withColumn("flip", F.explode(flips)).select("query_id", "q", "far", _segments(F.col("q"), F.col("flip"))).select("query_id", "q", "far", "x.*")
+        distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+        # No code beyond the k-th verified distance so far can be an answer.
+        near = probe.alias("p").join(index.alias("i"), (F.col("p.s") == F.col("i.s")) & (F.col("p.value") == F.col("i.value")) & (distance <= F.col("far")))
+        near = near.select("query_id", "q", "code", "first", distance.alias("distance")).distinct()
+        if best is not None:
+            known = best.select("query_id", "q", "code", "first", "distance").join(pending, ["query_id", "q"], "left_semi")
+            near = near.unionByName(known).distinct()
+        nearest = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "first"))
         place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-        near = met.join(ids, "code").select("query_id", "q", "code", "distance", F.explode("ids").alias("id")).withColumn("rank", place).where(F.col("rank") <= k)
-        near = near if best is None else near.unionByName(best.join(pending, ["query_id", "q"], "left_anti"))
-        best = checkpointed(near)
-        done = best.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") >= min(k, total)) & (F.col("far") <= SEGMENTS * (r + 1) - 1))
-        pending = checkpointed(pending.join(done, "query_id", "left_anti"))
+        near = near.withColumn("n", nearest).where(F.col("n") <= k).drop("n").join(ids, "code")
+        near = near.select("query_id", "q", "code", "first", "distance", F.explode("ids").alias("id")).withColumn("rank", place).where(F.col("rank") <= k)
+        best = checkpointed(near if best is None else near.unionByName(best.join(pending, ["query_id", "q"], "left_anti")))
+        state = best.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("d"))
+        full = F.col("n") >= min(k, total)
+        left = pending.select("query_id", "q").join(state, "query_id", "left").where(F.col("n").isNull() | ~(full & (F.col("d") <= SEGMENTS * (r + 1) - 1)))
+        pending = checkpointed(left.select("query_id", "q", F.when(full, F.col("d")).otherwise(64).alias("far")))
     if best is None:
         return coded.sparkSession.createDataFrame([], "query_id bigint, rank int, id bigint, distance int")
     return best.select("query_id", "rank", "id", "distance")

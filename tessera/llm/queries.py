@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat_format, html_extract, lang_id, mixing, quality, simhash, topk, url_filter
+from tessera.llm import bpe, chat_format, html_extract, lang_id, mixing, quality, simhash, suffix_dedup, topk, url_filter
 from tessera.llm.common import checkpointed, table
 
 CONVERSATION = "<|im_end|><|im_start|>assistant ok"
@@ -168,6 +168,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated strings of 100 bytes leave of every document."""
+    return suffix_dedup.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learnt from those that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -178,6 +183,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
     "op5_simhash": op5_simhash,

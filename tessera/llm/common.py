@@ -26,15 +26,22 @@ def word_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` materialised in the folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
 
-    The setting is read from the session. Only where the session has none, as in local tests,
-    a temporary folder is taken.
+    Only where the session has none, as in local tests, a temporary folder is taken.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tessera-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` materialised in the shared folder, without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -24,7 +24,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpointed
@@ -131,16 +131,29 @@ def links(distinct: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
 
 
 def classes(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``(simhash_fp, component_id)`` for ``marked(doc_id, simhash_fp)``: the smallest doc_id reachable by links."""
+    """``(simhash_fp, root, component_id)`` for ``marked(doc_id, simhash_fp)``.
+
+    ``root`` names a component by its least fingerprint, ``component_id`` is the smallest doc_id in it.
+    """
     alike = checkpointed(marked.groupBy("simhash_fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(alike.select("simhash_fp"), alike.count(), distance))
     linked = alike.join(roots.withColumnRenamed("node", "simhash_fp"), "simhash_fp")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.join(least, "root").select("simhash_fp", "component_id", F.lit(True).alias("linked"))
-    return alike.join(named, "simhash_fp", "left").select("simhash_fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
+    named = linked.join(least, "root").select("simhash_fp", "root", "component_id")
+    id_ = F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("first"))
+    return alike.join(named, "simhash_fp", "left").select("simhash_fp", F.coalesce("root", "simhash_fp").alias("root"), id_.alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """``(doc_id, simhash_fp, component_id)`` for each row of ``docs``."""
     marked = checkpointed(fingerprints(docs, ["doc_id"], words))
-    return marked.join(classes(marked, distance), "simhash_fp")
+    return marked.join(classes(marked, distance), "simhash_fp").select("doc_id", "simhash_fp", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, text: str = "text") -> DataFrame:
+    """One row of each component stays: one of its smallest id (of those, the text of the least hash; null ids come last)."""
+    key = (F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("simhash_id"), F.xxhash64(F.lit(5), text).alias("simhash_form"))
+    marked = checkpointed(fingerprints(docs.select("doc_id", *key, F.col(text).alias("text")), ["doc_id", "simhash_id", "simhash_form"], words))
+    first = marked.join(classes(marked, distance), "simhash_fp").groupBy("root").agg(F.min(F.struct("simhash_id", "simhash_form")).alias("k")).select("k.*")
+    alike = F.row_number().over(Window.partitionBy("simhash_id", "simhash_form").orderBy(F.lit(0)))
+    return docs.select("*", *key).join(first, ["simhash_id", "simhash_form"]).withColumn("simhash_n", alike).where("simhash_n = 1").select(*docs.columns)

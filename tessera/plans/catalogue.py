@@ -1,10 +1,356 @@
-"""All queries over the reference's own operators, and their SQL."""
+"""All queries over the paper operators, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.operators import conversation, layout, library, retrieval
+from tessera.plans import sql as S
+from tessera.sources import blocks, links
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+ASKED = "thing reading ores edition hation entrevi"
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def made_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.from_lines(documents(spark, sf_dir))
+
+
+def _arms(spark: SparkSession, sf_dir: str, keep: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Candidates of both arms. Documents and embeddings are paired by id, a synthetic pairing; ``label`` plays a kind."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    # One vector, the query's.
+    asked = F.broadcast(e.where("id = 0").select(F.col("vector").alias("q")).limit(1))
+    scores = e.join(asked).select("id", "label", retrieval.dot(F.col("vector"), F.col("q")).alias("score"))
+    docs = documents(spark, sf_dir).withColumnRenamed("doc_id", "id")
+    sparse = retrieval.bm25(docs, F.col("text"), ASKED)
+    if keep is not None:
+        scores = scores.where(keep)
+        sparse = sparse.join(e.select("id", "label"), "id", "left").withColumn("label", F.coalesce("label", F.lit(-1))).where(keep)
+    return retrieval.ranked(scores, "dense"), retrieval.ranked(sparse, "sparse")
+
+
+def _fused(spark: SparkSession, sf_dir: str, keep: Column | None = None) -> DataFrame:
+    return retrieval.fuse(*_arms(spark, sf_dir, keep))
+
+
+_TOP = "SELECT id, coalesce(dense_rank, -1) AS dense_rank, coalesce(sparse_rank, -1) AS sparse_rank, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, {0}.dense_rank NULLS LAST, {0}.sparse_rank NULLS LAST, id) AS rank FROM {0} QUALIFY rank <= 8"
+
+
+def _shown(best: DataFrame) -> DataFrame:
+    """The score rounded, and -1 for the rank in an arm that a row isn't in."""
+    rank = lambda c: F.coalesce(c, F.lit(-1).cast("long")).alias(c)
+    return best.select("id", rank("dense_rank"), rank("sparse_rank"), F.round("score", 6).alias("score"), "rank")
+
+
+@query("bm25_topk", f"WITH {S.bm25(ASKED)} SELECT id, round(score, 4) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 30")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = retrieval.bm25(documents(spark, sf_dir).withColumnRenamed("doc_id", "id"), F.col("text"), ASKED)
+    best = retrieval.ranked(scored, "sparse").join(scored, "id")
+    return best.select("id", F.round("score", 4).alias("score"), (F.col("sparse_rank") + 1).alias("rank"))
+
+
+@query("hybrid_rrf_topk", f"WITH {S.fused(ASKED)} {_TOP.format('fused')}")
+def hybrid_rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(retrieval.top(_fused(spark, sf_dir)))
+
+
+@query("hybrid_boosted", f"WITH {S.fused(ASKED)}, b AS (SELECT f.* REPLACE (CASE WHEN label IN (1, 3, 5) THEN score * 1.25 ELSE score END AS score) FROM fused f LEFT JOIN embeddings ON id = vec_id) {_TOP.format('b')}")
+def hybrid_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    fused = retrieval.boosted(_fused(spark, sf_dir).join(kinds, "id", "left"), F.coalesce(F.col("label").isin(1, 3, 5), F.lit(False)))
+    return _shown(retrieval.top(fused.drop("label")))
+
+
+@query("hybrid_kind_masked", f"WITH {S.fused(ASKED, 'label <> 3')} {_TOP.format('fused')}")
+def hybrid_kind_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(retrieval.top(_fused(spark, sf_dir, F.col("label") != 3)))
+
+
+_ASK = S.tokens(S.quoted(ASKED))
+
+
+@query(
+    "rerank_head",
+    f"""WITH {S.fused(ASKED)}, placed AS (
+  SELECT f.*, row_number() OVER (ORDER BY score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST, id) AS place,
+         len(list_distinct(list_intersect({_ASK}, {S.tokens("text")})))::DOUBLE / len(list_distinct({_ASK})) AS r
+  FROM fused f LEFT JOIN documents ON id = doc_id
+), scored2 AS (SELECT *, CASE WHEN place <= 16 THEN r END AS rerank_score FROM placed)
+SELECT id, round(rerank_score, 6) AS rerank_score,
+       row_number() OVER (ORDER BY CASE WHEN place <= 16 THEN 0 ELSE 1 END, rerank_score DESC NULLS LAST, place) AS rank FROM scored2 QUALIFY rank <= 8""",
+)
+def rerank_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = _fused(spark, sf_dir).join(documents(spark, sf_dir).withColumnRenamed("doc_id", "id"), "id", "left")
+    return retrieval.rerank(fused, retrieval.overlap_score(ASKED, F.col("text"))).select("id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
+
+
+@query(
+    "dense_topk_per_label",
+    """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (
+  SELECT label, vec_id, list_sum(list_transform(list_zip(embedding::DOUBLE[], q), lambda p: p[1] * p[2])) AS score FROM embeddings, q)
+SELECT label, vec_id, round(score, 4) AS score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5""",
+)
+def dense_topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "embeddings")
+    asked = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1))
+    s = e.join(asked).select("label", "vec_id", retrieval.dot(F.col("embedding"), F.col("q")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "vec_id"))
+    return s.withColumn("rank", rank.cast("long")).where("rank <= 5").withColumn("score", F.round("score", 4))
+
+
+@query("word_counts", f"SELECT doc_id, {S.count('text')} AS words, len({S.tokens('text')})::BIGINT AS tokens, greatest(1, length(text) // 4)::BIGINT AS token_estimate FROM documents")
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return documents(spark, sf_dir).select("doc_id", T.word_count(t).alias("words"), F.size(T.tokens(t)).cast("long").alias("tokens"), T.token_estimate(t).alias("token_estimate"))
+
+
+@query("sentences", f"SELECT doc_id, generate_subscripts({S.sentences('text')}, 1)::BIGINT - 1 AS i, unnest({S.sentences('text')}) AS sentence FROM documents")
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "sentence")).withColumn("i", F.col("i").cast("long"))
+
+
+@query("norm_text", f"SELECT doc_id, {S.normalised('text')} AS norm FROM documents")
+def norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", T.normalised(F.col("text")).alias("norm"))
+
+
+@query(
+    "source_excerpts",
+    f"""SELECT doc_id, CASE WHEN length(t) <= 220 THEN t ELSE rtrim(substr(t, 1, 217)) || '...' END AS excerpt, trim(regexp_replace(left(text, 40), '[^A-Za-z0-9]+', '_', 'g'), '_') AS slug
+FROM (SELECT doc_id, text, array_to_string({S.words("text")}, ' ') AS t FROM documents)""",
+)
+def source_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", T.excerpt(F.col("text")).alias("excerpt"), T.slug(F.substring("text", 1, 40)).alias("slug"))
+
+
+@query("bigram_counts", f"WITH w AS (SELECT doc_id, {S.tokens('text')} AS t FROM documents), b AS (SELECT unnest(list_transform(list_zip(t[:-2], t[2:]), lambda p: p[1] || '_' || p[2])) AS bigram FROM w WHERE len(t) > 1) SELECT bigram, count(*) AS n FROM b GROUP BY bigram")
+def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select(F.explode(T.bigrams(T.tokens(F.col("text")))).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
+
+
+@query("document_frequency", f"WITH w AS (SELECT doc_id, unnest(list_distinct({S.tokens('text')})) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, round(ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM w, n GROUP BY term, n")
+def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posted = retrieval.postings(documents(spark, sf_dir).withColumnRenamed("doc_id", "id"), F.col("text"))
+    return retrieval.document_frequency(posted, retrieval.corpus_stats(posted)).withColumn("idf", F.round("idf", 6))
+
+
+@query("mentions", f"WITH {S.BLOCKS} SELECT doc_id, page::BIGINT AS page, ord::BIGINT AS ord, array_to_string({S.distinct_in_order(S.mentions('text'))}, ',') AS labels FROM blocks WHERE len({S.mentions('text')}) > 0")
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = made_blocks(spark, sf_dir).withColumn("m", T.mentions(F.col("text"))).where(F.size("m") > 0)
+    return b.select("doc_id", F.col("page").cast("long").alias("page"), F.col("ord").cast("long").alias("ord"), F.array_join("m", ",").alias("labels"))
+
+
+@query("mention_edges", f"WITH {S.BLOCKS} SELECT DISTINCT doc_id, page::BIGINT AS page, ord::BIGINT AS ord, unnest({S.mentions('text')}) AS label FROM blocks")
+def mention_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.mention_edges(made_blocks(spark, sf_dir)).withColumns({c: F.col(c).cast("long") for c in ("page", "ord")})
+
+
+@query("mention_sentences", f"WITH {S.MENTION_SENTENCES} SELECT doc_id, label, n, trim(sentence) AS sentence FROM nth WHERE n <= 3")
+def mention_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.mention_sentences(layout.paragraphs(layout.sectioned(layout.roles(made_blocks(spark, sf_dir)))))
+
+
+_FOUND = f"""found AS (SELECT doc_id, page::BIGINT AS page, ord::BIGINT AS ord, CASE WHEN starts_with(lower({S._G(2)}), 'fig') THEN 'Figure' ELSE 'Table' END AS kind,
+  CASE WHEN {S._G(1)} <> '' AND upper({S._G(3)}) NOT LIKE 'S%' THEN 'S' ELSE '' END || upper({S._G(3)}) AS number, text FROM blocks JOIN body_sizes USING (doc_id) WHERE {S._CAPTION})"""
+
+
+@query("captions", f"WITH {S.SIZED}, {_FOUND} SELECT doc_id, page, ord, kind, kind || ' ' || number AS label FROM found")
+def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = made_blocks(spark, sf_dir)
+    found = layout.captions(b.join(layout.body_size(b), "doc_id"))
+    return found.select("doc_id", F.col("page").cast("long").alias("page"), F.col("ord").cast("long").alias("ord"), "kind", "label")
+
+
+@query("visual_first_per_label", f"WITH {S.SIZED}, {_FOUND} SELECT doc_id, kind || ' ' || number AS label, page, ord, text AS caption FROM found QUALIFY row_number() OVER (PARTITION BY doc_id, kind || ' ' || number ORDER BY page, ord) = 1")
+def visual_first_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = made_blocks(spark, sf_dir)
+    found = layout.first_visuals(layout.captions(b.join(layout.body_size(b), "doc_id")))
+    return found.select("doc_id", "label", F.col("page").cast("long").alias("page"), F.col("ord").cast("long").alias("ord"), F.col("text").alias("caption"))
+
+
+@query("furniture", f"WITH {S.FURNITURE} SELECT doc_id, page::BIGINT AS page, ord::BIGINT AS ord, is_furniture FROM marked")
+def furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.furniture(made_blocks(spark, sf_dir)).select("doc_id", F.col("page").cast("long").alias("page"), F.col("ord").cast("long").alias("ord"), "is_furniture")
+
+
+@query("body_font", f"WITH {S.SIZED} SELECT * FROM body_sizes")
+def body_font(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.body_size(made_blocks(spark, sf_dir))
+
+
+@query("reading_order", f"WITH {S.ROLES} SELECT doc_id, page::BIGINT AS page, ord::BIGINT AS ord, side, pos, role FROM roles")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.roles(made_blocks(spark, sf_dir)).select("doc_id", F.col("page").cast("long").alias("page"), F.col("ord").cast("long").alias("ord"), "side", "pos", "role")
+
+
+@query("headings", f"WITH {S.SECTIONED} SELECT doc_id, page::BIGINT AS page, ord::BIGINT AS ord, level, title, kind FROM heads")
+def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.headings(layout.roles(made_blocks(spark, sf_dir))).select("doc_id", F.col("page").cast("long").alias("page"), F.col("ord").cast("long").alias("ord"), "level", "title", "kind")
+
+
+_SECTIONS = "secs AS (SELECT doc_id, section_idx, section, section_kind, level, min(page)::BIGINT AS page_start, max(page)::BIGINT AS page_end FROM sectioned GROUP BY ALL)"
+
+
+@query("sections", f"WITH {S.SECTIONED}, {_SECTIONS} SELECT * FROM secs")
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.sections(layout.sectioned(layout.roles(made_blocks(spark, sf_dir))))
+
+
+@query("outline", f"WITH {S.SECTIONED}, {_SECTIONS} SELECT doc_id, string_agg(repeat('  ', greatest(level - 1, 0)) || '- ' || section || ' (p. ' || (page_start + 1) || ')', chr(10) ORDER BY section_idx) AS outline FROM secs WHERE section_kind <> 'front' GROUP BY doc_id")
+def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.outline(sections(spark, sf_dir))
+
+
+@query("paragraphs_merged", f"WITH {S.PARAGRAPHS} SELECT * FROM paragraphs")
+def paragraphs_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.paragraphs(layout.sectioned(layout.roles(made_blocks(spark, sf_dir))))
+
+
+@query(
+    "abstract",
+    f"""WITH {S.PARAGRAPHS}, a AS (SELECT doc_id, string_agg(text, ' ' ORDER BY section_idx, paragraph) FILTER (section_kind = 'abstract') AS own,
+  min_by(text, (section_idx, paragraph)) FILTER (section_kind = 'front' AND {S.count("text")} >= 60) AS front FROM paragraphs GROUP BY doc_id)
+SELECT doc_id, coalesce(own, front) AS abstract FROM a WHERE coalesce(own, front) IS NOT NULL""",
+)
+def abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.abstracts(paragraphs_merged(spark, sf_dir))
+
+
+@query(
+    "titles",
+    f"""WITH {S.ROLES}, c AS (SELECT *, max(size) OVER (PARTITION BY doc_id) AS top FROM roles WHERE page = 0 AND role = 'body' AND y0 < 396 AND {S.count("text")} BETWEEN 2 AND 45)
+SELECT doc_id, trim(string_agg(text, ' ' ORDER BY y0, x0, text)) AS title FROM c WHERE size >= top - 0.6 AND top >= body_size * 1.2 GROUP BY doc_id""",
+)
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.titles(layout.roles(made_blocks(spark, sf_dir)))
+
+
+_SPOKEN = "SELECT *, greatest(1, length(text) // 4)::BIGINT AS cost FROM conversations WHERE role IN ('user', 'assistant')"
+_WINDOWED = f"""m AS ({_SPOKEN}), windowed AS (
+  SELECT conv_id, turn, role, text, cost, row_number() OVER w = 1 OR sum(cost) OVER (w ROWS UNBOUNDED PRECEDING) <= 300 AS kept FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC))"""
+
+
+@query("memory_window", f"WITH {_WINDOWED} SELECT conv_id, turn, cost, kept FROM windowed")
+def memory_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.memory_window(table(spark, sf_dir, "conversations"), 300).select("conv_id", "turn", "cost", "kept")
+
+
+@query("memory_summary", f"WITH {_WINDOWED} SELECT conv_id, right(string_agg(role || ': ' || substr(text, 1, 600), ' ' ORDER BY turn), 600) AS summary FROM windowed WHERE NOT kept GROUP BY conv_id")
+def memory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.summaries(conversation.memory_window(table(spark, sf_dir, "conversations"), 300))
+
+
+@query("last_turns", f"WITH m AS ({_SPOKEN} QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4) SELECT conv_id, string_agg(role || ': ' || substr(text, 1, 400), chr(10) ORDER BY turn) AS transcript FROM m GROUP BY conv_id")
+def last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.last_turns(table(spark, sf_dir, "conversations"))
+
+
+@query("transcript_export", f"WITH m AS ({_SPOKEN}) SELECT conv_id, string_agg('**' || upper(role[1]) || role[2:] || '**' || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS markdown FROM m GROUP BY conv_id")
+def transcript_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.export(table(spark, sf_dir, "conversations"))
+
+
+_LOG = "log AS (SELECT user_id AS doc_id, event_type AS title, (value * 10)::BIGINT AS pages, ts FROM events)"
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("title"), F.round(F.col("value") * 10).cast("long").alias("pages"), "ts")
+
+
+@query("papers_latest", f"WITH {_LOG} SELECT doc_id, min(ts) AS added, max(ts) AS opened, max_by(title, (ts, title)) AS title FROM log GROUP BY doc_id")
+def papers_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.papers(_log(spark, sf_dir)).drop("pages")
+
+
+@query("recent_papers", f"WITH {_LOG} SELECT doc_id, max(ts) AS opened FROM log GROUP BY doc_id ORDER BY opened DESC, doc_id LIMIT 10")
+def recent_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.recent(library.papers(_log(spark, sf_dir))).select("doc_id", "opened")
+
+
+@query("kv_latest", "SELECT user_id, event_type AS key, props AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def kv_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("k", F.concat_ws("|", "user_id", "event_type"))
+    return library.latest(e, "k", ["ts", "event_id"]).select("user_id", F.col("event_type").alias("key"), F.col("props").alias("value"))
+
+
+@query(
+    "highlights_latest",
+    "WITH l AS (SELECT user_id AS highlight_id, CASE WHEN event_id % 5 = 0 THEN 'delete' ELSE 'save' END AS kind, event_id, ts, (props->>'$.k')::BIGINT AS k FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT highlight_id, k, k % 2 = 0 AS use_in_chat FROM l WHERE kind <> 'delete'",
+)
+def highlights_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("highlight_id"), F.when(F.col("event_id") % 5 == 0, "delete").otherwise("save").alias("kind"), "event_id", "ts", F.from_json("props", "k bigint")["k"].alias("k")
+    )
+    return library.highlights(log).select("highlight_id", "k", (F.col("k") % 2 == 0).alias("use_in_chat"))
+
+
+@query(
+    "pdf_links",
+    r"""WITH p AS (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || '/p/' || page_id || '.pdf' AS link, regexp_matches(trim(url), '(?i)^https?://') AS is_url FROM pages)
+SELECT page_id, is_url, CASE WHEN page_id % 3 = 0 THEN link END AS link FROM p""",
+)
+def pdf_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test pages declare no PDF, so every third gets a tag that does."""
+    p = table(spark, sf_dir, "pages")
+    tag = F.concat(F.lit('<meta name="citation_pdf_url" content="/p/'), F.col("page_id").cast("string"), F.lit('.pdf">'))
+    html = F.concat(F.when(F.col("page_id") % 3 == 0, tag).otherwise(""), "html")
+    return p.select("page_id", links.is_url(F.col("url")).alias("is_url"), links.pdf_link(html, F.col("url")).alias("link"))
+
+
+@query("candidate_urls", "SELECT page_id, 'https://arxiv.org/pdf/2401.' || page_id || '|https://arxiv.org/abs/2401.' || page_id AS candidates FROM pages")
+def candidate_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.concat(F.lit("https://arxiv.org/abs/2401."), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(links.candidate_urls(u), "|").alias("candidates"))
+
+
+_QUESTION = "(text || CASE doc_id % 6 WHEN 0 THEN ' What does Figure 3 show?' WHEN 1 THEN ' Summarize this paper' WHEN 2 THEN ' What are the limitations?' WHEN 3 THEN ' Which dataset gave the best accuracy?' WHEN 4 THEN ' Which works are cited?' ELSE '' END)"
+_HAS = {k: f"regexp_matches(q, {S.quoted('(?i)' + p)})" for k, p in T.INTENTS.items()}
+
+
+@query(
+    "intent",
+    f"""WITH b AS (SELECT doc_id, {_QUESTION} AS q FROM documents), f AS (
+  SELECT doc_id, len({S.mentions("q")}) AS n, array_to_string({S.distinct_in_order(S.mentions("q"))}, ',') AS labels, {", ".join(f"{v} AS has_{k}" for k, v in _HAS.items())} FROM b
+), g AS (SELECT *, has_summary AND n = 0 AS summary FROM f)
+SELECT doc_id, CASE WHEN summary THEN 'summary' WHEN n > 0 OR has_visual THEN 'visual' WHEN has_critical THEN 'critical' ELSE 'general' END AS kind,
+       array_to_string(list_sort(list_distinct(list_concat(
+         CASE WHEN summary THEN ['abstract', 'introduction', 'conclusion', 'discussion'] ELSE [] END,
+         CASE WHEN NOT summary AND has_critical THEN ['discussion', 'limitations', 'conclusion', 'methods'] ELSE [] END,
+         CASE WHEN has_methods THEN ['methods'] ELSE [] END, CASE WHEN has_results THEN ['results'] ELSE [] END))), ',') AS prefer,
+       has_references AS wants_references, labels FROM g""",
+)
+def intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = documents(spark, sf_dir).select("doc_id", T.intent(F.expr(_QUESTION)).alias("i"))
+    return i.select("doc_id", "i.kind", F.array_join("i.prefer_sections", ",").alias("prefer"), "i.wants_references", F.array_join("i.labels", ",").alias("labels"))
+
+
+@query("followup_gate", f"SELECT conv_id, turn, turn > 0 AND ({S.count('text')} <= 12 OR regexp_matches(text, {S.quoted('(?i)' + T.FOLLOW_UP)})) AS needs_rewrite FROM conversations WHERE role = 'user'")
+def followup_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return c.select("conv_id", "turn", T.follow_up(F.col("text"), F.col("turn")).alias("needs_rewrite"))

@@ -62,15 +62,28 @@ class Queues:
         return np.frombuffer(self.file.read(8 * n), np.int64), np.frombuffer(self.file.read(4 * n), np.int32)
 
     def pop(self, letter: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """The next run of a letter, or None."""
-        runs = self.by.get(letter)
-        if not runs:
-            return None
-        return self._load(runs.pop(0))
+        """The first tuples of a letter, RUN or a few more if there are as many, or None."""
+        return self._take(letter, 0)
 
     def pop_last(self, letter: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """The last tuples of a letter, in their order."""
+        return self._take(letter, -1)
+
+    def _take(self, letter: int, end: int) -> tuple[np.ndarray, np.ndarray] | None:
         runs = self.by.get(letter)
-        return self._load(runs.pop()) if runs else None
+        if not runs:
+            return None
+        n = k = 0
+        while k < len(runs) and n < RUN:
+            run = runs[k if end == 0 else -1 - k]
+            n += len(run[0]) if isinstance(run[0], np.ndarray) else run[1]
+            k += 1
+        taken = runs[:k] if end == 0 else runs[-k:]
+        self.by[letter] = runs[k:] if end == 0 else runs[:-k]
+        loaded = [self._load(r) for r in taken]
+        if k == 1:
+            return loaded[0]
+        return np.concatenate([x[0] for x in loaded]), np.concatenate([x[1] for x in loaded])
 
     def close(self) -> None:
         if self.file:

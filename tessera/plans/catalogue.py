@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import conversation, layout, library, retrieval
+from tessera.operators import chunking, conversation, embedding, evidence, index, layout, library, references, retrieval, spatial
 from tessera.plans import sql as S
 from tessera.sources import blocks, links
 
@@ -354,3 +354,200 @@ def intent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def followup_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     return c.select("conv_id", "turn", T.follow_up(F.col("text"), F.col("turn")).alias("needs_rewrite"))
+
+
+@query("split_long")
+def split_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ordered fold; tests hold it against a plain statement of the rule."""
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.split_long(F.col("text"))).alias("i", "piece"))
+
+
+@query("text_chunks")
+def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.text_chunks(paragraphs_merged(spark, sf_dir))
+
+
+@query("all_chunks")
+def all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text, abstract, visual and reference chunks of every document."""
+    b = made_blocks(spark, sf_dir)
+    merged = layout.paragraphs(layout.sectioned(layout.roles(b)))
+    visuals = layout.first_visuals(layout.captions(b.join(layout.body_size(b), "doc_id"))).select("doc_id", "label", F.col("text").alias("caption"))
+    kinds = [
+        chunking.text_chunks(merged).select("doc_id", "kind", F.col("ord").cast("string").alias("key"), "text"),
+        chunking.abstract_chunks(layout.abstracts(merged)).select("doc_id", "kind", F.lit("0").alias("key"), "text"),
+        chunking.visual_chunks(visuals, layout.mention_sentences(merged)).select("doc_id", F.lower(F.substring_index("label", " ", 1)).alias("kind"), F.col("label").alias("key"), "text"),
+        chunking.reference_chunks(_references(merged)).select("doc_id", F.lit("reference").alias("kind"), F.col("chunk").cast("string").alias("key"), "text"),
+    ]
+    out = kinds[0]
+    for k in kinds[1:]:
+        out = out.unionByName(k)
+    return out
+
+
+def _references(merged: DataFrame) -> DataFrame:
+    own = merged.where("section_kind = 'references'").select("doc_id", "page", (F.col("section_idx") * 10000 + F.col("paragraph")).alias("pos"), "text")
+    return references.references(own)
+
+
+@query("references_parsed")
+def references_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _references(paragraphs_merged(spark, sf_dir))
+
+
+@query("authors")
+def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in the three lines after the title."""
+    first = layout.roles(made_blocks(spark, sf_dir)).where("page = 0 AND role = 'body' AND pos BETWEEN 1 AND 3")
+    return references.authors(first.select("doc_id", "pos", "text"))
+
+
+_ITEMS = "SELECT doc_id % 50 AS g, doc_id AS place, greatest(1, length(text) // 4)::BIGINT AS cost FROM documents"
+
+
+@query(
+    "context_pack",
+    f"""WITH RECURSIVE items AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY place) AS n FROM ({_ITEMS})), fold AS (
+  SELECT g, n, place, cost AS used, true AS kept, 1 AS kept_n FROM items WHERE n = 1
+  UNION ALL SELECT i.g, i.n, i.place, CASE WHEN f.used + i.cost <= 1500 THEN f.used + i.cost ELSE f.used END, f.used + i.cost <= 1500, f.kept_n + (f.used + i.cost <= 1500)::INT
+  FROM fold f JOIN items i ON i.g = f.g AND i.n = f.n + 1)
+SELECT g, place, 'S' || kept_n AS sid FROM fold WHERE kept""",
+)
+def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = documents(spark, sf_dir).select((F.col("doc_id") % 50).alias("g"), F.col("doc_id").alias("place"), T.token_estimate(F.col("text")).alias("cost"))
+    return evidence.pack(items, ["g"], 1500).select("g", "place", "sid")
+
+
+@query(
+    "visual_select",
+    f"""WITH {S.SIZED}, {_FOUND}, vis AS (SELECT DISTINCT doc_id, kind || ' ' || number AS label FROM found), said AS (
+  SELECT DISTINCT doc_id, page, ord, unnest({S.mentions("text")}) AS label FROM blocks
+), cand AS (SELECT doc_id, 'Figure 2' AS label, 0 AS prio, 0 AS place FROM (SELECT DISTINCT doc_id FROM said) UNION ALL SELECT doc_id, label, 2, ord FROM said
+), once AS (SELECT doc_id, label, prio, place FROM cand JOIN vis USING (doc_id, label) QUALIFY row_number() OVER (PARTITION BY doc_id, label ORDER BY prio, place) = 1)
+SELECT doc_id, label, prio::BIGINT AS prio, row_number() OVER (PARTITION BY doc_id ORDER BY prio, place, label) AS rank FROM once QUALIFY rank <= 3""",
+)
+def visual_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figure 2 is asked for; other visuals come as they are mentioned."""
+    b = made_blocks(spark, sf_dir)
+    visuals = layout.captions(b.join(layout.body_size(b), "doc_id"))
+    said = layout.mention_edges(b).select("doc_id", "label", F.lit(2).alias("prio"), F.col("ord").alias("place"))
+    asked = said.select("doc_id").distinct().select("doc_id", F.lit("Figure 2").alias("label"), F.lit(0).alias("prio"), F.lit(0).alias("place"))
+    chosen = evidence.select_visuals(asked.unionByName(said), visuals)
+    return chosen.select("doc_id", "label", F.col("prio").cast("long").alias("prio"), "rank")
+
+
+@query(
+    "citations_validated",
+    r"""WITH a AS (SELECT doc_id, left(text, 200) || ' [S' || (doc_id % 7 + 1) || ', S' || (doc_id % 12 + 1) || ']' AS answer FROM documents), n AS (
+  SELECT doc_id, regexp_replace(answer, '\[(S\d+), (S\d+)\]', '[\1][\2]', 'g') AS t FROM a), i AS (SELECT *, regexp_extract_all(t, '\[([SH]\d+)\]', 1) AS ids FROM n)
+SELECT doc_id, regexp_replace(t, '\[S([6-9]|1[0-2])\]', '', 'g') AS text,
+       array_to_string(list_filter(ids, lambda x, k: list_position(ids, x) = k AND x IN ('S1', 'S2', 'S3', 'S4', 'S5')), ',') AS used,
+       coalesce('Removed citation to non-existent source ' || nullif(array_to_string(list_sort(list_distinct(list_filter(ids, lambda x: x NOT IN ('S1', 'S2', 'S3', 'S4', 'S5')))), ', '), '') || '.', '') AS warning FROM i""",
+)
+def citations_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers are cut texts with two markers; S1 to S5 are real."""
+    ids = F.concat(F.lit(" [S"), (F.col("doc_id") % 7 + 1).cast("string"), F.lit(", S"), (F.col("doc_id") % 12 + 1).cast("string"), F.lit("]"))
+    v = documents(spark, sf_dir).select("doc_id", evidence.validated(F.concat(F.substring("text", 1, 200), ids), F.array(*(F.lit(f"S{k}") for k in range(1, 6)))).alias("v"))
+    return v.select("doc_id", "v.text", F.array_join("v.used", ",").alias("used"), F.coalesce("v.warning", F.lit("")).alias("warning"))
+
+
+_QUOTED = S.quoted(T.QUOTE)
+
+
+@query(
+    "quotes_unverified",
+    f"""WITH a AS (SELECT doc_id, d.text AS source, '"' || replace(left(b.text, 80), '"', '') || '" and "' || replace(left(d.text, 60), '"', '') || '"' AS answer
+  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40), h AS (SELECT *, {S.normalised("source")} AS hay, regexp_extract_all(answer, {_QUOTED}, 1) AS qs FROM a)
+SELECT doc_id, array_to_string(list_transform(list_filter(qs, lambda q: {S.normalised("q")} <> '' AND NOT contains(hay, {S.normalised("q")})), lambda q: trim(q)), '|') AS missing FROM h""",
+)
+def quotes_unverified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer quotes a benchmark passage and its own document; the document is the only source."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    d = documents(spark, sf_dir).withColumn("item_id", F.col("doc_id") % 40).join(b, "item_id")
+    cut = lambda c, n: F.replace(F.substring(c, 1, n), F.lit('"'), F.lit(""))
+    answer = F.concat(F.lit('"'), cut("passage", 80), F.lit('" and "'), cut("text", 60), F.lit('"'))
+    return d.select("doc_id", F.array_join(evidence.unverified_quotes(answer, F.array("text")), "|").alias("missing"))
+
+
+@query("table_markdown", "SELECT n_regionkey, '| name | key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY n_regionkey")
+def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("x"))
+    rows = F.concat(F.array(F.array(F.lit("name"), F.lit("key"))), F.transform("x", lambda r: F.array(r["n_name"], r["n_nationkey"].cast("string"))))
+    return n.select("n_regionkey", spatial.markdown(rows).alias("markdown"))
+
+
+_BOXES = "boxes AS (SELECT DISTINCT doc_id, page, 60.0::DOUBLE AS x0, (100 + 40 * (doc_id % 5))::DOUBLE AS y0, 300.0::DOUBLE AS x1, (260 + 40 * (doc_id % 5))::DOUBLE AS y1 FROM blocks WHERE page % 2 = 0)"
+
+
+def _boxes(b: DataFrame) -> DataFrame:
+    shift = (F.col("doc_id") % 5) * 40
+    return b.where("page % 2 = 0").select("doc_id", "page").distinct().select(
+        "doc_id", "page", F.lit(1).alias("table_id"), F.lit(60.0).alias("x0"), (shift + 100).cast("double").alias("y0"), F.lit(300.0).alias("x1"), (shift + 260).cast("double").alias("y1")
+    )
+
+
+@query("boxes_in_region", f"WITH {S.BLOCKS}, {_BOXES} SELECT b.doc_id, b.page::BIGINT AS page, b.ord::BIGINT AS ord FROM blocks b SEMI JOIN boxes r ON b.doc_id = r.doc_id AND b.page = r.page AND (b.x0 + b.x1) / 2 BETWEEN r.x0 AND r.x1 AND (b.y0 + b.y1) / 2 BETWEEN r.y0 AND r.y1")
+def boxes_in_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = made_blocks(spark, sf_dir)
+    return spatial.inside(b, _boxes(b)).select("doc_id", F.col("page").cast("long").alias("page"), F.col("ord").cast("long").alias("ord"))
+
+
+@query(
+    "table_caption_match",
+    f"""WITH {S.SIZED}, {_BOXES}, caps AS (SELECT blocks.* FROM blocks JOIN body_sizes USING (doc_id) WHERE {S._CAPTION}), m AS (
+  SELECT t.doc_id, t.page, c.ord, CASE WHEN t.y0 - c.y1 BETWEEN -6 AND 70 THEN t.y0 - c.y1 WHEN c.y0 - t.y1 BETWEEN -6 AND 50 THEN c.y0 - t.y1 + 30 END AS cost
+  FROM boxes t JOIN caps c ON t.doc_id = c.doc_id AND t.page = c.page AND least(t.x1, c.x1) - greatest(t.x0, c.x0) >= 20)
+SELECT doc_id, page::BIGINT AS page, ord::BIGINT AS ord, cost FROM m WHERE cost IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY cost, ord) = 1""",
+)
+def table_caption_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = made_blocks(spark, sf_dir)
+    costs = spatial.table_captions(_boxes(b), layout.captions(b.join(layout.body_size(b), "doc_id")))
+    return spatial.best_caption(costs).select("doc_id", F.col("page").cast("long").alias("page"), F.col("ord").cast("long").alias("ord"), "cost")
+
+
+@query("table_caption_once")
+def table_caption_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = made_blocks(spark, sf_dir)
+    return spatial.match_once(spatial.table_captions(_boxes(b), layout.captions(b.join(layout.body_size(b), "doc_id"))))
+
+
+@query("graphic_clusters")
+def graphic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of block boxes, which stand in for drawings."""
+    return spatial.clusters(made_blocks(spark, sf_dir).select("doc_id", "page", "x0", "y0", "x1", "y1"))
+
+
+@query("hash_embeddings")
+def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", embedding.hash_embedding(F.col("text")).alias("vector"))
+
+
+@query("chunk_index_stats", "SELECT count(*) AS n, round(avg(len(t)), 4) AS avg_length FROM (SELECT " + S.tokens("text") + " AS t FROM documents)")
+def chunk_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = retrieval.corpus_stats(retrieval.postings(documents(spark, sf_dir).withColumnRenamed("doc_id", "id"), F.col("text")))
+    return stats.select("n", F.round("avg_length", 4).alias("avg_length"))
+
+
+@query("paper_search", "SELECT doc_id, instr(lower(text), 'tion') AS at, (length(lower(text)) - length(replace(lower(text), 'tion', ''))) // 4 AS hits FROM documents WHERE contains(lower(text), 'tion')")
+def paper_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-text search in each document: first place and number of hits."""
+    low = F.lower("text")
+    hits = (F.length(low) - F.length(F.replace(low, F.lit("tion"), F.lit("")))) / 4
+    return documents(spark, sf_dir).where(F.contains(low, F.lit("tion"))).select("doc_id", F.instr(low, "tion").cast("long").alias("at"), F.floor(hits).cast("long").alias("hits"))
+
+
+@query("fingerprints", "SELECT doc_id, 'v1|' || substr(sha256(text), 1, 16) AS fingerprint FROM documents")
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.concat_ws("|", F.lit("v1"), index.content_id(F.col("text").cast("binary"))).alias("fingerprint"))
+
+
+@query("highlight_filter", "SELECT d.doc_id, quality = 1 AS use_in_chat FROM documents d JOIN labels USING (doc_id) WHERE quality = 1")
+def highlight_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels play highlights; only those switched on are used."""
+    flags = table(spark, sf_dir, "labels").where("coalesce(quality = 1, true)")
+    return documents(spark, sf_dir).select("doc_id").join(flags, "doc_id").select("doc_id", (F.col("quality") == 1).alias("use_in_chat"))
+
+
+@query("unlabelled_documents", "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
+def unlabelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.without_removed(documents(spark, sf_dir).select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")

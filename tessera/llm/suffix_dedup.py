@@ -371,25 +371,31 @@ def keyed(docs: DataFrame, text: str = "text") -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.xxhash64(F.lit(3), text)
 
 
-def _plan(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with ``suffix_text`` and ``suffix_found``, the rows of repeats of each."""
+def _plan(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """``docs``' columns ``keep`` with ``suffix_text`` and ``suffix_found``, the rows of repeats of each.
+
+    Both joins with the documents ask for the same columns, so that Spark shuffles the documents once, and so for ``at``.
+    """
     id_, form = keyed(docs, text)
-    rows = docs.select("*", id_.alias("suffix_id"), form.alias("suffix_form"), F.coalesce(F.col(text), F.lit("")).alias("suffix_text"))
+    rows = docs.select(*keep, id_.alias("suffix_id"), form.alias("suffix_form"), F.coalesce(F.col(text), F.lit("")).alias("suffix_text"))
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     parts = max(1, -(-int(size) // PARTITION_BYTES))
-    short = rows.select("suffix_id", "suffix_form", "suffix_text")
+    short = docs.select(id_.alias("suffix_id"), form.alias("suffix_form"), F.col(text).alias("suffix_text"))
     dealt = short.where(F.octet_length("suffix_text") >= LENGTH).mapInArrow(_scan(parts), DEALT)
     resolved = dealt.repartition(parts, "bucket").mapInArrow(_resolve, DEALT)
     arrays = F.struct(*"abcde")
-    at = resolved.groupBy(F.col("id").alias("suffix_id"), F.col("form").alias("suffix_form")).agg(
+    # Keys that can't be null spare the inner join a filter that would make its shuffles differ from the outer join's.
+    never_null = [F.coalesce("id", F.lit(0)).alias("suffix_id"), F.coalesce("form", F.lit(0)).alias("suffix_form")]
+    at = resolved.groupBy(*never_null).agg(
         F.collect_list(F.when(F.col("kind") == ASKED, arrays)).alias("asked"), F.collect_list(F.when(F.col("kind") == REPEATS, arrays)).alias("first")
     )
-    asking = rows.join(at, ["suffix_id", "suffix_form"], "left").where(F.size("asked") > 0).select("suffix_id", "suffix_form", "suffix_text", "asked")
+    asking = rows.join(at, ["suffix_id", "suffix_form"]).where(F.size("asked") > 0)
+    asking = asking.select("suffix_id", "suffix_form", "suffix_text", "asked", F.size("first").alias("n_first"), *(F.col(c).alias(f"kept_{c}") for c in keep))
     sorted_ = asking.mapInArrow(_bytes_of(parts), DEALT).repartition(parts, "bucket").mapInArrow(_sort, DEALT)
-    more = sorted_.groupBy(F.col("id").alias("suffix_id"), F.col("form").alias("suffix_form")).agg(F.collect_list(arrays).alias("second"))
+    more = sorted_.groupBy(*never_null).agg(F.collect_list(arrays).alias("second"))
     none = F.array().cast("array<struct<a:binary,b:binary,c:binary,d:binary,e:binary>>")
     both = rows.join(at, ["suffix_id", "suffix_form"], "left").join(more, ["suffix_id", "suffix_form"], "left")
-    return both.select(*docs.columns, "suffix_text", F.concat(F.coalesce("first", none), F.coalesce("second", none)).alias("suffix_found"))
+    return both.select(*keep, F.size("asked").alias("suffix_asked"), "suffix_text", F.concat(F.coalesce("first", none), F.coalesce("second", none)).alias("suffix_found"))
 
 
 def _map_found(found: DataFrame, keep: list[str], added: str, make: Callable[[bytes, np.ndarray | None], tuple]) -> DataFrame:
@@ -404,9 +410,9 @@ def _map_found(found: DataFrame, keep: list[str], added: str, make: Callable[[by
                 raw = text.as_py().encode()
                 got.append(make(raw, removed(len(raw), rows.as_py()) if len(rows) else None))
             cols = list(zip(*got, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *(pa.array(c, types[k]) for c, (_, k) in zip(cols, names, strict=True))], [*keep, *(n for n, _ in names)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], *(pa.array(c, types[k]) for c, (_, k) in zip(cols, names, strict=True))], [*keep, *(n for n, _ in names)])
 
-    return found.select(*keep, "suffix_text", F.transform("suffix_found", lambda x: F.struct(x["a"], x["b"])).alias("suffix_found")).mapInArrow(run, kind)
+    return found.select(*keep, "suffix_asked", "suffix_text", F.transform("suffix_found", lambda x: F.struct(x["a"], x["b"])).alias("suffix_found")).mapInArrow(run, kind)
 
 
 def digests(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -418,8 +424,7 @@ def digests(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
         return len(raw), len(raw) - len(left), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(left).hexdigest()
 
-    slim = docs.select(*keep, F.col(text).alias("text"))
-    return _map_found(_plan(slim, "text"), keep, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", make)
+    return _map_found(_plan(docs, keep, text), keep, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", make)
 
 
 def cut(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -431,7 +436,9 @@ def cut(docs: DataFrame, text: str = "text") -> DataFrame:
         left = cut_text(raw, gone)
         return left, len(raw) - len(left.encode())
 
-    keep = [c for c in docs.columns if c != text]
-    out = _map_found(_plan(docs, text), [*keep, text], "suffix_cut string, suffix_removed bigint", make)
-    cut_ = F.when(F.col(text).isNull(), F.col(text)).otherwise(F.col("suffix_cut")).alias(text)
-    return out.select(*(cut_ if c == text else F.col(c) for c in docs.columns), "suffix_removed")
+    others = [c for c in docs.columns if c != text]
+    marked = docs.withColumn("suffix_null", F.col(text).isNull())
+    keep = [*others, "suffix_null"]
+    out = _map_found(_plan(marked, keep, text), keep, "suffix_cut string, suffix_removed bigint", make)
+    left = F.when(~F.col("suffix_null"), F.col("suffix_cut")).alias(text)
+    return out.select(*(left if c == text else F.col(c) for c in docs.columns), "suffix_removed")

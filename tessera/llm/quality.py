@@ -39,8 +39,8 @@ LONG_WORDS = 20_000
 RULES = (
     ("word_length", "word_chars", "n_words", 1500),
     ("symbols", "n_symbols", "n_words", 300),
-    ("dup_lines", "n_dup_lines", "n_lines", 200),
-    ("repeats", "n_repeat_words", "n_words", 100),
+    ("dup_lines", "n_dup_lines", "n_lines", 300),
+    ("repeats", "n_repeat_words", "n_words", 150),
 )
 REACH, MIN_DOCS = 3, 100
 

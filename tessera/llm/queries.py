@@ -109,8 +109,8 @@ WITH w AS (
          CASE WHEN own.docs >= 100 THEN own.q3 WHEN bylang.docs >= 100 THEN bylang.q3 ELSE ofall.q3 END AS q3
   FROM own JOIN bylang ON own.lang IS NOT DISTINCT FROM bylang.lang AND own.rule = bylang.rule JOIN ofall ON ofall.rule = own.rule
 ), j AS (
-  SELECT row_id, bool_or(vals[f.rule] < q1 - 3 * (q3 - q1) - [1500, 300, 200, 100][f.rule]
-                         OR vals[f.rule] > q3 + 3 * (q3 - q1) + [1500, 300, 200, 100][f.rule]) AS outside
+  SELECT row_id, bool_or(vals[f.rule] < q1 - 3 * (q3 - q1) - [1500, 300, 300, 150][f.rule]
+                         OR vals[f.rule] > q3 + 3 * (q3 - q1) + [1500, 300, 300, 150][f.rule]) AS outside
   FROM b JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source GROUP BY row_id
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -1,0 +1,146 @@
+import re
+
+import numpy as np
+import pandas as pd
+import pytest
+from conftest import SF
+from pyspark.sql import functions as F
+
+from tessera import settings
+from tessera.operators import answer, chunking, embedding, evidence, index, layout, references, spatial
+from tessera.streaming import memory
+from tessera.streaming.ingest import ingest
+
+
+def plain_split(text, most):
+    if len(text.split()) <= most:
+        return [text]
+    out, cur, n = [], [], 0
+    for s in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9(\[])", text):
+        w = len(s.split())
+        if cur and n + w > most:
+            out.append(" ".join(cur))
+            cur = cur[-1:]
+            n = len(cur[0].split())
+        cur.append(s)
+        n += w
+    return [*out, " ".join(cur)] if cur else out
+
+
+def test_split_long(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = docs.select("text", chunking.split_long(F.col("text"), 60).alias("p")).collect()
+    assert all(r["p"] == plain_split(r["text"], 60) for r in got)
+
+
+def test_chunks_stay_in_a_section_and_page(spark):
+    p = spark.createDataFrame(
+        [(1, 1, "Methods", "methods", 1, 0, "A b c d e f. " * 3), (1, 1, "Methods", "methods", 2, 0, "G h."), (1, 1, "Methods", "methods", 3, 1, "I j."), (1, 2, "References", "references", 1, 1, "K l.")],
+        "doc_id long, section_idx long, section string, section_kind string, paragraph long, page long, text string",
+    )
+    got = chunking.text_chunks(p, 18, 8).orderBy("ord").collect()
+    assert [(r["page"], r["text"].split("\n")[-1].strip()) for r in got] == [(0, "G h."), (1, "I j.")]
+
+
+@pytest.mark.parametrize("costs, budget, kept", [([5, 4, 3, 9, 1, 2], 10, [5, 4, 1]), ([20, 1], 10, [20]), ([3, 3, 3], 6, [3, 3])])
+def test_pack(spark, costs, budget, kept):
+    items = spark.createDataFrame([(1, k, c) for k, c in enumerate(costs)], "g int, place int, cost long")
+    got = evidence.pack(items, ["g"], budget).orderBy("place").collect()
+    assert [r["cost"] for r in got] == kept
+    assert [r["sid"] for r in got] == [f"S{k}" for k in range(1, len(kept) + 1)]
+
+
+def test_validated(spark):
+    v = spark.createDataFrame([("x [S1] y [S9]",)], ["a"]).select(evidence.validated(F.col("a"), F.array(F.lit("S1"))).alias("v")).first()["v"]
+    assert (v["text"], v["used"]) == ("x [S1] y ", ["S1"]) and "S9" in v["warning"]
+
+
+def test_quotes(spark):
+    a = '"short" and "this quotation is in the source text" and “this one is nowhere to be found at all”'
+    got = spark.createDataFrame([(a, ["This  quotation is in the source, text."])], ["a", "s"]).select(evidence.unverified_quotes(F.col("a"), F.col("s")).alias("q")).first()["q"]
+    assert got == ["this one is nowhere to be found at all"]
+
+
+def test_heading_levels(spark):
+    rows = [(1, 0, k, 0.0, 50.0 + 30 * k, 200.0, 70.0 + 30 * k, t, 12.0, True) for k, t in enumerate(["1. Introduction", "1 Introduction", "2.1 Foo Bar"])]
+    rows.append((1, 0, 9, 0.0, 400.0, 200.0, 420.0, "body text " * 30, 10.0, False))
+    b = spark.createDataFrame(rows, "doc_id long, page int, ord int, x0 double, y0 double, x1 double, y1 double, text string, size double, bold boolean")
+    got = {r["ord"]: r["level"] for r in layout.headings(layout.roles(b)).collect()}
+    assert got == {0: 2, 1: 1, 2: 2}
+
+
+def test_markdown(spark):
+    d = spark.createDataFrame([([["a", "b"], ["c"]],)], "r array<array<string>>").select(spatial.markdown(F.col("r")).alias("m"))
+    assert d.first()["m"] == "| a | b |\n| --- | --- |\n| c |  |"
+
+
+def test_clusters(spark):
+    rows = [(1, 0, 10.0, 10.0, 60.0, 60.0), (1, 0, 66.0, 10.0, 120.0, 60.0), (1, 0, 400.0, 400.0, 460.0, 460.0), (1, 0, 300.0, 700.0, 305.0, 705.0)]
+    got = spatial.clusters(spark.createDataFrame(rows, "doc_id long, page int, x0 double, y0 double, x1 double, y1 double")).orderBy("x0").collect()
+    assert [(r["x0"], r["x1"], r["n"]) for r in got] == [(10.0, 120.0, 2), (400.0, 460.0, 1)]
+
+
+def test_captions_are_used_once(spark):
+    costs = spark.createDataFrame([(1, 0, 1, 7, 1.0), (1, 0, 2, 7, 0.5), (1, 0, 2, 8, 3.0)], "doc_id long, page int, table_id int, ord int, cost double")
+    assert sorted((r["table_id"], r["ord"]) for r in spatial.match_once(costs).collect()) == [(1, 7), (2, 8)]
+
+
+def test_references():
+    text = "[1] Smith A. A long enough title here. [2] Jones B. Another long title here. [3] Lee C. Third long title here."
+    assert [(k, t[:5]) for k, t, _ in references.split_references([text], [4])] == [(1, "Smith"), (2, "Jones"), (3, "Lee C")]
+    assert references.split_references(["too short", "A reference without any number at all"], [1, 2]) == [(1, "A reference without any number at all", 2)]
+
+
+def test_authors():
+    assert references.author_names(["University of X", "Ada Lovelace1, Alan M. Turing* and Grace Hopper"]) == ["Ada Lovelace", "Alan M. Turing", "Grace Hopper"]
+
+
+def test_hash_embedding(spark):
+    v = spark.createDataFrame([("training large models",), (None,)], ["t"]).select(embedding.hash_embedding(F.col("t")).alias("v")).collect()
+    assert np.isclose(np.linalg.norm(v[0]["v"]), 1) and not any(v[1]["v"])
+    assert embedding.embedder("none")[1]
+
+
+def test_answer(spark):
+    hits = spark.createDataFrame([(0, "Intro, p. 1", "text", "Cells divide. They grow."), (1, "Results, p. 2", "text", "Dose matters. More.")], "place long, title string, kind string, text string")
+    events = list(answer.ask(spark, "What happens?", hits))
+    assert events[-1].result.used == ["S1", "S2"] and not events[-1].result.warnings
+    assert list(answer.ask(spark, "What?", hits.where("false")))[-1].result.text == answer.REFUSAL
+
+
+def test_index(spark, tmp_path):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, text string")
+    index.write(index.bucketed(a), str(tmp_path))
+    index.write(index.bucketed(spark.createDataFrame([(1, "z")], "doc_id long, text string")), str(tmp_path))
+    assert {(r["doc_id"], r["text"]) for r in index.read(spark, str(tmp_path)).collect()} == {(1, "z"), (2, "y")}
+
+
+def test_settings():
+    s = settings.load("lite", {"document": {"dpi": 200}}, {"TESSERA_RETRIEVAL__TOP_K": "4"}, {"document": {"ocr": False}})
+    assert (s["retrieval"]["top_k"], s["retrieval"]["rerank"], s["document"]["dpi"], s["document"]["ocr"]) == (4, False, 200, False)
+    with pytest.raises(KeyError):
+        settings.load(overrides={"retrieval": {"top_kk": 1}})
+
+
+def test_memory_fold():
+    turns, summary = memory.fold([], "", ["a" * 20, "b" * 12, "c" * 16, "d" * 20], 10)
+    assert turns == ["c" * 16, "d" * 20] and summary == "a" * 20 + " " + "b" * 12
+
+
+def test_conversation_stream(spark, tmp_path):
+    rows = pd.DataFrame({"conv_id": [1, 1, 2], "turn": [0, 1, 0], "role": ["user", "assistant", "system"], "text": ["hello there", "hi", "x"]})
+    spark.createDataFrame(rows).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(str(tmp_path / "in"))
+    q = memory.conversation_state(stream).writeStream.format("memory").queryName("mem").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r["conv_id"], r["kept"]) for r in spark.table("mem").collect()} == {(1, 2), (2, 0)}
+
+
+def test_ingest_is_incremental(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    schema = "doc_id long, text string"
+    build = lambda d: d.select("doc_id", F.length("text").alias("n"))
+    for part in ([(1, "a"), (2, "bb")], [(2, "bb"), (3, "ccc"), (1, "changed")]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(src)
+        ingest(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "ck"), build, "v1").awaitTermination(120)
+    assert sorted((r["doc_id"], r["n"]) for r in spark.read.parquet(f"{out}/rows").collect()) == [(1, 1), (1, 7), (2, 2), (3, 3)]

@@ -3,13 +3,11 @@ import sys
 from pathlib import Path
 
 import pytest
+from helpers import SF, TABLES
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 os.environ.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -38,10 +36,3 @@ def duck():
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
-
-
-def rows(frame):
-    """Rows as sorted text, columns by name, numbers rounded."""
-    frame = frame[sorted(frame.columns)]
-    plain = lambda v: round(v, 6) if isinstance(v, float) else v.item() if hasattr(v, "item") else v
-    return sorted(repr([plain(plain(v)) for v in r]) for r in frame.itertuples(index=False))

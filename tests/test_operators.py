@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import SF
+from helpers import SF
 from pyspark.sql import functions as F
 
 from tessera import settings

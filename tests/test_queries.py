@@ -1,7 +1,7 @@
 """Every query with SQL gives the same rows as that SQL on another engine."""
 
 import pytest
-from conftest import SF, rows
+from helpers import SF, rows
 
 from tessera.plans import catalogue
 

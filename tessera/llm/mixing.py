@@ -114,6 +114,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
         F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("mix_key"),
         word_count(F.col(text)).alias("mix_size"),
         F.xxhash64(F.lit(7), "doc_id", text).alias("mix_deal"),
+        F.col("doc_id").alias("mix_id"),
     )
     sized = sized.withColumn("mix_cell", size_class(F.col("mix_size"))).withColumn("mix_salt", F.pmod("mix_deal", F.lit(SALTS)).cast("int"))
     counts = checkpointed(sized.groupBy(F.col("mix_key").alias("key"), F.col("mix_cell").alias("cell"), F.col("mix_salt").alias("salt")).agg(F.count("*").alias("docs"), F.sum("mix_size").alias("tokens")))
@@ -128,11 +129,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     share = lambda k: F.floor(k.cast("double") * extra / F.col("of"))
     g = g.select(
         F.col("key").alias("mix_key"), F.col("cell").alias("mix_cell"), F.col("salt").alias("mix_salt"),
-        F.floor(F.col("copies") / F.col("of")).cast("long").alias("each"), (share(upto) - share(upto - F.col("docs"))).cast("long").alias("more"),
+        F.floor(F.col("copies") / F.col("of")).cast("long").alias("mix_each"), (share(upto) - share(upto - F.col("docs"))).cast("long").alias("mix_more"),
     )
-    place = F.row_number().over(Window.partitionBy("mix_key", "mix_cell", "mix_salt").orderBy("mix_deal", "doc_id"))
-    got = sized.withColumn("place", place).join(g, ["mix_key", "mix_cell", "mix_salt"], "left")
-    got = got.withColumn("mix_copies", F.coalesce(F.col("each") + (F.col("place") <= F.col("more")).cast("long"), F.lit(0).cast("long")))
+    place = F.row_number().over(Window.partitionBy("mix_key", "mix_cell", "mix_salt").orderBy("mix_deal", "mix_id"))
+    got = sized.withColumn("mix_place", place).join(g, ["mix_key", "mix_cell", "mix_salt"], "left")
+    got = got.withColumn("mix_copies", F.coalesce(F.col("mix_each") + (F.col("mix_place") <= F.col("mix_more")).cast("long"), F.lit(0).cast("long")))
     s = sources.select(F.col("key").alias("mix_key"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     return got.join(s, "mix_key").select(*keep, "mix_size", "mix_source_size", "mix_target", "mix_copies")
 

@@ -20,7 +20,7 @@ DataFrame functions only.
 Defined cases: a null url, or one without ``://``, has empty host and path, fits no rule and is scored
 like any other; empty host labels count as labels; repeated rows are judged alike; with no
 labelled urls, or of one verdict only, the answer is that verdict, or ``allow``; an empty table
-gives no rows; other columns pass through ``judge`` (added names start with ``url_``).
+gives no rows; other columns pass through ``judge``, except those named like one that it adds.
 """
 
 from __future__ import annotations
@@ -225,14 +225,14 @@ def judge(urls: DataFrame, rules: list[Rule], url: str = "url", labelled: DataFr
 
     def parsed(df: DataFrame, c: str) -> DataFrame:
         host, path = split_url(F.col(c))
-        return df.select("*", F.col(c).alias("url_url"), host.alias("url_host"), path.alias("url_path"))
+        return df.select(F.struct("*").alias("url_row"), F.col(c).alias("url_url"), host.alias("url_host"), path.alias("url_path"))
 
     rows = parsed(urls, url)
     rule, verdict = match_rule(F.col("url_host"), F.col("url_path"), rules)
     if labelled is None:
         known = rows.select("url_url", "url_host", "url_path", verdict.alias("v")).where("v IS NOT NULL").withColumn("url_label", F.col("v") == BLOCK).drop("v")
     else:
-        known = parsed(labelled, "url").select("url_url", "url_host", "url_path", F.col("blocked").alias("url_label"))
+        known = parsed(labelled, "url").select("url_url", "url_host", "url_path", F.col("url_row")["blocked"].alias("url_label"))
     model = train(known)
     rows = rows.select("*", rule.alias("url_rule"), verdict.alias("url_rule_verdict"))
     if model.only:
@@ -242,4 +242,5 @@ def judge(urls: DataFrame, rules: list[Rule], url: str = "url", labelled: DataFr
         score = 1 / (1 + F.exp(-model.margin()))
     rows = rows.withColumn("url_score", score)
     rows = rows.withColumn("url_verdict", F.coalesce("url_rule_verdict", F.when(F.col("url_score") > 0.5, BLOCK).otherwise(ALLOW)))
-    return rows.select(*urls.columns, "url_host", "url_path", "url_rule", "url_score", "url_verdict")
+    added = ("url_host", "url_path", "url_rule", "url_score", "url_verdict")
+    return rows.select(*(F.col("url_row")[c].alias(c) for c in urls.columns if c not in added), *added)

@@ -132,3 +132,74 @@ def hit(rects: Column, x: float, y: float) -> Column:
     return F.exists(rects, lambda r: (r["x0"] <= x) & (r["x1"] >= x) & (r["y0"] <= y) & (r["y1"] >= y))
 
 
+
+
+def continued_captions(blocks: DataFrame, starts: DataFrame, most: int = 3) -> DataFrame:
+    """``starts(doc_id, page, ord)`` captions with up to ``most`` following blocks that go on with them.
+
+    A block goes on if it is at most 14 points below, shares the caption's left edge or half its width, is no larger
+    in type, and the caption so far is only a label or doesn't end a sentence; the first that doesn't ends it.
+    """
+
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values(["y0", "x0", "ord"]).reset_index(drop=True)
+        used: set[int] = set()
+        out = []
+        for i in page.index[page.is_start]:
+            if i in used:
+                continue
+            own = page.loc[i, ["x0", "y0", "x1", "y1", "text", "size"]].to_dict()
+            text, taken = own["text"], 0
+            for j in page.index[page.index > i]:
+                b = page.loc[j]
+                wide = min(own["x1"], b.x1) - max(own["x0"], b.x0)
+                near = -2 <= b.y0 - own["y1"] <= 14 and (abs(b.x0 - own["x0"]) <= 6 or wide >= 0.5 * (own["x1"] - own["x0"])) and b["size"] <= own["size"] + 0.3
+                open_ = len(text.split()) <= 3 or text.rstrip()[-1:] not in ".!?"
+                if wide <= 0:
+                    continue
+                if taken == most or not (near and open_) or b.is_start:
+                    break
+                text, taken = f"{text} {b.text}", taken + 1
+                own |= {"x0": min(own["x0"], b.x0), "x1": max(own["x1"], b.x1), "y1": max(own["y1"], b.y1)}
+                used.add(j)
+            out.append((page.doc_id[i], page.page[i], page.ord[i], own["x0"], own["y0"], own["x1"], own["y1"], text, taken))
+        return pd.DataFrame(out, columns=["doc_id", "page", "ord", "x0", "y0", "x1", "y1", "text", "n_joined"])
+
+    marked = blocks.join(starts.select("doc_id", "page", "ord", F.lit(True).alias("is_start")), ["doc_id", "page", "ord"], "left").withColumn("is_start", F.coalesce("is_start", F.lit(False)))
+    pages = marked.join(starts.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi").select("doc_id", "page", "ord", "x0", "y0", "x1", "y1", "text", "size", "is_start")
+    return pages.groupBy("doc_id", "page").applyInPandas(run, "doc_id bigint, page int, ord int, x0 double, y0 double, x1 double, y1 double, text string, n_joined int")
+
+
+def located_figures(captions: DataFrame, regions: DataFrame, above: float = 140.0, below: float = 60.0, join: float = 30.0) -> DataFrame:
+    """The box of each figure caption: the nearest region above it, else below, that shares 40 % of the width.
+
+    Regions within ``join`` points of a box join it, over and over; each region serves one caption.
+    """
+
+    def run(key: tuple, own: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+        left = boxes[["x0", "y0", "x1", "y1"]].to_numpy(float)
+        out = []
+        for c in own.sort_values(["y0", "x0", "ord"]).itertuples():
+            found = None
+            if len(left):
+                wide = np.minimum(left[:, 2], c.x1) - np.maximum(left[:, 0], c.x0)
+                good = wide > 0.4 * np.minimum(left[:, 2] - left[:, 0], c.x1 - c.x0)
+                for gap, most in ((c.y0 - left[:, 3], above), (left[:, 1] - c.y1, below)):
+                    gap = np.where(good & (gap >= -6) & (gap <= most), gap, np.inf)
+                    if np.isfinite(gap).any():
+                        k = int(gap.argmin())
+                        box, left, found = left[k], np.delete(left, k, 0), True
+                        break
+            while found and len(left):
+                apart = np.maximum(np.maximum(left[:, 0] - box[2], box[0] - left[:, 2]), np.maximum(left[:, 1] - box[3], box[1] - left[:, 3]))
+                over = (left[:, 1] < c.y1) & (left[:, 3] > c.y0)
+                near = (apart <= join) & ~over & ((left[:, 3] <= c.y0) == (box[3] <= c.y0))
+                if not near.any():
+                    break
+                box = np.array([min(box[0], left[near, 0].min()), min(box[1], left[near, 1].min()), max(box[2], left[near, 2].max()), max(box[3], left[near, 3].max())])
+                left = left[~near]
+            out.append((c.doc_id, c.page, c.label, *(box.tolist() if found else [None] * 4)))
+        return pd.DataFrame(out, columns=["doc_id", "page", "label", "x0", "y0", "x1", "y1"])
+
+    a, b = captions.groupBy("doc_id", "page"), regions.groupBy("doc_id", "page")
+    return a.cogroup(b).applyInPandas(run, "doc_id bigint, page int, label string, x0 double, y0 double, x1 double, y1 double")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import chunking, conversation, embedding, evidence, index, layout, library, references, retrieval, spatial
+from tessera.operators import chunking, conversation, embedding, evidence, index, layout, library, references, retrieval, spatial, viewing
 from tessera.plans import sql as S
 from tessera.sources import blocks, links
 
@@ -551,3 +551,27 @@ def highlight_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("unlabelled_documents", "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
 def unlabelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.without_removed(documents(spark, sf_dir).select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("captions_continued")
+def captions_continued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = made_blocks(spark, sf_dir)
+    return spatial.continued_captions(b, layout.captions(b.join(layout.body_size(b), "doc_id")))
+
+
+@query("figures_located")
+def figures_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of block boxes stand in for drawings."""
+    b = made_blocks(spark, sf_dir)
+    found = layout.captions(b.join(layout.body_size(b), "doc_id")).where("kind = 'Figure'").select("doc_id", "page", "ord", "label", "x0", "y0", "x1", "y1")
+    own = b.join(found.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi").where("NOT text LIKE 'Figure%'")
+    return spatial.located_figures(found, spatial.clusters(own.select("doc_id", "page", "x0", "y0", "x1", "y1")).drop("n"))
+
+
+@query("evidence_probe", f"""WITH s AS (SELECT doc_id, lower(array_to_string({S.words("text")}, ' ')) AS flat, {S.words("text")}[3:] AS ws FROM documents)
+SELECT doc_id, CASE WHEN len(ws) > 0 THEN array_to_string(ws[:14], ' ') END AS found FROM s""")
+def evidence_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text is asked for its own words from the third on, which it holds."""
+    ws = T.words(F.col("text"))
+    later = F.array_join(F.slice(ws, F.lit(3), F.greatest(F.size(ws) - 2, F.lit(0))), " ")
+    return documents(spark, sf_dir).select("doc_id", viewing.probe(F.col("text"), later).alias("found"))

@@ -144,3 +144,17 @@ def test_ingest_is_incremental(spark, tmp_path):
         spark.createDataFrame(part, schema).write.mode("append").parquet(src)
         ingest(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "ck"), build, "v1").awaitTermination(120)
     assert sorted((r["doc_id"], r["n"]) for r in spark.read.parquet(f"{out}/rows").collect()) == [(1, 1), (1, 7), (2, 2), (3, 3)]
+
+
+def test_caption_goes_on(spark):
+    rows = [(1, 0, 0, 10.0, 100.0, 200.0, 110.0, "Figure 1.", 9.0), (1, 0, 1, 10.0, 112.0, 200.0, 122.0, "The curve rises", 9.0), (1, 0, 2, 10.0, 124.0, 200.0, 134.0, "and falls.", 9.0), (1, 0, 3, 10.0, 136.0, 200.0, 146.0, "Body.", 9.0)]
+    b = spark.createDataFrame(rows, "doc_id long, page int, ord int, x0 double, y0 double, x1 double, y1 double, text string, size double")
+    got = spatial.continued_captions(b, b.where("ord = 0")).first()
+    assert (got["text"], got["y1"]) == ("Figure 1. The curve rises and falls.", 134.0)
+
+
+def test_figures_are_located(spark):
+    c = spark.createDataFrame([(1, 0, 0, "Figure 1", 50.0, 300.0, 250.0, 310.0), (1, 0, 1, "Figure 2", 50.0, 600.0, 250.0, 610.0)], "doc_id long, page int, ord int, label string, x0 double, y0 double, x1 double, y1 double")
+    r = spark.createDataFrame([(1, 0, 60.0, 200.0, 240.0, 290.0), (1, 0, 60.0, 150.0, 240.0, 180.0), (1, 0, 60.0, 620.0, 240.0, 700.0)], "doc_id long, page int, x0 double, y0 double, x1 double, y1 double")
+    got = {x["label"]: (x["y0"], x["y1"]) for x in spatial.located_figures(c, r).collect()}
+    assert got == {"Figure 1": (150.0, 290.0), "Figure 2": (620.0, 700.0)}

@@ -42,6 +42,13 @@ INTENTS = {
 FOLLOW_UP = r"\b(it|its|they|them|their|this|that|these|those|he|she|the same|former|latter|there|then|also|and)\b"
 
 
+def bounded(pattern: str) -> str:
+    """``pattern`` without regard to case, its outer word bounds over letters of any script, in which engines differ."""
+    inner = pattern.removeprefix(r"\b")
+    inner, end = (inner[:-2], r"(?:$|[^\p{L}\p{N}_])") if inner.endswith(r"\b") else (inner, "")
+    return rf"(?i)(?:^|[^\p{{L}}\p{{N}}_]){inner}{end}"
+
+
 def stem(w: Column) -> Column:
     n = F.length(w)
     return (
@@ -140,7 +147,7 @@ def bigrams(ws: Column) -> Column:
 
 
 def clauses_of(question: Column) -> dict[str, Column]:
-    return {k: question.rlike("(?i)" + p) for k, p in INTENTS.items()}
+    return {k: question.rlike(bounded(p)) for k, p in INTENTS.items()}
 
 
 def intent(question: Column) -> Column:
@@ -162,4 +169,4 @@ def intent(question: Column) -> Column:
 
 def follow_up(question: Column, turns: Column, most_words: int = 12) -> Column:
     """Whether a question needs the turns before it to be understood."""
-    return (turns > 0) & ((word_count(question) <= most_words) | question.rlike("(?i)" + FOLLOW_UP))
+    return (turns > 0) & ((word_count(question) <= most_words) | question.rlike(bounded(FOLLOW_UP)))

@@ -330,7 +330,7 @@ def candidate_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUESTION = "(text || CASE doc_id % 6 WHEN 0 THEN ' What does Figure 3 show?' WHEN 1 THEN ' Summarize this paper' WHEN 2 THEN ' What are the limitations?' WHEN 3 THEN ' Which dataset gave the best accuracy?' WHEN 4 THEN ' Which works are cited?' ELSE '' END)"
-_HAS = {k: f"regexp_matches(q, {S.quoted('(?i)' + p)})" for k, p in T.INTENTS.items()}
+_HAS = {k: f"regexp_matches(q, {S.quoted(T.bounded(p))})" for k, p in T.INTENTS.items()}
 
 
 @query(
@@ -350,7 +350,7 @@ def intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select("doc_id", "i.kind", F.array_join("i.prefer_sections", ",").alias("prefer"), "i.wants_references", F.array_join("i.labels", ",").alias("labels"))
 
 
-@query("followup_gate", f"SELECT conv_id, turn, turn > 0 AND ({S.count('text')} <= 12 OR regexp_matches(text, {S.quoted('(?i)' + T.FOLLOW_UP)})) AS needs_rewrite FROM conversations WHERE role = 'user'")
+@query("followup_gate", f"SELECT conv_id, turn, turn > 0 AND ({S.count('text')} <= 12 OR regexp_matches(text, {S.quoted(T.bounded(T.FOLLOW_UP))})) AS needs_rewrite FROM conversations WHERE role = 'user'")
 def followup_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     return c.select("conv_id", "turn", T.follow_up(F.col("text"), F.col("turn")).alias("needs_rewrite"))

@@ -69,3 +69,46 @@ def shown_sources(sources: DataFrame, by: list[str], most: int = 3) -> DataFrame
     any_used = F.max(F.col("used").cast("int")).over(Window.partitionBy(*by))
     place = F.row_number().over(Window.partitionBy(*by).orderBy("place"))
     return sources.withColumn("any_used", any_used).withColumn("n", place).where(F.when(F.col("any_used") == 1, F.col("used")).otherwise(F.col("n") <= most)).drop("any_used", "n")
+
+
+def with_abstract(hits: DataFrame, abstracts: DataFrame, wanted: Column) -> DataFrame:
+    """``hits(doc_id, chunk_id, place, score)`` with abstract chunks not among them put first, where ``wanted``.
+
+    The result may so exceed the number of hits asked for.
+    """
+    more = abstracts.where(wanted).join(hits.select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_anti")
+    return hits.withColumn("prio", F.lit(1)).unionByName(more.select("doc_id", "chunk_id", F.lit(0).cast("long").alias("place"), F.lit(1.0).alias("score"), F.lit(0).alias("prio")))
+
+
+def gathered(highlights: DataFrame, visuals: DataFrame, hits: DataFrame) -> DataFrame:
+    """The streams of evidence ``(doc_id, key, text)`` in one order: highlights, then visuals, then hits."""
+    parts = [d.select("doc_id", "key", "text", F.lit(k).alias("stream"), F.col("place")) for k, d in enumerate((highlights, visuals, hits))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("stream", "place", "key"))
+    return every.withColumn("place", place.cast("long")).withColumn("cost", T.token_estimate(F.col("text")))
+
+
+def for_analysis(chosen: DataFrame, top_labels: DataFrame, visual_intent: Column, most: int = 2) -> DataFrame:
+    """Which of ``chosen(doc_id, label, reason, kind, image, rank)`` a vision model is shown.
+
+    Those asked for if there are any; else retrieved ones, if the question is about visuals or the label is in
+    ``top_labels``, the first two hits. Only figures and tables with an image, ``most`` a document.
+    """
+    top = top_labels.select("doc_id", "label").distinct().withColumn("in_top", F.lit(True))
+    c = chosen.where(F.col("kind").isin("figure", "table") & F.col("image").isNotNull()).join(top, ["doc_id", "label"], "left")
+    asked = F.max((F.col("reason") == "asked").cast("int")).over(Window.partitionBy("doc_id"))
+    fits = F.when(F.col("any_asked") == 1, F.col("reason") == "asked").otherwise((F.col("reason") == "retrieved") & (visual_intent | F.coalesce("in_top", F.lit(False))))
+    ok = c.withColumn("any_asked", asked).where(fits)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("rank", "label"))
+    return ok.withColumn("n", place).where(F.col("n") <= most).drop("n", "in_top", "any_asked")
+
+
+def mention_context(labels: DataFrame, chunks: DataFrame, cut: int = 600) -> DataFrame:
+    """For each ``labels(doc_id, label)`` the start of the first of ``chunks(doc_id, ord, text, refs)`` that mentions it."""
+    said = chunks.select("doc_id", "ord", "text", F.explode("refs").alias("label"))
+    return labels.join(said, ["doc_id", "label"]).groupBy("doc_id", "label").agg(F.min_by(F.substring("text", 1, cut), "ord").alias("context"))
+
+
+def note_key(label: Column, question: Column, model: Column) -> Column:
+    """The key of a vision note: label, question (or ``general``) and model."""
+    return F.concat_ws("|", label, F.coalesce(F.substring(F.sha1(question), 1, 10), F.lit("general")), model)

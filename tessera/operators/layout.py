@@ -179,3 +179,35 @@ def mention_sentences(merged: DataFrame, most: int = 3) -> DataFrame:
     s = s.where(~F.startswith(F.lower("sentence"), F.concat(F.lower("label"), F.lit("."))))
     w = Window.partitionBy("doc_id", "label").orderBy("section_idx", "paragraph", "i")
     return s.withColumn("n", F.row_number().over(w).cast("long")).where(F.col("n") <= most).select("doc_id", "label", "n", F.trim("sentence").alias("sentence"))
+
+
+def abstract_run_in(with_roles: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` of paragraphs that open with the word Abstract before any heading, with over 80 characters after it."""
+    h = headings(with_roles).select("doc_id", "page", "ord", F.lit(True).alias("is_heading"))
+    b = with_roles.where("role = 'body'").join(h, ["doc_id", "page", "ord"], "left")
+    before = F.count("is_heading").over(Window.partitionBy("doc_id").orderBy("page", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rest = F.regexp_replace("text", r"(?i)^\s*abstract\b[\s\-–—:.]*", "")
+    return b.withColumn("n", before).where((F.col("n") == 0) & F.col("text").rlike(r"(?i)^\s*abstract\b") & (F.length(rest) > 80)).select("doc_id", F.trim(rest).alias("text"))
+
+
+def warnings(pages: DataFrame, with_text: DataFrame, references: DataFrame, figures: DataFrame) -> DataFrame:
+    """What parsing missed in each document: pages without text, no references, no captioned figures."""
+    count = lambda d, c: d.groupBy("doc_id").agg(F.count("*").alias(c))
+    blank = count(pages.join(with_text.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti"), "blank")
+    d = pages.select("doc_id").distinct().join(blank, "doc_id", "left").join(count(references, "refs"), "doc_id", "left").join(count(figures, "figs"), "doc_id", "left")
+    found = F.array_compact(
+        F.array(
+            F.when(F.col("blank") > 0, F.concat(F.col("blank").cast("string"), F.lit(" page(s) without text"))),
+            F.when(F.col("refs").isNull(), "no references found"),
+            F.when(F.col("figs").isNull(), "no captioned figures found"),
+        )
+    )
+    return d.select("doc_id", found.alias("warnings"))
+
+
+def counts(pages: DataFrame, **parts: DataFrame) -> DataFrame:
+    """The number of pages and of each of ``parts`` in each document."""
+    out = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
+    for name, d in parts.items():
+        out = out.join(d.groupBy("doc_id").agg(F.count("*").alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out

@@ -56,3 +56,17 @@ def check(given: Mapping[str, Any], known: Mapping[str, Any], path: str = "") ->
             raise KeyError(f"unknown setting {path}{k}")
         if isinstance(known[k], Mapping):
             check(v, known[k], f"{path}{k}.")
+
+
+def save(patch: Mapping[str, Any], path: str) -> dict[str, Any]:
+    """Merge ``patch`` into the settings file at ``path``."""
+    check(patch, DEFAULTS)
+    try:
+        with open(path, encoding="utf-8") as f:
+            old = json.load(f)
+    except FileNotFoundError:
+        old = {}
+    new = merged(old, patch)
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(new, f, indent=1)
+    return new

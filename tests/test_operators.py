@@ -158,3 +158,42 @@ def test_figures_are_located(spark):
     r = spark.createDataFrame([(1, 0, 60.0, 200.0, 240.0, 290.0), (1, 0, 60.0, 150.0, 240.0, 180.0), (1, 0, 60.0, 620.0, 240.0, 700.0)], "doc_id long, page int, x0 double, y0 double, x1 double, y1 double")
     got = {x["label"]: (x["y0"], x["y1"]) for x in spatial.located_figures(c, r).collect()}
     assert got == {"Figure 1": (150.0, 290.0), "Figure 2": (620.0, 700.0)}
+
+
+def test_evidence_streams(spark):
+    hits = spark.createDataFrame([(1, "c1", 1, 0.5)], "doc_id long, chunk_id string, place long, score double")
+    abstracts = spark.createDataFrame([(1, "c0"), (1, "c1")], "doc_id long, chunk_id string")
+    got = evidence.with_abstract(hits, abstracts, F.lit(True)).orderBy("prio").collect()
+    assert [(r["chunk_id"], r["prio"]) for r in got] == [("c0", 0), ("c1", 1)]
+    d = lambda *r: spark.createDataFrame(list(r), "doc_id long, key string, text string, place long")
+    rows = evidence.gathered(d((1, "h", "x" * 8, 5)), d((1, "v", "y", 1)), d((1, "t", "z", 0))).orderBy("place").collect()
+    assert [(r["key"], r["cost"]) for r in rows] == [("h", 2), ("v", 1), ("t", 1)]
+
+
+def test_visuals_for_analysis(spark):
+    schema = "doc_id long, label string, reason string, kind string, image string, rank int"
+    chosen = spark.createDataFrame([(1, "Figure 1", "retrieved", "figure", "a", 1), (1, "Figure 2", "asked", "figure", "b", 2), (2, "Table 1", "retrieved", "table", "c", 1), (2, "Figure 9", "retrieved", "figure", None, 2)], schema)
+    top = spark.createDataFrame([(2, "Table 1")], "doc_id long, label string")
+    assert sorted(r["label"] for r in evidence.for_analysis(chosen, top, F.lit(False)).collect()) == ["Figure 2", "Table 1"]
+
+
+def test_mention_context_and_warnings(spark):
+    chunks = spark.createDataFrame([(1, 2, "later", ["Figure 1"]), (1, 1, "first " * 200, ["Figure 1"])], "doc_id long, ord long, text string, refs array<string>")
+    got = evidence.mention_context(spark.createDataFrame([(1, "Figure 1")], "doc_id long, label string"), chunks).first()
+    assert got["context"].startswith("first") and len(got["context"]) == 600
+    pages = spark.createDataFrame([(1, 0), (1, 1)], "doc_id long, page int")
+    w = layout.warnings(pages, pages.where("page = 0"), pages, pages.where("false")).first()["warnings"]
+    assert w == ["1 page(s) without text", "no captioned figures found"]
+    assert layout.counts(pages, figures=pages.where("false")).first()["figures"] == 0
+
+
+def test_run_in_abstract(spark):
+    rows = [(1, 0, 0, 66.0, 60.0, 546.0, 80.0, "Abstract— " + "Some text of the abstract. " * 5, 10.0, False), (1, 0, 1, 66.0, 100.0, 546.0, 120.0, "abstract ideas " * 10, 10.0, False)]
+    b = spark.createDataFrame(rows, "doc_id long, page int, ord int, x0 double, y0 double, x1 double, y1 double, text string, size double, bold boolean")
+    assert layout.abstract_run_in(layout.roles(b)).collect()[0]["text"].startswith("Some text")
+
+
+def test_saved_settings(tmp_path):
+    path = str(tmp_path / "s.json")
+    settings.save({"document": {"dpi": 100}}, path)
+    assert settings.save({"document": {"ocr": False}}, path) == {"document": {"dpi": 100, "ocr": False}}

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import map_batches
+
 #: The byte-level pattern (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pieces whose ids a worker remembers; then it starts anew.
@@ -131,7 +133,7 @@ def _map_texts(docs: DataFrame, keep: list[str], text: str, added: str, make: Ca
                 part = b.slice(at, 2000)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *make(part.column(part.num_columns - 1))], names)
 
-    return docs.select(*keep, F.col(text).alias("bpe_text")).mapInArrow(run, kind)
+    return map_batches(docs.select(*keep, F.col(text).alias("bpe_text")), run, kind)
 
 
 def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:

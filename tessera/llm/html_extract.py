@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import map_batches
+
 PAGES, ROUNDS, STEP, SEED = 600, 10, 0.3, 7
 
 BLOCK_TAGS = frozenset(
@@ -386,4 +388,4 @@ def extract(pages: DataFrame, keep: list[str], html: str = "html", model: Crf |
             texts = [extract_text(x.as_py(), m) for x in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*keep, "html_main"])
 
-    return pages.select(*keep, F.col(html).alias("html_html")).mapInArrow(run, kind)
+    return map_batches(pages.select(*keep, F.col(html).alias("html_html")), run, kind)

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import map_batches
+
 MAX_PIECE, STRETCH = 8, 256
 DOCS_A_LANGUAGE, WORDS_AT_MOST, ROUNDS, ADDED = 300, 120_000, 3, 0.05
 #: Distinct words whose scores a worker remembers; then it starts anew.
@@ -218,4 +220,4 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
                 got = m.predict(part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text).alias("lang_text")).mapInArrow(run, kind)
+    return map_batches(docs.select(*keep, F.col(text).alias("lang_text")), run, kind)

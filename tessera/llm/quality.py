@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import size_class
+from tessera.llm.common import map_batches, size_class
 
 P = "quality_"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -99,7 +99,7 @@ def measures(docs: DataFrame, keep: list[str] | None = None, text: str = "text")
             cols = list(zip(*got, strict=True)) or [()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.array(c, pa.int64()) for c in cols], [*keep, *(P + m for m in MEASURES)])
 
-    return given.mapInArrow(run, kind)
+    return map_batches(given, run, kind)
 
 
 def base_failed() -> Column:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed
+from tessera.llm.common import checkpointed, map_batches
 from tessera.llm.components import components
 
 WORDS, SEED, DISTANCE = 4, 42, 4
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, keep: list[str], words: int = WORDS, seed: int
             fps = np.array([fingerprint(x.as_py(), words, seed) for x in b.column(b.num_columns - 1)], np.uint64)
             yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.array(fps.view(np.int64))], [*keep, "simhash_fp"])
 
-    return docs.select(*keep, F.col(text).alias("simhash_text")).mapInArrow(run, kind)
+    return map_batches(docs.select(*keep, F.col(text).alias("simhash_text")), run, kind)
 
 
 def tables(n: int, distance: int = DISTANCE) -> list[int]:
@@ -127,7 +127,7 @@ def links(distinct: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
         if len(held_k):
             yield from groups(held_k, held_f)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return map_batches(dealt, run, "a bigint, b bigint")
 
 
 def classes(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import map_batches
 from tessera.llm.suffix_sort import sort_suffixes
 
 LENGTH, GRAM = 100, 24
@@ -381,21 +382,21 @@ def _plan(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     parts = max(1, -(-int(size) // PARTITION_BYTES))
     short = docs.select(id_.alias("suffix_id"), form.alias("suffix_form"), F.col(text).alias("suffix_text"))
-    dealt = short.where(F.octet_length("suffix_text") >= LENGTH).mapInArrow(_scan(parts), DEALT)
-    resolved = dealt.repartition(parts, "bucket").mapInArrow(_resolve, DEALT)
+    dealt = map_batches(short.where(F.octet_length("suffix_text") >= LENGTH), _scan(parts), DEALT)
+    resolved = map_batches(dealt.repartition(parts, "bucket"), _resolve, DEALT)
     arrays = F.struct(*"abcde")
     # Keys that can't be null spare the inner join a filter that would make its shuffles differ from the outer join's.
     never_null = [F.coalesce("id", F.lit(0)).alias("suffix_id"), F.coalesce("form", F.lit(0)).alias("suffix_form")]
     at = resolved.groupBy(*never_null).agg(
-        F.collect_list(F.when(F.col("kind") == ASKED, arrays)).alias("asked"), F.collect_list(F.when(F.col("kind") == REPEATS, arrays)).alias("first")
+        F.collect_list(F.when(F.col("kind") == ASKED, arrays)).alias("suffix_ask"), F.collect_list(F.when(F.col("kind") == REPEATS, arrays)).alias("suffix_first")
     )
-    asking = rows.join(at, ["suffix_id", "suffix_form"]).where(F.size("asked") > 0)
-    asking = asking.select("suffix_id", "suffix_form", "suffix_text", "asked", F.size("first").alias("n_first"), *(F.col(c).alias(f"kept_{c}") for c in keep))
-    sorted_ = asking.mapInArrow(_bytes_of(parts), DEALT).repartition(parts, "bucket").mapInArrow(_sort, DEALT)
-    more = sorted_.groupBy(*never_null).agg(F.collect_list(arrays).alias("second"))
+    asking = rows.join(at, ["suffix_id", "suffix_form"]).where(F.size("suffix_ask") > 0)
+    asking = asking.select("suffix_id", "suffix_form", "suffix_text", "suffix_ask", F.size("suffix_first").alias("n_first"), *(F.col(c).alias(f"kept_{c}") for c in keep))
+    sorted_ = map_batches(map_batches(asking, _bytes_of(parts), DEALT).repartition(parts, "bucket"), _sort, DEALT)
+    more = sorted_.groupBy(*never_null).agg(F.collect_list(arrays).alias("suffix_second"))
     none = F.array().cast("array<struct<a:binary,b:binary,c:binary,d:binary,e:binary>>")
     both = rows.join(at, ["suffix_id", "suffix_form"], "left").join(more, ["suffix_id", "suffix_form"], "left")
-    return both.select(*keep, F.size("asked").alias("suffix_asked"), "suffix_text", F.concat(F.coalesce("first", none), F.coalesce("second", none)).alias("suffix_found"))
+    return both.select(*keep, F.size("suffix_ask").alias("suffix_asked"), "suffix_text", F.concat(F.coalesce("suffix_first", none), F.coalesce("suffix_second", none)).alias("suffix_found"))
 
 
 def _map_found(found: DataFrame, keep: list[str], added: str, make: Callable[[bytes, np.ndarray | None], tuple]) -> DataFrame:
@@ -412,7 +413,7 @@ def _map_found(found: DataFrame, keep: list[str], added: str, make: Callable[[by
             cols = list(zip(*got, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([*b.columns[:-3], *(pa.array(c, types[k]) for c, (_, k) in zip(cols, names, strict=True))], [*keep, *(n for n, _ in names)])
 
-    return found.select(*keep, "suffix_asked", "suffix_text", F.transform("suffix_found", lambda x: F.struct(x["a"], x["b"])).alias("suffix_found")).mapInArrow(run, kind)
+    return map_batches(found.select(*keep, "suffix_asked", "suffix_text", F.transform("suffix_found", lambda x: F.struct(x["a"], x["b"])).alias("suffix_found")), run, kind)
 
 
 def digests(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:

@@ -130,7 +130,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the smallest doc_id that links reach from it."""
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, distance=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("simhash_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import checkpointed, map_batches
 from tessera.llm.components import components
 
-WORDS, SEED, DISTANCE = 4, 42, 4
+WORDS, SEED, DISTANCE = 5, 42, 4
 SLICE = 1 << 14
 
 
@@ -154,6 +154,8 @@ def keep_one(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, text
     """One row of each component stays: one of its smallest id (of those, the text of the least hash; null ids come last)."""
     key = (F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("simhash_id"), F.xxhash64(F.lit(5), text).alias("simhash_form"))
     marked = checkpointed(fingerprints(docs.select("doc_id", *key, F.col(text).alias("text")), ["doc_id", "simhash_id", "simhash_form"], words))
-    first = marked.join(classes(marked, distance), "simhash_fp").groupBy("root").agg(F.min(F.struct("simhash_id", "simhash_form")).alias("k")).select("k.*")
+    # Copies share a fingerprint, so they are one row before the join.
+    least = marked.groupBy("simhash_fp").agg(F.min(F.struct("simhash_id", "simhash_form")).alias("k"))
+    first = least.join(classes(marked, distance), "simhash_fp").groupBy("root").agg(F.min("k").alias("k")).select("k.*")
     alike = F.row_number().over(Window.partitionBy("simhash_id", "simhash_form").orderBy(F.lit(0)))
     return docs.select("*", *key).join(first, ["simhash_id", "simhash_form"]).withColumn("simhash_n", alike).where("simhash_n = 1").select(*docs.columns)

@@ -233,10 +233,10 @@ def test_simhash(spark, awkward, nothing):
         if r["doc_id"] is not None:
             least[k] = min(least.get(k, r["doc_id"]), r["doc_id"])
     want = sorted(repr((r["doc_id"], f, least.get(k))) for r, f, k in zip(docs, fps, root, strict=True))
-    got = sorted(repr((r["doc_id"], r["simhash_fp"] % (1 << 64), r["component_id"])) for r in simhash.near_duplicates(awkward).collect())
+    got = sorted(repr((r["doc_id"], r["simhash_fp"] % (1 << 64), r["component_id"])) for r in simhash.near_duplicates(awkward, words=4).collect())
     assert got == want
     assert simhash.near_duplicates(nothing).count() == 0
-    kept = simhash.keep_one(awkward.withColumn("root", F.lit(1)))
+    kept = simhash.keep_one(awkward.withColumn("root", F.lit(1)), words=4)
     assert kept.count() == len(set(root)) and kept.where("doc_id = 2").count() == 0
     hashed = spark.createDataFrame([("é a b c",)], ["t"]).select(F.xxhash64("t")).first()[0]
     assert hashed % (1 << 64) == xxh64_intdigest("é a b c".encode(), 42)

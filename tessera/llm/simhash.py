@@ -5,7 +5,7 @@ shingles have it. ``links`` works on the distinct fingerprints: copies share one
 group of copies is one row. The 64 bits are cut into blocks; two fingerprints that differ in ``distance``
 bits agree on all but ``distance`` blocks, so each choice of the blocks that agree is a table, keyed by those
 bits. There are as many blocks as leave keys wide enough for the number of fingerprints, so a key has
-about one fingerprint at any size. Those that share a key are sorted together and verified.
+about one fingerprint at any size. ``keep_one`` does so for several families of hashes. Those that share a key are sorted together and verified.
 
 Within a key no list of all pairs is made: a search from each fingerprint yet unreached takes all of the
 unreached within ``distance``, so the links are a forest that has the same components as all the
@@ -32,6 +32,8 @@ from tessera.llm.components import components
 
 WORDS, SEED, DISTANCE = 5, 42, 4
 SLICE = 1 << 14
+#: Families of hashes by which ``keep_one`` links: a pair close in any of them is linked.
+FAMILIES = 8
 
 
 def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -53,22 +55,35 @@ def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> It
         yield np.array([xxh64_intdigest(whole[s : e - 1], seed) for s, e in zip(starts[at:to], ends[at + words - 1 : to + words - 1], strict=True)], np.uint64)
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    ones, n = np.zeros(64, np.int64), 0
+def _remixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The hashes of one family as those of another; family 0 is the hashes themselves."""
+    if not k:
+        return h
+    h = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED, families: int = 1) -> list[int]:
+    """The fingerprint of a text in each family of hashes."""
+    ones, n = np.zeros((families, 64), np.int64), 0
     for h in shingle_hashes(text, words, seed):
         n += len(h)
-        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0]) if n else 0
+        for k in range(families):
+            ones[k] += np.unpackbits(_remixed(h, k).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<u8")[:, 0].tolist() if n else [0] * families
 
 
-def fingerprints(docs: DataFrame, keep: list[str], words: int = WORDS, seed: int = SEED, text: str = "text") -> DataFrame:
-    """``docs``' columns ``keep`` with ``simhash_fp``, the fingerprint as a signed long."""
-    kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["simhash_fp bigint"])
+def fingerprints(docs: DataFrame, keep: list[str], words: int = WORDS, seed: int = SEED, text: str = "text", families: int = 1) -> DataFrame:
+    """``docs``' columns ``keep`` with ``simhash_fps``, the fingerprints of each family as signed longs."""
+    kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["simhash_fps array<bigint>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(x.as_py(), words, seed) for x in b.column(b.num_columns - 1)], np.uint64)
-            yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.array(fps.view(np.int64))], [*keep, "simhash_fp"])
+            fps = np.array([fingerprint(x.as_py(), words, seed, families) for x in b.column(b.num_columns - 1)], np.uint64).ravel()
+            at = pa.array(np.arange(0, len(fps) + 1, families, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.ListArray.from_arrays(at, pa.array(fps.view(np.int64)))], [*keep, "simhash_fps"])
 
     return map_batches(docs.select(*keep, F.col(text).alias("simhash_text")), run, kind)
 
@@ -98,64 +113,75 @@ def _forest(fps: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def links(distinct: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
-    """``(a, b)`` between the ``n`` fingerprints of ``distinct(simhash_fp)``, with the components of all pairs within ``distance``."""
+    """``(family, a, b)`` between fingerprints of one family, with the components of all pairs within ``distance``.
+
+    ``distinct(family, simhash_fp)`` has about ``n`` rows a family.
+    """
     signed = [m - (1 << 64) if m >> 63 else m for m in tables(n, distance)]
-    keys = F.array(*(F.xxhash64(F.lit(k), F.col("simhash_fp").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)))
-    dealt = distinct.select(F.explode(keys).alias("key"), "simhash_fp")
+    keys = F.array(*(F.xxhash64(F.lit(k), "family", F.col("simhash_fp").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)))
+    dealt = distinct.select(F.explode(keys).alias("key"), "simhash_fp", F.col("family").cast("int").alias("family"))
     dealt = dealt.repartition("key").sortWithinPartitions("key", "simhash_fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held = (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int32))
 
-        def groups(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def groups(k: np.ndarray, f: np.ndarray, family: np.ndarray) -> Iterator[pa.RecordBatch]:
             cut = np.flatnonzero(np.diff(k)) + 1
             starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(k)]))
             many = ends - starts > 1
-            out = [x for s, e in zip(starts[many], ends[many], strict=True) for x in _forest(f[s:e], distance)]
+            out = [(np.full(len(a), family[s]), a, b) for s, e in zip(starts[many], ends[many], strict=True) for a, b in _forest(f[s:e], distance)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out]).view(np.int64)) for i in (0, 1)], ["a", "b"])
+                family, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(family), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["family", "a", "b"])
 
         for b in batches:
-            k = np.concatenate((held_k, b.column(0).to_numpy()))
-            f = np.concatenate((held_f, b.column(1).to_numpy().view(np.uint64)))
-            if not len(k):
-                continue
-            at = np.searchsorted(k, k[-1])
-            held_k, held_f = k[at:], f[at:]
-            if at:
-                yield from groups(k[:at], f[:at])
-        if len(held_k):
-            yield from groups(held_k, held_f)
+            new = (b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy())
+            held = tuple(np.concatenate(x) for x in zip(held, new, strict=True))
+            if len(held[0]):
+                at = np.searchsorted(held[0], held[0][-1])
+                ready, held = tuple(x[:at] for x in held), tuple(x[at:] for x in held)
+                if at:
+                    yield from groups(*ready)
+        if len(held[0]):
+            yield from groups(*held)
 
-    return map_batches(dealt, run, "a bigint, b bigint")
+    return map_batches(dealt, run, "family int, a bigint, b bigint")
 
 
-def classes(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``(simhash_fp, root, component_id)`` for ``marked(doc_id, simhash_fp)``.
+def classes(marked: DataFrame, distance: int = DISTANCE, families: int = 1) -> DataFrame:
+    """``(simhash_fps, root, component_id)`` for ``marked(doc_id, simhash_fps)``.
 
-    ``root`` names a component by its least fingerprint, ``component_id`` is the smallest doc_id in it.
+    Texts are linked if in any family their fingerprints are. ``root`` names a component, ``component_id`` is
+    the smallest doc_id in it. Documents with all fingerprints equal are one row throughout.
     """
-    alike = checkpointed(marked.groupBy("simhash_fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(alike.select("simhash_fp"), alike.count(), distance))
-    linked = alike.join(roots.withColumnRenamed("node", "simhash_fp"), "simhash_fp")
+    alike = checkpointed(marked.groupBy("simhash_fps").agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64("simhash_fps")))
+    each = alike.select("node", F.posexplode("simhash_fps").alias("family", "simhash_fp"))
+    heads = checkpointed(each.groupBy("family", "simhash_fp").agg(F.min("node").alias("head")))
+    shared = each.join(heads, ["family", "simhash_fp"]).select(F.col("node").alias("a"), F.col("head").alias("b")) if families > 1 else None
+    close = links(heads.select("family", "simhash_fp"), max(1, heads.count() // families), distance)
+    close = close.join(heads.withColumnRenamed("simhash_fp", "a"), ["family", "a"]).withColumnRenamed("head", "x")
+    close = close.join(heads.withColumnRenamed("simhash_fp", "b"), ["family", "b"]).select(F.col("x").alias("a"), F.col("head").alias("b"))
+    roots = components(close if shared is None else close.unionByName(shared))
+    linked = alike.join(roots, "node")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.join(least, "root").select("simhash_fp", "root", "component_id")
+    named = linked.join(least, "root").select("node", "root", "component_id")
     id_ = F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("first"))
-    return alike.join(named, "simhash_fp", "left").select("simhash_fp", F.coalesce("root", "simhash_fp").alias("root"), id_.alias("component_id"))
+    return alike.join(named, "node", "left").select("simhash_fps", F.coalesce("root", "node").alias("root"), id_.alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """``(doc_id, simhash_fp, component_id)`` for each row of ``docs``."""
+    """``(doc_id, simhash_fp, component_id)`` for each row of ``docs``, by one family of fingerprints."""
     marked = checkpointed(fingerprints(docs, ["doc_id"], words))
-    return marked.join(classes(marked, distance), "simhash_fp").select("doc_id", "simhash_fp", "component_id")
+    return marked.join(classes(marked, distance), "simhash_fps").select("doc_id", F.get("simhash_fps", 0).alias("simhash_fp"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, text: str = "text", families: int = FAMILIES) -> DataFrame:
     """One row of each component stays: one of its smallest id (of those, the text of the least hash; null ids come last)."""
     key = (F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("simhash_id"), F.xxhash64(F.lit(5), text).alias("simhash_form"))
-    marked = checkpointed(fingerprints(docs.select("doc_id", *key, F.col(text).alias("text")), ["doc_id", "simhash_id", "simhash_form"], words))
-    # Copies share a fingerprint, so they are one row before the join.
-    least = marked.groupBy("simhash_fp").agg(F.min(F.struct("simhash_id", "simhash_form")).alias("k"))
-    first = least.join(classes(marked, distance), "simhash_fp").groupBy("root").agg(F.min("k").alias("k")).select("k.*")
+    given = docs.select("doc_id", *key, F.col(text).alias("text"))
+    marked = checkpointed(fingerprints(given, ["doc_id", "simhash_id", "simhash_form"], words, families=families))
+    # Copies share their fingerprints, so they are one row before the join.
+    least = marked.groupBy("simhash_fps").agg(F.min(F.struct("simhash_id", "simhash_form")).alias("k"))
+    first = least.join(classes(marked, distance, families), "simhash_fps").groupBy("root").agg(F.min("k").alias("k")).select("k.*")
     alike = F.row_number().over(Window.partitionBy("simhash_id", "simhash_form").orderBy(F.lit(0)))
     return docs.select("*", *key).join(first, ["simhash_id", "simhash_form"]).withColumn("simhash_n", alike).where("simhash_n = 1").select(*docs.columns)

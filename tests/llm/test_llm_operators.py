@@ -236,7 +236,7 @@ def test_simhash(spark, awkward, nothing):
     got = sorted(repr((r["doc_id"], r["simhash_fp"] % (1 << 64), r["component_id"])) for r in simhash.near_duplicates(awkward, words=4).collect())
     assert got == want
     assert simhash.near_duplicates(nothing).count() == 0
-    kept = simhash.keep_one(awkward.withColumn("root", F.lit(1)), words=4)
+    kept = simhash.keep_one(awkward.withColumn("root", F.lit(1)), words=4, families=1)
     assert kept.count() == len(set(root)) and kept.where("doc_id = 2").count() == 0
     hashed = spark.createDataFrame([("é a b c",)], ["t"]).select(F.xxhash64("t")).first()[0]
     assert hashed % (1 << 64) == xxh64_intdigest("é a b c".encode(), 42)
@@ -246,7 +246,8 @@ def test_links_lose_nothing(spark):
     rnd = np.random.default_rng(3)
     centres = rnd.integers(0, 1 << 63, 40, np.uint64)
     fps = np.unique(np.concatenate([centres] + [centres ^ (np.uint64(1) << rnd.integers(0, 64, 40, np.uint64)) ^ (np.uint64(1) << rnd.integers(0, 64, 40, np.uint64)) for _ in range(8)]))
-    got = simhash.links(spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "simhash_fp long"), len(fps))
+    both = spark.createDataFrame([(k, int(f)) for f in fps.view(np.int64) for k in (0, 1)], "family int, simhash_fp long")
+    got = simhash.links(both, len(fps)).where("family = 1")
     roots = {r["node"]: r["root"] for r in components.components(got).collect()}
     pairs = [(i, j) for i in range(len(fps)) for j in range(i) if np.bitwise_count(fps[i] ^ fps[j]) <= 4]
     signed = fps.view(np.int64)
@@ -255,6 +256,24 @@ def test_links_lose_nothing(spark):
         assert all(bin(m).count("1") >= 12 for m in simhash.tables(n))
 
 
+def test_families_catch_more(spark):
+    rnd = np.random.default_rng(4)
+    words = np.array([f"w{k}" for k in range(3000)])
+    rows = []
+    for k in range(60):
+        w = rnd.choice(words, 150)
+        v = w.copy()
+        v[rnd.integers(5, 145, 1)] = "changed"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {f: {r["doc_id"] for r in simhash.keep_one(docs, families=f).select("doc_id").collect()} for f in (1, 8)}
+    assert left[8] <= left[1] and {2 * k for k in range(60)} <= left[8]
+    assert sum(d % 2 for d in left[8]) <= 6
+    fps = [simhash.fingerprint(t, families=8) for _, t in rows]
+    near = lambda a, b: any(bin(x ^ y).count("1") <= 4 for x, y in zip(a, b, strict=True))
+    assert left[8] == {2 * k for k in range(60)} | {2 * k + 1 for k in range(60) if not near(fps[2 * k], fps[2 * k + 1])}
+
+
 def test_components_of_a_path(spark):
     path = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert components.components(path).select("root").distinct().count() == 1

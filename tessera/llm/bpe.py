@@ -129,26 +129,40 @@ def _map_texts(docs: DataFrame, keep: list[str], text: str, added: str, make: Ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *make(part.column(part.num_columns - 1))], names)
 
     return map_batches(docs.select(*keep, F.col(text).alias("bpe_text")), run, kind)
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(ids) if ids else np.empty(0)
+    offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
+
+
 def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
     """``docs``' columns ``keep`` with ``bpe_ids``."""
 
     def make(texts: pa.Array) -> list[pa.Array]:
         t = tokenizer(path)
-        ids = [t.encode(x.as_py()) for x in texts]
-        flat = np.concatenate(ids) if ids else np.empty(0)
-        offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))]
+        return [_lists([t.encode(x.as_py()) for x in texts])]
 
     return _map_texts(docs, keep, text, "bpe_ids array<int>", make)
 
 
+def round_trip(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` with ``bpe_ids`` and ``bpe_decoded``, what they decode to: one pass, one worker a task."""
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        t = tokenizer(path)
+        ids = [t.encode(x.as_py()) for x in texts]
+        return [_lists(ids), pa.array(list(map(t.decode, ids)), pa.string())]
+
+    return _map_texts(docs, keep, text, "bpe_ids array<int>, bpe_decoded string", make)
+
+
 def decode(coded: DataFrame, path: str, keep: list[str], ids: str = "bpe_ids") -> DataFrame:
     """``coded``'s columns ``keep`` with ``bpe_decoded``."""
 

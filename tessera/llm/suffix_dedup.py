@@ -6,10 +6,12 @@ earlier in the same document. All start positions are judged on the input, over
 1. *Scan.* Every window of ``LENGTH`` bytes has an anchor: of the ``GRAM``-byte strings in it the one with the least
    hash, the leftmost of equals. Equal windows have equal anchors. Neighbouring windows mostly share theirs,
    so a text falls into segments: runs of windows with one anchor, a fortieth as many as bytes. A segment
-   travels as 37 bytes: the 64-bit hashes of its anchor and of its content, and its place.
+   travels as 45 bytes: the 64-bit hashes of its anchor and of its content, 16-bit hashes of the bytes around the
+   anchor that all windows of a class hold, and its place.
 2. *Resolve.* Segments meet by anchor. An anchor that occurs once is done. Equal segments collapse into the first
    (once in each batch before the shuffle, so a hot anchor is a row a batch): the later ones are repeats. What is
-   left, differing segments with one anchor, needs sorting.
+   left, differing segments with one anchor, needs sorting where they have the hash of a class in common: equal
+   windows always do.
 3. *Sort.* The bytes of these segments go to shards by anchor; the suffixes of a shard are sorted by
    ``suffix_sort``. Suffixes in a row with common prefixes of ``LENGTH`` are equal windows, and all but the first in
    (document, start) order are repeats. An anchor with over ``HOT`` differing segments is spread further: by the
@@ -46,9 +48,11 @@ BLOCK = 1 << 20
 PARTITION_BYTES = 12 << 20
 HOT = 20_000
 NULL_ID = -(1 << 63)
+#: Windows by how far before their anchor they start; all of a class hold the same bytes around it.
+CLASSES = ((0, 19), (20, 37), (38, 56), (57, SPAN - 1))
 LEFT = 38
 #: Columns of a row: whose it is, what it is, and whole-number arrays as bytes.
-DEALT = "bucket int, id bigint, form bigint, kind int, a binary, b binary, c binary, d binary, e binary, f binary"
+DEALT = "bucket int, id bigint, form bigint, kind int, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
 SEGMENTS, REPEATS, ASKED = 0, 1, 2
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,11 +79,11 @@ def _power(n: int) -> np.uint64:
 
 
 def segments(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchor hash, content hash, first window, number of windows and anchor place of each segment.
+    """Anchor hash, content hash, class hashes, first window, number of windows and anchor place of each segment.
 
     ``raw``: bytes of at most BLOCK length, of documents that end at ``ends``. Windows over an end don't count.
     """
-    none = tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+    none = tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
     if len(raw) < LENGTH:
         return none
     byte, up, down = _tables()
@@ -113,7 +117,13 @@ def segments(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     lo, hi = lo[inside], hi[inside]
     total = np.append(np.uint64(0), np.cumsum(g * up[: len(g)], dtype=np.uint64))
     content = _mix((total[hi - 1 + SPAN] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
-    return g[at[lo]], content, lo, hi - lo, at[lo]
+    at, around = at[lo], np.zeros(len(lo), np.uint64)
+    for k, (least_gap, most_gap) in enumerate(CLASSES):
+        a = np.maximum(at - least_gap, 0)
+        z = np.minimum(at + LENGTH - most_gap - GRAM + 1, len(g))
+        part = _mix((total[z] - total[a]) * down[a]) >> np.uint64(48)
+        around |= part << np.uint64(16 * k)
+    return g[at], content, around, lo, hi - lo, at
 
 
 def _blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -143,7 +153,7 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _row(rows: dict[str, list], bucket: int, id_: int, form: int, kind: int, *arrays: np.ndarray) -> None:
-    for name, v in zip(rows, (bucket, id_, form, kind, *(a.tobytes() for a in arrays), *[None] * (6 - len(arrays))), strict=True):
+    for name, v in zip(rows, (bucket, id_, form, kind, *(a.tobytes() for a in arrays), *[None] * (7 - len(arrays))), strict=True):
         rows[name].append(v)
 
 
@@ -175,23 +185,23 @@ def _scan(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column(2).cast(pa.binary())]
             parts = []
             for raw, ends, docs, offsets in _blocks(texts):
-                anchor, content, lo, n, at = segments(raw, ends)
+                anchor, content, around, lo, n, at = segments(raw, ends)
                 which = np.searchsorted(ends, lo, side="right")
                 start = lo - np.concatenate(([0], ends[:-1]))[which] + offsets[which]
-                parts.append((anchor, content, ids[docs[which]], forms[docs[which]], start, n, (at - lo).astype(np.int64)))
+                parts.append((anchor, content, ids[docs[which]], forms[docs[which]], start, n, (at - lo).astype(np.int64), around))
             if not parts:
                 continue
-            anchor, content, i, f, start, n, gap = (np.concatenate(x) for x in zip(*parts, strict=True))
+            anchor, content, i, f, start, n, gap, around = (np.concatenate(x) for x in zip(*parts, strict=True))
             rows = _new_rows()
             order = np.lexsort((start, f, i, content, anchor))
-            anchor, content, i, f, start, n, gap = (x[order] for x in (anchor, content, i, f, start, n, gap))
+            anchor, content, i, f, start, n, gap, around = (x[order] for x in (anchor, content, i, f, start, n, gap, around))
             again = np.append(False, (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1]))
             _by_document(rows, REPEATS, i[again], f[again], start[again].astype(np.int32), n[again].astype(np.int32))
-            anchor, content, i, f, start, n, gap = (x[~again] for x in (anchor, content, i, f, start, n, gap))
+            anchor, content, i, f, start, n, gap, around = (x[~again] for x in (anchor, content, i, f, start, n, gap, around))
             bucket = (anchor >> np.uint64(32)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            narrow = (anchor, content, i, f, start.astype(np.int32), (n.astype(np.uint16) << np.uint16(8)) | gap.astype(np.uint16))
+            narrow = (anchor, content, i, f, start.astype(np.int32), (n.astype(np.uint16) << np.uint16(8)) | gap.astype(np.uint16), around)
             for k in range(buckets):
                 if cut[k] < cut[k + 1]:
                     own = order[cut[k] : cut[k + 1]]
@@ -205,18 +215,38 @@ def _joined(parts: list[bytes], kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(parts), kind)
 
 
+def _shared(anchor: np.ndarray, n: np.ndarray, gap: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last window of each segment that can have an equal one under its anchor (last under first: none).
+
+    A segment's windows start ``gap`` down to ``gap - n + 1`` bytes before the anchor.
+    """
+    first, last = np.full(len(anchor), 1 << 20, np.int64), np.full(len(anchor), -1, np.int64)
+    for k, (least, most) in enumerate(CLASSES):
+        # The segment's windows of the class, counted from its start.
+        lo, hi = np.maximum(gap - most, 0), np.minimum(gap - least, n - 1)
+        own = np.flatnonzero(hi >= lo)
+        part = (around[own] >> np.uint64(16 * k)) & np.uint64(0xFFFF)
+        own = own[np.lexsort((part, anchor[own]))]
+        part = (around[own] >> np.uint64(16 * k)) & np.uint64(0xFFFF)
+        same = (anchor[own][1:] == anchor[own][:-1]) & (part[1:] == part[:-1])
+        own = own[np.append(same, False) | np.append(False, same)] if len(own) else own
+        first[own], last[own] = np.minimum(first[own], lo[own]), np.maximum(last[own], hi[own])
+    return first, last
+
+
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[list[bytes]] = [[] for _ in range(6)]
+    held: list[list[bytes]] = [[] for _ in range(7)]
     for b in batches:
         kinds = b.column(3).to_numpy()
         mine = pa.array(kinds == SEGMENTS)
-        for k in range(6):
+        for k in range(7):
             held[k] += b.column(4 + k).filter(mine).to_pylist()
         if (kinds != SEGMENTS).any():
             yield b.filter(pa.array(kinds != SEGMENTS))
     if not held[0]:
         return
-    anchor, content, i, f, start, wide = (_joined(held[k], t) for k, t in enumerate((np.uint64, np.uint64, np.int64, np.int64, np.int32, np.uint16)))
+    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.uint16, np.uint64)
+    anchor, content, i, f, start, wide, around = (_joined(held[k], t) for k, t in enumerate(kinds))
     held.clear()
     # Anchors that occur once need no more.
     order = np.argsort(anchor, kind="stable")
@@ -224,18 +254,20 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     same = a[1:] == a[:-1]
     order = order[np.append(False, same) | np.append(same, False)]
     order = order[np.lexsort((start[order], f[order], i[order], content[order], anchor[order]))]
-    anchor, content, i, f, start, wide = (x[order] for x in (anchor, content, i, f, start, wide))
+    anchor, content, i, f, start, wide, around = (x[order] for x in (anchor, content, i, f, start, wide, around))
     n, gap = (wide >> np.uint16(8)).astype(np.int32), (wide & np.uint16(255)).astype(np.int32)
     again = np.append(False, (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])) if len(anchor) else np.empty(0, bool)
     rows = _new_rows()
     _by_document(rows, REPEATS, i[again], f[again], start[again], n[again])
-    anchor, i, f, start, n, gap = (x[~again] for x in (anchor, i, f, start, n, gap))
+    anchor, i, f, start, n, gap, around = (x[~again] for x in (anchor, i, f, start, n, gap, around))
     if len(anchor):
-        cut = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        first, last = _shared(anchor, n, gap, around)
+        ask = np.flatnonzero(last >= first)
+        start, n, gap = start[ask] + first[ask], (last - first + 1)[ask], gap[ask] - first[ask]
+        anchor, i, f = anchor[ask], i[ask], f[ask]
+        cut = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else np.empty(0, np.int64)
         size = np.diff(np.append(cut, len(anchor)))
-        of = np.repeat(size, size)
-        ask = of > 1
-        _by_document(rows, ASKED, i[ask], f[ask], start[ask], n[ask], gap[ask], anchor[ask], (of[ask] > HOT).astype(np.int8))
+        _by_document(rows, ASKED, i, f, start.astype(np.int32), n.astype(np.int32), gap.astype(np.int32), anchor, (np.repeat(size, size) > HOT).astype(np.int8))
     yield _batch(rows)
 
 

@@ -116,7 +116,7 @@ def test_suffix_dedup_parts_of_long_texts(monkeypatch):
     suffix_dedup._tables.cache_clear()
     windows = {}
     for raw, ends, _, off in suffix_dedup._blocks([whole.tobytes()]):
-        anchor, _, lo, n, at = suffix_dedup.segments(raw, ends)
+        anchor, _, _, lo, n, at = suffix_dedup.segments(raw, ends)
         for a, s, k, p in zip(anchor, lo + off[0], n, at + off[0], strict=True):
             windows |= {int(w): (int(a), int(p)) for w in range(s, s + k)}
     suffix_dedup._tables.cache_clear()
@@ -408,3 +408,23 @@ def test_forced_boundaries_are_certain():
     assert b"".join(frags) == b" hello" + "日本".encode() + b"x" and counts.sum() == len(frags)
     for f in frags:
         assert all(t.together[a, b] for a, b in zip(f, f[1:], strict=False))
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_suffix_dedup_of_edited_copies(spark, monkeypatch, hot):
+    import random
+
+    rnd = random.Random(11)
+    words = "the of and to in is it on or as at be by an re th he ing er".split()
+    base = [rnd.choices(words, k=300) for _ in range(4)]
+    docs = []
+    for k in range(120):
+        t = list(rnd.choice(base))
+        for _ in range(rnd.randint(0, 6)):
+            t[rnd.randrange(len(t))] = rnd.choice(words) + rnd.choice(["", "x", "q"])
+        at = rnd.randint(0, 150)
+        docs.append((k, " ".join(t[at : at + rnd.randint(20, 150)]) + "a" * rnd.choice([0, 0, 150]) + "ab" * rnd.choice([0, 0, 120])))
+    want = cut_plainly([(k, t.encode()) for k, t in docs])
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    got = {r["doc_id"]: r["kept_sha256"] for r in suffix_dedup.digests(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), ["doc_id"]).collect()}
+    assert got == {k: hashlib.sha256(np.frombuffer(t.encode(), np.uint8)[~want[k]].tobytes()).hexdigest() for k, t in docs}

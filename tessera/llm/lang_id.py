@@ -200,8 +200,12 @@ def _expected(found: list[list[np.ndarray]], p: np.ndarray, times: np.ndarray) -
 def train(docs: DataFrame, vocabulary: str, docs_a_language: int = DOCS_A_LANGUAGE, words_at_most: int = WORDS_AT_MOST) -> Model:
     """Fit on the rows of ``docs(doc_id, text, lang)`` that have a language."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw"))
-    parts = known.groupBy("lang").agg((F.lit(float(docs_a_language)) / F.count("*") * (1 << 30)).alias("most"))
-    drawn = known.join(parts, "lang").where("draw < most")
+    # One row a language, as the model has a column for each; a join would shuffle every text.
+    sizes = known.groupBy("lang").count().collect()
+    if not sizes:
+        return fit([], read_pieces(vocabulary))
+    most = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], docs_a_language / r["count"] * (1 << 30))))
+    drawn = known.where(F.col("draw") < F.element_at(most, F.col("lang")))
     words = drawn.select("lang", F.explode(F.split("text", r"(?U)\s+")).alias("word")).groupBy("lang", "word").count()
     counts = words.orderBy(F.desc("count"), "lang", "word").limit(words_at_most).collect()
     return fit([(r["lang"], r["word"], r["count"]) for r in counts], read_pieces(vocabulary))

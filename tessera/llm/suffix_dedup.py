@@ -178,6 +178,14 @@ def _by_document(rows: dict[str, list], kind: int, ids: np.ndarray, forms: np.nd
         _row(rows, int(_mix(np.uint64([int(ids[s]) & (1 << 64) - 1]))[0] & np.uint64(0x7FFFFFFF)), int(ids[s]), int(forms[s]), kind, *(a[s:e] for a in arrays))
 
 
+def _others(*keys: np.ndarray) -> np.ndarray:
+    """Sorted by the keys: which rows differ from the one before. Rows alike in id and text are one document, whose segments count once."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return new
+
+
 def _scan(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,6 +202,7 @@ def _scan(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             anchor, content, i, f, start, n, gap, around = (np.concatenate(x) for x in zip(*parts, strict=True))
             rows = _new_rows()
             order = np.lexsort((start, f, i, content, anchor))
+            order = order[_others(*(x[order] for x in (anchor, content, i, f, start)))]
             anchor, content, i, f, start, n, gap, around = (x[order] for x in (anchor, content, i, f, start, n, gap, around))
             again = np.append(False, (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1]))
             _by_document(rows, REPEATS, i[again], f[again], start[again].astype(np.int32), n[again].astype(np.int32))
@@ -254,6 +263,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     same = a[1:] == a[:-1]
     order = order[np.append(False, same) | np.append(same, False)]
     order = order[np.lexsort((start[order], f[order], i[order], content[order], anchor[order]))]
+    order = order[_others(*(x[order] for x in (anchor, content, i, f, start)))]
     anchor, content, i, f, start, wide, around = (x[order] for x in (anchor, content, i, f, start, wide, around))
     n, gap = (wide >> np.uint16(8)).astype(np.int32), (wide & np.uint16(255)).astype(np.int32)
     again = np.append(False, (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])) if len(anchor) else np.empty(0, bool)
@@ -275,9 +285,14 @@ def _bytes_of(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     """Rows (id, form, text, asked: list of rows of arrays) to the bytes that the shards sort."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
             for id_, form, text, asked in zip(*(b.column(k) for k in range(4)), strict=True):
+                # Rows alike mostly come one after the other out of the join; ``_sort`` drops those that don't.
+                if (id_, form) == last:
+                    continue
+                last = (id_, form)
                 raw = text.as_py().encode()
                 for x in asked.as_py():
                     start, n, gap = (np.frombuffer(x[c], np.int32).tolist() for c in "abc")
@@ -367,6 +382,9 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, f, start, n, size = (_joined(held[k], t) for k, t in enumerate((np.int64, np.int64, np.int32, np.int32, np.int32)))
         whole, ends = b"".join(held[5]), np.cumsum(size, dtype=np.int64)
         texts = [whole[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        order = np.lexsort((start, f, i))
+        order = order[_others(i[order], f[order], start[order])]
+        i, f, start, n, texts = i[order], f[order], start[order], n[order], [texts[o] for o in order.tolist()]
         again = repeats_in_shard(i, f, start, n, texts)
         of = np.repeat(np.arange(len(n)), n)
         window = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + start[of]

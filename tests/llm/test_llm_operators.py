@@ -99,6 +99,23 @@ def test_suffix_dedup(spark, awkward, nothing):
     assert cut.columns == [*mine.columns, "suffix_removed"] and cut.where("text IS NULL").count() == awkward.where("text IS NULL").count()
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_suffix_dedup_of_repeated_rows(spark, monkeypatch, parts, hot):
+    """Rows alike are one document: their text stays, in one batch or many; what repeats within it or elsewhere goes from each."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    text = lambda k: " ".join(hashlib.md5(f"{k} {j}".encode()).hexdigest() for j in range(12))
+    own, shared = text("own"), text("shared")
+    docs = [(1, own), (2, text(2) + shared[:230] + text(3)), (None, text(4)), (3, text(5) + shared[:215] + text(6) + shared[:170] + text(7)), (4, own[:180] + text(8))]
+    want = cut_plainly([(k, t.encode()) for k, t in sorted(docs, key=lambda d: (d[0] is not None, d[0]))])
+    left = {k: np.frombuffer(t.encode(), np.uint8)[~want[k]].tobytes() for k, t in docs}
+    assert left[1] == own.encode() and len(left[3]) < len(docs[3][1])
+    given = spark.createDataFrame(docs * 3, "doc_id long, text string").repartition(parts)
+    got = suffix_dedup.digests(given, ["doc_id"]).collect()
+    assert sorted(repr((r["doc_id"], r["kept_sha256"])) for r in got) == sorted(repr((k, hashlib.sha256(v).hexdigest())) for k, v in left.items() for _ in range(3))
+    assert sorted(repr((r["doc_id"], r["text"])) for r in suffix_dedup.cut(given).collect()) == sorted(repr((k, v.decode())) for k, v in left.items() for _ in range(3))
+
+
 def test_suffix_dedup_spreads_hot_anchors(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 2)
     common = "the very common line that stands in a great many documents of this corpus, word for word, again."

@@ -51,7 +51,9 @@ ENDS_P = BLOCK_TAGS - frozenset("button label option caption legend".split())
 
 _TAG = re.compile(r"""<!--|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_MAYBE_HIDDEN = re.compile(r"hidden|display", re.I)
+_NOT_DISPLAYED = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
 
 
@@ -64,10 +66,20 @@ class Block:
 
 
 class _Open:
-    __slots__ = ("tag", "names")
+    __slots__ = ("tag", "names", "unseen")
 
-    def __init__(self, tag: str, names: tuple[str, ...]):
-        self.tag, self.names = tag, names
+    def __init__(self, tag: str, names: tuple[str, ...], unseen: bool):
+        self.tag, self.names, self.unseen = tag, names, unseen
+
+
+def _is_hidden(attributes: str) -> bool:
+    """Whether a tag has the attribute ``hidden`` or a style that displays nothing."""
+    if not _MAYBE_HIDDEN.search(attributes):
+        return False
+    own: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        own.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return "hidden" in own or bool(_NOT_DISPLAYED.search(own.get("style", "")))
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -94,7 +106,7 @@ def blocks(page: str | None) -> list[Block]:
             close()
         for o in stack[k:]:
             links -= o.tag == "a"
-            unseen -= o.tag in UNSEEN_TAGS
+            unseen -= o.unseen
         del stack[k:]
 
     for m in _TAG.finditer(page):
@@ -152,10 +164,9 @@ def blocks(page: str | None) -> list[Block]:
         if attributes.rstrip().endswith("/") and tag not in BLOCK_TAGS and tag not in UNSEEN_TAGS:
             continue
         names = tuple(w for g in _NAMES.findall(attributes) for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(g)).lower())) if "=" in attributes else ()
-        hidden = bool(attributes) and bool(_HIDDEN.search(attributes))
-        stack.append(_Open("template" if hidden else tag, names))
-        links += tag == "a" and not hidden
-        unseen += tag in UNSEEN_TAGS or hidden
+        stack.append(_Open(tag, names, tag in UNSEEN_TAGS or _is_hidden(attributes)))
+        links += tag == "a"
+        unseen += stack[-1].unseen
     if at < end and not unseen:
         parts.append(page[at:])
         linked += end - at if links else 0

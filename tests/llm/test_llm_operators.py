@@ -354,6 +354,24 @@ def test_extraction():
     assert x(page) == "A &amp; B One two three four. Five."
 
 
+def test_hidden_elements_end_with_their_own_tag():
+    x = lambda h: " ".join(b.text for b in html_extract.blocks(h))
+    for tag in ("div", "p", "span", "a", "li"):
+        for attribute in ("hidden", 'HIDDEN=""', "class=x hidden", 'style="display:none"', "style='color:red; Display : none'", 'title="a > b" hidden'):
+            assert x(f"<body><{tag} {attribute}>x <b>y</b></{tag}><article>kept <p>too</article>") == "kept too", (tag, attribute)
+            assert x(f"<{tag}>a<{tag} {attribute}>x</{tag}> b</{tag}> c").split() == ["a", "b", "c"] or tag in ("p", "a", "li")
+    assert x("<article><p hidden>x<p>one<p>two</article>three") == "one two three"
+    assert x("<div hidden>a<div>b</div>c</div>d") == x("<div hidden><span hidden>a</span>b</div>d") == "d"
+    for attribute in ('title="a hidden gem"', 'class="content hidden wide"', "data-hidden=1", 'title="display:none"', "aria-hidden=false", 'alt="x" class=hidden'):
+        assert x(f"<div {attribute}>kept</div>") == "kept", attribute
+    found = html_extract.blocks("<a hidden>x</a><p>plain <a href=y>linked</a></p>")
+    assert [(b.text, b.linked) for b in found] == [("plain linked", 6)]
+    article = "<body><nav><a href=x>Home</a></nav><article><h1>Title</h1>{}<p>One sentence of the text.</p><p>Another one of it.</p></article></body>"
+    model = html_extract.trained()
+    for hidden in ("<div style='display:none'>x</div>", "<p hidden>x</p>", "<span hidden>x</span>"):
+        assert html_extract.extract_text(article.format(hidden), model) == "Title One sentence of the text. Another one of it."
+
+
 def test_viterbi_and_marginals():
     rnd = np.random.default_rng(0)
     crf = html_extract.Crf()

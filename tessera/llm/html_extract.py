@@ -1,7 +1,8 @@
 """Main-text extraction: a linear-chain conditional random field over the leaf blocks of a page.
 
 A page is read once into its leaf blocks: runs of text between block-level tags, each with the tags, classes and
-ids of its ancestors. Scripts, styles, comments and other markup are never text. The field labels each block
+ids of its ancestors. Scripts, styles, templates, the head, comments, hidden elements, what is typed into a textarea
+and the source in an iframe are never text; formulas, drawings' labels and fallback text are. The field labels each block
 main or not from ancestor-tag features, class and id words, and text features (length, links, digits, sentence
 ends); a pair of labels has a weight too, so that the context of a block counts. It is trained by
 stochastic gradient steps on the exact likelihood (forward-backward) over labelled pages and decoded by Viterbi.
@@ -40,8 +41,8 @@ BLOCK_TAGS = frozenset(
     "head header hgroup hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN_TAGS = frozenset("script style template noscript head svg iframe object canvas math textarea".split())
-RAW_TAGS = frozenset("script style textarea title iframe noscript".split())
+UNSEEN_TAGS = frozenset("script style template head iframe textarea".split())
+RAW_TAGS = frozenset("script style textarea title iframe".split())
 #: Opening one of these closes an open one of the others.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Lists and cells of an outer list or table stay open.

@@ -372,6 +372,17 @@ def test_hidden_elements_end_with_their_own_tag():
         assert html_extract.extract_text(article.format(hidden), model) == "Title One sentence of the text. Another one of it."
 
 
+def test_text_of_formulas_drawings_and_fallbacks():
+    x = lambda h: " ".join(b.text for b in html_extract.blocks(h))
+    for tag in ("math", "svg", "object", "canvas", "noscript"):
+        assert x(f"<p>one <{tag}><b>two</b></{tag}> three</p>four") == "one two three four"
+        assert x(f"<{tag}><script>a</script><style>b</style><template>c</template><i hidden>d</i></{tag}>e") == "e"
+        assert x(f"<head><{tag}>a</{tag}></head><body>b") == "b"
+    assert x("<p>a<svg/>b <svg viewBox='0 0 1 1'><path d=x/><text>c</text></svg></p>d") == "ab c d"
+    page = "<body><nav><a href=x>Home</a></nav><article><h1>Title</h1><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p><p>Another one of it.</p></article></body>"
+    assert html_extract.extract_text(page, html_extract.trained()) == "Title Let x=1 hold. Another one of it."
+
+
 def test_viterbi_and_marginals():
     rnd = np.random.default_rng(0)
     crf = html_extract.Crf()

@@ -9,9 +9,9 @@ The vocabulary is a file of ``base64(piece) rank`` lines of which pieces of up t
 single bytes are among them, so every word has a segmentation. Runs of over ``STRETCH`` bytes without
 white space are scored in stretches of that length.
 
-Fitting takes at most about ``DOCS_A_LANGUAGE`` documents of each language, drawn by a hash of the id, and of their
-words the ``WORDS_AT_MOST`` most frequent (language, word) rows: these two bounds hold whatever the corpus's
-size, so the model is small and is sent to the tasks. Scoring reads every whole text.
+Fitting takes at most about ``DOCS_A_LANGUAGE`` documents of each language, drawn by a hash of the id, and all their
+words; the driver holds the words of one language at a time. The model has a column a language whatever the corpus's
+size, and is sent to the tasks. Scoring reads every whole text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows of null language teach nothing;
 with nothing to learn from every text is ``und``; equal scores go to the first language in code point order;
@@ -21,7 +21,7 @@ repeated rows are judged alike; an empty table gives no rows; other columns pass
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches
+from tessera.llm.common import checkpointed, map_batches
 
 MAX_PIECE, STRETCH = 8, 256
-DOCS_A_LANGUAGE, WORDS_AT_MOST, ROUNDS, ADDED = 300, 120_000, 3, 0.05
+DOCS_A_LANGUAGE, ROUNDS, ADDED = 300, 3, 0.05
 #: Distinct words whose scores a worker remembers; then it starts anew.
 REMEMBERED = 500_000
 UNKNOWN = "und"
@@ -156,11 +156,16 @@ class Model:
 def fit(counts: list[tuple[str, str, int]], pieces: list[bytes], rounds: int = ROUNDS) -> Model:
     """From (language, word, count) rows."""
     langs = sorted({c[0] for c in counts})
+    return fit_each(((lang, [c[1:] for c in counts if c[0] == lang]) for lang in langs), pieces, rounds)
+
+
+def fit_each(words: Iterable[tuple[str, list[tuple[str, int]]]], pieces: list[bytes], rounds: int = ROUNDS) -> Model:
+    """From each language, in code point order, and its (word, count) rows."""
     lattice, n_pieces = Lattice(pieces), len(pieces)
-    probs = np.zeros((n_pieces + 1, len(langs)))
-    for k, lang in enumerate(langs):
+    langs, columns = [], []
+    for lang, counts in words:
         by_length: dict[int, dict[bytes, int]] = {}
-        for _, word, n in (c for c in counts if c[0] == lang):
+        for word, n in counts:
             for raw in stretches(word):
                 own = by_length.setdefault(len(raw), {})
                 own[raw] = own.get(raw, 0) + n
@@ -174,8 +179,9 @@ def fit(counts: list[tuple[str, str, int]], pieces: list[bytes], rounds: int = R
                 expected += _expected(lat, p, times)
             p = np.append(expected[:n_pieces] + ADDED, 0.0)[:, None]
             p /= p.sum()
-        probs[:, k] = p[:, 0]
-    return Model(langs, pieces, probs)
+        langs.append(lang)
+        columns.append(p[:, 0])
+    return Model(langs, pieces, np.stack(columns, axis=1) if columns else np.zeros((n_pieces + 1, 0)))
 
 
 def _expected(found: list[list[np.ndarray]], p: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -197,7 +203,7 @@ def _expected(found: list[list[np.ndarray]], p: np.ndarray, times: np.ndarray) -
     return out
 
 
-def train(docs: DataFrame, vocabulary: str, docs_a_language: int = DOCS_A_LANGUAGE, words_at_most: int = WORDS_AT_MOST) -> Model:
+def train(docs: DataFrame, vocabulary: str, docs_a_language: int = DOCS_A_LANGUAGE) -> Model:
     """Fit on the rows of ``docs(doc_id, text, lang)`` that have a language."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw"))
     # One row a language, as the model has a column for each; a join would shuffle every text.
@@ -206,9 +212,10 @@ def train(docs: DataFrame, vocabulary: str, docs_a_language: int = DOCS_A_LANGUA
         return fit([], read_pieces(vocabulary))
     most = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], docs_a_language / r["count"] * (1 << 30))))
     drawn = known.where(F.col("draw") < F.element_at(most, F.col("lang")))
-    words = drawn.select("lang", F.explode(F.split("text", r"(?U)\s+")).alias("word")).groupBy("lang", "word").count()
-    counts = words.orderBy(F.desc("count"), "lang", "word").limit(words_at_most).collect()
-    return fit([(r["lang"], r["word"], r["count"]) for r in counts], read_pieces(vocabulary))
+    words = checkpointed(drawn.select("lang", F.explode(F.split("text", r"(?U)\s+")).alias("word")).groupBy("lang", "word").count())
+    langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+    own = lambda lang: sorted((r["word"], r["count"]) for r in words.where(F.col("lang") == lang).select("word", "count").collect())
+    return fit_each(((lang, own(lang)) for lang in langs), read_pieces(vocabulary))
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:

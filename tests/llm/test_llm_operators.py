@@ -170,6 +170,16 @@ def test_language(spark, awkward, nothing):
     assert {r["lang_pred"] for r in lang_id.identify(awkward, blank, ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_learns_all_words_of_the_drawn_documents(spark):
+    """A language of words that occur once keeps its model beside one with many more rows than the former limit."""
+    many = " ".join(f"{a}{b}{c}{d}" for a in "bcdfghjklmnpqrstvwxz" for b in "aeiouy" for c in "bcdfghjklmnpqrstvwxz" for d in map(chr, range(0x3B1, 0x3B1 + 60)))
+    known = [(k, many, "aa") for k in range(2)] + [(2, "ženščina čitala knigu včera večerom doma", "zz")]
+    model = lang_id.train(spark.createDataFrame(known, "doc_id long, text string, lang string"), PIECES)
+    assert model.langs == ["aa", "zz"]
+    asked = spark.createDataFrame([("knigu ženščina čitala",)], "text string")
+    assert lang_id.identify(asked, model, ["text"]).first()["lang_pred"] == "zz"
+
+
 def test_forward_sums_all_segmentations():
     pieces = sorted([b" ", b" a", b"a", b"ab", b"b", b" ab"] + [bytes([b]) for b in range(256) if b not in b" ab"])
     model = lang_id.fit([("x", "ab", 3), ("x", "ba", 1)], pieces)

@@ -5,8 +5,9 @@ over all ways to cut it into vocabulary pieces of the product of their probabili
 pass computes; a text's score is the sum over its words of the logarithms. The piece probabilities are
 fitted by expectation maximisation (forward-backward) from the word counts of each language.
 
-The vocabulary is a file of ``base64(piece) rank`` lines of which pieces of up to ``MAX_PIECE`` bytes are used; all
-single bytes are among them, so every word has a segmentation. Runs of over ``STRETCH`` bytes without
+The vocabulary is a file of ``base64(piece) rank`` lines, all of which are used; all single bytes are among them, so
+every word has a segmentation. Pieces of up to ``SHORT`` bytes are looked up as whole numbers for all words at once,
+longer ones only in words that hold the first ``SHORT`` bytes of one, byte by byte down a tree. Runs of over ``STRETCH`` bytes without
 white space are scored in stretches of that length.
 
 Fitting takes at most about ``DOCS_A_LANGUAGE`` documents of each language, drawn by a hash of the id, and all their
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpointed, map_batches
 
-MAX_PIECE, STRETCH = 8, 256
+SHORT, STRETCH = 8, 256
 DOCS_A_LANGUAGE, ROUNDS, ADDED = 300, 3, 0.05
 #: Distinct words whose scores a worker remembers; then it starts anew.
 REMEMBERED = 500_000
@@ -39,10 +40,22 @@ UNKNOWN = "und"
 
 
 def read_pieces(path: str) -> list[bytes]:
-    """The pieces of a vocabulary file that are short enough."""
+    """The pieces of a vocabulary file, and all single bytes."""
     with open(path, "rb") as f:
         found = (base64.b64decode(line.split()[0]) for line in f if line.strip())
-        return sorted({p for p in found if 0 < len(p) <= MAX_PIECE} | {bytes([b]) for b in range(256)})
+        return sorted({p for p in found if p} | {bytes([b]) for b in range(256)})
+
+
+@dataclass
+class Found:
+    """The pieces in many words of one length.
+
+    ``short[start][length - 1]``: piece numbers for all words, one past the last piece where there is none.
+    ``longer``: (start, end, words, piece numbers) of the pieces of over ``SHORT`` bytes.
+    """
+
+    short: list[list[np.ndarray]]
+    longer: list[tuple[int, int, np.ndarray, np.ndarray]]
 
 
 class Lattice:
@@ -51,17 +64,33 @@ class Lattice:
     def __init__(self, pieces: list[bytes]):
         self.size = len(pieces)
         self.keys, self.ids = [], []
-        for n in range(1, MAX_PIECE + 1):
+        for n in range(1, SHORT + 1):
             own = sorted((int.from_bytes(p), i) for i, p in enumerate(pieces) if len(p) == n)
             self.keys.append(np.array([k for k, _ in own], np.uint64))
             self.ids.append(np.array([i for _, i in own], np.int32))
-
-    def find(self, words: np.ndarray) -> list[list[np.ndarray]]:
-        """``[start][length - 1]``: piece numbers for ``words`` (rows of bytes), ``size`` where there is none."""
-        out: list[list[np.ndarray]] = []
-        for i in range(words.shape[1]):
+        # The longer pieces: a tree of bytes under each first SHORT bytes, its edges as (node * 256 + byte, node).
+        heads = sorted({p[:SHORT] for p in pieces if len(p) > SHORT})
+        node = {h: k for k, h in enumerate(heads)}
+        edges: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        for i, p in enumerate(pieces):
+            if len(p) > SHORT:
+                at = node[p[:SHORT]]
+                for b in p[SHORT:]:
+                    at = edges.setdefault(at * 256 + b, len(heads) + len(edges))
+                ends[at] = i
+        self.heads = np.array([int.from_bytes(h) for h in heads], np.uint64)
+        self.edges = np.array(sorted(edges), np.int64)
+        self.to = np.array([edges[k] for k in sorted(edges)], np.int64)
+        self.piece = np.array([ends.get(k, -1) for k in range(len(heads) + len(edges))], np.int32)
+
+    def find(self, words: np.ndarray) -> Found:
+        """The pieces in ``words`` (rows of bytes)."""
+        out, longer = [], []
+        width = words.shape[1]
+        for i in range(width):
             key, at = np.zeros(len(words), np.uint64), []
-            for n in range(min(MAX_PIECE, words.shape[1] - i)):
+            for n in range(min(SHORT, width - i)):
                 key = (key << np.uint64(8)) | words[:, i + n].astype(np.uint64)
                 keys = self.keys[n]
                 if not len(keys):
@@ -70,22 +99,42 @@ class Lattice:
                 k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 at.append(np.where(keys[k] == key, self.ids[n][k], np.int32(self.size)))
             out.append(at)
-        return out
-
-
-def _forward(found: list[list[np.ndarray]], probs: np.ndarray, n_words: int) -> tuple[list[np.ndarray], np.ndarray]:
+            if width - i > SHORT and len(self.heads):
+                node = np.minimum(np.searchsorted(self.heads, key), len(self.heads) - 1)
+                own = np.flatnonzero(self.heads[node] == key)
+                node = node[own]
+                for end in range(i + SHORT, width):
+                    if not len(own):
+                        break
+                    step = node * 256 + words[own, end]
+                    k = np.minimum(np.searchsorted(self.edges, step), len(self.edges) - 1)
+                    on = self.edges[k] == step
+                    own, node = own[on], self.to[k[on]]
+                    whole = self.piece[node] >= 0
+                    if whole.any():
+                        longer.append((i, end + 1, own[whole], self.piece[node[whole]]))
+        return Found(out, longer)
+
+
+def _forward(found: Found, probs: np.ndarray, n_words: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Forward sums by position (scaled) and the logarithm of each word's scale. ``probs``: pieces + 1 rows, a column a language."""
-    length, scale = len(found), np.zeros((n_words, probs.shape[1]))
+    length, scale = len(found.short), np.zeros((n_words, probs.shape[1]))
     alpha = [np.ones((n_words, probs.shape[1]))]
+    ending: dict[int, list] = {}
+    for start, end, own, ids in found.longer:
+        ending.setdefault(end, []).append((start, own, ids))
+    reach = max([SHORT, *(end - start for start, end, _, _ in found.longer)])
     for j in range(1, length + 1):
         total = np.zeros_like(alpha[0])
-        for n in range(1, min(MAX_PIECE, j) + 1):
-            total += alpha[j - n] * probs[found[j - n][n - 1]]
+        for n in range(1, min(SHORT, j) + 1):
+            total += alpha[j - n] * probs[found.short[j - n][n - 1]]
+        for start, own, ids in ending.get(j, ()):
+            total[own] += alpha[start][own] * probs[ids]
         alpha.append(total)
         if j % 16 == 0:
             top = total.copy()
             scale += np.log(top)
-            for back in range(max(0, j - MAX_PIECE), j + 1):
+            for back in range(max(0, j - reach), j + 1):
                 alpha[back] = alpha[back] / top
     return alpha, scale
 
@@ -184,22 +233,33 @@ def fit_each(words: Iterable[tuple[str, list[tuple[str, int]]]], pieces: list[by
     return Model(langs, pieces, np.stack(columns, axis=1) if columns else np.zeros((n_pieces + 1, 0)))
 
 
-def _expected(found: list[list[np.ndarray]], p: np.ndarray, times: np.ndarray) -> np.ndarray:
+def _expected(found: Found, p: np.ndarray, times: np.ndarray) -> np.ndarray:
     """How often each piece is expected in words of one length, by forward and backward sums."""
-    length, n = len(found), len(times)
+    short, length, n = found.short, len(found.short), len(times)
     alpha, beta = [np.ones(n)], [np.ones(n) for _ in range(length + 1)]
     p = p[:, 0]
+    ending: dict[int, list] = {}
+    starting: dict[int, list] = {}
+    for start, end, own, ids in found.longer:
+        ending.setdefault(end, []).append((start, own, ids))
+        starting.setdefault(start, []).append((end, own, ids))
     for j in range(1, length + 1):
-        total = sum(alpha[j - k] * p[found[j - k][k - 1]] for k in range(1, min(MAX_PIECE, j) + 1))
+        total = sum(alpha[j - k] * p[short[j - k][k - 1]] for k in range(1, min(SHORT, j) + 1))
+        for start, own, ids in ending.get(j, ()):
+            total[own] += alpha[start][own] * p[ids]
         alpha.append(total)
     for i in range(length - 1, -1, -1):
-        beta[i] = sum(beta[i + k] * p[found[i][k - 1]] for k in range(1, min(MAX_PIECE, length - i) + 1))
+        beta[i] = sum(beta[i + k] * p[short[i][k - 1]] for k in range(1, min(SHORT, length - i) + 1))
+        for end, own, ids in starting.get(i, ()):
+            beta[i][own] += beta[end][own] * p[ids]
     out = np.zeros(len(p))
     whole = np.where(alpha[length] > 0, alpha[length], np.inf)
     for i in range(length):
-        for k in range(1, min(MAX_PIECE, length - i) + 1):
-            share = alpha[i] * p[found[i][k - 1]] * beta[i + k] / whole * times
-            out += np.bincount(found[i][k - 1], share, len(p))
+        for k in range(1, min(SHORT, length - i) + 1):
+            share = alpha[i] * p[short[i][k - 1]] * beta[i + k] / whole * times
+            out += np.bincount(short[i][k - 1], share, len(p))
+    for start, end, own, ids in found.longer:
+        np.add.at(out, ids, alpha[start][own] * p[ids] * beta[end][own] / whole[own] * times[own])
     return out
 
 

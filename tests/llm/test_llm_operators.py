@@ -192,6 +192,35 @@ def test_forward_sums_all_segmentations():
         assert math.isclose(model.score_words([w])[0, 0], math.log(total(b" " + w.encode())), rel_tol=1e-9)
 
 
+def test_pieces_of_all_lengths():
+    from base64 import b64decode
+
+    with open(PIECES, "rb") as f:
+        every = {b64decode(line.split()[0]) for line in f if line.strip()}
+    pieces = lang_id.read_pieces(PIECES)
+    assert every <= set(pieces) and max(map(len, pieces)) > 16
+    longest = " abcdefghijklmnopqrstuvwxyzabcdefghijkl"
+    own = sorted({longest.encode()[a:z] for a, z in ((0, 9), (0, 10), (0, 39), (3, 12), (3, 20), (12, 31), (20, 39), (2, 38))} | {b" abcdefg", b"xyzabcdefz"} | {bytes([b]) for b in range(256)})
+    words = [longest[1:], longest[1:12], longest[1:20] + "q", longest[3:39], "zzz" + longest[1:39], longest[1:39] * 3]
+    model = lang_id.fit([("x", w, k + 1) for k, w in enumerate(words)] + [("y", "other", 2)], own)
+    for col in (0, 1):
+        p = dict(zip(own, model.probs[:, col], strict=False))
+
+        def total(raw, p=p):
+            sums = [1.0]
+            for j in range(1, len(raw) + 1):
+                sums.append(sum(sums[i] * p[raw[i:j]] for i in range(max(0, j - 40), j) if raw[i:j] in p))
+            return sums[-1]
+
+        assert np.allclose(model.score_words(words)[:, col], [math.log(total(b" " + w.encode())) for w in words], rtol=1e-9)
+    # What is expected of the pieces covers every byte of the words.
+    lattice, raw = lang_id.Lattice(own), [b" " + w.encode() for w in words]
+    for w in raw:
+        expected = lang_id._expected(lattice.find(np.frombuffer(w, np.uint8).reshape(1, -1)), model.probs[:, :1], np.ones(1))
+        assert math.isclose(sum(e * len(x) for e, x in zip(expected, own, strict=False)), len(w), rel_tol=1e-9)
+        assert expected[[k for k, x in enumerate(own) if len(x) > 8]].sum() > 0
+
+
 def test_held_out_accuracy(spark):
     got = queries.op3_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97

@@ -21,7 +21,7 @@ sorted suffixes or by compared bytes; hashes only say where to look.
 5. *Cut.* Each text gets its repeats back and is cut, and each document gets its text's result.
 
 The texts are shuffled once, by a hash; steps 2, 4 and 5 read the same shuffle. Partitions are as many as the
-input's bytes ask for, shards too (``SHARD_BYTES`` each). A shard's text, its table of segments and its sorting are on disk
+input's bytes ask for, shards too (``SHARD_BYTES`` of text each, less in small inputs). A shard's text, its table of segments and its sorting are on disk
 beyond ``suffix_sort.MEMORY`` entries each, in unlinked files of the folder that Spark gives its workers for spilling, which no other task reads.
 
 Defined cases: a null text is empty; a text shorter than ``LENGTH`` loses nothing; a null id is the smallest;
@@ -47,7 +47,9 @@ from tessera.llm.common import map_batches
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1
 BLOCK = 1 << 20
-PARTITION_BYTES, SHARD_BYTES = 64 << 20, 1 << 30
+PARTITION_BYTES = 64 << 20
+#: A shard has the segments of so much text; more, up to SHARD_BYTES, once there are SHARDS_A_CORE of them.
+LEAST_BYTES, SHARD_BYTES, SHARDS_A_CORE = 16 << 20, 1 << 30, 8
 #: Buckets of a partition and of a shard, which spread evenly and keep like segments together.
 BUCKETS = 16
 #: Bytes of segments that a shard remembers while it looks for copies.
@@ -496,9 +498,12 @@ def _found(docs: DataFrame, text: str) -> DataFrame:
     All joins are by ``suffix_form`` alone, by which the texts were dealt, so that Spark shuffles them once; the id is compared besides.
     """
     long_ = docs.select(*keyed(docs, text), _whole(text).alias("suffix_text")).where(F.octet_length("suffix_text") >= LENGTH)
-    size, cores = int(docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0), 2 * docs.sparkSession.sparkContext.defaultParallelism
-    parts, shards = max(cores, -(-size // PARTITION_BYTES)), max(cores, -(-size // SHARD_BYTES))
+    size, cores = int(docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0), docs.sparkSession.sparkContext.defaultParallelism
+    parts = max(2 * cores, -(-size // PARTITION_BYTES))
+    shards = max(cores, min(SHARDS_A_CORE * cores, -(-size // LEAST_BYTES)), -(-size // SHARD_BYTES))
     one = map_batches(long_, _collapse, "suffix_id bigint, suffix_form bigint, suffix_text string")
+    # Keys that can't be null spare the inner join a filter that would make its shuffle differ from the others'.
+    one = one.select(*(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("suffix_id", "suffix_form")), "suffix_text")
     texts = one.repartition(parts, "suffix_form").groupBy("suffix_form", "suffix_text").agg(F.min("suffix_id").alias("suffix_id"))
     texts = texts.select("suffix_id", "suffix_form", "suffix_text")
     dealt = map_batches(texts, _scan(parts * BUCKETS), DEALT).repartition(parts, "bucket").sortWithinPartitions("bucket")

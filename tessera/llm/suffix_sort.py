@@ -219,11 +219,11 @@ def _run_of(text: np.ndarray, at: int, cap: int) -> int:
     return int(other[0]) if len(other) else len(part)
 
 
-def _bins(total: np.ndarray, memory: int) -> np.ndarray:
+def _bins(queued: np.ndarray, given: np.ndarray, memory: int) -> np.ndarray:
     """The first letter of each bin: bins have at most ``memory`` tuples, or one letter."""
-    firsts, held = [0], 0
-    for at in range(0, len(total), RUN):
-        upto = np.cumsum(total[at : at + RUN], dtype=np.int64)
+    firsts, held, letters = [0], 0, len(queued)
+    for at in range(0, letters, RUN):
+        upto = np.cumsum(queued[at : at + RUN], dtype=np.int64) + np.cumsum(given[at : at + RUN], dtype=np.int64)
         base, k = 0, 0
         while k < len(upto):
             room = memory - held + base
@@ -235,7 +235,7 @@ def _bins(total: np.ndarray, memory: int) -> np.ndarray:
                 firsts.append(at + stop)
             else:
                 stop += 1  # more than memory by itself
-                if at + stop < len(total):
+                if at + stop < letters:
                     firsts.append(at + stop)
             base, held, k = int(upto[stop - 1]) if stop else 0, 0, stop
     return np.array(firsts)
@@ -248,9 +248,9 @@ def _scan(text: np.ndarray, top: int | None, queued: np.ndarray, given: np.ndarr
     are mirrored: ``top`` less the letter.
     """
     letters = len(queued)
-    firsts = _bins(queued[:] + given[:] if letters <= RUN else _sum(queued, given, memory), memory)
+    firsts = _bins(queued, given, memory)
     wide = np.int32 if len(text) < 1 << 31 else np.int64
-    queues = Queues(memory, np.int32, wide, np.int32)
+    queues = Queues(memory, np.int32, wide, _narrow(cap))
     least = _Least(letters, cap) if cap else None
     n_given = 0
 
@@ -282,7 +282,7 @@ def _scan(text: np.ndarray, top: int | None, queued: np.ndarray, given: np.ndarr
         if hi == lo + 1 and size > memory:
             last = None
             for _, at, lcp in queues.pop(b):
-                lcp = lcp.copy()
+                lcp = lcp.astype(np.int32)
                 if last is None:
                     lcp[0] = 0
                 last = int(at[-1])
@@ -290,7 +290,7 @@ def _scan(text: np.ndarray, top: int | None, queued: np.ndarray, given: np.ndarr
                 enqueue(*preds(at, lcp, lo, 0))
             for k in range(0, bin_given, RUN):
                 at, lcp = read(n_given + k, n_given + min(k + RUN, bin_given))
-                lcp = lcp.copy()
+                lcp = lcp.astype(np.int32)
                 if not k:
                     lcp[0] = min(_run_of(text, last, cap), _run_of(text, int(at[0]), cap)) if cap and last is not None else 0
                 yield at, lcp, np.ones(len(at), bool)
@@ -347,11 +347,9 @@ def _scan(text: np.ndarray, top: int | None, queued: np.ndarray, given: np.ndarr
     queues.close()
 
 
-def _sum(a: np.ndarray, b: np.ndarray, memory: int) -> np.ndarray:
-    out = scratch(len(a), np.int64, memory)
-    for k in range(0, len(a), RUN):
-        out[k : k + RUN] = a[k : k + RUN].astype(np.int64) + b[k : k + RUN]
-    return out
+def _narrow(cap: int) -> type:
+    """The type in which common prefixes are kept."""
+    return np.uint8 if cap < 1 << 8 else np.int32
 
 
 class _Text:
@@ -407,7 +405,7 @@ class _Text:
     def induce(self, seeds: np.ndarray, seed_lcp: np.ndarray | None, cap: int) -> Iterator[Run]:
         """Runs of (suffix, common prefix with the one before) from the greatest suffix down, from seeds in order."""
         m = int(sum(int(self.large[k : k + RUN].sum(dtype=np.int64)) for k in range(0, len(self.large), RUN)))
-        ats, lcps = scratch(m, self.wide, self.memory), scratch(m if cap else 0, np.int32, self.memory)
+        ats, lcps = scratch(m, self.wide, self.memory), scratch(m if cap else 0, _narrow(cap), self.memory)
         k = 0
         none = np.zeros(0, np.int32)
 
@@ -426,7 +424,7 @@ class _Text:
                 return ats[m - z : m - a][::-1], np.zeros(z - a, np.int32)
             # The common prefix with the next suffix up, which comes before in this direction.
             lcp = lcps[m - z + 1 : m - a + 1][::-1]
-            return ats[m - z : m - a][::-1], np.append(np.int32(0), lcp) if a == 0 else lcp
+            return ats[m - z : m - a][::-1], np.append(lcp.dtype.type(0), lcp) if a == 0 else lcp
 
         for at, lcp, _ in _scan(self.text, self.top, self.small[::-1], self.large[::-1], down, cap, self.memory):
             yield at, lcp
@@ -439,17 +437,18 @@ class _Text:
             return seeds
         # Seeds by their letters: a place for each.
         rough = scratch(m, self.wide, memory)
-        heads = scratch(len(self.seeded), np.int64, memory)
+        heads = scratch(len(self.seeded), self.wide, memory)
         upto = 0
         for k in range(0, len(heads), RUN):
             part = np.cumsum(self.seeded[k : k + RUN], dtype=np.int64)
             heads[k : k + RUN] = upto + part - self.seeded[k : k + RUN]
             upto += int(part[-1])
-        # The number of each seed, one more than it, at its place in the text.
-        number = scratch(n, self.wide, memory)
+        # The number of a seed: those before its block of 256 letters (which has 128 at most), and those in it up to the seed.
+        blocks = self._blocks()
+        inside = scratch(n, np.uint8, memory)
         for k in range(0, m, RUN):
             part = seeds[k : k + RUN]
-            number[part] = np.arange(k + 1, k + len(part) + 1)
+            inside[part] = np.arange(k + 1, k + len(part) + 1) - blocks[part >> 8]
             letter = text[part].astype(np.int64)
             order = np.argsort(letter, kind="stable")
             letter = letter[order]
@@ -460,8 +459,9 @@ class _Text:
         names = scratch(m, self.wide, memory)
         last, k = None, -1
         for at, _ in self.induce(rough, None, 0):
-            which = number[at]
-            which = which[which > 0].astype(np.int64) - 1
+            which = inside[at]
+            own = which.nonzero()[0]
+            which = blocks[at[own] >> 8] + which[own].astype(np.int64) - 1
             if not len(which):
                 continue
             both = which if last is None else np.append(last, which)
@@ -469,7 +469,7 @@ class _Text:
             rank = np.cumsum(differs) + k if last is not None else k + 1 + np.append(0, np.cumsum(differs))
             names[which] = rank
             last, k = which[-1], int(rank[-1])
-        del number, rough
+        del inside, blocks, rough
         # Names fall with the order so far.
         for at in range(0, m, RUN):
             names[at : at + RUN] = k - names[at : at + RUN]
@@ -486,6 +486,14 @@ class _Text:
             z -= len(at)
         return order
 
+    def _blocks(self) -> np.ndarray:
+        """For each block of 256 letters, how many seeds are before it."""
+        n = -(-len(self.text) // 256)
+        out = scratch(n, self.wide, self.memory)
+        for k in range(0, n, RUN):
+            out[k : k + RUN] = np.searchsorted(self.seeds, np.arange(k, min(k + RUN, n)) << 8)
+        return out
+
     def _piece_differs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the pieces of two seeds, each up to the next seed and with its letter, differ."""
         m, n, seeds, text = len(self.seeds), len(self.text), self.seeds, self.text
@@ -522,7 +530,7 @@ def sorted_down(text: np.ndarray, cap: int, memory: int = MEMORY) -> Iterator[Ru
         return
     t = _Text(text, memory)
     seeds = t.sorted_seeds()
-    lcp = scratch(len(seeds), np.int32, memory)
+    lcp = scratch(len(seeds), _narrow(cap), memory)
     for k in range(1, len(seeds), RUN):
         z = min(k + RUN, len(seeds))
         lcp[k:z] = common_prefixes(text, seeds[k - 1 : z - 1].astype(np.int64), seeds[k:z].astype(np.int64), cap)

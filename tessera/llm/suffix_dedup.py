@@ -183,7 +183,8 @@ def _by_document(rows: dict[str, list], kind: int, ids: np.ndarray, forms: np.nd
     ids, forms, arrays = ids[order], forms[order], [a[order] for a in arrays]
     cut = np.flatnonzero((ids[1:] != ids[:-1]) | (forms[1:] != forms[:-1])) + 1
     for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(ids)], strict=True):
-        _row(rows, 0, int(ids[s]), int(forms[s]), kind, *(a[s:e] for a in arrays))
+        # The form is a hash; its low bits spread the rows.
+        _row(rows, int(forms[s]) & 0x7FFFFFFF, int(ids[s]), int(forms[s]), kind, *(a[s:e] for a in arrays))
 
 
 def _by_bucket(rows: dict[str, list], kind: int, bucket: np.ndarray, *arrays: np.ndarray) -> None:

@@ -155,6 +155,66 @@ def test_suffix_sort(seed, monkeypatch):
         assert order == want and lcp == common
 
 
+def test_suffix_sort_of_files(monkeypatch):
+    """A shard a hundred times as long as the memory: queues spill, arrays are files, and little is held at once."""
+    import random
+    import tracemalloc
+
+    rnd = random.Random(2)
+    words = ["".join(rnd.choices("abcdefgh", k=rnd.randint(2, 7))) for _ in range(300)]
+    part = " ".join(rnd.choices(words, k=9000))
+    text = np.frombuffer((part + " ".join(rnd.choices(words, k=18000)) + part).encode() + b"\0", np.uint8)
+    monkeypatch.setattr(suffix_sort, "RUN", 1024)
+    spilt = []
+    spill = suffix_sort.Queues._spill
+    monkeypatch.setattr(suffix_sort.Queues, "_spill", lambda q: spilt.append(1) or spill(q))
+
+    def digest(memory):
+        h, n = hashlib.sha256(), 0
+        tracemalloc.start()
+        for at, lcp in suffix_sort.sorted_down(text, 100, memory):
+            n += len(at)
+            h.update(np.stack((at, lcp)).astype(np.int64).T.tobytes())
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == len(text)
+        return h.hexdigest(), peak
+
+    small, peak = digest(len(text) // 100)
+    assert spilt and peak < 3 << 20
+    large, most = digest(1 << 20)
+    assert small == large and most > 5 * peak
+
+
+@pytest.mark.parametrize("remembered", [0, 1 << 20])
+def test_shard(monkeypatch, remembered):
+    """Segments in any order, remembered or not, against all windows seen so far."""
+    import random
+
+    monkeypatch.setattr(suffix_dedup, "REMEMBERED", remembered)
+    rnd = random.Random(4)
+    texts = [("é" * 300 + " été " + "é" * 300).encode(), b"ab" * 400, b"".join(rnd.choices([b"one", b"two", b"three"], k=400))]
+    for memory in (7, 1 << 20):
+        found = []
+        for d, raw in enumerate(texts * 2):
+            p = 0
+            while p <= len(raw) - 100:
+                n = min(rnd.randint(1, 60), len(raw) - 99 - p)
+                found.append((d, -d, p, n, raw[p : p + n + 99]))
+                p += n
+        rnd.shuffle(found)
+        shard, got = suffix_dedup.Shard(memory), []
+        for i, f, s, n, raw in found:
+            got += shard.add(*(np.array([x]) for x in (i, f, s, n)), raw)
+        got += [x for run in shard.repeats() for x in zip(*(c.tolist() for c in run), strict=True)]
+        windows = sorted((i, f, s + k) for i, f, s, n in got for k in range(n))
+        seen, want = set(), []
+        for (i, f, s), w in sorted(((i, f, s + k), raw[k : k + 100]) for i, f, s, n, raw in found for k in range(n)):
+            want += [(i, f, s)] if w in seen else []
+            seen.add(w)
+        assert windows == want
+
+
 # 3
 
 

@@ -35,26 +35,29 @@ def split_long(text: Column, most: int = MOST) -> Column:
 def text_chunks(merged: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
     """Chunks of ``merged`` paragraphs: packed within a (section, page) run until the next piece would exceed ``most`` words.
 
-    A last chunk of under ``least // 2`` words joins the one before it in its run.
+    A chunk of under ``least // 2`` words joins the one before it in its run.
     """
     body = merged.where("section_kind NOT IN ('front', 'abstract', 'references')")
     pieces = body.select("doc_id", "section_idx", "section", "section_kind", "page", "paragraph", F.posexplode(split_long(F.col("text"), most)).alias("i", "piece"))
     run = pieces.groupBy("doc_id", "section_idx", "section", "section_kind", "page").agg(F.array_sort(F.collect_list(F.struct("paragraph", "i", "piece"))).alias("parts"))
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), F.lit(0).cast("long").alias("n"))
 
+    def flushed(a: Column) -> Column:
+        """The chunks with what is being packed: a small rest joins the chunk before it in the run."""
+        folds = (a["n"] < least // 2) & (F.size(a["out"]) > 0)
+        folded = F.concat(F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1), F.array(F.concat_ws(" ", F.element_at(a["out"], -1), a["cur"])))
+        return F.when(folds, folded).otherwise(F.concat(a["out"], F.array(a["cur"])))
+
     def pack(a: Column, p: Column) -> Column:
         w = T.word_count(p["piece"])
         full = (a["n"] > 0) & (a["n"] + w > most)
         return F.struct(
-            F.when(full, F.concat(a["out"], F.array(a["cur"]))).otherwise(a["out"]).alias("out"),
-            F.when(full | (a["n"] == 0), p["piece"]).otherwise(F.concat(a["cur"], F.lit("\n"), p["piece"])).alias("cur"),
+            F.when(full, flushed(a)).otherwise(a["out"]).alias("out"),
+            F.when(full | (a["n"] == 0), p["piece"]).otherwise(F.concat_ws(" ", a["cur"], p["piece"])).alias("cur"),
             (F.when(full, 0).otherwise(a["n"]) + w).alias("n"),
         )
 
-    def close(a: Column) -> Column:
-        folded = F.concat(F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1), F.array(F.concat(F.element_at(a["out"], -1), F.lit("\n"), a["cur"])))
-        return F.when((a["n"] < least // 2) & (F.size(a["out"]) > 0), folded).otherwise(F.concat(a["out"], F.array(a["cur"])))
-
+    close = lambda a: F.transform(flushed(a), F.trim)
     chunks = run.select("doc_id", "section_idx", "section", "section_kind", "page", F.posexplode(F.aggregate("parts", start, pack, close)).alias("i", "text"))
     ord_ = F.row_number().over(Window.partitionBy("doc_id").orderBy("section_idx", "page", "i")) - 1
     return chunks.select("doc_id", ord_.cast("long").alias("ord"), F.lit("text").alias("kind"), "page", "section", "section_kind", "text", T.mentions(F.col("text")).alias("refs"))

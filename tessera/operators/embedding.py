@@ -1,60 +1,71 @@
-"""Embedders: a hashing one that needs no model, and the seam for others."""
+"""Embedders: a hashing one that needs no model, and the seam for others.
+
+The words and pairs of words of a text come from the same expressions as the sparse index's; only their hashes, which
+Spark SQL lacks, and the sums by place are taken in Arrow batches.
+"""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tessera.functions.text import STOPWORDS, TOKEN
+from tessera.functions import text as T
 
 DIM = 1024
-_TOKEN, _STOP = re.compile(TOKEN), frozenset(STOPWORDS)
-_ENDINGS = (("ies", 5, "y"), ("ing", 5, ""), ("ed", 4, ""))
 
 
-def stem(w: str) -> str:
-    for end, over, put in _ENDINGS:
-        if len(w) > over and w.endswith(end):
-            return w[: -len(end)] + put
-    return w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w
+def features(text: Column) -> Column:
+    """The words of a text, then its pairs of neighbouring words."""
+    words = T.tokens(F.coalesce(text, F.lit("")))
+    return F.concat(words, T.bigrams(words))
 
 
-def tokens(text: str) -> list[str]:
-    return [stem(w) for w in map(str.lower, _TOKEN.findall(text)) if w not in _STOP]
+@lru_cache(maxsize=1 << 18)
+def place(feature: str) -> tuple[int, float]:
+    """The 64-bit hash of a feature, and its sign: plus where the highest bit is set."""
+    h = int.from_bytes(blake2b(feature.encode(), digest_size=8).digest(), "little")
+    return h, 1.0 if h >> 63 else -1.0
 
 
-def hashed(text: str, dim: int = DIM) -> np.ndarray:
-    """Signed counts of words and pairs of words by their hash, dampened by a logarithm, of length one."""
-    words = tokens(text)
-    v = np.zeros(dim)
-    for w in [*words, *(f"{a}_{b}" for a, b in zip(words, words[1:], strict=False))]:
-        h = int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little")
-        v[h % dim] += -1.0 if h >> 63 else 1.0
-    v = np.sign(v) * np.log1p(np.abs(v))
-    return (v / max(float(np.linalg.norm(v)), 1e-12)).astype(np.float32)
+def vectors(batch: pd.Series, dim: int) -> np.ndarray:
+    """A row for each list of features: signed counts by hash, dampened by a logarithm, of length one (or zero)."""
+    rows = np.repeat(np.arange(len(batch)), batch.map(len))
+    found = [place(f) for own in batch for f in own]
+    out = np.zeros((len(batch), dim))
+    if found:
+        np.add.at(out, (rows, [h % dim for h, _ in found]), [s for _, s in found])
+    out = np.copysign(np.log1p(np.abs(out)), out)
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return (out / np.maximum(length, 1e-12)).astype(np.float32)
 
 
 def hash_embedding(text: Column, dim: int = DIM) -> Column:
-    """The hashing embedding as a column; Arrow batches, as Spark SQL has no such hash."""
+    """The hashing embedding of a text; a null text has the zero vector."""
 
     @pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([hashed(t or "", dim) for t in texts])
+        for batch in batches:
+            yield pd.Series(list(vectors(batch, dim)))
+
+    return embed(features(text))
+
 
-    return embed(text)
+EMBEDDERS: dict[str, Callable[..., Column]] = {"hashing": hash_embedding}
 
 
-EMBEDDERS = {"hashing": hash_embedding}
+def register(name: str, make: Callable[..., Column]) -> None:
+    """Adds an embedder: a function from a text column to a vector column."""
+    EMBEDDERS[name] = make
 
 
-def embedder(name: str):
+def embedder(name: str) -> tuple[Callable[..., Column], str | None]:
     """The embedder of a name, or the hashing one and why."""
     if name in EMBEDDERS:
         return EMBEDDERS[name], None

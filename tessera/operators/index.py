@@ -1,18 +1,31 @@
-"""The chunk index as Parquet tables: chunks, postings and vectors by document, replaced a document at a time."""
+"""The chunk index as Parquet tables: chunks with vectors, and postings; a document is replaced as a whole.
+
+Every write is a version of its own. Its rows go to ``chunks/version=N``; then its documents are published in
+``documents/version=N``, and only that makes it count. Readers take each document's last published version, so a write that
+failed half way adds nothing, and the next one clears its folder.
+"""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import retrieval
 
+SCHEMA_VERSION = 1
+
 
 def fingerprint(embedder: str, build_key: Column, n_chunks: Column, most_words: Column) -> Column:
     """What an index depends on; a change of any part asks for a new one."""
     return F.concat_ws("|", F.lit(embedder), build_key, n_chunks.cast("string"), most_words.cast("string"))
 
 
+def build_key(schema_version: int, **options: object) -> str:
+    """What a parsed document depends on: the schema's version and the options of parsing, by name."""
+    return "|".join([f"v{schema_version}", *(f"{k}={options[k]}" for k in sorted(options))])
+
+
 def content_id(content: Column) -> Column:
     return F.substring(F.sha2(content, 256), 1, 16)
 
@@ -21,18 +34,65 @@ def url_key(url: Column) -> Column:
     return F.substring(F.sha1(url), 1, 16)
 
 
-def write(chunks: DataFrame, folder: str) -> None:
-    """Replace the partitions of the chunks' documents; others stay."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{folder}/chunks")
+def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None if nothing was written there yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
+            raise
+        return None
+
+
+def publish(rows: DataFrame, documents: DataFrame, folder: str, version: int) -> None:
+    """Write ``rows``, then ``documents(doc_id, ...)`` as those that this version holds; both replace a failed try."""
+    rows.write.mode("overwrite").parquet(f"{folder}/chunks/version={version}")
+    documents.write.mode("overwrite").parquet(f"{folder}/documents/version={version}")
+
+
+def next_version(spark: SparkSession, folder: str) -> int:
+    known = table_or_none(spark, f"{folder}/documents")
+    return 0 if known is None else (known.agg(F.max("version")).first()[0] or 0) + 1
+
+
+def write(chunks: DataFrame, folder: str, documents: DataFrame | None = None) -> None:
+    """Replace the documents of ``chunks`` (and of ``documents``, which may have lost all chunks); others stay."""
+    named = chunks if documents is None else documents
+    publish(chunks, named.select("doc_id").distinct(), folder, next_version(chunks.sparkSession, folder))
 
 
 def bucketed(chunks: DataFrame, buckets: int = 256) -> DataFrame:
-    """Documents are spread over a fixed number of partitions, as one each would be too many."""
+    """``chunks`` with a number by which documents spread over a fixed number of partitions, as one each would be too many."""
     return chunks.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
 
 
+def published(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The last version of each document, with what was published with it."""
+    known = table_or_none(spark, f"{folder}/documents")
+    if known is None:
+        return None
+    others = [c for c in known.columns if c not in ("doc_id", "version")]
+    last = known.groupBy("doc_id").agg(F.max(F.struct("version", *others)).alias("last"))
+    return last.select("doc_id", "last.*")
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/chunks")
+    """The chunks of each document's last version."""
+    last = published(spark, folder)
+    if last is None:
+        raise FileNotFoundError(f"no index in {folder}")
+    return spark.read.parquet(f"{folder}/chunks").join(last.select("doc_id", "version"), ["doc_id", "version"], "left_semi").drop("version")
+
+
+def ordered(spark: SparkSession, folder: str, doc_id: int) -> DataFrame:
+    """One document's chunks in their order."""
+    return read(spark, folder).where(F.col("doc_id") == doc_id).orderBy("ord")
+
+
+def compact(spark: SparkSession, folder: str, into: str) -> None:
+    """The last versions alone, clustered by bucket, as version 0 of a new folder."""
+    rows = bucketed(read(spark, folder).drop("bucket")).repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+    publish(rows, published(spark, folder).drop("version"), into, 0)
 
 
 def write_postings(chunks: DataFrame, folder: str) -> None:

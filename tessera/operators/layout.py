@@ -102,6 +102,8 @@ def headings(with_roles: DataFrame) -> DataFrame:
     )
     title = F.when(named & upper(stripped), F.initcap(stripped)).otherwise(stripped)
     body = with_roles.where((F.col("role") == "body") & (n <= 14) & (F.length(t) >= 3))
+    if "n_lines" in body.columns:
+        body = body.where(F.coalesce("n_lines", F.lit(1)) <= 2)
     return body.withColumn("level", level.cast("long")).where("level IS NOT NULL").withColumn("level", F.least("level", F.lit(3).cast("long"))).withColumn("title", title).withColumn("kind", F.coalesce(kind, F.lit("other")))
 
 

@@ -69,7 +69,7 @@ def _shown(best: DataFrame) -> DataFrame:
 @query("bm25_topk", f"WITH {S.bm25(ASKED)} SELECT id, round(score, 4) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 30")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = retrieval.bm25(documents(spark, sf_dir).withColumnRenamed("doc_id", "id"), F.col("text"), ASKED)
-    best = retrieval.ranked(scored, "sparse").join(scored, "id")
+    best = retrieval.ranked(scored, "sparse", retrieval.CANDIDATES, "score")
     return best.select("id", F.round("score", 4).alias("score"), (F.col("sparse_rank") + 1).alias("rank"))
 
 
@@ -399,7 +399,7 @@ def references_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in the three lines after the title."""
     first = layout.roles(made_blocks(spark, sf_dir)).where("page = 0 AND role = 'body' AND pos BETWEEN 1 AND 3")
-    return references.authors(first.select("doc_id", "pos", "text"))
+    return references.authors(first.select("doc_id", "pos", "text", "size", F.lit(18.0).alias("title_size")))
 
 
 _ITEMS = "SELECT doc_id % 50 AS g, doc_id AS place, greatest(1, length(text) // 4)::BIGINT AS cost FROM documents"
@@ -438,16 +438,16 @@ def visual_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "citations_validated",
-    r"""WITH a AS (SELECT doc_id, left(text, 200) || ' [S' || (doc_id % 7 + 1) || ', S' || (doc_id % 12 + 1) || ']' AS answer FROM documents), n AS (
+    r"""WITH a AS (SELECT doc_id, text || ' [S' || (doc_id % 7 + 1) || ', S' || (doc_id % 12 + 1) || ']' AS answer FROM documents), n AS (
   SELECT doc_id, regexp_replace(answer, '\[(S\d+), (S\d+)\]', '[\1][\2]', 'g') AS t FROM a), i AS (SELECT *, regexp_extract_all(t, '\[([SH]\d+)\]', 1) AS ids FROM n)
 SELECT doc_id, regexp_replace(t, '\[S([6-9]|1[0-2])\]', '', 'g') AS text,
        array_to_string(list_filter(ids, lambda x, k: list_position(ids, x) = k AND x IN ('S1', 'S2', 'S3', 'S4', 'S5')), ',') AS used,
        coalesce('Removed citation to non-existent source ' || nullif(array_to_string(list_sort(list_distinct(list_filter(ids, lambda x: x NOT IN ('S1', 'S2', 'S3', 'S4', 'S5')))), ', '), '') || '.', '') AS warning FROM i""",
 )
 def citations_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers are cut texts with two markers; S1 to S5 are real."""
+    """Answers are whole texts with two markers; S1 to S5 are real."""
     ids = F.concat(F.lit(" [S"), (F.col("doc_id") % 7 + 1).cast("string"), F.lit(", S"), (F.col("doc_id") % 12 + 1).cast("string"), F.lit("]"))
-    v = documents(spark, sf_dir).select("doc_id", evidence.validated(F.concat(F.substring("text", 1, 200), ids), F.array(*(F.lit(f"S{k}") for k in range(1, 6)))).alias("v"))
+    v = documents(spark, sf_dir).select("doc_id", evidence.validated(F.concat("text", ids), F.array(*(F.lit(f"S{k}") for k in range(1, 6)))).alias("v"))
     return v.select("doc_id", "v.text", F.array_join("v.used", ",").alias("used"), F.coalesce("v.warning", F.lit("")).alias("warning"))
 
 
@@ -456,16 +456,23 @@ _QUOTED = S.quoted(T.QUOTE)
 
 @query(
     "quotes_unverified",
-    f"""WITH a AS (SELECT doc_id, d.text AS source, '"' || replace(left(b.text, 80), '"', '') || '" and "' || replace(left(d.text, 60), '"', '') || '"' AS answer
-  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40), h AS (SELECT *, {S.normalised("source")} AS hay, regexp_extract_all(answer, {_QUOTED}, 1) AS qs FROM a)
+    f"""WITH b AS (SELECT text, row_number() OVER (ORDER BY item_id, text) - 1 AS place, count(*) OVER () AS items FROM benchmark), a AS (
+  SELECT doc_id, d.text AS source, coalesce('"' || replace(left(b.text, 400), '"', '') || '" and ', '') || '"' || replace(left(d.text, 400), '"', '') || '"' AS answer
+  FROM documents d LEFT JOIN b ON b.place = (d.doc_id % b.items + b.items) % b.items), h AS (SELECT *, {S.normalised("source")} AS hay, regexp_extract_all(answer, {_QUOTED}, 1) AS qs FROM a)
 SELECT doc_id, array_to_string(list_transform(list_filter(qs, lambda q: {S.normalised("q")} <> '' AND NOT contains(hay, {S.normalised("q")})), lambda q: trim(q)), '|') AS missing FROM h""",
 )
 def quotes_unverified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An answer quotes a benchmark passage and its own document; the document is the only source."""
+    """An answer quotes a benchmark passage, each in its turn, and its own document, which is the only source. A quote is 400 characters at most."""
+    from pyspark.sql import Window
+
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    d = documents(spark, sf_dir).withColumn("item_id", F.col("doc_id") % 40).join(b, "item_id")
-    cut = lambda c, n: F.replace(F.substring(c, 1, n), F.lit('"'), F.lit(""))
-    answer = F.concat(F.lit('"'), cut("passage", 80), F.lit('" and "'), cut("text", 60), F.lit('"'))
+    # The items are few next to the documents; their number is read first.
+    items = max(1, b.count())
+    b = b.select((F.row_number().over(Window.orderBy("item_id", "passage")) - 1).cast("long").alias("place"), "passage")
+    d = documents(spark, sf_dir).withColumn("place", F.pmod("doc_id", F.lit(items))).join(b, "place", "left")
+    cut = lambda c: F.replace(F.substring(c, 1, 400), F.lit('"'), F.lit(""))
+    quoted = F.concat(F.lit('"'), cut("passage"), F.lit('" and '))
+    answer = F.concat(F.coalesce(quoted, F.lit("")), F.lit('"'), cut("text"), F.lit('"'))
     return d.select("doc_id", F.array_join(evidence.unverified_quotes(answer, F.array("text")), "|").alias("missing"))
 
 
@@ -536,9 +543,14 @@ def paper_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).where(F.contains(low, F.lit("tion"))).select("doc_id", F.instr(low, "tion").cast("long").alias("at"), F.floor(hits).cast("long").alias("hits"))
 
 
-@query("fingerprints", "SELECT doc_id, 'v1|' || substr(sha256(text), 1, 16) AS fingerprint FROM documents")
+@query(
+    "fingerprints",
+    f"SELECT doc_id, 'hashing-1024|v1|dpi=150|ocr=True|' || substr(sha256(text), 1, 16) || '|' || {S.count('text')} || '|260' AS fingerprint FROM documents",
+)
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", F.concat_ws("|", F.lit("v1"), index.content_id(F.col("text").cast("binary"))).alias("fingerprint"))
+    """What an index of each document depends on; its words stand in for the number of its chunks."""
+    key = F.concat_ws("|", F.lit(index.build_key(1, ocr=True, dpi=150)), index.content_id(F.col("text").cast("binary")))
+    return documents(spark, sf_dir).select("doc_id", index.fingerprint("hashing-1024", key, T.word_count(F.col("text")), F.lit(chunking.MOST)).alias("fingerprint"))
 
 
 @query("highlight_filter", "SELECT d.doc_id, quality = 1 AS use_in_chat FROM documents d JOIN labels USING (doc_id) WHERE quality = 1")

@@ -55,8 +55,17 @@ def is_pdf(content: Column) -> Column:
 
 
 def is_public_host(host: Column) -> Column:
-    """False for literal private, loopback, link-local, multicast and reserved IPv4 addresses and for localhost."""
-    octet = lambda k: F.try_to_number(F.regexp_extract(host, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", k), F.lit("999")).cast("int")
-    a, b = octet(1), octet(2)
+    """Whether a host is a public name or IPv4 address in plain form, and nothing else.
+
+    False for null and empty hosts, names of one label, local and internal names, IPv6 and numbers in any other notation, and
+    private, loopback, link-local, shared, multicast, documentation and reserved addresses. Names that resolve to such an address
+    must be checked by the fetcher, which sees the address.
+    """
+    h = F.lower(F.rtrim(F.trim(host), F.lit(".")))
+    quad = r"^(0|[1-9]\d{0,2})\.(0|[1-9]\d{0,2})\.(0|[1-9]\d{0,2})\.(0|[1-9]\d{0,2})$"
+    a, b, c, d = (F.regexp_extract(h, quad, k).try_cast("int") for k in (1, 2, 3, 4))
     private = a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)) | (a >= 224)
-    return ~(F.lower(host).isin("localhost", "") | F.coalesce(private, F.lit(False)))
+    reserved = ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
+    address = h.rlike(quad) & (F.greatest(a, b, c, d) <= 255) & ~private & ~reserved
+    name = h.rlike(r"^(?:[a-z0-9_](?:[a-z0-9_-]{0,61}[a-z0-9_])?\.)+[a-z](?:[a-z0-9-]{0,61}[a-z0-9])$") & ~h.rlike(r"(?:^|\.)(?:localhost|local|internal|localdomain|home|lan|intranet|corp|private)$")
+    return F.coalesce(address | name, F.lit(False))

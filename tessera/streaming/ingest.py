@@ -4,30 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.index import stale
+from tessera.operators.index import stale, table_or_none
 
 
 def ingest(documents: DataFrame, folder: str, checkpoint: str, build: Callable[[DataFrame], DataFrame], build_key: str) -> StreamingQuery:
-    """Run ``build`` on the documents of a stream whose fingerprint ``folder`` lacks, and append its rows there.
+    """Run ``build`` on the documents of a stream whose last fingerprint in ``folder`` is another, and add its rows there.
 
-    A batch that runs again after a failure finds its fingerprints written and adds nothing.
+    A batch writes its rows to ``rows/batch=N`` and then publishes its fingerprints in ``fingerprints/batch=N``. A batch that
+    runs again replaces both, whether it failed before, between or after the two, so nothing is there twice. Rows of a
+    changed document's earlier batches stay as history; ``current`` leaves them out. Of two texts of one document in a batch
+    the one of the larger fingerprint counts.
     """
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         named = batch.withColumn("fingerprint", F.concat_ws("|", F.lit(build_key), F.sha2("text", 256)))
-        try:
-            known = spark.read.parquet(f"{folder}/fingerprints")
-        except Exception as missing:  # the first batch
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            known = spark.createDataFrame([], "doc_id bigint, fingerprint string")
-        new = stale(named, known).dropDuplicates(["doc_id", "fingerprint"])
-        build(new).write.mode("append").parquet(f"{folder}/rows")
-        new.select("doc_id", "fingerprint").write.mode("append").parquet(f"{folder}/fingerprints")
+        one = named.groupBy("doc_id").agg(F.max_by(F.struct(*named.columns), "fingerprint").alias("x")).select("x.*")
+        known = last_fingerprints(spark, folder, number)
+        new = one if known is None else stale(one, known)
+        build(new).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        new.select("doc_id", "fingerprint").write.mode("overwrite").parquet(f"{folder}/fingerprints/batch={number}")
 
     return documents.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def last_fingerprints(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """``(doc_id, batch, fingerprint)``: the last published of each document, in the batches before one."""
+    known = table_or_none(spark, f"{folder}/fingerprints")
+    if known is None:
+        return None
+    if before is not None:
+        known = known.where(F.col("batch") < before)
+    return known.groupBy("doc_id").agg(F.max(F.struct("batch", "fingerprint")).alias("x")).select("doc_id", "x.*")
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of each document's last published batch; ``build`` must keep ``doc_id``."""
+    last = last_fingerprints(spark, folder)
+    return spark.read.parquet(f"{folder}/rows").join(last.select("doc_id", "batch"), ["doc_id", "batch"], "left_semi").drop("batch")

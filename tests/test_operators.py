@@ -1,15 +1,17 @@
+import hashlib
 import re
 
 import numpy as np
 import pandas as pd
 import pytest
 from helpers import SF
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tessera import settings
 from tessera.operators import answer, chunking, embedding, evidence, index, layout, references, spatial
 from tessera.streaming import memory
-from tessera.streaming.ingest import ingest
+from tessera.streaming.ingest import current, ingest
 
 
 def plain_split(text, most):
@@ -39,7 +41,38 @@ def test_chunks_stay_in_a_section_and_page(spark):
         "doc_id long, section_idx long, section string, section_kind string, paragraph long, page long, text string",
     )
     got = chunking.text_chunks(p, 18, 8).orderBy("ord").collect()
-    assert [(r["page"], r["text"].split("\n")[-1].strip()) for r in got] == [(0, "G h."), (1, "I j.")]
+    assert [(r["page"], r["text"][-4:]) for r in got] == [(0, "G h."), (1, "I j.")]
+
+
+def test_a_small_rest_joins_the_chunk_before(spark):
+    words = lambda n, w: " ".join([w] * n)
+    rows = [(1, 1, "M", "methods", k, 0, words(n, w)) for k, (n, w) in enumerate([(250, "a"), (20, "b"), (250, "c")])]
+    p = spark.createDataFrame(rows, "doc_id long, section_idx long, section string, section_kind string, paragraph long, page long, text string")
+    got = [r["text"].split(" ") for r in chunking.text_chunks(p).orderBy("ord").collect()]
+    assert [len(t) for t in got] == [270, 250] and got[0][-1] == "b"
+
+
+def test_public_hosts(spark):
+    from tessera.sources.links import is_public_host
+
+    public = ["example.org", "a.b-c.Example.ORG.", "8.8.8.8", "xn--bcher-kva.example"]
+    others = ["[::1]", "::1", "127.1", "2130706433", "0x7f.0.0.1", "0177.0.0.1", "sub.localhost", "localhost", "", None, "10.1.2.3", "172.16.0.1", "192.168.1.1", "169.254.169.254", "100.64.0.1", "224.0.0.1", "300.1.1.1", "intranet", "db.internal", "1.2.3.4.5", "a b.org", "192.0.2.1"]
+    got = spark.createDataFrame([(h,) for h in public + others], "h string").select("h", is_public_host(F.col("h")).alias("p")).collect()
+    assert [r["h"] for r in got if r["p"]] == public
+
+
+def test_headings_have_two_lines_at_most(spark):
+    schema = "doc_id long, page int, ord int, x0 double, y0 double, x1 double, y1 double, text string, size double, bold boolean, n_lines int"
+    rows = [(1, 0, k, 0.0, 100.0 + 30 * k, 200.0, 120.0 + 30 * k, "Methods", 12.0, True, n) for k, n in enumerate([1, 2, 3])] + [(1, 0, 9, 0.0, 400.0, 200.0, 420.0, "body text " * 30, 10.0, False, 5)]
+    assert sorted(r["ord"] for r in layout.headings(layout.roles(spark.createDataFrame(rows, schema))).collect()) == [0, 1]
+
+
+def test_bm25_scores_without_texts(spark):
+    from tessera.operators import retrieval
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    scored = retrieval.ranked(retrieval.bm25(docs, F.col("text"), "thing reading ores"), "sparse")
+    assert "documents.parquet" not in scored._jdf.queryExecution().toString()
 
 
 @pytest.mark.parametrize("costs, budget, kept", [([5, 4, 3, 9, 1, 2], 10, [5, 4, 1]), ([20, 1], 10, [20]), ([3, 3, 3], 6, [3, 3])])
@@ -85,20 +118,43 @@ def test_captions_are_used_once(spark):
     assert sorted((r["table_id"], r["ord"]) for r in spatial.match_once(costs).collect()) == [(1, 7), (2, 8)]
 
 
-def test_references():
+def test_references(spark):
+    schema = "doc_id long, page long, pos long, text string"
+    found = lambda rows: [(r["index"], r["text"], r["page"]) for r in references.references(spark.createDataFrame(rows, schema)).orderBy("doc_id", "index").collect()]
     text = "[1] Smith A. A long enough title here. [2] Jones B. Another long title here. [3] Lee C. Third long title here."
-    assert [(k, t[:5]) for k, t, _ in references.split_references([text], [4])] == [(1, "Smith"), (2, "Jones"), (3, "Lee C")]
-    assert references.split_references(["too short", "A reference without any number at all"], [1, 2]) == [(1, "A reference without any number at all", 2)]
+    assert [(k, t[:5]) for k, t, _ in found([(1, 4, 0, text)])] == [(1, "Smith"), (2, "Jones"), (3, "Lee C")]
+    assert found([(1, 1, 0, "too short"), (1, 2, 0, "A reference without any number at all"), (2, 1, 0, None)]) == [(1, "A reference without any number at all", 2)]
+    # Entries over blocks and pages, one too short, a number in a text that opens nothing, and a number at the end of a page.
+    rows = [(1, 7, 0, "Preface 1. First A. has a title"), (1, 7, 1, "that goes on 12 and on. 2) Ab. 3."), (1, 8, 0, "Third\tC. has a title in 2020 too. 4. Fourth D. title")]
+    assert found(rows) == [(1, "First A. has a title that goes on 12 and on.", 7), (2, "Third C. has a title in 2020 too.", 7), (3, "Fourth D. title", 8)][:2]
+    # Two numbers only, or a first one that isn't 0 or 1: a block each.
+    assert [k for k, _, _ in found([(1, 1, 0, "[5] Smith A. A long enough title here. [6] Jones B. Another [7] Lee C. Third")])] == [1]
 
 
-def test_authors():
-    assert references.author_names(["University of X", "Ada Lovelace1, Alan M. Turing* and Grace Hopper"]) == ["Ada Lovelace", "Alan M. Turing", "Grace Hopper"]
+def test_authors(spark):
+    schema = "doc_id long, pos long, text string, size double, title_size double"
+    rows = [(1, 1, "University of X", 9.0, 18.0), (1, 2, "Ada Lovelace1, Alan M. Turing* and Grace Hopper", 9.0, 18.0), (1, 3, "Not This One", 9.0, 18.0)]
+    rows += [(2, 1, "A Title Line", 17.5, 18.0), (2, 2, "Émilie du Châtelet‡ & Sofia Kovalevskaya", 9.0, 18.0), (3, 1, None, 9.0, 18.0), (4, 1, "Abstract Words", 9.0, 18.0)]
+    got = {r["doc_id"]: r["authors"] for r in references.authors(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: ["Ada Lovelace", "Alan M. Turing", "Grace Hopper"], 2: ["Émilie du Châtelet", "Sofia Kovalevskaya"], 3: [], 4: []}
 
 
 def test_hash_embedding(spark):
     v = spark.createDataFrame([("training large models",), (None,)], ["t"]).select(embedding.hash_embedding(F.col("t")).alias("v")).collect()
     assert np.isclose(np.linalg.norm(v[0]["v"]), 1) and not any(v[1]["v"])
     assert embedding.embedder("none")[1]
+    # Signs are the hash's highest bit: plus where it is set.
+    for word in ("cell", "dose", "model", "growth"):
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        own = spark.createDataFrame([(word,)], ["t"]).select(embedding.hash_embedding(F.col("t")).alias("v")).first()["v"]
+        assert own[h % 1024] == (1.0 if h & (1 << 63) else -1.0) and sum(map(abs, own)) == 1
+    two = spark.createDataFrame([("Cell cell dose",)], ["t"]).select(embedding.hash_embedding(F.col("t"), 64).alias("v")).first()["v"]
+    want = np.zeros(64)
+    for f in ("cell", "cell", "dose", "cell_cell", "cell_dose"):
+        h = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "little")
+        want[h % 64] += 1 if h & (1 << 63) else -1
+    want = np.sign(want) * np.log(1 + abs(want))
+    assert np.allclose(two, want / np.linalg.norm(want))
 
 
 def test_answer(spark):
@@ -115,6 +171,22 @@ def test_index(spark, tmp_path):
     assert {(r["doc_id"], r["text"]) for r in index.read(spark, str(tmp_path)).collect()} == {(1, "z"), (2, "y")}
 
 
+def test_index_keeps_other_documents(spark, tmp_path):
+    """A thousand documents in 256 buckets: one is replaced, one loses all chunks, a write that fails half way adds nothing."""
+    out, into = str(tmp_path / "a"), str(tmp_path / "b")
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.posexplode(F.array(F.lit("x"), F.lit("y"))).alias("ord", "text"))
+    index.write(index.bucketed(docs), out)
+    one = docs.where("doc_id = 7").limit(1).withColumn("text", F.lit("new"))
+    index.write(index.bucketed(one), out, docs.where("doc_id IN (7, 8)"))
+    index.bucketed(docs).write.parquet(f"{out}/chunks/version=2")
+    got = index.read(spark, out)
+    assert got.count() == 1997 and [r["text"] for r in got.where("doc_id = 7").collect()] == ["new"] and got.where("doc_id = 8").isEmpty()
+    index.write(index.bucketed(one.withColumn("text", F.lit("newer"))), out)
+    index.compact(spark, out, into)
+    for folder in (out, into):
+        assert index.read(spark, folder).count() == 1997 and [r["text"] for r in index.ordered(spark, folder, 7).collect()] == ["newer"]
+
+
 def test_settings():
     s = settings.load("lite", {"document": {"dpi": 200}}, {"TESSERA_RETRIEVAL__TOP_K": "4"}, {"document": {"ocr": False}})
     assert (s["retrieval"]["top_k"], s["retrieval"]["rerank"], s["document"]["dpi"], s["document"]["ocr"]) == (4, False, 200, False)
@@ -144,6 +216,34 @@ def test_ingest_is_incremental(spark, tmp_path):
         spark.createDataFrame(part, schema).write.mode("append").parquet(src)
         ingest(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "ck"), build, "v1").awaitTermination(120)
     assert sorted((r["doc_id"], r["n"]) for r in spark.read.parquet(f"{out}/rows").collect()) == [(1, 1), (1, 7), (2, 2), (3, 3)]
+    assert sorted((r["doc_id"], r["n"]) for r in current(spark, out).collect()) == [(1, 7), (2, 2), (3, 3)]
+    # A document that goes back to an earlier text counts as changed.
+    spark.createDataFrame([(1, "a")], schema).write.mode("append").parquet(src)
+    ingest(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "ck"), build, "v1").awaitTermination(120)
+    assert sorted((r["doc_id"], r["n"]) for r in current(spark, out).collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_ingest_survives_a_failed_batch(spark, tmp_path, monkeypatch):
+    """A batch that fails between its rows and its fingerprints runs again, and nothing is there twice."""
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    schema = "doc_id long, text string"
+    spark.createDataFrame([(1, "a"), (2, "bb"), (2, "bb")], schema).write.parquet(src)
+    build = lambda d: d.select("doc_id", F.length("text").alias("n"))
+    real, calls = DataFrameWriter.parquet, []
+
+    def failing(self, path, *args, **kwargs):
+        if "/fingerprints/" in path and not calls:
+            calls.append(path)
+            raise OSError("lost")
+        return real(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", failing)
+    run = lambda: ingest(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "ck"), build, "v1").awaitTermination(120)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    run()
+    assert calls and sorted((r["doc_id"], r["n"]) for r in current(spark, out).collect()) == [(1, 1), (2, 2)]
+    assert spark.read.parquet(f"{out}/rows").count() == 2
 
 
 def test_caption_goes_on(spark):

@@ -2,24 +2,36 @@
 
 ``fingerprints`` reads every whole text once. A bit is 1 if over half of the hashes of the text's word
 shingles have it. ``links`` works on the distinct fingerprints: copies share one, so a
-group of copies is one row. The 64 bits are cut into blocks; two fingerprints that differ in ``distance``
-bits agree on all but ``distance`` blocks, so each choice of the blocks that agree is a table, keyed by those
-bits. There are as many blocks as leave keys wide enough for the number of fingerprints, so a key has
-about one fingerprint at any size. ``keep_one`` does so for several families of hashes. Those that share a key are sorted together and verified.
-
-Within a key no list of all pairs is made: a search from each fingerprint yet unreached takes all of the
+group of copies is one row. Tables are sets of blocks of bits; fingerprints that agree on a table's blocks share a key,
+are dealt to one group and verified by their whole Hamming distance.
+
+* One family of hashes, 64 bits (``near_duplicates``): fingerprints that differ in ``distance`` bits agree on all but ``distance``
+  blocks, so each choice of the blocks that agree is a table, and no link is lost. There are as many blocks as leave keys wide
+  enough for the number of fingerprints, so a key has about one at any size.
+* Several families, one long fingerprint (``keep_one``): texts of a similarity of 0.8 differ in 15 % of the bits, for which blocks that
+  must agree would be two bits wide. Tables are single blocks instead, so many that a pair at that similarity shares one with a
+  probability of ``FOUND``; closer pairs are surer. A key has ``GROUP`` fingerprints or so at any size, and the number of tables
+  grows with about the fourth root of theirs.
+
+Within a key no list of all pairs is made: a search from the fingerprints yet unreached takes all of the
 unreached within ``distance``, so the links are a forest that has the same components as all the
-pairs, and a cluster of close fingerprints costs little more than one pass over it.
+pairs, and a cluster of close fingerprints costs little more than one pass over it. In a key with over ``HOT`` fingerprints the search
+ends when it finds little more; what it left, which is far from all it reached, is dealt again by blocks of the bits that the table leaves
+free: for one family by ``distance + 1`` blocks, of which one must agree, so again no link is lost; for several by drawn ones. A task holds
+``HOLD`` fingerprints of a key at most: of one with more, those of one family are all dealt again, and of several families a drawn
+``STAND_INS`` stand for those that were linked.
 
 Defined cases: a null text, or one without words, has fingerprint 0 and is linked like any other;
 fewer words than a shingle make one shingle of all; repeated rows share their component; a component of
-null ids has a null id; an empty table gives no rows; long texts are hashed whole in slices.
+null ids has a null id; an empty table gives no rows; long texts are hashed whole in slices; ``keep_one`` keeps, of rows alike in id
+and text, the one whose columns have the least hash, and passes columns of any name.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import random
+from collections.abc import Callable, Generator, Iterable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -32,8 +44,12 @@ from tessera.llm.components import components
 
 WORDS, SEED, DISTANCE = 5, 42, 4
 SLICE = 1 << 14
-#: Families of hashes by which ``keep_one`` links: a pair close in any of them is linked.
-FAMILIES = 8
+#: Families of hashes by which ``keep_one`` links, and the bits of all in which linked texts differ at most. Texts of a similarity of
+#: 0.8 differ in 78 of 512 bits on average, with a deviation of 8.
+FAMILIES, WIDE_DISTANCE = 8, 86
+#: The share of bits in which texts of a similarity of 0.8 agree, and how surely they share a block.
+AGREE, FOUND = 0.8485, 0.98
+GROUP, HOT, HOLD, SPLIT_BITS, SPLITS, DEPTH, FRONTIER, PATIENCE, STAND_INS = 1 << 11, 1 << 15, 1 << 19, 8, 10, 4, 64, 64, 1 << 13
 
 
 def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -55,14 +71,17 @@ def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> It
         yield np.array([xxh64_intdigest(whole[s : e - 1], seed) for s, e in zip(starts[at:to], ends[at + words - 1 : to + words - 1], strict=True)], np.uint64)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def _remixed(h: np.ndarray, k: int) -> np.ndarray:
     """The hashes of one family as those of another; family 0 is the hashes themselves."""
     if not k:
         return h
-    h = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    return _mixed(h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED, families: int = 1) -> list[int]:
@@ -88,8 +107,11 @@ def fingerprints(docs: DataFrame, keep: list[str], words: int = WORDS, seed: int
     return map_batches(docs.select(*keep, F.col(text).alias("simhash_text")), run, kind)
 
 
+Table = tuple[int, ...]  # a mask for each family's word
+
+
 def tables(n: int, distance: int = DISTANCE) -> list[int]:
-    """The bit masks of the tables for ``n`` fingerprints."""
+    """The bit masks of the tables for ``n`` fingerprints of 64 bits."""
     for blocks in range(distance + 1, 17):
         if 64 * (blocks - distance) // blocks > math.log2(max(n, 2)) + 1:
             break
@@ -98,70 +120,228 @@ def tables(n: int, distance: int = DISTANCE) -> list[int]:
     return [sum(m for k, m in enumerate(masks) if k not in out) for out in combinations(range(blocks), distance)]
 
 
-def _forest(fps: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links within ``distance`` that connect what the pairs within it connect."""
-    open_ = fps
-    while len(open_) > 1:
-        queue, open_ = [open_[0]], open_[1:]
-        while queue and len(open_):
-            x = queue.pop()
-            near = np.bitwise_count(open_ ^ x) <= distance
-            if near.any():
-                found, open_ = open_[near], open_[~near]
-                yield np.full(len(found), x), found
-                queue.extend(found)
+def _masks(bits: Iterable[int], families: int) -> Table:
+    out = [0] * families
+    for b in bits:
+        out[b // 64] |= 1 << b % 64
+    return tuple(out)
 
 
-def links(distinct: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
-    """``(family, a, b)`` between fingerprints of one family, with the components of all pairs within ``distance``.
+def _drawn(bits: list[int], width: int, families: int, seed: int) -> list[Table]:
+    """As many blocks of ``width`` of the bits as find a pair with the probability FOUND, each bit used as often as any other."""
+    count = math.ceil(math.log(1 - FOUND) / math.log(1 - AGREE**width))
+    rnd, order, out = random.Random(seed), [], []
+    while len(out) < count:
+        if len(order) < width:
+            order = rnd.sample(bits, len(bits))
+        out.append(_masks(order[:width], families))
+        order = order[width:]
+    return out
 
-    ``distinct(family, simhash_fp)`` has about ``n`` rows a family.
+
+def wide_tables(n: int, families: int) -> list[Table]:
+    """The tables for ``n`` fingerprints of several families."""
+    width = max(SPLIT_BITS, math.ceil(math.log2(max(n, 2) / GROUP)))
+    return _drawn(list(range(64 * families)), width, families, SEED)
+
+
+def split_tables(table: Table, distance: int) -> list[Table]:
+    """The tables that deal a key of ``table`` again, of the bits it leaves free."""
+    families = len(table)
+    free = [b for b in range(64 * families) if not table[b // 64] >> b % 64 & 1]
+    if families > 1:
+        return _drawn(free, min(SPLIT_BITS, len(free)), families, len(free)) if free else []
+    edges = [len(free) * k // (distance + 1) for k in range(distance + 2)]
+    return [_masks(free[a:b], 1) for a, b in zip(edges, edges[1:], strict=False)] if len(free) > distance else []
+
+
+def _forest(fps: np.ndarray, nodes: np.ndarray, distance: int, patience: int | None = None) -> Generator[tuple[np.ndarray, np.ndarray], None, np.ndarray]:
+    """Links within ``distance`` that connect what the pairs within it connect, for fingerprints in rows of words.
+
+    With ``patience`` the search ends once so many steps in a row found few. Returns the rows that it left: none of them is within
+    ``distance`` of one that was reached.
     """
-    signed = [m - (1 << 64) if m >> 63 else m for m in tables(n, distance)]
-    keys = F.array(*(F.xxhash64(F.lit(k), "family", F.col("simhash_fp").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)))
-    dealt = distinct.select(F.explode(keys).alias("key"), "simhash_fp", F.col("family").cast("int").alias("family"))
-    dealt = dealt.repartition("key").sortWithinPartitions("key", "simhash_fp")
+    open_ = np.arange(len(fps))
+    queue = open_[:0]
+    idle = 0
+    while len(open_) or len(queue):
+        if not len(queue):
+            if patience is not None and idle >= patience:
+                break
+            idle += 1
+        take = FRONTIER - min(len(queue), FRONTIER)
+        front, queue, open_ = np.concatenate((queue[:FRONTIER], open_[:take])), queue[FRONTIER:], open_[take:]
+        rest = np.concatenate((front, queue, open_))
+        near = _distances(fps[front], fps[rest]) <= distance
+        # Among the front itself, pairs once.
+        near[:, : len(front)] &= np.triu(np.ones((len(front), len(front)), bool), 1)
+        inner = near[:, : len(front)].nonzero()
+        links = [(front[inner[0]], front[inner[1]])]
+        out = near[:, len(front) :]
+        found = out.any(axis=0).nonzero()[0]
+        if len(found):
+            # Each of the others found is linked to the first that is near it, and the others near it to that one.
+            first = out[:, found].argmax(axis=0)
+            links.append((front[first], rest[len(front) + found]))
+            row, col = out[:, found].nonzero()
+            also = np.unique(first[col] * FRONTIER + row)
+            links.append((front[also // FRONTIER], front[also % FRONTIER]))
+            fresh = found[found >= len(queue)] - len(queue)
+            queue, open_ = np.concatenate((queue, open_[fresh])), np.delete(open_, fresh)
+            idle = 0 if len(fresh) >= FRONTIER else idle
+        a, b = (np.concatenate(x) for x in zip(*links, strict=True))
+        yield nodes[a[a != b]], nodes[b[a != b]]
+    return open_
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(a), len(b)), np.uint16)
+    for w in range(a.shape[1]):
+        out += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+    return out
+
+
+def _words(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy().view(np.uint64).reshape(n, -1)
+
+
+def _lists(words: np.ndarray) -> pa.Array:
+    n, k = words.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k, dtype=np.int32)), pa.array(np.ascontiguousarray(words).view(np.int64).ravel()))
+
+
+def _dealt(rows: DataFrame, found: dict[int, Table]) -> DataFrame:
+    """``rows(table, key, node, simhash_fps)`` once for each table of ``found`` that splits the row's own, under a key of what agrees."""
+    of: dict[int, list[int]] = {}
+    for t in found:
+        of.setdefault(t >> SPLITS, []).append(t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int32))
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                table, key, node = (part.column(k).to_numpy() for k in range(3))
+                fps = _words(part.column(3), part.num_rows)
+                for parent in np.unique(table).tolist():
+                    own = np.flatnonzero(table == parent)
+                    before = _mixed(key[own].view(np.uint64) + np.uint64(parent))
+                    for t in of[parent]:
+                        h = _mixed(before + np.uint64(t & (1 << 63) - 1))
+                        for w, m in enumerate(found[t]):
+                            if m:
+                                h = _mixed((fps[own, w] & np.uint64(m)) + h * np.uint64(0x9E3779B97F4A7C15))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t)), pa.array(h.view(np.int64)), pa.array(node[own]), _lists(fps[own])], ["table", "key", "node", "simhash_fps"])
+
+    return map_batches(rows, run, "table bigint, key bigint, node bigint, simhash_fps array<bigint>")
+
+
+def _search(distance: int, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows in the order of (key, table) to links, and to rows that are dealt again (never if ``last``)."""
+    names = ["table", "key", "a", "b", "simhash_fps"]
+
+    def later(x: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1]), pa.array(x[2]), pa.nulls(len(x[0]), pa.int64()), _lists(x[3])], names)
+
+    def found(links: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if links:
+            a, b = (np.concatenate(v) for v in zip(*links, strict=True))
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(a), pa.array(b), pa.nulls(len(a), pa.list_(pa.int64()))], names)
+
+    def group(x: list[np.ndarray], links: list) -> np.ndarray:
+        """The links of one key's rows, and the rows left over."""
+        search = _forest(x[3], x[2], distance, None if last or len(x[2]) <= HOT else PATIENCE)
+        while True:
+            try:
+                links.append(next(search))
+            except StopIteration as end:
+                return end.value
+
+    def groups(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cut = np.flatnonzero((np.diff(x[1]) != 0) | (np.diff(x[0]) != 0)) + 1
+        starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(x[1])]))
+        many, links = ends - starts > 1, []
+        for s, e in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
+            rest = group([v[s:e] for v in x], links)
+            if len(rest):
+                yield later([v[s:e][rest] for v in x])
+        yield from found(links)
 
-        def groups(k: np.ndarray, f: np.ndarray, family: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cut = np.flatnonzero(np.diff(k)) + 1
-            starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(k)]))
-            many = ends - starts > 1
-            out = [(np.full(len(a), family[s]), a, b) for s, e in zip(starts[many], ends[many], strict=True) for a, b in _forest(f[s:e], distance)]
-            if out:
-                family, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(family), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["family", "a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        # The key whose rows are too many to hold, and those kept of its earlier rows.
+        large: tuple[int, int] | None = None
+
+        def part(x: list[np.ndarray]) -> tuple[list[pa.RecordBatch], list[np.ndarray] | None]:
+            """One family: all rows are dealt again. Several: what is close is linked, and a few of it stand for it from then on."""
+            if x[3].shape[1] == 1 and not last:
+                return [later(x)], None
+            links: list = []
+            rest = group(x, links)
+            out = list(found(links))
+            if len(rest):
+                out.append(later([v[rest] for v in x]))
+            reached = np.setdiff1d(np.arange(len(x[2])), rest)
+            kept = reached[np.linspace(0, len(reached) - 1, min(len(reached), STAND_INS)).astype(np.int64)] if len(reached) else reached
+            return out, [v[kept] for v in x]
 
         for b in batches:
-            new = (b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy())
-            held = tuple(np.concatenate(x) for x in zip(held, new, strict=True))
-            if len(held[0]):
-                at = np.searchsorted(held[0], held[0][-1])
-                ready, held = tuple(x[:at] for x in held), tuple(x[at:] for x in held)
-                if at:
-                    yield from groups(*ready)
-        if len(held[0]):
-            yield from groups(*held)
-
-    return map_batches(dealt, run, "family int, a bigint, b bigint")
+            if not b.num_rows:
+                continue
+            new = [b.column(k).to_numpy() for k in range(3)]
+            new.append(_words(b.column(3), b.num_rows))
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            same = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
+            at = 0 if same.all() else int(len(same) - same[::-1].argmin())
+            ready, held = [x[:at] for x in held], [x[at:] for x in held]
+            if at:
+                if large is not None:
+                    own = (ready[0] == large[0]) & (ready[1] == large[1])
+                    yield from part([x[own] for x in ready])[0]
+                    ready, large = [x[~own] for x in ready], None
+                if len(ready[0]):
+                    yield from groups(ready)
+            if len(held[0]) > HOLD:
+                large = (int(held[0][0]), int(held[1][0]))
+                out, held = part(held)
+                yield from out
+        if held is not None and len(held[0]):
+            yield from part(held)[0] if large is not None else groups(held)
+
+    return run
+
+
+def links(nodes: DataFrame, n: int, families: int = 1, distance: int = DISTANCE) -> DataFrame:
+    """``(a, b)`` between the nodes of ``nodes(node, simhash_fps)``, with the components of all pairs within ``distance``.
+
+    ``nodes`` has about ``n`` rows, all of different fingerprints.
+    """
+    kind = "table bigint, key bigint, a bigint, b bigint, simhash_fps array<bigint>"
+    found = dict(enumerate(([(m,) for m in tables(n, distance)] if families == 1 else wide_tables(n, families)), start=1))
+    rows, all_links = nodes.select(F.lit(0).cast("long").alias("table"), F.lit(0).cast("long").alias("key"), "node", "simhash_fps"), None
+    while True:
+        dealt = _dealt(rows, found).repartition("key").sortWithinPartitions("key", "table", "node")
+        # What agrees in so many bits, or leaves none free, isn't dealt again.
+        last = max(found) >> SPLITS * (DEPTH - 1) > 0 or not all(split_tables(t, distance) for t in found.values())
+        got = checkpointed(map_batches(dealt, _search(distance, last), kind))
+        own = got.where("b IS NOT NULL").select("a", "b")
+        all_links = own if all_links is None else all_links.unionByName(own)
+        rows = got.where("b IS NULL").select("table", "key", F.col("a").alias("node"), "simhash_fps")
+        which = [r[0] for r in rows.select("table").distinct().collect()]
+        if not which:
+            return all_links
+        # A table's number and that of its split make the number of the next.
+        found = {t << SPLITS | k: tuple(a | b for a, b in zip(found[t], extra, strict=True)) for t in which for k, extra in enumerate(split_tables(found[t], distance))}
 
 
 def classes(marked: DataFrame, distance: int = DISTANCE, families: int = 1) -> DataFrame:
     """``(simhash_fps, root, component_id)`` for ``marked(doc_id, simhash_fps)``.
 
-    Texts are linked if in any family their fingerprints are. ``root`` names a component, ``component_id`` is
-    the smallest doc_id in it. Documents with all fingerprints equal are one row throughout.
+    ``root`` names a component, ``component_id`` is the smallest doc_id in it. Documents with all fingerprints equal are one
+    row throughout; a row's number, given once and stored, is its name.
     """
-    alike = checkpointed(marked.groupBy("simhash_fps").agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64("simhash_fps")))
-    each = alike.select("node", F.posexplode("simhash_fps").alias("family", "simhash_fp"))
-    heads = checkpointed(each.groupBy("family", "simhash_fp").agg(F.min("node").alias("head")))
-    shared = each.join(heads, ["family", "simhash_fp"]).select(F.col("node").alias("a"), F.col("head").alias("b")) if families > 1 else None
-    close = links(heads.select("family", "simhash_fp"), max(1, heads.count() // families), distance)
-    close = close.join(heads.withColumnRenamed("simhash_fp", "a"), ["family", "a"]).withColumnRenamed("head", "x")
-    close = close.join(heads.withColumnRenamed("simhash_fp", "b"), ["family", "b"]).select(F.col("x").alias("a"), F.col("head").alias("b"))
-    roots = components(close if shared is None else close.unionByName(shared))
+    alike = checkpointed(marked.groupBy("simhash_fps").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    roots = components(links(alike.select("node", "simhash_fps"), alike.count(), families, distance))
     linked = alike.join(roots, "node")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = linked.join(least, "root").select("node", "root", "component_id")
@@ -175,13 +355,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     return marked.join(classes(marked, distance), "simhash_fps").select("doc_id", F.get("simhash_fps", 0).alias("simhash_fp"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, text: str = "text", families: int = FAMILIES) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, distance: int | None = None, text: str = "text", families: int = FAMILIES) -> DataFrame:
     """One row of each component stays: one of its smallest id (of those, the text of the least hash; null ids come last)."""
+    if distance is None:
+        distance = DISTANCE if families == 1 else WIDE_DISTANCE * families // FAMILIES
     key = (F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("simhash_id"), F.xxhash64(F.lit(5), text).alias("simhash_form"))
     given = docs.select("doc_id", *key, F.col(text).alias("text"))
     marked = checkpointed(fingerprints(given, ["doc_id", "simhash_id", "simhash_form"], words, families=families))
     # Copies share their fingerprints, so they are one row before the join.
     least = marked.groupBy("simhash_fps").agg(F.min(F.struct("simhash_id", "simhash_form")).alias("k"))
     first = least.join(classes(marked, distance, families), "simhash_fps").groupBy("root").agg(F.min("k").alias("k")).select("k.*")
-    alike = F.row_number().over(Window.partitionBy("simhash_id", "simhash_form").orderBy(F.lit(0)))
-    return docs.select("*", *key).join(first, ["simhash_id", "simhash_form"]).withColumn("simhash_n", alike).where("simhash_n = 1").select(*docs.columns)
+    alike = F.row_number().over(Window.partitionBy("simhash_id", "simhash_form").orderBy("simhash_any"))
+    rows = docs.select(F.struct("*").alias("simhash_row"), *key, F.xxhash64(*docs.columns).alias("simhash_any"))
+    return rows.join(first, ["simhash_id", "simhash_form"]).withColumn("simhash_n", alike).where("simhash_n = 1").select("simhash_row.*")

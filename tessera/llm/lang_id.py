@@ -1,14 +1,14 @@
 """Language identification by segmentation-marginalised unigrams over a fixed public vocabulary.
 
-A word is its letters in lower case after a space, as UTF-8. Under a language, its probability is the sum
+A word is its letters and their marks in lower case after a space, as UTF-8. Under a language, its probability is the sum
 over all ways to cut it into vocabulary pieces of the product of their probabilities, which a forward
 pass computes; a text's score is the sum over its words of the logarithms. The piece probabilities are
 fitted by expectation maximisation (forward-backward) from the word counts of each language.
 
 The vocabulary is a file of ``base64(piece) rank`` lines, all of which are used; all single bytes are among them, so
-every word has a segmentation. Pieces of up to ``SHORT`` bytes are looked up as whole numbers for all words at once,
-longer ones only in words that hold the first ``SHORT`` bytes of one, byte by byte down a tree. Runs of over ``STRETCH`` bytes without
-white space are scored in stretches of that length.
+every word has a segmentation. Pieces of up to ``SHORT`` bytes are looked up as whole numbers, for all words of one length at once,
+longer ones only where the first ``SHORT`` bytes of one stand, byte by byte down a tree. A word of over ``MANY`` bytes is gone through by
+itself, with the same sums in logarithms, however long it is.
 
 Fitting takes at most about ``DOCS_A_LANGUAGE`` documents of each language, drawn by a hash of the id, and all their
 words; the driver holds the words of one language at a time. The model has a column a language whatever the corpus's
@@ -22,6 +22,7 @@ repeated rows are judged alike; an empty table gives no rows; other columns pass
 from __future__ import annotations
 
 import base64
+import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpointed, map_batches
 
-SHORT, STRETCH = 8, 256
+SHORT, MANY = 8, 64
 DOCS_A_LANGUAGE, ROUNDS, ADDED = 300, 3, 0.05
-#: Distinct words whose scores a worker remembers; then it starts anew.
-REMEMBERED = 500_000
+#: Distinct words, and letters in them, whose scores a worker remembers; then it starts anew.
+REMEMBERED, REMEMBERED_LETTERS = 500_000, 16 << 20
 UNKNOWN = "und"
 
 
@@ -115,6 +116,57 @@ class Lattice:
                         longer.append((i, end + 1, own[whole], self.piece[node[whole]]))
         return Found(out, longer)
 
+    def line(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces in one word, by their ends: starts, ends, piece numbers."""
+        data, width = np.frombuffer(raw, np.uint8), len(raw)
+        out, key = [], np.zeros(width + 1, np.uint64)
+        for n in range(1, min(SHORT, width) + 1):
+            key = (key[: width - n + 1] << np.uint64(8)) | data[n - 1 :].astype(np.uint64)
+            keys = self.keys[n - 1]
+            if len(keys):
+                k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                own = np.flatnonzero(keys[k] == key)
+                out.append((own, own + n, self.ids[n - 1][k[own]]))
+        if width > SHORT and len(self.heads):
+            node = np.minimum(np.searchsorted(self.heads, key), len(self.heads) - 1)
+            own = np.flatnonzero(self.heads[node] == key)
+            node, end = node[own], own + SHORT
+            while len(own):
+                inside = end < width
+                own, node, end = own[inside], node[inside], end[inside]
+                step = node * 256 + data[end]
+                k = np.minimum(np.searchsorted(self.edges, step), len(self.edges) - 1)
+                on = self.edges[k] == step
+                own, node, end = own[on], self.to[k[on]], end[on] + 1
+                whole = self.piece[node] >= 0
+                out.append((own[whole], end[whole], self.piece[node[whole]]))
+        start, end, ids = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.lexsort((start, end))
+        return start[order], end[order], ids[order]
+
+
+def _sum_to(at: np.ndarray, ends: np.ndarray, logs: np.ndarray, width: int) -> np.ndarray:
+    """The logarithms of the sums over ways to each place: a row a place, a column a language. Pieces come by their ends."""
+    out = np.zeros((width + 1, logs.shape[1]))
+    cut = np.searchsorted(ends, np.arange(1, width + 2)).tolist()
+    for j, (a, z) in enumerate(zip(cut, cut[1:], strict=False), start=1):
+        x = out[at[a:z]] + logs[a:z]
+        top = x.max(axis=0)
+        out[j] = top + np.log(np.exp(x - top).sum(axis=0))
+    return out
+
+
+def _expected_in(line: tuple[np.ndarray, np.ndarray, np.ndarray], p: np.ndarray, times: float, width: int) -> np.ndarray:
+    """How often each piece is expected in one word, by forward and backward sums."""
+    start, end, ids = line
+    logs = np.log(p[ids])
+    forward = _sum_to(start, end, logs, width)
+    # Backward is forward in the word read from its end.
+    order = np.lexsort((width - end, width - start))
+    backward = _sum_to((width - end)[order], (width - start)[order], logs[order], width)[::-1]
+    share = np.exp(forward[start, 0] + logs[:, 0] + backward[end, 0] - forward[width, 0])
+    return np.bincount(ids, share * times, len(p))
+
 
 def _forward(found: Found, probs: np.ndarray, n_words: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Forward sums by position (scaled) and the logarithm of each word's scale. ``probs``: pieces + 1 rows, a column a language."""
@@ -139,11 +191,14 @@ def _forward(found: Found, probs: np.ndarray, n_words: int) -> tuple[list[np.nda
     return alpha, scale
 
 
-def stretches(word: str) -> list[bytes]:
-    """The letters of a word as the bytes to score."""
-    letters = "".join(filter(str.isalpha, word.lower()))
-    raw = b" " + letters.encode()
-    return [raw[i : i + STRETCH] for i in range(0, len(raw), STRETCH)] if letters else []
+def letters(word: str) -> bytes | None:
+    """The letters and marks of a word as the bytes to score; None if it has no letter."""
+    word = word.lower()
+    if not word.isalpha():
+        if not any(map(str.isalpha, word)):
+            return None
+        word = "".join(c for c in word if c.isalpha() or unicodedata.category(c)[0] == "M")
+    return b" " + word.encode()
 
 
 @dataclass
@@ -158,6 +213,8 @@ class Model:
     def _start(self) -> None:
         self._lattice = Lattice(self.pieces)
         self._row: dict[str, int] = {}
+        self._held = 0
+        self._logs: np.ndarray | None = None
         self._scores = np.zeros((0, len(self.langs)))
 
     def __getstate__(self) -> tuple:
@@ -172,22 +229,30 @@ class Model:
         out = np.zeros((len(words), len(self.langs)))
         by_length: dict[int, list[tuple[int, bytes]]] = {}
         for i, w in enumerate(words):
-            for raw in stretches(w):
+            raw = letters(w)
+            if raw and len(raw) <= MANY:
                 by_length.setdefault(len(raw), []).append((i, raw))
+            elif raw:
+                if self._logs is None:
+                    self._logs = np.log(self.probs[:-1])
+                start, end, ids = self._lattice.line(raw)
+                out[i] = _sum_to(start, end, self._logs[ids], len(raw))[-1]
         for n, all_of_n in by_length.items():
             for at in range(0, len(all_of_n), 1 << 14):
                 part = all_of_n[at : at + (1 << 14)]
                 raw = np.frombuffer(b"".join(r for _, r in part), np.uint8).reshape(-1, n)
                 alpha, scale = _forward(self._lattice.find(raw), self.probs, len(part))
-                np.add.at(out, [i for i, _ in part], np.log(alpha[n]) + scale)
+                out[[i for i, _ in part]] = np.log(alpha[n]) + scale
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         split = [(t or "").split() for t in texts]
         seen = set().union(*split) if split else set()
         new = [w for w in seen if w not in self._row]
-        if len(self._row) + len(new) > REMEMBERED:
+        self._held += sum(map(len, new))
+        if len(self._row) + len(new) > REMEMBERED or self._held > REMEMBERED_LETTERS:
             self._row, self._scores, new = {}, self._scores[:0], list(seen)
+            self._held = sum(map(len, new))
         if new:
             self._row.update(zip(new, range(len(self._row), len(self._row) + len(new)), strict=True))
             self._scores = np.concatenate((self._scores, self.score_words(new)))
@@ -215,10 +280,12 @@ def fit_each(words: Iterable[tuple[str, list[tuple[str, int]]]], pieces: list[by
     for lang, counts in words:
         by_length: dict[int, dict[bytes, int]] = {}
         for word, n in counts:
-            for raw in stretches(word):
+            raw = letters(word)
+            if raw:
                 own = by_length.setdefault(len(raw), {})
                 own[raw] = own.get(raw, 0) + n
-        found = [(np.array(list(own.values()), float), lattice.find(np.frombuffer(b"".join(own), np.uint8).reshape(-1, n))) for n, own in sorted(by_length.items())]
+        found = [(np.array(list(own.values()), float), lattice.find(np.frombuffer(b"".join(own), np.uint8).reshape(-1, n))) for n, own in sorted(by_length.items()) if n <= MANY]
+        lines = [(float(times), lattice.line(raw), n) for n, own in sorted(by_length.items()) if n > MANY for raw, times in own.items()]
         # The start: all pieces of a length alike, longer ones a little less likely.
         p = np.append(np.array([4.0 ** -len(x) for x in pieces]), 0.0)[:, None]
         p /= p.sum()
@@ -226,6 +293,8 @@ def fit_each(words: Iterable[tuple[str, list[tuple[str, int]]]], pieces: list[by
             expected = np.zeros(n_pieces + 1)
             for times, lat in found:
                 expected += _expected(lat, p, times)
+            for times, line, n in lines:
+                expected += _expected_in(line, p, times, n)
             p = np.append(expected[:n_pieces] + ADDED, 0.0)[:, None]
             p /= p.sum()
         langs.append(lang)
@@ -279,8 +348,8 @@ def train(docs: DataFrame, vocabulary: str, docs_a_language: int = DOCS_A_LANGUA
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """``docs``' columns ``keep`` with ``lang_pred`` and ``score``, the model's share for that language."""
-    kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["lang_pred string", "score double"])
+    """``docs``' columns ``keep`` with ``langid_pred`` and ``langid_score``, the model's share for that language."""
+    kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["langid_pred string", "langid_score double"])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,6 +358,6 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 got = m.predict(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "langid_pred", "langid_score"])
 
-    return map_batches(docs.select(*keep, F.col(text).alias("lang_text")), run, kind)
+    return map_batches(docs.select(*keep, F.col(text).alias("langid_text")), run, kind)

@@ -178,7 +178,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)))
     model = lang_id.train(docs.where("NOT held_out"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return lang_id.identify(docs, model, ["doc_id", "held_out"])
+    found = lang_id.identify(docs, model, ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", F.col("langid_pred").alias("lang_pred"), F.col("langid_score").alias("score"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

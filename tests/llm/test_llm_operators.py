@@ -223,11 +223,13 @@ def test_language(spark, awkward, nothing):
     model = lang_id.train(known, PIECES)
     asked = spark.createDataFrame([("the quiet garden", "en"), ("le jardin calme", "fr"), (None, "und"), ("12 !!", "und"), ("", "und"), ("z" * 5000, None)], "text string, want string")
     for r in lang_id.identify(asked, model, ["want"]).collect():
-        assert r["lang_pred"] == r["want"] or r["want"] is None
-        assert 0 <= r["score"] <= 1
-    assert lang_id.identify(awkward, model, awkward.columns).count() == awkward.count()
+        assert r["langid_pred"] == r["want"] or r["want"] is None
+        assert 0 <= r["langid_score"] <= 1
+    mine = awkward.withColumns({c: F.lit("own") for c in ("score", "lang_pred", "held_out", "word", "draw", "count")})
+    got = lang_id.identify(mine, lang_id.train(mine, PIECES), mine.columns)
+    assert got.columns == [*mine.columns, "langid_pred", "langid_score"] and got.where("score = 'own' AND lang_pred = 'own'").count() == awkward.count()
     blank = lang_id.train(nothing, PIECES)
-    assert {r["lang_pred"] for r in lang_id.identify(awkward, blank, ["doc_id"]).collect()} == {"und"}
+    assert {r["langid_pred"] for r in lang_id.identify(awkward, blank, ["doc_id"]).collect()} == {"und"}
 
 
 def test_language_learns_all_words_of_the_drawn_documents(spark):
@@ -237,7 +239,7 @@ def test_language_learns_all_words_of_the_drawn_documents(spark):
     model = lang_id.train(spark.createDataFrame(known, "doc_id long, text string, lang string"), PIECES)
     assert model.langs == ["aa", "zz"]
     asked = spark.createDataFrame([("knigu ženščina čitala",)], "text string")
-    assert lang_id.identify(asked, model, ["text"]).first()["lang_pred"] == "zz"
+    assert lang_id.identify(asked, model, ["text"]).first()["langid_pred"] == "zz"
 
 
 def test_forward_sums_all_segmentations():
@@ -281,6 +283,33 @@ def test_pieces_of_all_lengths():
         assert expected[[k for k, x in enumerate(own) if len(x) > 8]].sum() > 0
 
 
+def test_long_words_are_scored_whole():
+    """Words on both sides of the length from which they are gone through alone, against all segmentations."""
+    pieces = sorted([b"ab", b"abc", b"bcabca", b"cabcabcab", b"bcabcabcabc"] + [bytes([b]) for b in range(256)])
+    words = ["abc" * k + "a" * (k % 3) for k in (1, 5, 20, 21, 22, 90, 400)]
+    model = lang_id.fit([("x", w, 1) for w in words] + [("y", "cab", 3)], pieces)
+    for col in (0, 1):
+        p = {x: math.log(v) for x, v in zip(pieces, model.probs[:, col], strict=False)}
+        for w, score in zip(words, model.score_words(words)[:, col], strict=True):
+            raw, sums = b" " + w.encode(), [0.0]
+            for j in range(1, len(raw) + 1):
+                ways = [sums[i] + p[raw[i:j]] for i in range(max(0, j - 11), j) if raw[i:j] in p]
+                sums.append(max(ways) + math.log(sum(math.exp(v - max(ways)) for v in ways)))
+            assert math.isclose(score, sums[-1], rel_tol=1e-9)
+    lattice = lang_id.Lattice(pieces)
+    for w in words:
+        raw = b" " + w.encode()
+        alone = lang_id._expected_in(lattice.line(raw), model.probs[:, :1], 1.0, len(raw))
+        assert math.isclose(sum(e * len(x) for e, x in zip(alone, pieces, strict=False)), len(raw), rel_tol=1e-9)
+        if len(raw) <= 70:
+            assert np.allclose(alone, lang_id._expected(lattice.find(np.frombuffer(raw, np.uint8).reshape(1, -1)), model.probs[:, :1], np.ones(1)))
+
+
+def test_marks_are_kept():
+    assert lang_id.letters("नमस्ते!") == b" " + "नमस्ते".encode() and lang_id.letters("e\u0301t9") == b" " + "e\u0301t".encode()
+    assert lang_id.letters("\u0301") is None and lang_id.letters("12") is None
+
+
 def test_held_out_accuracy(spark):
     got = queries.op3_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97

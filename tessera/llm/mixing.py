@@ -117,6 +117,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
         F.col("doc_id").alias("mix_id"),
     )
     sized = sized.withColumn("mix_cell", size_class(F.col("mix_size"))).withColumn("mix_salt", F.pmod("mix_deal", F.lit(SALTS)).cast("int"))
+    if text not in keep:
+        # Words are counted once; with the texts themselves, a second count costs less than storing them.
+        sized = checkpointed(sized)
     counts = checkpointed(sized.groupBy(F.col("mix_key").alias("key"), F.col("mix_cell").alias("cell"), F.col("mix_salt").alias("salt")).agg(F.count("*").alias("docs"), F.sum("mix_size").alias("tokens")))
     sources = checkpointed(targets(counts.groupBy("key").agg(F.sum("tokens").alias("source_size")), weights, most))
     cells = counts.where("cell > 0").groupBy("key", "cell").agg(F.sum("docs").alias("docs"), F.sum("tokens").cast("double").alias("tokens"))

@@ -34,7 +34,7 @@ def word_count(c: Column) -> Column:
 
 
 #: Rows go to Python in batches of up to so many bytes, however long single rows are.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: str) -> DataFrame:

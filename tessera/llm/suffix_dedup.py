@@ -46,14 +46,14 @@ from tessera.llm.common import map_batches
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 PARTITION_BYTES = 64 << 20
 #: A shard has the segments of so much text; more, up to SHARD_BYTES, once there are SHARDS_A_CORE of them.
 LEAST_BYTES, SHARD_BYTES, SHARDS_A_CORE = 16 << 20, 1 << 30, 8
 #: Buckets of a partition and of a shard, which spread evenly and keep like segments together.
 BUCKETS = 16
 #: Bytes of segments that a shard remembers while it looks for copies.
-REMEMBERED = 32 << 20
+REMEMBERED = 8 << 20
 HOT = 20_000
 NULL_ID = -(1 << 63)
 #: Windows by how far before their anchor they start; all of a class hold the same bytes around it.

@@ -163,7 +163,19 @@ def _forest(fps: np.ndarray, nodes: np.ndarray, distance: int, patience: int | N
     """
     open_ = np.arange(len(fps))
     queue = open_[:0]
+    tree = open_.copy()  # the tree that a row is in: only links between two trees are given
     idle = 0
+
+    def joins(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+        out: tuple[list[int], list[int]] = ([], [])
+        apart = np.flatnonzero(tree[a] != tree[b])
+        for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+            if tree[x] != tree[y]:
+                tree[tree == tree[y]] = tree[x]
+                out[0].append(x)
+                out[1].append(y)
+        return out
+
     while len(open_) or len(queue):
         if not len(queue):
             if patience is not None and idle >= patience:
@@ -176,21 +188,24 @@ def _forest(fps: np.ndarray, nodes: np.ndarray, distance: int, patience: int | N
         # Among the front itself, pairs once.
         near[:, : len(front)] &= np.triu(np.ones((len(front), len(front)), bool), 1)
         inner = near[:, : len(front)].nonzero()
-        links = [(front[inner[0]], front[inner[1]])]
+        links = [joins(front[inner[0]], front[inner[1]])]
         out = near[:, len(front) :]
         found = out.any(axis=0).nonzero()[0]
         if len(found):
-            # Each of the others found is linked to the first that is near it, and the others near it to that one.
-            first = out[:, found].argmax(axis=0)
-            links.append((front[first], rest[len(front) + found]))
+            # Of the others found, those reached now join the first that is near them; then what else is near joins trees.
+            first, to = out[:, found].argmax(axis=0), rest[len(front) + found]
+            new = found >= len(queue)
+            tree[to[new]] = tree[front[first[new]]]
+            links.append((front[first[new]], to[new]))
             row, col = out[:, found].nonzero()
             also = np.unique(first[col] * FRONTIER + row)
-            links.append((front[also // FRONTIER], front[also % FRONTIER]))
+            links.append(joins(front[also // FRONTIER], front[also % FRONTIER]))
+            links.append(joins(front[first[~new]], to[~new]))
             fresh = found[found >= len(queue)] - len(queue)
             queue, open_ = np.concatenate((queue, open_[fresh])), np.delete(open_, fresh)
             idle = 0 if len(fresh) >= FRONTIER else idle
-        a, b = (np.concatenate(x) for x in zip(*links, strict=True))
-        yield nodes[a[a != b]], nodes[b[a != b]]
+        a, b = (np.concatenate([np.asarray(v, np.int64) for v in x]) for x in zip(*links, strict=True))
+        yield nodes[a], nodes[b]
     return open_
 
 

@@ -12,8 +12,9 @@ finished trees are a CASE expression that runs in generated code. Training uses
 
 Features: url length, path depth, digits in thousands of the length, entropy of the characters, number of
 query parameters, host labels, hyphens, and for the host's last one and two labels the smoothed share
-of blocked urls among the labelled ones. The share table has at most a row a training url, and only
-so is broadcast.
+of blocked urls among the labelled ones. While the trees are trained, a url's share is that of the other parts of the
+labelled urls (``FOLDS``, by hash), so no url sees its own label. The share tables have at most a row a training url, and only
+so are broadcast.
 
 DataFrame functions only.
 
@@ -39,6 +40,7 @@ FEATURES = ("length", "depth", "digits", "entropy", "params", "labels", "hyphens
 BOUND, TREES, DEPTH, BINS, RATE, L2, SMOOTH = 20_000, 10, 3, 16, 0.3, 1.0, 10.0
 #: Whole-number gradients: so many to one.
 UNIT = 1_000_000
+FOLDS = 4
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -139,16 +141,22 @@ def train(labelled: DataFrame, bound: int = BOUND, trees: int = TREES, depth: in
         return Model(only=BLOCK if counted["n"] and counted["bad"] else ALLOW)
     part = min(1.0, bound / counted["n"])
     drawn = labelled.where(F.pmod(F.xxhash64("url_url"), F.lit(1 << 30)) < int(part * (1 << 30))) if part < 1 else labelled
-    sample = checkpointed(_with_features(drawn).drop("url_url", "url_host", "url_path"))
+    part_of = F.pmod(F.xxhash64(F.lit(1), "url_url"), F.lit(FOLDS)).alias("url_fold")
+    sample = checkpointed(_with_features(drawn).select("*", part_of).drop("url_url", "url_host", "url_path"))
     seen = sample.agg(F.count("*").alias("n"), F.count_if("url_label").alias("bad")).first()
     if seen["n"] == 0 or seen["bad"] in (0, seen["n"]):
         return Model(only=BLOCK if seen["n"] and seen["bad"] else ALLOW)
     model, share = Model(only=None), seen["bad"] / seen["n"]
     model.prior_share = round(share, 6)
-    model.shares = [
-        checkpointed(sample.groupBy(f"url_s{k}").agg(F.round((F.count_if("url_label") + SMOOTH * share) / (F.count("*") + SMOOTH), 6).alias(f"url_f_suffix{k}"))) for k in (1, 2)
-    ]
-    rows = _add_shares(sample, model)
+    smoothed = lambda bad, n: F.round((bad + SMOOTH * share) / (n + SMOOTH), 6)
+    rows = sample
+    for k in (1, 2):
+        suffix = f"url_s{k}"
+        counts = checkpointed(sample.groupBy(suffix, "url_fold").agg(F.count_if("url_label").alias("bad"), F.count("*").alias("n")))
+        sums = counts.groupBy(suffix).agg(F.sum("bad").alias("all_bad"), F.sum("n").alias("all_n"))
+        model.shares.append(checkpointed(sums.select(suffix, smoothed(F.col("all_bad"), F.col("all_n")).alias(f"url_f_suffix{k}"))))
+        others = counts.join(sums, suffix).select(suffix, "url_fold", smoothed(F.col("all_bad") - F.col("bad"), F.col("all_n") - F.col("n")).alias(f"url_f_suffix{k}"))
+        rows = rows.join(F.broadcast(others), [suffix, "url_fold"])
     steps = [F.lit(k / BINS) for k in range(1, BINS)]
     cuts = rows.agg(*(F.array_distinct(F.percentile(F.col(f"url_f_{f}"), F.array(*steps))).alias(f) for f in FEATURES)).first()
     cuts = {f: sorted(cuts[f]) for f in FEATURES}

@@ -65,6 +65,24 @@ def test_trees_learn(spark):
     assert [r[0] for r in one] == ["block"]
 
 
+def test_suffix_shares_do_not_see_their_own_label(spark):
+    """Every host is its own, so its share says nothing of others; the parameters decide."""
+    made = lambda a, z: spark.range(a, z).select(F.concat(F.lit("http://h"), F.col("id"), F.lit(".net/p"), F.when(F.col("id") % 3 == 0, "?a=1&b=2&c=3").otherwise("")).alias("url"), (F.col("id") % 3 == 0).alias("blocked"))
+    model = url_filter.train(url_filter.judge(made(0, 3000), []).select(F.col("url").alias("url_url"), "url_host", "url_path", F.col("blocked").alias("url_label")))
+    used = set()
+
+    def walk(t):
+        if isinstance(t, tuple):
+            used.add(t[0])
+            walk(t[2]), walk(t[3])
+
+    for t in model.trees:
+        walk(t)
+    assert "suffix2" not in used and used & {"params", "length"}
+    got = url_filter.judge(made(5_000, 5_600), [], labelled=made(0, 3000)).collect()
+    assert np.mean([(r["url_verdict"] == "block") == r["blocked"] for r in got]) > 0.95
+
+
 # 2
 
 

@@ -1,24 +1,34 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-Codes are 64 bits: the signs of a vector's values (or any longs). The index holds each distinct code once,
-with its ``k`` least ids, under each of its four 16-bit segments; copies of a code, however many, can so
+Codes are 64 bits: the signs of a vector's values (or any longs). They are cut into segments about as wide as the number
+of distinct codes has bits (two of 32 to eight of 8), so that a bucket has a few codes at any size. The index holds each distinct
+code once, with its ``k`` least ids, under each of its ``m`` segments; copies of a code, however many, can so
 add at most ``k`` answers. A round of radius ``r`` probes, for each unfinished query and segment, the values that
-differ from its own in just ``r`` bits, and verifies what it meets within the join. All codes within distance ``4 r + 3`` are then known, since one of
-their segments is within ``r``; a query is finished once its ``k``-th verified distance is no more.
+differ from its own in just ``r`` bits, and verifies what it meets within the join. All codes within distance
+``m (r + 1) - 1`` are then known, since one of their segments is within ``r``; a query is finished once its ``k``-th verified
+distance is no more. The turned bits of a round are a constant of the plan: a few thousand numbers at the radii that this many codes need.
 
 Defined cases: a null vector, or one whose length is not 64, has no code, so it is neither indexed nor a query;
-null values count as not positive; ties are ordered by id; repeated rows are answers of their own up to ``k``
-a code; a table of fewer than ``k`` codes answers with all it has; an empty table gives no rows.
+null values count as not positive; a row without an id is no answer, a query without one is a query; ties are ordered by id;
+repeated rows are answers of their own up to ``k`` a code; a query id with several codes has a list for each, told apart by
+``query_code``; a table of fewer than ``k`` codes answers with all it has; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpointed
 
-SEGMENTS, WIDTH = 4, 16
+
+def edges(codes: int) -> list[int]:
+    """Where the segments for so many distinct codes begin and end."""
+    m = min(8, max(2, round(64 / math.log2(max(codes, 2)))))
+    return [64 * s // m for s in range(m + 1)]
 
 
 def sign_code(vector: Column) -> Column:
@@ -31,47 +41,56 @@ def sign_code(vector: Column) -> Column:
     return F.when(F.size(vector) == 64, bits)
 
 
-def _segment(code: Column, s: Column | int) -> Column:
-    shift = (s if isinstance(s, Column) else F.lit(s)) * WIDTH
-    return F.call_function("shiftrightunsigned", code, shift.cast("int")).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("long"))
+def _segments(code: Column, cuts: list[int]) -> Column:
+    """A row ``x(s, value, top)`` for each segment; ``top`` is beyond its values."""
+
+    def part(s: int) -> Column:
+        a, b = cuts[s : s + 2]
+        value = F.call_function("shiftrightunsigned", code, F.lit(a)).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long"))
+        return F.struct(F.lit(s).alias("s"), value.alias("value"), F.lit(1 << (b - a)).cast("long").alias("top"))
+
+    return F.explode(F.array(*map(part, range(len(cuts) - 1)))).alias("x")
 
 
-def _segments(code: Column, flip: Column) -> Column:
-    """A row ``x(s, value)`` for each segment, with the bits ``flip`` turned over."""
-    return F.explode(F.array(*(F.struct(F.lit(s).alias("s"), _segment(code, s).bitwiseXOR(flip).alias("value")) for s in range(SEGMENTS)))).alias("x")
+def _flips(width: int, r: int) -> Column:
+    """All numbers of ``r`` of the low ``width`` bits, as one constant."""
+    return F.split(F.lit(",".join(str(sum(1 << b for b in bits)) for bits in combinations(range(width), r))), ",").cast("array<bigint>")
 
 
 def top_k(coded: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """``(query_id, rank, id, distance)``: the ``k`` nearest of ``coded(id, code)`` for each of ``queries(query_id, code)``."""
+    """``(query_id, rank, id, distance, query_code)``: the ``k`` nearest of ``coded(id, code)`` for each of ``queries(query_id, code)``."""
+    spark = coded.sparkSession
     nth = F.row_number().over(Window.partitionBy("code").orderBy("id"))
-    ids = coded.where("code IS NOT NULL").withColumn("n", nth).where(F.col("n") <= k).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    ids = checkpointed(ids)
-    total = ids.agg(F.sum(F.size("ids"))).first()[0] or 0
-    index = ids.select("code", F.get("ids", 0).alias("first"), _segments(F.col("code"), F.lit(0).cast("long"))).select("x.*", "code", "first")
-    index = checkpointed(index)
-    pending = checkpointed(queries.where("code IS NOT NULL").select("query_id", F.col("code").alias("q")).distinct().withColumn("far", F.lit(64)))
-    best = None
-    for r in range(WIDTH + 1):
+    ids = coded.where("code IS NOT NULL AND id IS NOT NULL").withColumn("n", nth).where(F.col("n") <= k)
+    ids = checkpointed(ids.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+    total, codes = ids.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.count("*")).first()
+    cuts = edges(codes)
+    m, width = len(cuts) - 1, max(b - a for a, b in zip(cuts, cuts[1:], strict=False))
+    index = checkpointed(ids.select("code", F.get("ids", 0).alias("first"), _segments(F.col("code"), cuts)).select("x.s", "x.value", "code", "first"))
+    asked = checkpointed(queries.where("code IS NOT NULL").select("query_id", F.col("code").alias("q")).distinct().withColumn("query", F.monotonically_increasing_id()))
+    pending, best = asked.select("query", "q", F.lit(64).alias("far")), None
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for r in range(width + 1):
         if pending.isEmpty():
             break
-        flips = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << WIDTH) - 1).cast("long")), lambda f: F.bit_count(f) == r)
-        probe = pending.withColumn("flip", F.explode(flips)).select("query_id", "q", "far", _segments(F.col("q"), F.col("flip"))).select("query_id", "q", "far", "x.*")
+        own = pending.select("query", "q", "far", _segments(F.col("q"), cuts)).select("query", "q", "far", "x.*").repartition(parts, "query", "s")
+        probe = own.withColumn("flip", F.explode(_flips(width, r))).where("flip < top").withColumn("value", F.col("value").bitwiseXOR(F.col("flip")))
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
         # No code beyond the k-th verified distance so far can be an answer.
         near = probe.alias("p").join(index.alias("i"), (F.col("p.s") == F.col("i.s")) & (F.col("p.value") == F.col("i.value")) & (distance <= F.col("far")))
-        near = near.select("query_id", "q", "code", "first", distance.alias("distance")).distinct()
+        near = near.select("query", "code", "first", distance.alias("distance")).distinct()
         if best is not None:
-            known = best.select("query_id", "q", "code", "first", "distance").join(pending, ["query_id", "q"], "left_semi")
+            known = best.select("query", "code", "first", "distance").join(pending, "query", "left_semi")
             near = near.unionByName(known).distinct()
-        nearest = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "first"))
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+        nearest = F.row_number().over(Window.partitionBy("query").orderBy("distance", "first"))
+        place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
         near = near.withColumn("n", nearest).where(F.col("n") <= k).drop("n").join(ids, "code")
-        near = near.select("query_id", "q", "code", "first", "distance", F.explode("ids").alias("id")).withColumn("rank", place).where(F.col("rank") <= k)
-        best = checkpointed(near if best is None else near.unionByName(best.join(pending, ["query_id", "q"], "left_anti")))
-        state = best.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("d"))
+        near = near.select("query", "code", "first", "distance", F.explode("ids").alias("id")).withColumn("rank", place).where(F.col("rank") <= k)
+        best = checkpointed(near if best is None else near.unionByName(best.join(pending, "query", "left_anti")))
+        state = best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("d"))
         full = F.col("n") >= min(k, total)
-        left = pending.select("query_id", "q").join(state, "query_id", "left").where(F.col("n").isNull() | ~(full & (F.col("d") <= SEGMENTS * (r + 1) - 1)))
-        pending = checkpointed(left.select("query_id", "q", F.when(full, F.col("d")).otherwise(64).alias("far")))
+        left = pending.select("query", "q").join(state, "query", "left").where(F.col("n").isNull() | ~(full & (F.col("d") <= m * (r + 1) - 1)))
+        pending = checkpointed(left.select("query", "q", F.when(full, F.col("d")).otherwise(64).alias("far")))
     if best is None:
-        return coded.sparkSession.createDataFrame([], "query_id bigint, rank int, id bigint, distance int")
-    return best.select("query_id", "rank", "id", "distance")
+        return spark.createDataFrame([], "query_id bigint, rank int, id bigint, distance int, query_code bigint")
+    return best.join(asked, "query").select("query_id", "rank", "id", "distance", F.col("q").alias("query_code"))

@@ -515,6 +515,27 @@ def test_top_k(spark):
     assert len(topk.top_k(coded.where("id < 3"), asked.where("query_id = 0"), 7).collect()) == 3
 
 
+@pytest.mark.parametrize("codes", [1, 20, 5000])
+def test_top_k_at_every_number_of_segments(spark, codes):
+    """Null and repeated ids, and two codes of one query, against all distances."""
+    rnd = np.random.default_rng(codes)
+    base = rnd.integers(-(1 << 63), 1 << 63, codes)
+    every = [(k, int(c)) for k, c in enumerate(base)] + [(None, int(base[0])), (0, int(base[0])), (codes, None)]
+    asked = [(7, int(base[0])), (7, int(base[-1] ^ 5)), (7, int(base[0])), (None, int(rnd.integers(1 << 62))), (9, None)]
+    coded = spark.createDataFrame(every, "id long, code long")
+    got = {}
+    for r in topk.top_k(coded, spark.createDataFrame(asked, "query_id long, code long"), 6).collect():
+        got.setdefault((r["query_id"], r["query_code"]), []).append((r["rank"], r["distance"], r["id"]))
+    want = {(i, q): sorted(((q ^ c) % (1 << 64)).bit_count() * 10**6 + k for k, c in every if k is not None and c is not None)[:6] for i, q in asked if q is not None}
+    assert {key: [d * 10**6 + k for _, d, k in sorted(v)] for key, v in got.items()} == want
+    assert all([x[0] for x in sorted(v)] == list(range(1, len(v) + 1)) for v in got.values())
+
+
+def test_segments_follow_the_number_of_codes():
+    assert [len(topk.edges(n)) - 1 for n in (0, 1, 300, 5000, 1 << 16, 1 << 21, 1 << 30, 1 << 40)] == [8, 8, 8, 5, 4, 3, 2, 2]
+    assert all(topk.edges(n)[0] == 0 and topk.edges(n)[-1] == 64 for n in (1, 99, 10**6, 10**12))
+
+
 # 7
 
 

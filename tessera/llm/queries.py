@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat_format, html_extract, lang_id, mixing, quality, simhash, suffix_dedup, topk, url_filter
+from tessera.llm import bpe, chat_format, html_extract, lang_id, merkle, mixing, quality, simhash, suffix_dedup, topk, url_filter
 from tessera.llm.common import checkpointed, table
 
 CONVERSATION = "<|im_end|><|im_start|>assistant ok"
@@ -182,6 +182,72 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("langid_pred").alias("lang_pred"), F.col("langid_score").alias("score"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof, and whether a copy of it, tampered with or not, leads to the root."""
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    picked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars") + 1, F.col("text"))
+    docs = docs.withColumn("changed", F.when(picked & F.col("n_chars").isNotNull(), changed))
+    m = merkle.manifest(docs, ["doc_id", "changed"])
+    m = m.withColumn("folded_root", merkle.fold(F.coalesce("changed", "merkle_leaf"), F.col("merkle_path")))
+    return m.select(
+        "doc_id", F.col("merkle_leaf").alias("leaf"), F.col("merkle_subroot").alias("subroot"), F.col("merkle_root").alias("root"),
+        F.sha2(merkle.siblings(F.col("merkle_path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("merkle_root")).alias("verified"),
+    )
+
+
+OP13_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT *, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+                        lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))) AS crc
+  FROM documents
+), hashed AS (
+  SELECT doc_id, lang, d || s || l || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || t AS plain,
+         d || s || l || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || t AS tampered,
+         coalesce(xor(crc, 4294967295) % 7 = 0, false) AS picked
+  FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') AS d, coalesce(strlen(source) || ':' || source, '-') AS s,
+               coalesce(strlen(lang) || ':' || lang, '-') AS l, coalesce(strlen(text) || ':' || text, '-') AS t FROM docs)
+), leaves AS (
+  SELECT doc_id, lang, sha256(plain) AS leaf, CASE WHEN picked THEN sha256(tampered) ELSE sha256(plain) END AS start,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, sha256(plain)) - 1 AS pos
+  FROM hashed
+), below AS (
+  SELECT lang, 0 AS level, pos, leaf AS node, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (min(n) + 1) // 2
+  FROM below WHERE n > 1 GROUP BY lang, level, pos // 2
+), parts AS (
+  SELECT lang, node AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS part FROM below WHERE n = 1
+), above AS (
+  SELECT 0 AS level, part AS pos, subroot AS node, count(*) OVER () AS n FROM parts
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (min(n) + 1) // 2
+  FROM above WHERE n > 1 GROUP BY level, pos // 2
+), climb AS (
+  SELECT doc_id, lang, pos AS leaf_pos, leaf, 0 AS level, pos, start AS folded, '' AS proof FROM leaves
+  UNION ALL
+  SELECT c.doc_id, c.lang, c.leaf_pos, c.leaf, c.level + 1, c.pos // 2,
+         sha256(CASE WHEN c.pos % 2 = 1 THEN coalesce(s.node, '') || c.folded ELSE c.folded || coalesce(s.node, '') END), c.proof || coalesce(s.node, '')
+  FROM climb c JOIN below b ON b.lang IS NOT DISTINCT FROM c.lang AND b.level = c.level AND b.pos = c.pos AND b.n > 1
+  LEFT JOIN below s ON s.lang IS NOT DISTINCT FROM c.lang AND s.level = c.level AND s.pos = xor(c.pos, 1)
+), on_parts AS (
+  SELECT doc_id, leaf, subroot, 0 AS level, part AS pos, folded, proof
+  FROM (SELECT *, level = max(level) OVER (PARTITION BY lang, leaf_pos) AS last FROM climb) c JOIN parts p ON p.lang IS NOT DISTINCT FROM c.lang WHERE last
+), climb_on AS (
+  SELECT doc_id, leaf, subroot, level, pos, folded, proof, 1 AS n, row_number() OVER () AS id FROM on_parts
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.subroot, c.level + 1, c.pos // 2,
+         sha256(CASE WHEN c.pos % 2 = 1 THEN coalesce(s.node, '') || c.folded ELSE c.folded || coalesce(s.node, '') END), c.proof || coalesce(s.node, ''), 1, c.id
+  FROM climb_on c JOIN above b ON b.level = c.level AND b.pos = c.pos AND b.n > 1
+  LEFT JOIN above s ON s.level = c.level AND s.pos = xor(c.pos, 1)
+), done AS (
+  SELECT *, level = max(level) OVER (PARTITION BY id) AS last FROM climb_on
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM done, (SELECT node AS root FROM above WHERE n = 1) WHERE last
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -193,9 +259,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_chat_format": op9_chat_format,
     "op10_bpe": op10_bpe,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 SQL: dict[str, str] = {
     "op6_top_k": OP6_SQL,
     "op7_quality_rules": OP7_SQL,
     "op9_chat_format": OP9_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }

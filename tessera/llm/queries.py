@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat_format, html_extract, lang_id, merkle, mixing, quality, simhash, suffix_dedup, topk, url_filter
+from tessera.llm import bpe, chat_format, html_extract, lang_id, merkle, mixing, quality, simhash, suffix_dedup, topk, url_filter, variants
 from tessera.llm.common import checkpointed, table
 
 CONVERSATION = "<|im_end|><|im_start|>assistant ok"
@@ -248,6 +248,51 @@ FROM done, (SELECT node AS root FROM above WHERE n = 1) WHERE last
 """
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents, one run in 97 short of a letter, with its near words, its form and its root."""
+    words = variants.count_words(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_every=97)
+    return variants.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+OP11_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))) AS t
+), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), counted AS (
+  SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL
+), hashed AS (
+  SELECT run, n, xor(list_reduce(
+           list_prepend(4294967295, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+                                                           lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195, ord(c) - 64] END))),
+           lambda crc, byte: xor(t[(xor(crc, byte) & 255) + 1], crc >> 8)), 4294967295) AS h
+  FROM counted, crc_table
+), words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3
+), cut AS (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM words, range(0, 100) AS r(i) WHERE i < length(word)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION
+  SELECT c.word, w.word, w.n FROM cut c JOIN words w ON w.word = c.rest
+  UNION
+  SELECT w.word, c.word, c.n FROM cut c JOIN words w ON w.word = c.rest
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL
+  SELECT walk.word, formed.form FROM walk JOIN formed ON formed.word = walk.root WHERE formed.form IS NOT NULL
+)
+SELECT word, form, walk.root, n, n_near, form_n
+FROM formed JOIN walk USING (word) JOIN (SELECT word AS w, form AS f FROM formed) AS ends ON ends.w = walk.root AND ends.f IS NULL
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -259,11 +304,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_chat_format": op9_chat_format,
     "op10_bpe": op10_bpe,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 SQL: dict[str, str] = {
     "op6_top_k": OP6_SQL,
     "op7_quality_rules": OP7_SQL,
     "op9_chat_format": OP9_SQL,
+    "op11_spelling_variants": OP11_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat_format, html_extract, lang_id, merkle, mixing, quality, simhash, suffix_dedup, topk, url_filter, variants
+from tessera.llm import bpe, chat_format, crosspolytope, html_extract, lang_id, merkle, mixing, quality, simhash, suffix_dedup, topk, url_filter, variants
 from tessera.llm.common import checkpointed, table
 
 CONVERSATION = "<|im_end|><|im_start|>assistant ok"
@@ -182,6 +182,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("langid_pred").alias("lang_pred"), F.col("langid_score").alias("score"))
 
 
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20, among all vectors."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    return crosspolytope.neighbours(rows, asked).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, roots and proof, and whether a copy of it, tampered with or not, leads to the root."""
     docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
@@ -305,6 +312,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_bpe": op10_bpe,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_nearest": op12_nearest,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 SQL: dict[str, str] = {

@@ -1,17 +1,20 @@
 """The chunk index as Parquet tables: chunks with vectors, and postings; a document is replaced as a whole.
 
-Every write is a version of its own. Its rows go to ``chunks/version=N``; then its documents are published in
-``documents/version=N``, and only that makes it count. Readers take each document's last published version, so a write that
-failed half way adds nothing, and the next one clears its folder.
+Every write is a version of its own, under a name that no other writer has. Its rows go to ``chunks/version=NAME``, its documents to
+``documents/version=NAME``, and then its name is published in the folder's log, whose order counts. Readers take each document's last published
+version, so a write that failed half way adds nothing, and two writers at once don't touch each other's rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import retrieval
+from tessera.store import commit, commits
 
 SCHEMA_VERSION = 1
 
@@ -44,21 +47,19 @@ def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def publish(rows: DataFrame, documents: DataFrame, folder: str, version: int) -> None:
-    """Write ``rows``, then ``documents(doc_id, ...)`` as those that this version holds; both replace a failed try."""
-    rows.write.mode("overwrite").parquet(f"{folder}/chunks/version={version}")
-    documents.write.mode("overwrite").parquet(f"{folder}/documents/version={version}")
-
-
-def next_version(spark: SparkSession, folder: str) -> int:
-    known = table_or_none(spark, f"{folder}/documents")
-    return 0 if known is None else (known.agg(F.max("version")).first()[0] or 0) + 1
+def publish(rows: DataFrame, documents: DataFrame, folder: str) -> str:
+    """Write ``rows`` and ``documents(doc_id, ...)`` as a version that replaces these documents, and publish it; its name."""
+    name = f"v-{uuid.uuid4()}"
+    rows.write.parquet(f"{folder}/chunks/version={name}")
+    documents.write.parquet(f"{folder}/documents/version={name}")
+    commit(rows.sparkSession, folder, name)
+    return name
 
 
 def write(chunks: DataFrame, folder: str, documents: DataFrame | None = None) -> None:
     """Replace the documents of ``chunks`` (and of ``documents``, which may have lost all chunks); others stay."""
     named = chunks if documents is None else documents
-    publish(chunks, named.select("doc_id").distinct(), folder, next_version(chunks.sparkSession, folder))
+    publish(chunks, named.select("doc_id").distinct(), folder)
 
 
 def bucketed(chunks: DataFrame, buckets: int = 256) -> DataFrame:
@@ -71,9 +72,10 @@ def published(spark: SparkSession, folder: str) -> DataFrame | None:
     known = table_or_none(spark, f"{folder}/documents")
     if known is None:
         return None
-    others = [c for c in known.columns if c not in ("doc_id", "version")]
-    last = known.groupBy("doc_id").agg(F.max(F.struct("version", *others)).alias("last"))
-    return last.select("doc_id", "last.*")
+    known = known.join(commits(spark, folder).select("commit", F.col("name").alias("version")), "version")
+    others = [c for c in known.columns if c not in ("doc_id", "commit")]
+    last = known.groupBy("doc_id").agg(F.max(F.struct("commit", *others)).alias("last"))
+    return last.select("doc_id", *(f"last.{c}" for c in others))
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,9 +92,9 @@ def ordered(spark: SparkSession, folder: str, doc_id: int) -> DataFrame:
 
 
 def compact(spark: SparkSession, folder: str, into: str) -> None:
-    """The last versions alone, clustered by bucket, as version 0 of a new folder."""
+    """The last versions alone, clustered by bucket, as one version of a new folder."""
     rows = bucketed(read(spark, folder).drop("bucket")).repartition("bucket").sortWithinPartitions("bucket", "doc_id")
-    publish(rows, published(spark, folder).drop("version"), into, 0)
+    publish(rows, published(spark, folder).drop("version"), into)
 
 
 def write_postings(chunks: DataFrame, folder: str) -> None:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.index import table_or_none
+from tessera.store import commit, commits
+
 
 def latest(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key."""
@@ -28,3 +31,50 @@ def without_removed(rows: DataFrame, removals: DataFrame, key: str) -> DataFrame
 def highlights(log: DataFrame) -> DataFrame:
     """``log(highlight_id, kind, ts, ...)`` folded: the last row wins, and a last row of kind ``delete`` removes."""
     return latest(log, "highlight_id", ["ts", "event_id"]).where("kind <> 'delete'")
+
+
+def append_messages(batch: DataFrame, folder: str, name: str) -> int:
+    """Append ``batch(doc_id, message_key, role, text, ts, ...)`` to the messages in ``folder`` as the batch ``name``; how many were new.
+
+    Messages whose key was appended before are left out, so a batch that comes again, whole or among others, adds nothing. Each gets its place in
+    the batch, in the order of ``ts`` and key; the numbers themselves are a range that the commit of the batch reserves, after all ranges before it.
+    So numbers only rise in the order of commits, and of several appenders at once none shares a number with another.
+    """
+    spark = batch.sparkSession
+    if not commits(spark, folder).where(F.col("name") == name).isEmpty():
+        return 0
+    one = batch.groupBy("doc_id", "message_key").agg(F.min_by(F.struct(*batch.columns), "ts").alias("x")).select("x.*")
+    known = messages(spark, folder)
+    new = one if known is None else one.join(known.select("doc_id", "message_key"), ["doc_id", "message_key"], "left_anti")
+    path = f"{folder}/messages/batch={name}"
+    ranged = new.repartitionByRange("ts", "message_key").sortWithinPartitions("ts", "message_key").withColumn("row", F.monotonically_increasing_id())
+    ranged.write.mode("overwrite").parquet(path)
+    rows = spark.read.parquet(path).count()
+    return rows if commit(spark, folder, name, rows) else 0
+
+
+def messages(spark: SparkSession, folder: str) -> DataFrame | None:
+    """All published messages with ``number``; of a key that two appenders took at once the lower number counts."""
+    known = table_or_none(spark, f"{folder}/messages")
+    if known is None:
+        return None
+    known = known.join(commits(spark, folder).select("first", "commit", F.col("name").alias("batch")), "batch")
+    chunk = F.call_function("shiftright", F.col("row"), F.lit(33))
+    known = known.withColumn("chunk", chunk)
+    # Rows of a written partition are numbered from its first; partitions are counted in a small table.
+    sizes = known.groupBy("batch", "chunk").agg(F.min("row").alias("lowest"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("batch").orderBy("chunk")) - F.col("n")
+    numbered = known.join(sizes.withColumn("before", before), ["batch", "chunk"]).withColumn("number", F.col("first") + F.col("before") + F.col("row") - F.col("lowest"))
+    own = [c for c in numbered.columns if c not in ("batch", "chunk", "row", "first", "commit", "lowest", "n", "before")]
+    return numbered.groupBy("doc_id", "message_key").agg(F.min_by(F.struct(*own), "number").alias("x")).select("x.*")
+
+
+def last_messages(all_messages: DataFrame, most: int = 200) -> DataFrame:
+    """Each document's last ``most`` messages, by ``number``."""
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("number")))
+    return all_messages.withColumn("place", n).where(F.col("place") <= most).drop("place")
+
+
+def highlight_order(folded: DataFrame) -> DataFrame:
+    """Highlights with ``place``, from 1 in each document, oldest first."""
+    return folded.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("ts", "highlight_id")).cast("long"))

@@ -8,8 +8,8 @@ from helpers import SF
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from tessera import settings
-from tessera.operators import answer, chunking, embedding, evidence, index, layout, references, spatial
+from tessera import settings, store
+from tessera.operators import answer, chunking, embedding, evidence, index, layout, library, references, spatial
 from tessera.streaming import memory
 from tessera.streaming.ingest import current, ingest
 
@@ -178,7 +178,7 @@ def test_index_keeps_other_documents(spark, tmp_path):
     index.write(index.bucketed(docs), out)
     one = docs.where("doc_id = 7").limit(1).withColumn("text", F.lit("new"))
     index.write(index.bucketed(one), out, docs.where("doc_id IN (7, 8)"))
-    index.bucketed(docs).write.parquet(f"{out}/chunks/version=2")
+    index.bucketed(docs).write.parquet(f"{out}/chunks/version=v-half")
     got = index.read(spark, out)
     assert got.count() == 1997 and [r["text"] for r in got.where("doc_id = 7").collect()] == ["new"] and got.where("doc_id = 8").isEmpty()
     index.write(index.bucketed(one.withColumn("text", F.lit("newer"))), out)
@@ -246,6 +246,66 @@ def test_ingest_survives_a_failed_batch(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{out}/rows").count() == 2
 
 
+def test_ingest_from_several_streams(spark, tmp_path):
+    """A stream with a checkpoint of its own adds to what another left; a batch that comes again adds nothing; a new build key builds anew."""
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    schema = "doc_id long, text string"
+    build = lambda key: lambda d: d.select("doc_id", F.concat(F.lit(key), "text").alias("built"))
+    seen = lambda: sorted((r["doc_id"], r["built"]) for r in current(spark, out).collect())
+
+    def run(part, stream, key="v1", own=None):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(own or src)
+        ingest(spark.readStream.schema(schema).parquet(own or src), out, str(tmp_path / stream), build(key), key).awaitTermination(120)
+
+    run([(1, "a"), (2, "b")], "first")
+    run([(3, "c")], "second", own=str(tmp_path / "other"))
+    assert seen() == [(1, "v1a"), (2, "v1b"), (3, "v1c")]
+    run([(1, "aa")], "first")
+    run([(3, "cc"), (1, "aaa")], "second", own=str(tmp_path / "other"))
+    assert seen() == [(1, "v1aaa"), (2, "v1b"), (3, "v1cc")]
+    names = [r["name"] for r in store.commits(spark, out).orderBy("commit").collect()]
+    assert len(names) == 4 == len(set(names))
+    # The last batch comes again, as after a failure between its publishing and the stream's own commit.
+    for f in sorted((tmp_path / "second" / "commits").iterdir()):
+        if "1" in f.name:
+            f.unlink()
+    run([(2, "bb")], "second", own=str(tmp_path / "other"))
+    assert seen() == [(1, "v1aaa"), (2, "v1bb"), (3, "v1cc")] and store.commits(spark, out).count() == 5
+    # Another checkpoint reads all again: known fingerprints are skipped, unless the build changed.
+    run([(4, "d")], "third", "v2")
+    assert dict(seen()) | {1: ""} == {1: "", 2: "v2b", 3: "v1cc", 4: "v2d"} and dict(seen())[1] in ("v2a", "v2aa")
+
+
+def test_commits_of_two_writers(spark, tmp_path, monkeypatch):
+    """Two writers that saw the same log get numbers and ranges of their own."""
+    folder, real = str(tmp_path), store.commits
+    stale_log = spark.createDataFrame([], store.COMMIT)
+    assert store.commit(spark, folder, "a", 3)
+    calls = iter([stale_log, stale_log])
+    monkeypatch.setattr(store, "commits", lambda *a: next(calls, None) or real(*a))
+    assert store.commit(spark, folder, "b", 2)
+    monkeypatch.undo()
+    assert not store.commit(spark, folder, "a", 3) and store.commit(spark, folder, "c")
+    assert [tuple(r) for r in store.commits(spark, folder).orderBy("commit").collect()] == [(0, "a", 0, 3), (1, "b", 3, 2), (2, "c", 5, 0)]
+
+
+def test_messages_are_appended_once(spark, tmp_path):
+    out, kind = str(tmp_path), "doc_id long, message_key string, role string, text string, ts long"
+    rows = lambda *keys: spark.createDataFrame([(int(k[1]), k, "user", k * 2, t) for t, k in enumerate(keys)], kind).repartition(3)
+    assert library.append_messages(rows("a1", "b1", "c2"), out, "one") == 3
+    # A batch by another appender half written, a replay of the first, then one with old and new messages.
+    rows("x1").withColumn("row", F.lit(0).cast("long")).write.parquet(f"{out}/messages/batch=half")
+    assert library.append_messages(rows("a1", "b1", "c2"), out, "one") == 0
+    assert library.append_messages(rows("c2", "d1", "a1", "e2", "e2"), out, "two") == 2
+    assert library.append_messages(rows("f1"), out, "half") == 1
+    got = sorted((r["number"], r["message_key"]) for r in library.messages(spark, out).collect())
+    assert got == [(0, "a1"), (1, "b1"), (2, "c2"), (3, "d1"), (4, "e2"), (5, "f1")]
+    last = library.last_messages(library.messages(spark, out), 2)
+    assert sorted(r["message_key"] for r in last.collect()) == ["c2", "d1", "e2", "f1"]
+    marked = spark.createDataFrame([("h1", 1, 5), ("h2", 1, 3), ("h3", 2, 9)], "highlight_id string, doc_id long, ts long")
+    assert {r["highlight_id"]: r["place"] for r in library.highlight_order(marked).collect()} == {"h2": 1, "h1": 2, "h3": 1}
+
+
 def test_caption_goes_on(spark):
     rows = [(1, 0, 0, 10.0, 100.0, 200.0, 110.0, "Figure 1.", 9.0), (1, 0, 1, 10.0, 112.0, 200.0, 122.0, "The curve rises", 9.0), (1, 0, 2, 10.0, 124.0, 200.0, 134.0, "and falls.", 9.0), (1, 0, 3, 10.0, 136.0, 200.0, 146.0, "Body.", 9.0)]
     b = spark.createDataFrame(rows, "doc_id long, page int, ord int, x0 double, y0 double, x1 double, y1 double, text string, size double")

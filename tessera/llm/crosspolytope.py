@@ -10,7 +10,8 @@ the data, and is measured on drawn pairs (``needed``). A second round probes as
 So queries with close neighbours cost a few cells at any size, and others what their distance asks for. Scores are those of whole vectors, in double precision.
 
 Every vector is in every table. Copies of a vector are one row with its ``k + 1`` least ids. Cells that begin alike are a part, the unit of the shuffle, with about ``PART`` rows; of a
-part with more, blocks are dealt to several tasks, and queries go to each of them. A task returns ``k + 1`` answers a query and block at most, and these are merged.
+part with more, blocks are dealt to several tasks, and queries go to each of them. A task returns ``k + 1`` answers a query and block at most,
+in the second round only such as beat the ``k``-th so far, and these are merged.
 
 Defined cases: a vector that is null, empty, zero, or holds null or non-finite components takes no part, nor does a row without an id or one whose length is
 not the most frequent one (of these the longest); rows that share a query's id are its own; an id with several vectors asks with each, and has a list for each;
@@ -143,7 +144,7 @@ def _usable(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _probes(asked: DataFrame, tables: Tables, first_bits: int, longest: float | None) -> DataFrame:
-    """``(t, part, query, vector, cells)`` for the cells of ``asked(query, vector, lo, hi)`` from the ``lo``-th to the ``hi``-th; ``hi`` 0: all of table 0, ``cells`` null."""
+    """``(t, part, query, vector, floor, cells)`` for the cells of ``asked(query, vector, floor, lo, hi)`` from the ``lo``-th to the ``hi``-th; ``hi`` 0: all of table 0, ``cells`` null."""
     rest = tables.bits - first_bits
     kind = asked.schema["vector"].dataType.simpleString()
 
@@ -153,7 +154,7 @@ def _probes(asked: DataFrame, tables: Tables, first_bits: int, longest: float |
                 b = batch.slice(at, 256)
                 x = _matrix(b.column(1))
                 x = _padded(x / np.linalg.norm(x, axis=1, keepdims=True), tables.dims, None)
-                lo, hi = b.column(2).to_numpy(), b.column(3).to_numpy()
+                lo, hi = b.column(3).to_numpy(), b.column(4).to_numpy()
                 for t in range(TABLES):
                     who, parts, cells = [], [], []
                     some = np.flatnonzero(hi > 0)
@@ -171,10 +172,11 @@ def _probes(asked: DataFrame, tables: Tables, first_bits: int, longest: float |
                         to = slice(lo_, lo_ + (1 << 13))
                         own = pa.array(who[to], pa.int64())
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([t] * len(own), pa.int32()), pa.array(parts[to], pa.int64()), b.column(0).take(own), b.column(1).take(own), pa.array(cells[to], pa.list_(pa.int64()))], ["t", "part", "query", "vector", "cells"]
+                            [pa.array([t] * len(own), pa.int32()), pa.array(parts[to], pa.int64()), *(b.column(c).take(own) for c in range(3)), pa.array(cells[to], pa.list_(pa.int64()))],
+                            ["t", "part", "query", "vector", "floor", "cells"],
                         )
 
-    return map_batches(asked.select("query", "vector", "lo", "hi"), run, f"t int, part bigint, query bigint, vector {kind}, cells array<bigint>")
+    return map_batches(asked.select("query", "vector", "floor", "lo", "hi"), run, f"t int, part bigint, query bigint, vector {kind}, floor double, cells array<bigint>")
 
 
 def _indexed(nodes: DataFrame, tables: Tables, first_bits: int, longest: float | None, carry: bool = True) -> DataFrame:
@@ -196,7 +198,7 @@ def _indexed(nodes: DataFrame, tables: Tables, first_bits: int, longest: float |
 
 
 def _scored(k: int):
-    """The ``k`` best of a block's vectors for each query that probes it, of those in the cells that the query probes."""
+    """The ``k`` best of a block's vectors for each query that probes it, of those in the cells that the query probes with the query's ``floor`` as score at least."""
     names = ["query", "node", "least", "score"]
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
@@ -207,7 +209,7 @@ def _scored(k: int):
         x, least = _matrix(rows["vector"])[by_cell], rows["least"].to_numpy()[by_cell]
         own, starts = np.unique(cell[by_cell], return_index=True)
         ends = np.append(starts[1:], len(cell))
-        q, cells = _matrix(asked["vector"]), asked["cells"].combine_chunks()
+        q, cells, floor = _matrix(asked["vector"]), asked["cells"].combine_chunks(), asked["floor"].to_numpy()
         every = np.flatnonzero(~np.asarray(cells.is_valid()))
         lengths = np.diff(cells.offsets.to_numpy())
         probed, who = cells.values.to_numpy(zero_copy_only=False)[cells.offsets[0].as_py() :], np.repeat(np.arange(len(cells)), lengths)
@@ -229,15 +231,16 @@ def _scored(k: int):
             for at in range(0, len(asking), 512):
                 part = asking[at : at + 512]
                 s = q[part] @ x[a:b].T
-                got.append((np.repeat(part, b - a), np.tile(np.arange(a, b), len(part)), s.ravel()))
-                held += s.size
+                i, r = np.nonzero(s >= floor[part][:, None])
+                got.append((part[i], a + r, s[i, r]))
+                held += len(i)
                 if held > ENTRIES:
                     got = best(got)
                     held = len(got[0][0])
         if not got:
             return pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.float64())], names=names)
         ((i, r, _),) = best(got)
-        exact = np.concatenate([(q[i[at : at + 4096]] * x[r[at : at + 4096]]).sum(axis=1) for at in range(0, len(i), 4096)])
+        exact = np.concatenate([np.empty(0)] + [(q[i[at : at + 4096]] * x[r[at : at + 4096]]).sum(axis=1) for at in range(0, len(i), 4096)])
         return pa.table([asked["query"].take(pa.array(i)), rows["node"].take(pa.array(by_cell[r])), pa.array(least[r]), pa.array(exact)], names=names)
 
     return run
@@ -286,14 +289,16 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = 20, wanted: float =
         return checkpointed(best.withColumn("rank", rank).where(F.col("rank") <= k))
 
     if 1 << bits <= TABLES * FIRST:
-        got = answers(asked.select("query", "vector", F.lit(0).alias("lo"), F.lit(0).alias("hi")), None)
+        got = answers(asked.select("query", "vector", F.lit(-math.inf).alias("floor"), F.lit(0).alias("lo"), F.lit(0).alias("hi")), None)
     else:
-        got = answers(asked.select("query", "vector", F.lit(0).alias("lo"), F.lit(FIRST).alias("hi")), None)
+        got = answers(asked.select("query", "vector", F.lit(-math.inf).alias("floor"), F.lit(0).alias("lo"), F.lit(FIRST).alias("hi")), None)
         more = F.array(*map(F.lit, needed(tables, dims + bool(longest), wanted)))
         kth = got.groupBy("query").agg(F.count("*").alias("found"), F.min("score").alias("kth"))
         cosine = F.col("kth") / norm / greatest
         at = F.least(F.greatest(F.floor(cosine * (COSINES - 1)), F.lit(0)), F.lit(COSINES - 1)).cast("int")
         hi = F.when(F.col("found") >= k, F.get(more, at)).otherwise(0)
-        further = asked.join(kth, "query", "left").select("query", "vector", F.lit(FIRST).alias("lo"), hi.alias("hi")).where((F.col("hi") == 0) | (F.col("hi") > FIRST))
+        # No score under the k-th can be an answer; products of a block may be rounded otherwise than the score.
+        floor = F.when(F.col("found") >= k, F.col("kth") - 1e-9 * greatest * norm).otherwise(-math.inf)
+        further = asked.join(kth, "query", "left").select("query", "vector", floor.alias("floor"), F.lit(FIRST).alias("lo"), hi.alias("hi")).where((F.col("hi") == 0) | (F.col("hi") > FIRST))
         got = answers(further, got)
     return got.select("query_id", "rank", "id", "score")

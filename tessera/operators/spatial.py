@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+
 CELL, GAP = 3.0, 2
 
 
@@ -30,34 +33,37 @@ def inside(blocks: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def table_captions(tables: DataFrame, captions: DataFrame) -> DataFrame:
-    """The cheapest caption for each of ``tables(doc_id, page, table_id, box)``: above it up to 70 points, or below up to 50."""
+    """What each caption of kind Table costs each of ``tables(doc_id, page, table_id, box)``: its distance if it is above by 70 points at most, or below by 50, for 30 more."""
     t, c = tables.alias("t"), captions.alias("c")
     wide = F.least(F.col("t.x1"), F.col("c.x1")) - F.greatest(F.col("t.x0"), F.col("c.x0"))
     above, below = F.col("t.y0") - F.col("c.y1"), F.col("c.y0") - F.col("t.y1")
-    cost = F.when(above.between(-6, 70), above).when(below.between(-6, 50), below + 30)
-    m = t.join(c, (F.col("t.doc_id") == F.col("c.doc_id")) & (F.col("t.page") == F.col("c.page")) & (wide >= 20) & cost.isNotNull())
-    return m.select("t.doc_id", "t.page", "t.table_id", "c.ord", cost.alias("cost"))
+    cost = F.when(above.between(-6, 70), F.abs(above)).when(below.between(-6, 50), F.abs(below) + 30)
+    same = (F.col("t.doc_id") == F.col("c.doc_id")) & (F.col("t.page") == F.col("c.page"))
+    m = t.join(c, same & (F.col("c.kind") == "Table") & (wide >= 20) & cost.isNotNull())
+    return m.select("t.doc_id", "t.page", "t.table_id", "c.ord", cost.alias("cost"), F.bround("c.y0").alias("line"), F.col("c.x0").alias("left"))
 
 
 def match_once(costs: DataFrame) -> DataFrame:
-    """One caption a table and one table a caption, tables in their order: a fold over the few pairs of a page."""
+    """One caption a table and one table a caption: tables choose in their order, and of captions that cost the same the first on the page.
+
+    A fold over the tables of a page, whose state is the captions that are taken.
+    """
+    offer = F.array_sort(F.collect_list(F.struct("cost", "line", "left", "ord")))
+    asked = costs.groupBy("doc_id", "page", "table_id").agg(offer.alias("offers"))
+    pages = asked.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("table_id", "offers"))).alias("tables"))
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        taken: set[int] = set()
-        out = []
-        for _, own in page.sort_values(["table_id", "cost", "ord"]).groupby("table_id", sort=True):
-            free = own[~own["ord"].isin(taken)]
-            if len(free):
-                taken.add(free.iloc[0]["ord"])
-                out.append(free.iloc[:1])
-        return pd.concat(out) if out else page.iloc[:0]
+    def choose(done: Column, t: Column) -> Column:
+        free = F.get(F.filter(t["offers"], lambda o: ~F.exists(done, lambda d: d["ord"] == o["ord"])), F.lit(0))
+        return F.when(free.isNull(), done).otherwise(F.concat(done, F.array(F.struct(t["table_id"].alias("table_id"), free["ord"].alias("ord"), free["cost"].alias("cost")))))
 
-    return costs.groupBy("doc_id", "page").applyInPandas(fold, costs.schema)
+    kind = f"array<struct<table_id:{costs.schema['table_id'].dataType.simpleString()},ord:{costs.schema['ord'].dataType.simpleString()},cost:double>>"
+    chosen = F.aggregate("tables", F.array().cast(kind), choose)
+    return pages.select("doc_id", "page", F.explode(chosen).alias("x")).select("doc_id", "page", "x.*")
 
 
 def best_caption(costs: DataFrame) -> DataFrame:
-    w = Window.partitionBy("doc_id", "page", "table_id").orderBy("cost", "ord")
-    return costs.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    w = Window.partitionBy("doc_id", "page", "table_id").orderBy("cost", "line", "left", "ord")
+    return costs.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "line", "left")
 
 
 def valid_table(rows: Column, box_area: Column, page_area: float) -> Column:
@@ -87,26 +93,46 @@ def clip(pad: float, width: float, height: float, dpi: float, longest: float = 2
     return F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), zoom.alias("zoom"))
 
 
+def regions(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` nodes the least that the pairs ``a[i]``, ``b[i]`` connect it with."""
+    least = np.arange(n)
+    while True:
+        low = np.minimum(least[a], least[b])
+        before = least.copy()
+        np.minimum.at(least, before[a], low)
+        np.minimum.at(least, before[b], low)
+        least = least[least]
+        if (least == before).all():
+            return least
+
+
 def clusters(primitives: DataFrame, width: float = 612.0, height: float = 792.0) -> DataFrame:
-    """Boxes around drawn rectangles that touch once each is widened by GAP cells of CELL points.
+    """Boxes around drawn rectangles that touch once each is widened by GAP cells of CELL points, at least 40 points wide and 30 high.
 
-    The widened rectangles cover cells; those that overlap or share an edge are one region of 4-connected cells.
+    The widened rectangles cover cells of a grid over the page; covered cells that share an edge are one region, and a rectangle is of the region of its centre's cell.
     """
+    h, w = math.ceil(height / CELL) + 3, math.ceil(width / CELL) + 3
 
     def group(page: pd.DataFrame) -> pd.DataFrame:
-        cell = lambda v, by, most: np.clip(np.floor(v.to_numpy() / CELL) + by, 0, int(most / CELL) + 1)
-        x0, x1 = cell(page.x0, -GAP, width), cell(page.x1, GAP, width)
-        y0, y1 = cell(page.y0, -GAP, height), cell(page.y1, GAP, height)
-        apart = lambda lo, hi: np.maximum(lo[:, None], lo[None, :]) - np.minimum(hi[:, None], hi[None, :])
-        dx, dy = apart(x0, x1), apart(y0, y1)
-        touch = ((dx <= 0) & (dy <= 1)) | ((dx <= 1) & (dy <= 0))
-        region = np.arange(len(page))
-        while True:
-            least = np.where(touch, region[None, :], len(page)).min(axis=1)
-            if (least == region).all():
-                break
-            region = least
-        out = page.assign(region=region).groupby("region", as_index=False).agg(x0=("x0", "min"), y0=("y0", "min"), x1=("x1", "max"), y1=("y1", "max"), n=("x0", "size"))
+        lo = lambda v: np.maximum(np.trunc(v.to_numpy() / CELL).astype(int) - GAP, 0)
+        hi = lambda v, most: np.minimum(np.trunc(v.to_numpy() / CELL).astype(int) + GAP + 1, most)
+        at = lambda v, most: np.clip(np.trunc(v.to_numpy() / CELL).astype(int), 0, most - 1)
+        edges = np.zeros((h + 1, w + 1), int)  # each rectangle adds one between its corners once summed up
+        x0, y0, x1, y1 = lo(page.x0), lo(page.y0), np.maximum(hi(page.x1, w), 0), np.maximum(hi(page.y1, h), 0)
+        some = (x1 > x0) & (y1 > y0)
+        for y, x, by in ((y0, x0, 1), (y1, x1, 1), (y0, x1, -1), (y1, x0, -1)):
+            np.add.at(edges, (y[some], x[some]), by)
+        full = edges.cumsum(axis=0).cumsum(axis=1)[:h, :w] > 0
+        # Runs of covered cells in a row of the grid are nodes; runs that meet in the next row are connected.
+        begins = full.copy()
+        begins[:, 1:] &= ~full[:, :-1]
+        run = begins.cumsum().reshape(h, w) - 1
+        meet = full[:-1] & full[1:]
+        region = regions(run[:-1][meet], run[1:][meet], int(begins.sum()))
+        y, x = at((page.y0 + page.y1) / 2, h), at((page.x0 + page.x1) / 2, w)
+        own = page[full[y, x]]
+        own = own.assign(region=region[run[y, x][full[y, x]]])
+        out = own.groupby("region", as_index=False).agg(x0=("x0", "min"), y0=("y0", "min"), x1=("x1", "max"), y1=("y1", "max"), n=("x0", "size"))
         out = out[(out.x1 - out.x0 >= 40) & (out.y1 - out.y0 >= 30)]
         return out.assign(doc_id=page.doc_id.iloc[0], page=page.page.iloc[0])[["doc_id", "page", "x0", "y0", "x1", "y1", "n"]]
 
@@ -125,84 +151,139 @@ def covered(primitives: DataFrame, boxes: DataFrame, most: float = 0.5) -> DataF
     """``primitives(prim_id, ...)`` that no box covers by more than ``most``."""
     p, b = primitives, boxes
     q = p.select("doc_id", "page", *(F.col(c).alias(f"p_{c}") for c in ("x0", "y0", "x1", "y1")), "prim_id").join(b.select("doc_id", "page", *(F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1"))), ["doc_id", "page"])
-    return p.join(q.where(overlap("p_", "b_") > most * F.greatest(area("p_"), F.lit(1e-9))).select("prim_id"), "prim_id", "left_anti")
+    return p.join(q.where(overlap("p_", "b_") > most * F.greatest(area("p_"), F.lit(1.0))).select("prim_id"), "prim_id", "left_anti")
 
 
 def hit(rects: Column, x: float, y: float) -> Column:
     return F.exists(rects, lambda r: (r["x0"] <= x) & (r["x1"] >= x) & (r["y0"] <= y) & (r["y1"] >= y))
 
 
-
-
 def continued_captions(blocks: DataFrame, starts: DataFrame, most: int = 3) -> DataFrame:
-    """``starts(doc_id, page, ord)`` captions with up to ``most`` following blocks that go on with them.
+    """``starts(doc_id, page, ord)``, captions, with what follows of them: ``(doc_id, page, ord, box, text, n_joined)``.
 
-    A block goes on if it is at most 14 points below, shares the caption's left edge or half its width, is no larger
-    in type, and the caption so far is only a label or doesn't end a sentence; the first that doesn't ends it.
+    Blocks go by rounded top and left edge. Up to ``most`` blocks after a caption go on with it, until the first that doesn't: one goes on if it begins 0 to
+    under 5 points below what the caption covers so far, within 8 points of the caption block's left edge, no larger in type by over 0.3, and the text so far doesn't end a sentence or the caption
+    is of three words at most. A block that goes on with a caption begins none. A fold over the blocks of a page, whose state is the caption that grows.
     """
+    marked = blocks.join(starts.select("doc_id", "page", "ord", F.lit(True).alias("is_start")), ["doc_id", "page", "ord"], "left").withColumn("is_start", F.coalesce("is_start", F.lit(False)))
+    page = marked.join(starts.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")
+    block = F.struct(F.bround("y0").alias("line"), *(F.col(c) for c in ("x0", "ord", "y0", "x1", "y1", "text", "size", "is_start")))
+    pages = page.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    ord_type = blocks.schema["ord"].dataType.simpleString()
+    kind = f"struct<ord:{ord_type},x0:double,y0:double,x1:double,y1:double,text:string,left:double,size:double,words:int,seen:int,n_joined:int,open:boolean>"
+    d = lambda c: c.cast("double")
+
+    def new(b: Column) -> Column:
+        n = T.word_count(b["text"]).cast("int")
+        return F.struct(b["ord"], d(b["x0"]), d(b["y0"]), d(b["x1"]), d(b["y1"]), b["text"], d(b["x0"]), d(b["size"]), n, F.lit(0), F.lit(0), F.lit(True)).cast(kind)
+
+    def step(found: Column, b: Column) -> Column:
+        own = F.element_at(found, -1)
+        gap = b["y0"] - own["y1"]
+        unfinished = ~F.rtrim(own["text"]).rlike("[.!?]$")
+        goes_on = own["open"] & (own["seen"] < most) & (F.abs(b["x0"] - own["left"]) < 8) & (gap >= 0) & (gap < 5) & (b["size"] <= own["size"] + 0.3) & (unfinished | (own["words"] <= 3))
+        grown = F.struct(
+            own["ord"], F.least(own["x0"], d(b["x0"])), F.least(own["y0"], d(b["y0"])), F.greatest(own["x1"], d(b["x1"])), F.greatest(own["y1"], d(b["y1"])),
+            F.concat(own["text"], F.lit(" "), b["text"]), own["left"], own["size"], own["words"], own["seen"] + 1, own["n_joined"] + 1, F.lit(True),
+        ).cast(kind)
+        shut = own.withField("open", F.lit(False))
+        before = F.slice(found, F.lit(1), F.size(found) - 1)
+        return (
+            F.when((F.size(found) > 0) & goes_on, F.concat(before, F.array(grown)))
+            .when(b["is_start"], F.concat(found, F.array(new(b))))
+            .when(F.size(found) > 0, F.concat(before, F.array(shut)))
+            .otherwise(found)
+        )
+
+    folded = F.aggregate("blocks", F.array().cast(f"array<{kind}>"), step)
+    return pages.select("doc_id", "page", F.explode(folded).alias("c")).select("doc_id", "page", *(f"c.{c}" for c in ("ord", "x0", "y0", "x1", "y1")), T.collapse(F.col("c.text")).alias("text"), "c.n_joined")
+
+
+def first_pick(captions: DataFrame, regions: DataFrame, above: float = 140.0, below: float = 60.0) -> DataFrame:
+    """``(doc_id, page, ord, x0, y0, x1, y1, direction)``: the region that a figure's caption takes first, while none is taken.
+
+    A region must share over 40 % of the narrower width with the caption widened by 30 points a side. Those that end above the caption go before those that begin below,
+    even if the nearest of them is too far, and then the caption has no region; of equals the first by box.
+    """
+    c = captions.select("doc_id", "page", "ord", *(F.col(k).alias(f"c_{k}") for k in ("x0", "y0", "x1", "y1")))
+    r = regions.select("doc_id", "page", "x0", "y0", "x1", "y1").join(c, ["doc_id", "page"])
+    lo, hi = F.col("c_x0") - 30, F.col("c_x1") + 30
+    wide = F.least("x1", hi) - F.greatest("x0", lo) > 0.4 * F.least(F.col("x1") - F.col("x0"), hi - lo)
+    direction = F.when(F.col("y1") <= F.col("c_y0") + 6, "up").when(F.col("y0") >= F.col("c_y1") - 6, "down")
+    near = r.where(wide).withColumn("direction", direction).where("direction IS NOT NULL")
+    gap = F.when(F.col("direction") == "up", F.col("c_y0") - F.col("y1")).otherwise(F.col("y0") - F.col("c_y1"))
+    best = near.groupBy("doc_id", "page", "ord").agg(F.min(F.struct(F.when(F.col("direction") == "up", 0).otherwise(1).alias("side"), gap.alias("gap"), "x0", "y0", "x1", "y1", "direction")).alias("b"))
+    return best.where(F.col("b.gap") <= F.when(F.col("b.direction") == "up", above).otherwise(below)).select("doc_id", "page", "ord", *(f"b.{k}" for k in ("x0", "y0", "x1", "y1", "direction")))
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y0", "x0", "ord"]).reset_index(drop=True)
-        used: set[int] = set()
-        out = []
-        for i in page.index[page.is_start]:
-            if i in used:
-                continue
-            own = page.loc[i, ["x0", "y0", "x1", "y1", "text", "size"]].to_dict()
-            text, taken = own["text"], 0
-            for j in page.index[page.index > i]:
-                b = page.loc[j]
-                wide = min(own["x1"], b.x1) - max(own["x0"], b.x0)
-                near = -2 <= b.y0 - own["y1"] <= 14 and (abs(b.x0 - own["x0"]) <= 6 or wide >= 0.5 * (own["x1"] - own["x0"])) and b["size"] <= own["size"] + 0.3
-                open_ = len(text.split()) <= 3 or text.rstrip()[-1:] not in ".!?"
-                if wide <= 0:
-                    continue
-                if taken == most or not (near and open_) or b.is_start:
-                    break
-                text, taken = f"{text} {b.text}", taken + 1
-                own |= {"x0": min(own["x0"], b.x0), "x1": max(own["x1"], b.x1), "y1": max(own["y1"], b.y1)}
-                used.add(j)
-            out.append((page.doc_id[i], page.page[i], page.ord[i], own["x0"], own["y0"], own["x1"], own["y1"], text, taken))
-        return pd.DataFrame(out, columns=["doc_id", "page", "ord", "x0", "y0", "x1", "y1", "text", "n_joined"])
 
-    marked = blocks.join(starts.select("doc_id", "page", "ord", F.lit(True).alias("is_start")), ["doc_id", "page", "ord"], "left").withColumn("is_start", F.coalesce("is_start", F.lit(False)))
-    pages = marked.join(starts.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi").select("doc_id", "page", "ord", "x0", "y0", "x1", "y1", "text", "size", "is_start")
-    return pages.groupBy("doc_id", "page").applyInPandas(run, "doc_id bigint, page int, ord int, x0 double, y0 double, x1 double, y1 double, text string, n_joined int")
+#: What a figure takes in: regions that are within JOIN points of its box, and short blocks within EDGE points of it.
+JOIN, EDGE, FIGURE_TEXT = 30.0, 4.0, 40
 
 
-def located_figures(captions: DataFrame, regions: DataFrame, above: float = 140.0, below: float = 60.0, join: float = 30.0) -> DataFrame:
-    """The box of each figure caption: the nearest region above it, else below, that shares 40 % of the width.
+def located_figures(captions: DataFrame, regions: DataFrame, blocks: DataFrame | None = None, width: float = 612.0, height: float = 792.0, above: float = 140.0, below: float = 60.0) -> DataFrame:
+    """The box of each figure caption and the text in it: ``(doc_id, page, ord, label, x0, y0, x1, y1, absorbed)``, no box if there is none.
 
-    Regions within ``join`` points of a box join it, over and over; each region serves one caption.
+    Captions of a page take regions from top to bottom, each region once: the first as in ``first_pick``, then, over and over, those on the same side within ``JOIN`` points of the box.
+    Two passes over ``blocks(doc_id, page, ord, pos, x0, y0, x1, y1, text, role)`` in reading order take in body text of under 25 words and 60 points
+    that touches the box widened by ``EDGE`` points, axis labels and legends, and the box grows with each; ``absorbed`` are their numbers. The box ends at the page's edges.
     """
+    box = ["x0", "y0", "x1", "y1"]
+    part = lambda df, what, **more: df.select("doc_id", "page", F.lit(what).alias("what"), *box, *(more.get(k, F.lit(None)).cast(t).alias(k) for k, t in (("ord", "long"), ("place", "long"), ("label", "string"))))
+    parts = part(captions, "caption", ord=F.col("ord"), label=F.col("label")).unionByName(part(regions, "region"))
+    if blocks is not None:
+        short = blocks.where((F.col("role") == "body") & (T.word_count(F.col("text")) < 25) & (F.col("y1") - F.col("y0") < 60))
+        parts = parts.unionByName(part(short, "text", ord=F.col("ord"), place=F.col("pos")))
+    parts = parts.join(captions.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")
+
+    def grown(b: np.ndarray, more: np.ndarray) -> np.ndarray:
+        return np.concatenate((np.minimum(b[:2], more[..., :2].reshape(-1, 2).min(axis=0)), np.maximum(b[2:], more[..., 2:].reshape(-1, 2).max(axis=0))))
 
-    def run(key: tuple, own: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
-        left = boxes[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        out = []
-        for c in own.sort_values(["y0", "x0", "ord"]).itertuples():
-            found = None
-            if len(left):
-                wide = np.minimum(left[:, 2], c.x1) - np.maximum(left[:, 0], c.x0)
-                good = wide > 0.4 * np.minimum(left[:, 2] - left[:, 0], c.x1 - c.x0)
-                for gap, most in ((c.y0 - left[:, 3], above), (left[:, 1] - c.y1, below)):
-                    gap = np.where(good & (gap >= -6) & (gap <= most), gap, np.inf)
-                    if np.isfinite(gap).any():
-                        k = int(gap.argmin())
-                        box, left, found = left[k], np.delete(left, k, 0), True
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        left = page[page.what == "region"].sort_values(box)[box].to_numpy(float)
+        texts = page[page.what == "text"].sort_values(["place", "ord"])
+        t_box, t_ord = texts[box].to_numpy(float), texts["ord"].to_numpy(int)
+        free, out = np.ones(len(texts), bool), []
+        for c in page[page.what == "caption"].sort_values(["y0", "x0", "ord"]).itertuples():
+            lo, hi = c.x0 - 30, c.x1 + 30
+            wide = np.minimum(left[:, 2], hi) - np.maximum(left[:, 0], lo) > 0.4 * np.minimum(left[:, 2] - left[:, 0], hi - lo)
+            up, down = wide & (left[:, 3] <= c.y0 + 6), wide & (left[:, 1] >= c.y1 - 6)
+            pool, gap, most = (np.flatnonzero(up), c.y0 - left[:, 3], above) if up.any() else (np.flatnonzero(down), left[:, 1] - c.y1, below)
+            own, absorbed = None, []
+            if len(pool) and (gap[pool] <= most).any():
+                members = pool[[np.argmin(gap[pool])]]
+                own = left[members[0]]
+                while True:
+                    rest = np.setdiff1d(pool, members)
+                    r = left[rest]
+                    near = rest[(r[:, 1] - own[3] < JOIN) & (r[:, 3] > own[1] - JOIN) & (r[:, 0] - own[2] < JOIN) & (r[:, 2] > own[0] - JOIN)]
+                    if not len(near):
                         break
-            while found and len(left):
-                apart = np.maximum(np.maximum(left[:, 0] - box[2], box[0] - left[:, 2]), np.maximum(left[:, 1] - box[3], box[1] - left[:, 3]))
-                over = (left[:, 1] < c.y1) & (left[:, 3] > c.y0)
-                near = (apart <= join) & ~over & ((left[:, 3] <= c.y0) == (box[3] <= c.y0))
-                if not near.any():
-                    break
-                box = np.array([min(box[0], left[near, 0].min()), min(box[1], left[near, 1].min()), max(box[2], left[near, 2].max()), max(box[3], left[near, 3].max())])
-                left = left[~near]
-            out.append((c.doc_id, c.page, c.label, *(box.tolist() if found else [None] * 4)))
-        return pd.DataFrame(out, columns=["doc_id", "page", "label", "x0", "y0", "x1", "y1"])
-
-    a, b = captions.groupBy("doc_id", "page"), regions.groupBy("doc_id", "page")
-    return a.cogroup(b).applyInPandas(run, "doc_id bigint, page int, label string, x0 double, y0 double, x1 double, y1 double")
+                    members, own = np.append(members, near), grown(own, left[near])
+                left = np.delete(left, members, axis=0)
+                for _ in range(2):
+                    for k in np.flatnonzero(free):
+                        b = t_box[k]
+                        touches = min(b[2], own[2] + EDGE) > max(b[0], own[0] - EDGE) and min(b[3], own[3] + EDGE) > max(b[1], own[1] - EDGE)
+                        if free[k] and touches and (b[3] <= c.y0 + 2 or not up.any()):
+                            own, free[k] = grown(own, b), False
+                            absorbed.append(int(t_ord[k]))
+                x, y = (t_box[:, 0] + t_box[:, 2]) / 2, (t_box[:, 1] + t_box[:, 3]) / 2
+                free &= ~((x >= own[0]) & (x <= own[2]) & (y >= own[1]) & (y <= own[3]))  # these are the figure's too
+                own = [max(own[0], 0.0), max(own[1], 0.0), min(own[2], width), min(own[3], height)]
+            out.append((c.doc_id, c.page, c.ord, c.label, *(own if own is not None else [None] * 4), absorbed))
+        return pd.DataFrame(out, columns=["doc_id", "page", "ord", "label", *box, "absorbed"])
+
+    return parts.groupBy("doc_id", "page").applyInPandas(run, "doc_id bigint, page int, ord bigint, label string, x0 double, y0 double, x1 double, y1 double, absorbed array<bigint>")
+
+
+def figure_text(blocks: DataFrame, figures: DataFrame) -> DataFrame:
+    """``blocks`` with role ``figure_text`` for body text that a figure absorbed, or of under ``FIGURE_TEXT`` words with its centre in a figure's box."""
+    absorbed = figures.select("doc_id", "page", F.explode("absorbed").alias("ord"))
+    short = blocks.where((F.col("role") == "body") & (T.word_count(F.col("text")) < FIGURE_TEXT))
+    within = inside(short, figures.where("x0 IS NOT NULL")).select("doc_id", "page", F.col("ord").cast("long").alias("ord"))
+    taken = absorbed.unionByName(within).distinct().withColumn("taken", F.lit(True))
+    named = blocks.join(taken, ["doc_id", "page", "ord"], "left")
+    return named.withColumn("role", F.when((F.col("role") == "body") & F.col("taken"), "figure_text").otherwise(F.col("role"))).drop("taken")
 
 
 def borderless_tables(captions: DataFrame, found: DataFrame, height: float = 792.0) -> DataFrame:

@@ -499,23 +499,72 @@ def boxes_in_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.inside(b, _boxes(b)).select("doc_id", F.col("page").cast("long").alias("page"), F.col("ord").cast("long").alias("ord"))
 
 
-@query(
-    "table_caption_match",
-    f"""WITH {S.SIZED}, {_BOXES}, caps AS (SELECT blocks.* FROM blocks JOIN body_sizes USING (doc_id) WHERE {S._CAPTION}), m AS (
-  SELECT t.doc_id, t.page, c.ord, CASE WHEN t.y0 - c.y1 BETWEEN -6 AND 70 THEN t.y0 - c.y1 WHEN c.y0 - t.y1 BETWEEN -6 AND 50 THEN c.y0 - t.y1 + 30 END AS cost
-  FROM boxes t JOIN caps c ON t.doc_id = c.doc_id AND t.page = c.page AND least(t.x1, c.x1) - greatest(t.x0, c.x0) >= 20)
-SELECT doc_id, page::BIGINT AS page, ord::BIGINT AS ord, cost FROM m WHERE cost IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY cost, ord) = 1""",
-)
+def close_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.from_close_lines(documents(spark, sf_dir))
+
+
+def close_captions(b: DataFrame) -> DataFrame:
+    return layout.captions(b.join(layout.body_size(b), "doc_id"))
+
+
+#: Two boxes a group of lines, one above the caption's place and one about it, at changing distances.
+_TABLES = """tabs AS (
+  SELECT DISTINCT doc_id, page, grp * 2 AS table_id, 60.0::DOUBLE AS x0, (60 + 165 * grp + 10)::DOUBLE AS y0, 300.0::DOUBLE AS x1, (60 + 165 * grp + 66 - doc_id % 9)::DOUBLE AS y1 FROM boxed
+  UNION ALL SELECT DISTINCT doc_id, page, grp * 2 + 1, 60.0, 60 + 165 * grp + 76 + doc_id % 12, 300.0, 60 + 165 * grp + 136 FROM boxed
+)"""
+
+
+def _tables(b: DataFrame) -> DataFrame:
+    group = F.floor((F.col("ord") % 20) / 5)
+    g = b.select("doc_id", "page", group.alias("g")).distinct()
+    top = F.col("g") * 165 + 60
+    one = lambda k, y0, y1: F.struct((F.col("g") * 2 + k).alias("table_id"), y0.cast("double").alias("y0"), y1.cast("double").alias("y1"))
+    pair = F.explode(F.array(one(0, top + 10, top + 66 - F.col("doc_id") % 9), one(1, top + 76 + F.col("doc_id") % 12, top + 136)))
+    return g.select("doc_id", "page", pair.alias("t")).select("doc_id", "page", "t.table_id", F.lit(60.0).alias("x0"), "t.y0", F.lit(300.0).alias("x1"), "t.y1")
+
+
+_COSTS = f"""{S.CLOSE}, {_TABLES}, costs AS (
+  SELECT doc_id, page, table_id, ord, line, x0, cost FROM (
+    SELECT t.doc_id, t.page, t.table_id, c.ord, round_even(c.y0, 0) AS line, c.x0,
+           CASE WHEN t.y0 - c.y1 BETWEEN -6 AND 70 THEN abs(t.y0 - c.y1) WHEN c.y0 - t.y1 BETWEEN -6 AND 50 THEN abs(c.y0 - t.y1) + 30 END AS cost
+    FROM tabs t JOIN caps c ON t.doc_id = c.doc_id AND t.page = c.page AND c.kind = 'Table' AND least(t.x1, c.x1) - greatest(t.x0, c.x0) >= 20)
+  WHERE cost IS NOT NULL
+)"""
+
+
+def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = close_blocks(spark, sf_dir)
+    return spatial.table_captions(_tables(b), close_captions(b))
+
+
+def _numbers(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*(F.col(c).cast("long").alias(c) if c in ("page", "ord", "table_id", "n_joined", "place") else c for c in names))
+
+
+@query("table_caption_match", f"WITH {_COSTS} SELECT doc_id, page, table_id::BIGINT AS table_id, ord, cost FROM costs QUALIFY row_number() OVER (PARTITION BY doc_id, page, table_id ORDER BY cost, line, x0, ord) = 1")
 def table_caption_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = made_blocks(spark, sf_dir)
-    costs = spatial.table_captions(_boxes(b), layout.captions(b.join(layout.body_size(b), "doc_id")))
-    return spatial.best_caption(costs).select("doc_id", F.col("page").cast("long").alias("page"), F.col("ord").cast("long").alias("ord"), "cost")
+    """The caption of kind Table that is nearest to each table, even if others take it too."""
+    return _numbers(spatial.best_caption(_costs(spark, sf_dir)), "doc_id", "page", "table_id", "ord", "cost")
 
 
-@query("table_caption_once")
+@query(
+    "table_caption_once",
+    f"""WITH RECURSIVE {_COSTS}, turns AS (
+  SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY table_id) AS turn FROM costs
+), pages AS (SELECT doc_id, page, max(turn) AS turns FROM turns GROUP BY ALL
+), taken AS (
+  SELECT doc_id, page, 0 AS turn, []::BIGINT[] AS used, NULL::STRUCT(table_id BIGINT, ord BIGINT, cost DOUBLE) AS got FROM pages
+  UNION ALL
+  SELECT doc_id, page, turn + 1, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.ord) END, best FROM (
+    SELECT k.doc_id, k.page, k.turn, k.used, (SELECT arg_min({{'table_id': t.table_id::BIGINT, 'ord': t.ord, 'cost': t.cost}}, (t.cost, t.line, t.x0, t.ord)) FROM turns t
+            WHERE t.doc_id = k.doc_id AND t.page = k.page AND t.turn = k.turn + 1 AND NOT list_contains(k.used, t.ord)) AS best
+    FROM taken k JOIN pages p ON p.doc_id = k.doc_id AND p.page = k.page AND k.turn < p.turns)
+)
+SELECT doc_id, page, got.table_id AS table_id, got.ord AS ord, got.cost AS cost FROM taken WHERE got IS NOT NULL""",
+)
 def table_caption_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = made_blocks(spark, sf_dir)
-    return spatial.match_once(spatial.table_captions(_boxes(b), layout.captions(b.join(layout.body_size(b), "doc_id"))))
+    """Tables take captions in their order, each caption once."""
+    return _numbers(spatial.match_once(_costs(spark, sf_dir)), "doc_id", "page", "table_id", "ord", "cost")
 
 
 @query("graphic_clusters")
@@ -565,19 +614,82 @@ def unlabelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.without_removed(documents(spark, sf_dir).select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("captions_continued")
+_CONTINUED = f"""{S.CLOSE}, sorted AS (
+  SELECT b.*, c.ord IS NOT NULL AS is_start, row_number() OVER (PARTITION BY b.doc_id, b.page ORDER BY round_even(b.y0, 0), b.x0, b.ord) AS n
+  FROM close b LEFT JOIN (SELECT doc_id, page, ord FROM caps) c ON c.doc_id = b.doc_id AND c.page = b.page AND c.ord = b.ord
+), folded AS (
+  SELECT doc_id, page, n, NULL::STRUCT(ord BIGINT, n BIGINT, joined BIGINT, l DOUBLE, t DOUBLE, r DOUBLE, b DOUBLE, x0 DOUBLE, size INT, words BIGINT, txt VARCHAR) AS own, false AS is_open FROM (SELECT doc_id, page, 0::BIGINT AS n FROM close GROUP BY ALL)
+  UNION ALL
+  SELECT doc_id, page, n, CASE WHEN goes_on THEN {{'ord': own.ord, 'n': own.n, 'joined': own.joined + 1, 'l': least(own.l, x0), 't': least(own.t, y0), 'r': greatest(own.r, x1), 'b': greatest(own.b, y1),
+                                 'x0': own.x0, 'size': own.size, 'words': own.words, 'txt': own.txt || ' ' || text}}
+              WHEN is_start THEN {{'ord': ord, 'n': n, 'joined': 0, 'l': x0, 't': y0, 'r': x1, 'b': y1, 'x0': x0, 'size': size, 'words': {S.count("text")}, 'txt': text}} ELSE own END,
+         goes_on OR is_start
+  FROM (SELECT s.*, f.own, coalesce(f.is_open AND s.n - f.own.n <= 3 AND abs(s.x0 - f.own.x0) < 8 AND s.y0 - f.own.b >= 0 AND s.y0 - f.own.b < 5 AND s.size <= f.own.size + 0.3
+               AND (NOT regexp_matches(rtrim(f.own.txt), '[.!?]$') OR f.own.words <= 3), false) AS goes_on
+        FROM folded f JOIN sorted s ON s.doc_id = f.doc_id AND s.page = f.page AND s.n = f.n + 1)
+), continued AS (
+  SELECT doc_id, page, own.ord AS ord, own.l AS x0, own.t AS y0, own.r AS x1, own.b AS y1, array_to_string({S.words("own.txt")}, ' ') AS text, own.joined AS n_joined
+  FROM folded WHERE own IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, page, own.ord ORDER BY own.joined DESC) = 1
+)"""
+
+
+@query("captions_continued", f"WITH RECURSIVE {_CONTINUED} SELECT * FROM continued")
 def captions_continued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = made_blocks(spark, sf_dir)
-    return spatial.continued_captions(b, layout.captions(b.join(layout.body_size(b), "doc_id")))
+    b = close_blocks(spark, sf_dir)
+    return _numbers(spatial.continued_captions(b, close_captions(b)), "doc_id", "page", "ord", "x0", "y0", "x1", "y1", "text", "n_joined")
+
+
+#: Drawn regions about each group of lines: some near the caption, some too far above it, some beside it.
+_REGIONS = """drawn AS (
+  SELECT DISTINCT doc_id, page, (100 + 40 * (grp % 3))::DOUBLE AS x0, (60 + 165 * grp - 60)::DOUBLE AS y0, 300.0::DOUBLE AS x1, (60 + 165 * grp + doc_id % 70)::DOUBLE AS y1 FROM boxed WHERE (doc_id + page + grp) % 3 > 0
+  UNION ALL SELECT DISTINCT doc_id, page, 320.0, 60 + 165 * grp + 120 - doc_id % 50, 560.0, 60 + 165 * grp + 160 FROM boxed WHERE (doc_id + grp) % 2 = 0
+)"""
+
+
+def _drawn(b: DataFrame) -> DataFrame:
+    g = b.select("doc_id", "page", F.floor((F.col("ord") % 20) / 5).alias("g")).distinct()
+    top, d = F.col("g") * 165 + 60, lambda c: c.cast("double")
+    one = g.where((F.col("doc_id") + F.col("page") + F.col("g")) % 3 > 0)
+    one = one.select("doc_id", "page", d(F.col("g") % 3 * 40 + 100).alias("x0"), d(top - 60).alias("y0"), F.lit(300.0).alias("x1"), d(top + F.col("doc_id") % 70).alias("y1"))
+    two = g.where((F.col("doc_id") + F.col("g")) % 2 == 0)
+    return one.unionByName(two.select("doc_id", "page", F.lit(320.0).alias("x0"), d(top + 120 - F.col("doc_id") % 50).alias("y0"), F.lit(560.0).alias("x1"), d(top + 160).alias("y1")))
+
+
+def _figure_captions(b: DataFrame) -> DataFrame:
+    found = close_captions(b)
+    whole = spatial.continued_captions(b, found)
+    return whole.join(found.where("kind = 'Figure'").select("doc_id", "page", "ord", "label"), ["doc_id", "page", "ord"])
+
+
+@query(
+    "figure_first_pick",
+    f"""WITH RECURSIVE {_CONTINUED}, {_REGIONS}, near AS (
+  SELECT c.doc_id, c.page, c.ord, r.x0, r.y0, r.x1, r.y1, CASE WHEN r.y1 <= c.y0 + 6 THEN 'up' ELSE 'down' END AS direction, CASE WHEN r.y1 <= c.y0 + 6 THEN c.y0 - r.y1 ELSE r.y0 - c.y1 END AS gap
+  FROM continued c JOIN caps k ON k.doc_id = c.doc_id AND k.page = c.page AND k.ord = c.ord AND k.kind = 'Figure' JOIN drawn r ON r.doc_id = c.doc_id AND r.page = c.page
+  WHERE least(r.x1, c.x1 + 30) - greatest(r.x0, c.x0 - 30) > 0.4 * least(r.x1 - r.x0, c.x1 - c.x0 + 60) AND (r.y1 <= c.y0 + 6 OR r.y0 >= c.y1 - 6)
+), sides AS (SELECT *, max(direction) OVER (PARTITION BY doc_id, page, ord) = direction AS own FROM near
+), picked AS (SELECT * FROM sides WHERE own QUALIFY row_number() OVER (PARTITION BY doc_id, page, ord ORDER BY gap, x0, y0, x1, y1) = 1)
+SELECT doc_id, page, ord, x0, y0, x1, y1, direction FROM picked WHERE gap <= CASE direction WHEN 'up' THEN 140 ELSE 60 END""",
+)
+def figure_first_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = close_blocks(spark, sf_dir)
+    return _numbers(spatial.first_pick(_figure_captions(b), _drawn(b)), "doc_id", "page", "ord", "x0", "y0", "x1", "y1", "direction")
 
 
 @query("figures_located")
 def figures_located(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of block boxes stand in for drawings."""
-    b = made_blocks(spark, sf_dir)
-    found = layout.captions(b.join(layout.body_size(b), "doc_id")).where("kind = 'Figure'").select("doc_id", "page", "ord", "label", "x0", "y0", "x1", "y1")
-    own = b.join(found.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi").where("NOT text LIKE 'Figure%'")
-    return spatial.located_figures(found, spatial.clusters(own.select("doc_id", "page", "x0", "y0", "x1", "y1")).drop("n"))
+    """Regions taken once, grown over neighbours and over the short texts about them."""
+    b = close_blocks(spark, sf_dir)
+    return spatial.located_figures(_figure_captions(b), _drawn(b), layout.roles(b))
+
+
+@query("figure_texts")
+def figure_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the role that figures give them."""
+    b = close_blocks(spark, sf_dir)
+    with_roles = layout.roles(b)
+    named = spatial.figure_text(with_roles, spatial.located_figures(_figure_captions(b), _drawn(b), with_roles))
+    return named.where("role = 'figure_text'").select("doc_id", "page", "ord", "text")
 
 
 @query("evidence_probe", f"""WITH s AS (SELECT doc_id, lower(array_to_string({S.words("text")}, ' ')) AS flat, {S.words("text")}[3:] AS ws FROM documents)

@@ -83,6 +83,33 @@ lines AS (
   SELECT DISTINCT doc_id, page, 100000 + page, 66.0::DOUBLE, 10.0::DOUBLE, 546.0::DOUBLE, 20.0::DOUBLE, 'Running head ' || (page + 1), 8.0::DOUBLE, false FROM body
 )"""
 
+#: Blocks of ``from_close_lines``, with their captions, as ``close`` and ``marks``.
+CLOSE = """
+near_lines AS (
+  SELECT doc_id, i - 1 AS i, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+  WHERE trim(line) <> ''
+), placed AS (
+  SELECT *, i // 20 AS page, (i % 20) // 5 AS grp, i % 5 AS place, 60 + 165 * ((i % 20) // 5) AS base FROM near_lines
+), boxed AS (
+  SELECT *, CASE place WHEN 0 THEN base WHEN 1 THEN base + 34 WHEN 2 THEN base + 68 WHEN 3 THEN base + 82 + (doc_id + i) % 7 ELSE base + 94 + (doc_id + i - 1) % 7 + 2 * (i % 4) END AS y0,
+         CASE WHEN place = 3 THEN 66 + 6 * (i % 3) ELSE 66 END AS x0
+  FROM placed
+), close AS (
+  SELECT doc_id, page::BIGINT AS page, i::BIGINT AS ord, x0::DOUBLE AS x0, y0::DOUBLE AS y0, 546.0::DOUBLE AS x1,
+         (y0 + CASE WHEN place < 2 THEN 24 WHEN place = 2 THEN 14 ELSE 12 END)::DOUBLE AS y1,
+         CASE WHEN place = 2 THEN CASE WHEN grp % 2 = 0 THEN 'Table ' ELSE 'Figure ' END || (i % 4 + 1) || '. ' || line ELSE line END AS text,
+         CASE WHEN place >= 2 THEN 9 ELSE 10 END AS size
+  FROM boxed
+), close_body AS (
+  SELECT doc_id, arg_max(size, (chars, -seen)) AS body_size FROM (SELECT doc_id, size, sum(length(text)) AS chars, min(ord) AS seen FROM close GROUP BY doc_id, size) GROUP BY doc_id
+), marks AS (
+  SELECT *, regexp_extract(text, '(?i)^\\s*(Supplementary\\s+|Extended\\s+Data\\s+)?(Fig(?:ure)?|Table)s?\\.?\\s*(S?\\d{1,3})(?:([A-Za-z0-9])|\\s*([.:|–—-])?)', ['supp', 'kind', 'num', 'more', 'sep']) AS m
+  FROM close JOIN close_body USING (doc_id)
+), caps AS (
+  SELECT * EXCLUDE (m), CASE WHEN lower(m.kind) LIKE 'fig%' THEN 'Figure' ELSE 'Table' END AS kind, upper(m.num) AS number FROM marks
+  WHERE m.kind <> '' AND m.more = '' AND (m.sep <> '' OR size < body_size - 0.3)
+)"""
+
 _G = lambda k: f"regexp_extract(text, {quoted(layout.CAPTION)}, {k})"
 _CAPTION = f"({_G(2)} <> '' AND {_G(4)} = '' AND ({_G(5)} <> '' OR bold OR size < body_size - 0.3))"
 

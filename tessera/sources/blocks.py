@@ -43,3 +43,20 @@ def from_lines(documents: DataFrame) -> DataFrame:
         F.concat(d("Running head "), (F.col("page") + 1).cast("string")).alias("text"), d(8.0).alias("size"), d(False).alias("bold"),
     )
     return body.unionByName(heads)
+
+
+def from_close_lines(documents: DataFrame) -> DataFrame:
+    """Blocks of twenty lines a page in four groups, each with a caption of a table or a figure and two lines at small, changing distances below it."""
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where("trim(line) <> ''")
+    i, slot = F.col("i"), F.col("i") % 20
+    group, place = F.floor(slot / 5), slot % 5
+    base, near, further = group * 165 + 60, (F.col("doc_id") + i) % 7, (i % 4) * 2
+    number = (i % 4 + 1).cast("string")
+    y0 = F.when(place == 0, base).when(place == 1, base + 34).when(place == 2, base + 68).when(place == 3, base + 82 + near).otherwise(base + 94 + (F.col("doc_id") + i - 1) % 7 + further)
+    title = F.concat(F.when(group % 2 == 0, "Table ").otherwise("Figure "), number, F.lit(". "))
+    left = F.when(place == 3, 66 + (i % 3) * 6).otherwise(66)
+    return lines.select(
+        "doc_id", F.floor(i / 20).cast("int").alias("page"), i.cast("int").alias("ord"), left.cast("double").alias("x0"), y0.cast("double").alias("y0"),
+        F.lit(546.0).alias("x1"), (y0 + F.when(place < 2, 24).when(place == 2, 14).otherwise(12)).cast("double").alias("y1"),
+        F.when(place == 2, F.concat(title, "line")).otherwise(F.col("line")).alias("text"), F.when(place >= 2, 9.0).otherwise(10.0).alias("size"), F.lit(False).alias("bold"),
+    )

@@ -284,18 +284,3 @@ def figure_text(blocks: DataFrame, figures: DataFrame) -> DataFrame:
     taken = absorbed.unionByName(within).distinct().withColumn("taken", F.lit(True))
     named = blocks.join(taken, ["doc_id", "page", "ord"], "left")
     return named.withColumn("role", F.when((F.col("role") == "body") & F.col("taken"), "figure_text").otherwise(F.col("role"))).drop("taken")
-
-
-def borderless_tables(captions: DataFrame, found: DataFrame, height: float = 792.0) -> DataFrame:
-    """For captions without a table, the first valid table of at least three rows that starts up to 40 points below.
-
-    ``found(doc_id, page, table_id, x0, y0, x1, y1, rows)`` are tables by text position within 260 points below a caption,
-    10 points wider, and 30 off the page's end. They are approximate.
-    """
-    c = captions.select("doc_id", "page", "label", *(F.col(k).alias(f"c_{k}") for k in ("x0", "x1", "y1")))
-    near = found.join(c, ["doc_id", "page"]).where(
-        (F.col("x0") >= F.col("c_x0") - 10) & (F.col("x1") <= F.col("c_x1") + 10) & (F.col("y0") >= F.col("c_y1")) & (F.col("y0") - F.col("c_y1") <= 40)
-        & (F.col("y1") <= F.least(F.col("c_y1") + 260, F.lit(height - 30))) & (F.size("rows") >= 3)
-    )
-    w = Window.partitionBy("doc_id", "page", "label").orderBy("y0", "table_id")
-    return near.withColumn("n", F.row_number().over(w)).where("n = 1").select("doc_id", "page", "label", "table_id", "x0", "y0", "x1", "y1", "rows", F.lit(True).alias("approximate"))

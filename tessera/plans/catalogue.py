@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import chunking, conversation, embedding, evidence, index, layout, library, references, retrieval, spatial, viewing
+from tessera.operators import chunking, conversation, embedding, evidence, index, layout, library, references, retrieval, spatial, tables, viewing
 from tessera.plans import sql as S
-from tessera.sources import blocks, links
+from tessera.sources import blocks, links, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -537,8 +537,8 @@ def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.table_captions(_tables(b), close_captions(b))
 
 
-def _numbers(df: DataFrame, *names: str) -> DataFrame:
-    return df.select(*(F.col(c).cast("long").alias(c) if c in ("page", "ord", "table_id", "n_joined", "place") else c for c in names))
+def _numbers(df: DataFrame, *names: str | Column) -> DataFrame:
+    return df.select(*(F.col(c).cast("long").alias(c) if isinstance(c, str) and c in ("page", "ord", "table_id", "n_joined", "place") else c for c in names))
 
 
 @query("table_caption_match", f"WITH {_COSTS} SELECT doc_id, page, table_id::BIGINT AS table_id, ord, cost FROM costs QUALIFY row_number() OVER (PARTITION BY doc_id, page, table_id ORDER BY cost, line, x0, ord) = 1")
@@ -567,6 +567,60 @@ def table_caption_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbers(spatial.match_once(_costs(spark, sf_dir)), "doc_id", "page", "table_id", "ord", "cost")
 
 
+_WORDS = r"""placed AS (
+  SELECT doc_id, cols, i - 1 AS i, w, (i - 1) // (cols * 8) AS page, (i - 1) % (cols * 8) // cols AS r, (i - 1) % (cols * 8) % cols AS c
+  FROM (SELECT doc_id, doc_id % 3 + 3 AS cols, unnest(regexp_extract_all(text, '[^ \n]+')) AS w, generate_subscripts(regexp_extract_all(text, '[^ \n]+'), 1) AS i FROM documents)
+)"""
+_AS_TEXT = lambda rows: F.array_join(F.transform(rows, lambda r: F.array_join(r, " | ")), "\n")
+
+
+@query(
+    "tables_ruled",
+    f"""WITH {_WORDS}, grid AS (SELECT doc_id, page, cols, max(r) AS last_r, max(length(w)) AS longest, count(*) AS n FROM placed GROUP BY ALL
+), cells AS (SELECT g.*, a.r, b.c, coalesce(p.w, '') AS w FROM grid g CROSS JOIN range(0, 8) AS a(r) CROSS JOIN range(0, 5) AS b(c) LEFT JOIN placed p ON p.doc_id = g.doc_id AND p.page = g.page AND p.r = a.r AND p.c = b.c WHERE a.r <= last_r AND b.c < g.cols
+), lined AS (SELECT doc_id, page, cols, last_r, longest, n, r, string_agg(w, ' | ' ORDER BY c) AS line FROM cells GROUP BY ALL)
+SELECT doc_id, page::BIGINT AS page, (last_r + 1)::BIGINT AS n_rows, cols::BIGINT AS n_columns, string_agg(line, chr(10) ORDER BY r) AS cells FROM lined
+WHERE last_r >= 1 AND n >= 0.35 * (last_r + 1) * cols AND longest <= 400 GROUP BY doc_id, page, last_r, cols""",
+)
+def tables_ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables found again from rules in pieces, and the words in their cells."""
+    words, drawn, _ = blocks.laid_out(documents(spark, sf_dir))
+    found = tables.ruled(drawn, words)
+    return found.select("doc_id", F.col("page").cast("long").alias("page"), F.size("rows").cast("long").alias("n_rows"), F.size(F.get("rows", 0)).cast("long").alias("n_columns"), _AS_TEXT(F.col("rows")).alias("cells"))
+
+
+_PARTED = "sum(CASE WHEN {0} - before > {1} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY {2} ROWS UNBOUNDED PRECEDING)"
+_BEFORE = "max({0}) OVER (PARTITION BY doc_id, page ORDER BY {1} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(
+    "tables_borderless",
+    f"""WITH {_WORDS}, boxed AS (
+  SELECT doc_id, page, i, w, 65 + 80 * c AS x0, 104 + 20 * r AS y0, 65 + 80 * c + 4 * least(length(w), 15) AS x1, 114 + 20 * r AS y1,
+         CASE WHEN doc_id % 5 = 0 THEN 54 ELSE 90 END AS cap_y, CASE WHEN doc_id % 7 = 3 THEN 80 * (cols - 1) + 50 ELSE 80 * cols + 60 END AS cap_x FROM placed
+), clipped AS (SELECT * FROM boxed WHERE x0 >= 50 AND x1 <= cap_x + 10 AND y0 >= cap_y AND y1 <= least(cap_y + 260, 762)
+), l1 AS (SELECT *, {_BEFORE.format("y1", "y1, i")} AS before FROM clipped
+), l2 AS (SELECT * EXCLUDE (before), {_PARTED.format("y1", 3, "y1, i")} AS line FROM l1
+), r0 AS (SELECT *, min(y0) OVER (PARTITION BY doc_id, page, line) AS top, max(y1) OVER (PARTITION BY doc_id, page, line) AS bottom FROM l2
+), r1 AS (SELECT *, {_BEFORE.format("bottom", "top, bottom, i")} AS before FROM r0
+), r2 AS (SELECT * EXCLUDE (before), {_PARTED.format("top", 14, "top, bottom, i")} AS run FROM r1
+), c1 AS (SELECT *, {_BEFORE.format("x1", "x0, x1, i")} AS before FROM r2 WHERE run = 0
+), c2 AS (SELECT * EXCLUDE (before), {_PARTED.format("x0", 6, "x0, x1, i")} AS col FROM c1
+), sized AS (SELECT doc_id, page, max(line) AS last_line, max(col) AS last_col, min(y0) - min(cap_y) AS gap, max(length(w)) AS longest FROM c2 GROUP BY ALL
+), grid AS (SELECT s.*, r.v AS line, c.v AS col FROM sized s CROSS JOIN range(0, 20) AS r(v) CROSS JOIN range(0, 20) AS c(v) WHERE r.v <= last_line AND c.v <= last_col
+), cells AS (SELECT g.doc_id, g.page, g.last_line, g.last_col, g.line, g.col, coalesce(string_agg(w, ' ' ORDER BY x0, i), '') AS cell FROM grid g
+  LEFT JOIN c2 ON c2.doc_id = g.doc_id AND c2.page = g.page AND c2.line = g.line AND c2.col = g.col WHERE gap <= 40 GROUP BY ALL
+), lined AS (SELECT doc_id, page, last_line, last_col, line, string_agg(cell, ' | ' ORDER BY col) AS text, sum((cell <> '')::INT) AS filled, max(length(cell)) AS longest FROM cells GROUP BY ALL)
+SELECT doc_id, page::BIGINT AS page, (last_line + 1)::BIGINT AS n_rows, (last_col + 1)::BIGINT AS n_columns, string_agg(text, chr(10) ORDER BY line) AS cells FROM lined GROUP BY doc_id, page, last_line, last_col
+HAVING last_line >= 2 AND last_col >= 1 AND sum(filled) >= 0.35 * (last_line + 1) * (last_col + 1) AND max(longest) <= 400""",
+)
+def tables_borderless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables from where words stand below captions."""
+    words, _, captions = blocks.laid_out(documents(spark, sf_dir))
+    found = tables.borderless(captions, words)
+    return found.select("doc_id", F.col("page").cast("long").alias("page"), F.size("rows").cast("long").alias("n_rows"), F.size(F.get("rows", 0)).cast("long").alias("n_columns"), _AS_TEXT(F.col("rows")).alias("cells"))
+
+
 @query("graphic_clusters")
 def graphic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of block boxes, which stand in for drawings."""
@@ -614,6 +668,41 @@ def unlabelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.without_removed(documents(spark, sf_dir).select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
+@query(
+    "span_blocks",
+    r"""WITH lines AS (
+  SELECT doc_id, i - 1 AS i, list_filter(string_split(line, ' '), lambda w: w <> '') AS ws
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+), spans AS (
+  SELECT doc_id, i // 3 AS block, i % 3 AS line, i % 17 = 16 AS turned, k - 1 AS k, ws[k] AS word, round_even((9 + (k - 1) % 3 * 0.75) * 2, 0) / 2 AS half, (doc_id + k - 1) % 4 > 0 AS bold, len(ws) AS n
+  FROM lines, unnest(generate_series(1, len(ws))) AS g(k)
+), weighed AS (
+  SELECT doc_id, block, half, sum(length(trim(word, chr(9) || chr(13)))) AS chars, min((line, k)) AS seen, sum(CASE WHEN bold THEN length(trim(word, chr(9) || chr(13))) ELSE 0 END) AS bold_chars
+  FROM spans WHERE NOT turned AND trim(word, chr(9) || chr(13)) <> '' GROUP BY ALL
+), shaped AS (
+  SELECT doc_id, block, arg_max(half, (chars, -seen[1], -seen[2])) AS size, sum(bold_chars) / sum(chars) > 0.6 AS bold FROM weighed GROUP BY ALL
+), joined AS (
+  SELECT doc_id, block, max(20 * n - 10) AS x1, count(DISTINCT line) FILTER (NOT turned) AS n_lines, arg_min(trim(word, chr(9) || chr(13)), (line, k)) FILTER (NOT turned) AS first_span FROM spans GROUP BY ALL
+), texts AS (
+  SELECT doc_id, block, list_reduce(list(t ORDER BY line), lambda a, x: CASE WHEN regexp_matches(a, '\p{L}-$') AND regexp_matches(x, '^\p{Ll}') THEN left(a, length(a) - 1) || x ELSE a || ' ' || x END) AS text
+  FROM (SELECT doc_id, block, line, string_agg(word, ' ' ORDER BY k) AS t FROM spans WHERE NOT turned GROUP BY ALL) GROUP BY ALL
+)
+SELECT doc_id, block::BIGINT AS ord, text, size::DOUBLE AS size, bold, first_span, n_lines::BIGINT AS n_lines, x1::DOUBLE AS x1 FROM texts JOIN shaped USING (doc_id, block) JOIN joined USING (doc_id, block)""",
+)
+def span_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of three lines from spans of a word each, with blank spans between them; every 17th line is turned."""
+    i, k = F.col("i"), F.col("k")
+    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    words = lines.select("doc_id", "i", F.filter(F.split("line", " "), lambda w: w != "").alias("ws"))
+    own = words.select("doc_id", "i", F.posexplode(F.flatten(F.transform("ws", lambda w, n: F.when(n == 0, F.array(w)).otherwise(F.array(F.lit(" "), w))))).alias("k", "text"))
+    word = F.floor(k / 2)
+    s = own.select(
+        "doc_id", F.lit(0).alias("page"), F.floor(i / 3).alias("block"), (i % 3).alias("line"), k.alias("ord"), "text", (word % 3 * 0.75 + 9).cast("double").alias("size"), ((F.col("doc_id") + word) % 4 > 0).alias("bold"),
+        (k * 10).cast("double").alias("x0"), F.lit(0.0).alias("y0"), (k * 10 + 10).cast("double").alias("x1"), F.lit(9.0).alias("y1"), F.lit(1.0).alias("dx"), F.when(i % 17 == 16, 1.0).otherwise(0.0).alias("dy"),
+    )
+    return _numbers(spans.blocks(s), "doc_id", "ord", "text", "size", "bold", "first_span", "x1", F.col("n_lines").cast("long").alias("n_lines"))
+
+
 _CONTINUED = f"""{S.CLOSE}, sorted AS (
   SELECT b.*, c.ord IS NOT NULL AS is_start, row_number() OVER (PARTITION BY b.doc_id, b.page ORDER BY round_even(b.y0, 0), b.x0, b.ord) AS n
   FROM close b LEFT JOIN (SELECT doc_id, page, ord FROM caps) c ON c.doc_id = b.doc_id AND c.page = b.page AND c.ord = b.ord

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: White space that becomes one space, and white space at the ends of a text as Unicode has it.
+SPACES = r"[ \t\u00A0\u2009\u200A\u202F]+"
+BLANK_ENDS = r"^[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+|[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+$"
+
 
 def join_lines(lines: Column) -> Column:
-    """Lines as one text: a hyphen between a letter and a lower-case start goes, else a space joins them."""
-    clean = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "[\\u00A0\\u2000-\\u200A\\u202F]", " "))), lambda x: x != "")
+    """Lines as one text, runs of white space as one space: a hyphen between a letter and a lower-case start goes, else a space joins them."""
+    clean = F.filter(F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, SPACES, " "), BLANK_ENDS, "")), lambda x: x != "")
 
     def add(a: Column, x: Column) -> Column:
         broken = a.rlike(r"\p{L}-$") & x.rlike(r"^\p{Ll}")
@@ -18,25 +22,35 @@ def join_lines(lines: Column) -> Column:
 
 
 def blocks(spans: DataFrame) -> DataFrame:
-    """``spans(doc_id, page, block, line, ord, text, size, bold, x0, y0, x1, y1)`` to layout blocks.
+    """``spans(doc_id, page, block, line, ord, text, size, bold, x0, y0, x1, y1)``, with ``dx`` and ``dy`` if known, to layout blocks.
 
-    The size is that of most characters (to half points; of equals the first), bold if over 60 % of the
-    characters are. Blank spans are left out.
+    Lines that don't run from left to right (``dx`` under 0 or ``dy`` beyond 0.5) are left out. Blank spans part words, but say nothing of size and weight. Characters
+    are those of trimmed spans; the size is that of most (to half points, halves to even; of equals the one first seen), bold if over 60 % of them are.
+    A block without visible text is left out. The box is that of all spans, of lines left out too.
     """
-    s = spans.where("trim(text) <> ''").withColumn("size", F.round(F.col("size") * 2) / 2).withColumn("n", F.length("text"))
+    s = spans.withColumn("flat", F.lit(True))
+    if {"dx", "dy"} <= set(s.columns):
+        s = s.withColumn("flat", (F.coalesce("dx", F.lit(1.0)) >= 0) & (F.abs(F.coalesce("dy", F.lit(0.0))) <= 0.5))
     key = ["doc_id", "page", "block"]
-    by_size = s.groupBy(*key, "size").agg(F.sum("n").alias("chars"), F.min(F.struct("line", "ord")).alias("seen"))
-    main = by_size.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("chars"), "seen"))).where("k = 1").select(*key, "size")
-    line = s.groupBy(*key, "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "").alias("text"))
-    lines = line.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("lines"))
-    first = lambda c: F.min_by(c, F.struct("line", "ord"))
-    shape = s.groupBy(*key).agg(
-        *(F.min(c).alias(c) for c in ("x0", "y0")), *(F.max(c).alias(c) for c in ("x1", "y1")),
-        (F.sum(F.when(F.col("bold"), F.col("n")).otherwise(0)) / F.sum("n") > 0.6).alias("bold"), first("bold").alias("first_bold"), first("text").alias("first_span"),
+    n = F.char_length(F.regexp_replace("text", BLANK_ENDS, ""))
+    s = s.withColumn("half", F.bround(F.col("size") * 2) / 2).withColumn("n", F.coalesce(n, F.lit(0)))
+    seen = F.struct("line", "ord")
+    by_size = s.where("flat AND n > 0").groupBy(*key, "half").agg(F.sum("n").alias("chars"), F.min(seen).alias("seen"), F.sum(F.when(F.col("bold"), F.col("n")).otherwise(0)).alias("bold_chars"), F.min_by(F.struct("bold", "text"), seen).alias("first"))
+    shape = by_size.groupBy(*key).agg(
+        F.max_by("half", F.struct("chars", (-F.col("seen.line")).alias("line"), (-F.col("seen.ord")).alias("ord"))).alias("size"),
+        (F.sum("bold_chars") / F.sum("chars") > 0.6).alias("bold"), F.min_by("first", "seen").alias("first"),
+    )
+    line = s.groupBy(*key, "line").agg(
+        F.max("flat").alias("flat"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "").alias("text"), *(F.min(c).alias(c) for c in ("x0", "y0")), *(F.max(c).alias(c) for c in ("x1", "y1")),
     )
+    lines = line.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("flat"), F.struct("line", "text")))).alias("lines"), *(F.min(c).alias(c) for c in ("x0", "y0")), *(F.max(c).alias(c) for c in ("x1", "y1")))
     text = join_lines(F.transform("lines", lambda x: x["text"]))
-    out = lines.join(main, key).join(shape, key)
-    return out.select("doc_id", "page", F.col("block").alias("ord"), "x0", "y0", "x1", "y1", text.alias("text"), "size", "bold", "first_bold", "first_span", F.size("lines").alias("n_lines"))
+    out = lines.join(shape, key)
+    return out.select(
+        "doc_id", "page", F.col("block").alias("ord"), "x0", "y0", "x1", "y1", text.alias("text"), "size", "bold",
+        F.col("first.bold").alias("first_bold"), F.regexp_replace("first.text", BLANK_ENDS, "").alias("first_span"), F.size("lines").alias("n_lines"),
+    ).where("text <> ''")
 
 
 def pages_without_text(pages: DataFrame, found: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import retrieval
-from tessera.store import commit, commits
+from tessera.store import checkpointed, commit, commits
 
 SCHEMA_VERSION = 1
 
@@ -97,11 +97,23 @@ def compact(spark: SparkSession, folder: str, into: str) -> None:
     publish(rows, published(spark, folder).drop("version"), into)
 
 
-def write_postings(chunks: DataFrame, folder: str) -> None:
-    """Postings clustered by term, so that a query reads the row groups of its terms."""
+def write_postings(chunks: DataFrame, folder: str, buckets: int = 256) -> None:
+    """The postings of ``chunks(chunk_id, kind, section_kind, section, label, text)`` and their statistics, for ``retrieval.batch_sparse``.
+
+    Postings lie in a folder for each bucket of terms, sorted by term, so a batch of questions reads the buckets and row groups of its terms. ``terms`` has
+    the number of chunks of each term, ``stats`` one row of the corpus's.
+    """
     docs = chunks.withColumnRenamed("chunk_id", "id")
-    posted = retrieval.postings(docs, F.concat_ws(" ", "section", "label", "text"))
-    posted.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
+    posted = checkpointed(retrieval.postings(docs, F.concat_ws(" ", "section", "label", "text"), "kind", "section_kind"))
+    retrieval.corpus_stats(posted).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{folder}/stats")
+    own = posted.where("term IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    own.groupBy("bucket", "term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
+    own.repartition("bucket").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").mode("overwrite").parquet(f"{folder}/postings")
+
+
+def read_postings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The postings, the terms and the statistics of ``write_postings``."""
+    return tuple(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "terms", "stats"))
 
 
 def stale(wanted: DataFrame, known: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from tessera.functions import text as T
 from tessera.operators import chunking, conversation, embedding, evidence, index, layout, library, references, retrieval, spatial, tables, viewing
 from tessera.plans import sql as S
 from tessera.sources import blocks, links, spans
+from tessera.store import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -156,8 +158,7 @@ def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("document_frequency", f"WITH w AS (SELECT doc_id, unnest(list_distinct({S.tokens('text')})) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, round(ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM w, n GROUP BY term, n")
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posted = retrieval.postings(documents(spark, sf_dir).withColumnRenamed("doc_id", "id"), F.col("text"))
-    return retrieval.document_frequency(posted, retrieval.corpus_stats(posted)).withColumn("idf", F.round("idf", 6))
+    return retrieval.document_frequency(documents(spark, sf_dir), F.col("text")).withColumn("idf", F.round("idf", 6))
 
 
 @query("mentions", f"WITH {S.BLOCKS} SELECT doc_id, page::BIGINT AS page, ord::BIGINT AS ord, array_to_string({S.distinct_in_order(S.mentions('text'))}, ',') AS labels FROM blocks WHERE len({S.mentions('text')}) > 0")
@@ -350,6 +351,65 @@ def intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select("doc_id", "i.kind", F.array_join("i.prefer_sections", ",").alias("prefer"), "i.wants_references", F.array_join("i.labels", ",").alias("labels"))
 
 
+#: Questions are what users say, with a wish added; documents are chunks of papers of seven, the first of which are references and the second abstracts.
+_ASKING = """asking AS (
+  SELECT conv_id * 1000 + turn AS question_id, conv_id * 3 + turn AS vec_id,
+         text || CASE conv_id % 5 WHEN 0 THEN ' What does Figure 3 show?' WHEN 1 THEN ' Summarize this paper' WHEN 2 THEN ' What are the limitations?' WHEN 3 THEN ' Which works are cited?' ELSE '' END AS q
+  FROM conversations WHERE role = 'user'
+)"""
+_CHUNK_KIND = "CASE doc_id % 7 WHEN 0 THEN 'reference' WHEN 1 THEN 'abstract' ELSE 'text' END"
+_CHUNK_SECTION = "CASE doc_id % 5 WHEN 0 THEN 'introduction' WHEN 1 THEN 'methods' WHEN 2 THEN 'results' WHEN 3 THEN 'discussion' ELSE 'conclusion' END"
+
+
+@query(
+    "questions_answered",
+    f"""WITH {_ASKING}, f AS (SELECT *, len({S.mentions("q")}) AS n, {", ".join(f"{v} AS has_{k}" for k, v in _HAS.items())} FROM asking
+), meant AS (
+  SELECT question_id, vec_id, q, has_references, has_summary AND n = 0 AS summary,
+         list_concat(CASE WHEN has_summary AND n = 0 THEN ['abstract', 'introduction', 'conclusion', 'discussion'] ELSE [] END,
+           CASE WHEN NOT (has_summary AND n = 0) AND has_critical THEN ['discussion', 'limitations', 'conclusion', 'methods'] ELSE [] END,
+           CASE WHEN has_methods THEN ['methods'] ELSE [] END, CASE WHEN has_results THEN ['results'] ELSE [] END) AS prefer FROM f
+), chunks AS (SELECT doc_id AS id, {_CHUNK_KIND} AS kind, {_CHUNK_SECTION} AS section, {S.tokens("text")} AS terms FROM documents
+), stats AS (SELECT count(*) AS n, avg(len(terms)) AS avg_length FROM chunks
+), tf AS (SELECT id, kind, term, count(*) AS tf, len FROM (SELECT id, kind, unnest(terms) AS term, len(terms) AS len FROM chunks) GROUP BY ALL
+), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term
+), asked AS (SELECT DISTINCT question_id, has_references, unnest({S.tokens("q")}) AS term FROM meant
+), sparse AS (
+  SELECT question_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_length))), 9) AS score
+  FROM asked JOIN df USING (term) JOIN tf USING (term), stats WHERE has_references OR kind <> 'reference' GROUP BY ALL
+), sparse_ranked AS (SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) - 1 AS sparse_rank FROM sparse WHERE score > 0 QUALIFY sparse_rank < 30
+), dense AS (
+  SELECT m.question_id, d.vec_id AS id, round(list_dot_product(d.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score
+  FROM meant m JOIN embeddings e ON e.vec_id = m.vec_id JOIN embeddings d ON m.has_references OR d.vec_id % 7 <> 0 WHERE d.vec_id IN (SELECT doc_id FROM documents)
+), dense_ranked AS (SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) - 1 AS dense_rank FROM dense QUALIFY dense_rank < 30
+), fused AS (
+  SELECT question_id, id, dense_rank, sparse_rank, summary,
+         (coalesce(1.0::DOUBLE / (61 + dense_rank), 0) + coalesce(1.0::DOUBLE / (61 + sparse_rank), 0)) * CASE WHEN list_contains(prefer, section) THEN 1.25::DOUBLE ELSE 1.0 END AS score
+  FROM sparse_ranked FULL JOIN dense_ranked USING (question_id, id) JOIN meant USING (question_id) JOIN (SELECT id, section FROM chunks) USING (id)
+), hits AS (SELECT *, id // 7 AS paper, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST, id) AS place FROM fused QUALIFY place <= 8
+), firsts AS (
+  SELECT question_id, paper * 7 + 1 AS id, 1.0 AS score, min(place) AS place, 0 AS turn FROM hits WHERE summary GROUP BY question_id, paper HAVING NOT bool_or(id % 7 = 1) AND paper * 7 + 1 IN (SELECT doc_id FROM documents)
+)
+SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY turn, place, id) AS rank, id, round(score, 6) AS score
+FROM (SELECT * FROM firsts UNION ALL SELECT question_id, id, score, place, 1 FROM hits)""",
+)
+def questions_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All users' questions at once, by their intents, over written postings and vectors."""
+    d = documents(spark, sf_dir)
+    chunks = d.select(F.col("doc_id").alias("chunk_id"), F.expr(_CHUNK_KIND).alias("kind"), F.expr(_CHUNK_SECTION).alias("section_kind"), F.lit("").alias("section"), F.lit("").alias("label"), "text")
+    folder = f"{shared_folder(spark)}/postings-{uuid.uuid4()}"
+    index.write_postings(chunks, folder, 64)
+    wish = F.expr("CASE conv_id % 5 WHEN 0 THEN ' What does Figure 3 show?' WHEN 1 THEN ' Summarize this paper' WHEN 2 THEN ' What are the limitations?' WHEN 3 THEN ' Which works are cited?' ELSE '' END")
+    asking = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), (F.col("conv_id") * 3 + F.col("turn")).alias("vec_id"), F.concat("text", wish).alias("question"))
+    asking = asking.withColumn("intent", T.intent(F.col("question"))).withColumn("wants_references", F.col("intent.wants_references"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = asking.join(vectors.withColumnRenamed("id", "vec_id"), "vec_id").select("question_id", "wants_references", "vector")
+    close = retrieval.batch_dense(vectors.join(chunks.select(F.col("chunk_id").alias("id"), "kind", "section_kind"), "id"), asked)
+    papers = d.select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 7).alias("paper"), (F.col("doc_id") % 7 == 1).alias("is_abstract"))
+    found = retrieval.batch(asking, retrieval.batch_sparse(asking, *index.read_postings(spark, folder)), close, papers)
+    return found.select("question_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
 @query("followup_gate", f"SELECT conv_id, turn, turn > 0 AND ({S.count('text')} <= 12 OR regexp_matches(text, {S.quoted(T.bounded(T.FOLLOW_UP))})) AS needs_rewrite FROM conversations WHERE role = 'user'")
 def followup_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
@@ -634,7 +694,7 @@ def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("chunk_index_stats", "SELECT count(*) AS n, round(avg(len(t)), 4) AS avg_length FROM (SELECT " + S.tokens("text") + " AS t FROM documents)")
 def chunk_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = retrieval.corpus_stats(retrieval.postings(documents(spark, sf_dir).withColumnRenamed("doc_id", "id"), F.col("text")))
+    stats = retrieval.length_stats(documents(spark, sf_dir), F.col("text"))
     return stats.select("n", F.round("avg_length", 4).alias("avg_length"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tessera import settings, store
-from tessera.operators import answer, chunking, embedding, evidence, index, layout, library, references, spatial
+from tessera.operators import answer, chunking, embedding, evidence, index, layout, library, references, retrieval, spatial
 from tessera.streaming import memory
 from tessera.streaming.ingest import current, ingest
 
@@ -75,6 +75,33 @@ def test_bm25_scores_without_texts(spark):
     assert "documents.parquet" not in scored._jdf.queryExecution().toString()
 
 
+def test_questions_read_the_buckets_of_their_terms(spark, tmp_path):
+    """One scan of the postings for all questions, of few folders; references only where asked for; no arm needs the other."""
+    rows = [(i, "reference" if i % 5 == 0 else "text", "results", "R", None, f"word{i} common term{i % 3}") for i in range(200)] + [(200, "text", None, "", "", "")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, kind string, section_kind string, section string, label string, text string")
+    index.write_postings(chunks, str(tmp_path), 64)
+    posted, df, stats = index.read_postings(spark, str(tmp_path))
+    asked = spark.createDataFrame([(1, "word10 word11", False), (2, "word10 word11 word11", True), (3, "nowhere", True), (4, None, True)], "question_id long, question string, wants_references boolean")
+    got = retrieval.batch_sparse(asked, posted, df, stats)
+    assert sorted((r["question_id"], r["id"], r["sparse_rank"]) for r in got.collect()) == [(1, 11, 0), (2, 10, 0), (2, 11, 1)]
+    plan = got._jdf.queryExecution().toString()
+    assert plan.count("tf#") and "dynamicpruning" in plan.lower() and "CartesianProduct" not in plan
+    assert stats.first().asDict() == {"n": 201, "avg_length": 600 / 201 + 200 / 201, "buckets": 64}
+    assert df.where("term = 'common'").first()["df"] == 200
+    vectors = spark.createDataFrame([(i, "reference" if i % 5 == 0 else "text", "results", [float(i % 7), 1.0]) for i in range(40)], "id long, kind string, section_kind string, vector array<double>")
+    near = retrieval.batch_dense(vectors.repartition(3), spark.createDataFrame([(1, False, [1.0, 0.0]), (2, True, [1.0, 0.0]), (3, True, None)], "question_id long, wants_references boolean, vector array<double>"), 4)
+    found = {}
+    for r in near.orderBy("question_id", "dense_rank").collect():
+        found.setdefault(r["question_id"], []).append(r["id"])
+    assert found == {1: [6, 13, 27, 34], 2: [6, 13, 20, 27]}
+    both = retrieval.batch(asked.select("question_id", F.struct(F.lit("summary").alias("kind"), F.array(F.lit("results")).alias("prefer_sections")).alias("intent")), got, near, chunks.select(F.col("chunk_id").alias("id"), F.floor(F.col("chunk_id") / 10).alias("paper"), (F.col("chunk_id") % 10 == 9).alias("is_abstract")), 3)
+    lists = {}
+    for r in both.orderBy("question_id", "rank").collect():
+        lists.setdefault(r["question_id"], []).append((r["id"], round(r["score"], 6)))
+    first = round(1.25 / 61, 6)
+    assert lists == {1: [(9, 1.0), (19, 1.0), (6, first), (11, first), (13, round(1.25 / 62, 6))], 2: [(9, 1.0), (19, 1.0), (6, first), (10, first), (13, round(1.25 / 62, 6))]}
+
+
 @pytest.mark.parametrize("costs, budget, kept", [([5, 4, 3, 9, 1, 2], 10, [5, 4, 1]), ([20, 1], 10, [20]), ([3, 3, 3], 6, [3, 3])])
 def test_pack(spark, costs, budget, kept):
     items = spark.createDataFrame([(1, k, c) for k, c in enumerate(costs)], "g int, place int, cost long")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches
+from tessera.llm.common import beside, map_batches, packed, packed_kind
 
 #: The byte-level pattern (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -124,8 +124,8 @@ def tokenizer(path: str) -> ForcedBoundaryBpe:
 
 
 def _map_texts(docs: DataFrame, keep: list[str], text: str, added: str, make: Callable[[list], list[pa.Array]]) -> DataFrame:
-    kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [added])
-    names = [*keep, *(a.split()[0] for a in added.split(", "))]
+    given = packed(docs, keep, F.col(text).alias("bpe_text"))
+    names = ["kept", *(a.split()[0] for a in added.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,7 +133,7 @@ def _map_texts(docs: DataFrame, keep: list[str], text: str, added: str, make: Ca
                 part = b.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *make(part.column(part.num_columns - 1))], names)
 
-    return map_batches(docs.select(*keep, F.col(text).alias("bpe_text")), run, kind)
+    return beside(map_batches(given, run, packed_kind(given, added)), keep)
 
 
 def _lists(ids: list[np.ndarray]) -> pa.Array:

@@ -9,10 +9,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.store import checkpointed, shared_folder
 
-__all__ = ["WORD", "ascii_lower", "checkpointed", "map_batches", "shared_folder", "size_class", "table", "word_count"]
+__all__ = ["WORD", "ascii_lower", "beside", "checkpointed", "map_batches", "packed", "packed_kind", "shared_folder", "size_class", "table", "word_count"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,9 +38,28 @@ def word_count(c: Column) -> Column:
 BATCH_BYTES = 8 << 20
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: str) -> DataFrame:
+def packed(docs: DataFrame, keep: list[str], *others: Column) -> DataFrame:
+    """``docs``' columns ``keep`` as one, ``kept``, so that none of their names meets one of an operator's own, and ``others``."""
+    return docs.select(F.struct(*keep).alias("kept"), *others)
+
+
+def packed_kind(given: DataFrame, added: str) -> StructType:
+    return StructType([given.schema["kept"], *StructType.fromDDL(added).fields])
+
+
+def beside(made: DataFrame, keep: list[str]) -> DataFrame:
+    """The kept columns beside the others; a kept one of the name of another gives way to it."""
+    names = [c for c in made.columns if c != "kept"]
+    return made.select(*(F.col("kept")[c].alias(c) for c in keep if c not in names), *names)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: str | StructType) -> DataFrame:
     """``df.mapInArrow`` in batches of bounded bytes; a worker gives its memory back when a partition is done."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    with contextlib.suppress(ValueError, TypeError):
+        # The setting is read when the plan runs, so it can't be put back here; a session with a smaller one keeps it.
+        own = df.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+        if own is None or int(own) > BATCH_BYTES or int(own) <= 0:
+            df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

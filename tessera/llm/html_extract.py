@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches
+from tessera.llm.common import beside, map_batches, packed, packed_kind
 
 PAGES, ROUNDS, STEP, SEED = 600, 10, 0.3, 7
 
@@ -392,12 +392,12 @@ def extract_text(page: str | None, model: Crf) -> str:
 def extract(pages: DataFrame, keep: list[str], html: str = "html", model: Crf | None = None) -> DataFrame:
     """``pages``' columns ``keep`` with ``html_main``, the main text."""
     sent = pages.sparkSession.sparkContext.broadcast(model or trained())
-    kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema] + ["html_main string"])
+    given = packed(pages, keep, F.col(html).alias("html_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
             texts = [extract_text(x.as_py(), m) for x in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*keep, "html_main"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], ["kept", "html_main"])
 
-    return map_batches(pages.select(*keep, F.col(html).alias("html_html")), run, kind)
+    return beside(map_batches(given, run, packed_kind(given, "html_main string")), keep)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, map_batches
+from tessera.llm.common import beside, checkpointed, map_batches, packed, packed_kind
 
 SHORT, MANY = 8, 64
 DOCS_A_LANGUAGE, ROUNDS, ADDED = 300, 3, 0.05
@@ -349,7 +349,7 @@ def train(docs: DataFrame, vocabulary: str, docs_a_language: int = DOCS_A_LANGUA
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """``docs``' columns ``keep`` with ``langid_pred`` and ``langid_score``, the model's share for that language."""
-    kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["langid_pred string", "langid_score double"])
+    given = packed(docs, keep, F.col(text).alias("langid_text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,6 +358,6 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 got = m.predict(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "langid_pred", "langid_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["kept", "langid_pred", "langid_score"])
 
-    return map_batches(docs.select(*keep, F.col(text).alias("langid_text")), run, kind)
+    return beside(map_batches(given, run, packed_kind(given, "langid_pred string, langid_score double")), keep)

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, size_class, word_count
+from tessera.llm.common import beside, checkpointed, packed, size_class, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
@@ -106,18 +106,19 @@ def copies_by_class(solved: DataFrame, most: int = MOST) -> DataFrame:
     return solved.select("key", "source_size", "target", F.explode(F.aggregate(down, start, take)["out"]).alias("c")).select("key", "source_size", "target", "c.*")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies``."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, text: str = "text", keep: list[str] | None = None, store: bool | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies``; ``store`` if the counted rows are narrow enough to be kept."""
     keep = docs.columns if keep is None else keep
-    sized = docs.select(
-        *keep,
+    sized = packed(
+        docs,
+        keep,
         F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("mix_key"),
         word_count(F.col(text)).alias("mix_size"),
         F.xxhash64(F.lit(7), "doc_id", text).alias("mix_deal"),
         F.col("doc_id").alias("mix_id"),
     )
     sized = sized.withColumn("mix_cell", size_class(F.col("mix_size"))).withColumn("mix_salt", F.pmod("mix_deal", F.lit(SALTS)).cast("int"))
-    if text not in keep:
+    if text not in keep if store is None else store:
         # Words are counted once; with the texts themselves, a second count costs less than storing them.
         sized = checkpointed(sized)
     counts = checkpointed(sized.groupBy(F.col("mix_key").alias("key"), F.col("mix_cell").alias("cell"), F.col("mix_salt").alias("salt")).agg(F.count("*").alias("docs"), F.sum("mix_size").alias("tokens")))
@@ -138,10 +139,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     got = sized.withColumn("mix_place", place).join(g, ["mix_key", "mix_cell", "mix_salt"], "left")
     got = got.withColumn("mix_copies", F.coalesce(F.col("mix_each") + (F.col("mix_place") <= F.col("mix_more")).cast("long"), F.lit(0).cast("long")))
     s = sources.select(F.col("key").alias("mix_key"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    return got.join(s, "mix_key").select(*keep, "mix_size", "mix_source_size", "mix_target", "mix_copies")
+    return beside(got.join(s, "mix_key").select("kept", "mix_size", "mix_source_size", "mix_target", "mix_copies"), keep)
 
 
 def materialise(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, text: str = "text") -> DataFrame:
     """The mix itself: a row for each copy of a document, with the columns of ``docs``."""
-    copies = mix(docs, weights, most, text).where("mix_copies > 0")
-    return copies.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies"))).select(*docs.columns)
+    named = packed(docs, docs.columns, "doc_id", "source", F.col(text).alias("text")).withColumnRenamed("kept", "mix_row")
+    copies = mix(named, weights, most, keep=["mix_row"], store=False).where("mix_copies > 0")
+    return copies.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies"))).select("mix_row.*")

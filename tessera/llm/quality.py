@@ -21,14 +21,14 @@ the sketches; an empty table gives no rows; texts of any length are read whole,
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, size_class
+from tessera.llm.common import beside, map_batches, packed, packed_kind, size_class
 
 P = "quality_"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -90,25 +90,24 @@ def measure(text: str | None) -> tuple[int, ...]:
 def measures(docs: DataFrame, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """``docs`` (or its columns ``keep``) with the base measures in columns ``quality_*``."""
     keep = docs.columns if keep is None else keep
-    given = docs.select(*keep, F.col(text).alias(f"{P}text"))
-    kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"{P}{m} bigint" for m in MEASURES])
+    given = packed(docs, keep, F.col(text).alias(f"{P}text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [measure(x.as_py()) for x in b.column(b.num_columns - 1)]
             cols = list(zip(*got, strict=True)) or [()] * len(MEASURES)
-            yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.array(c, pa.int64()) for c in cols], [*keep, *(P + m for m in MEASURES)])
+            yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.array(c, pa.int64()) for c in cols], ["kept", *(P + m for m in MEASURES)])
 
-    return map_batches(given, run, kind)
+    return beside(map_batches(given, run, packed_kind(given, ", ".join(f"{P}{m} bigint" for m in MEASURES))), keep)
 
 
-def base_failed() -> Column:
-    n = F.col(f"{P}n_words")
-    return (n < 10) | (F.col(f"{P}n_repeat_words") * 100 > n * 20)
+def base_failed(of: Callable[[str], Column] = F.col) -> Column:
+    n = of(f"{P}n_words")
+    return (n < 10) | (of(f"{P}n_repeat_words") * 100 > n * 20)
 
 
-def _value(top: str, base: str) -> Column:
-    return F.floor(F.col(P + top) * 1000 / F.greatest(F.col(P + base), F.lit(1))).cast("long")
+def _value(top: str, base: str, of: Callable[[str], Column] = F.col) -> Column:
+    return F.floor(of(P + top) * 1000 / F.greatest(of(P + base), F.lit(1))).cast("long")
 
 
 def fences(measured: DataFrame, reach: int = REACH, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -150,10 +149,12 @@ def fences(measured: DataFrame, reach: int = REACH, min_docs: int = MIN_DOCS) ->
 
 def judge(measured: DataFrame, learnt: DataFrame) -> DataFrame:
     """``measured`` with ``quality_base_failed`` and ``quality_kept``."""
-    f = learnt.select(F.col("lang").alias(f"{P}lang"), F.col("source").alias(f"{P}source"), f"{P}fences")
-    both = measured.join(f, F.col("lang").eqNullSafe(F.col(f"{P}lang")) & F.col("source").eqNullSafe(F.col(f"{P}source")), "left")
+    f = learnt.select("lang", "source", F.col(f"{P}fences").alias("fences"))
+    own = F.col("kept").getField
+    both = packed(measured, measured.columns).join(f, own("lang").eqNullSafe(F.col("lang")) & own("source").eqNullSafe(F.col("source")), "left")
     inside = F.lit(True)
     for name, top, base, _ in RULES:
-        fence = F.col(f"{P}fences")[name]
-        inside = inside & F.coalesce((_value(top, base) >= fence["low"]) & (_value(top, base) <= fence["high"]), F.lit(True))
-    return both.withColumn(f"{P}base_failed", base_failed()).withColumn(f"{P}kept", ~F.col(f"{P}base_failed") & inside).drop(f"{P}lang", f"{P}source", f"{P}fences")
+        fence = F.col("fences")[name]
+        inside = inside & F.coalesce((_value(top, base, own) >= fence["low"]) & (_value(top, base, own) <= fence["high"]), F.lit(True))
+    failed = base_failed(own)
+    return beside(both.select("kept", failed.alias(f"{P}base_failed"), (~failed & inside).alias(f"{P}kept")), measured.columns)

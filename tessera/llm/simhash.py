@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, map_batches
+from tessera.llm.common import beside, checkpointed, map_batches, packed, packed_kind
 from tessera.llm.components import components
 
 WORDS, SEED, DISTANCE = 5, 42, 4
@@ -96,15 +96,15 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED, families
 
 def fingerprints(docs: DataFrame, keep: list[str], words: int = WORDS, seed: int = SEED, text: str = "text", families: int = 1) -> DataFrame:
     """``docs``' columns ``keep`` with ``simhash_fps``, the fingerprints of each family as signed longs."""
-    kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["simhash_fps array<bigint>"])
+    given = packed(docs, keep, F.col(text).alias("simhash_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x.as_py(), words, seed, families) for x in b.column(b.num_columns - 1)], np.uint64).ravel()
             at = pa.array(np.arange(0, len(fps) + 1, families, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.ListArray.from_arrays(at, pa.array(fps.view(np.int64)))], [*keep, "simhash_fps"])
+            yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.ListArray.from_arrays(at, pa.array(fps.view(np.int64)))], ["kept", "simhash_fps"])
 
-    return map_batches(docs.select(*keep, F.col(text).alias("simhash_text")), run, kind)
+    return beside(map_batches(given, run, packed_kind(given, "simhash_fps array<bigint>")), keep)
 
 
 Table = tuple[int, ...]  # a mask for each family's word

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import suffix_sort
-from tessera.llm.common import map_batches
+from tessera.llm.common import beside, map_batches, packed
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1
@@ -562,17 +562,18 @@ def digests(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     cut = _map_found(_found(docs, text), "suffix_removed bigint, suffix_spans bigint, suffix_sha string", make).withColumn("suffix_least", F.lit(True))
     whole = _whole(text)
     size = F.octet_length(whole).cast("long")
-    rows = docs.select(*keep, *keyed(docs, text), size.alias("suffix_bytes"), F.sha2(whole, 256).alias("suffix_whole")).join(cut, ["suffix_id", "suffix_form"], "left")
+    rows = packed(docs, keep, *keyed(docs, text), size.alias("suffix_bytes"), F.sha2(whole, 256).alias("suffix_whole")).join(cut, ["suffix_id", "suffix_form"], "left")
     # A text of another id that is the same goes whole; one without repeats stays.
     gone = F.col("suffix_least").isNull() & (F.col("suffix_bytes") >= LENGTH)
     zero = F.lit(0).cast("long")
-    return rows.select(
-        *keep,
+    made = rows.select(
+        "kept",
         F.col("suffix_bytes").alias("n_bytes"),
         F.when(gone, F.col("suffix_bytes")).otherwise(F.coalesce("suffix_removed", zero)).alias("n_removed"),
         F.when(gone, F.lit(1).cast("long")).otherwise(F.coalesce("suffix_spans", zero)).alias("n_spans"),
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("suffix_sha", "suffix_whole")).alias("kept_sha256"),
     )
+    return beside(made, keep)
 
 
 def cut(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -583,8 +584,9 @@ def cut(docs: DataFrame, text: str = "text") -> DataFrame:
         return left, len(raw) - len(left.encode())
 
     found = _map_found(_found(docs, text), "suffix_cut string, suffix_removed bigint", make).withColumn("suffix_least", F.lit(True))
-    rows = docs.select("*", *keyed(docs, text)).join(found, ["suffix_id", "suffix_form"], "left")
-    gone = F.col("suffix_least").isNull() & (F.octet_length(F.col(text)) >= LENGTH)
-    left = F.when(gone, F.lit("")).otherwise(F.coalesce("suffix_cut", text)).alias(text)
-    went = F.when(gone, F.octet_length(F.col(text)).cast("long")).otherwise(F.coalesce("suffix_removed", F.lit(0).cast("long"))).alias("suffix_removed")
-    return rows.select(*(left if c == text else F.col(c) for c in docs.columns), went)
+    rows = packed(docs, docs.columns, *keyed(docs, text)).join(found, ["suffix_id", "suffix_form"], "left")
+    own = F.col("kept")[text]
+    gone = F.col("suffix_least").isNull() & (F.octet_length(own) >= LENGTH)
+    left = F.when(gone, F.lit("")).otherwise(F.coalesce("suffix_cut", own)).alias(text)
+    went = F.when(gone, F.octet_length(own).cast("long")).otherwise(F.coalesce("suffix_removed", F.lit(0).cast("long"))).alias("suffix_removed")
+    return rows.select(*(left if c == text else F.col("kept")[c].alias(c) for c in docs.columns if c != "suffix_removed"), went)

@@ -1,15 +1,16 @@
 """Main-text extraction: a linear-chain conditional random field over the leaf blocks of a page.
 
-A page is read once into its leaf blocks: runs of text between block-level tags, each with the tags, classes and
-ids of its ancestors. Scripts, styles, templates, the head, comments, hidden elements, what is typed into a textarea
+A page is read once into its leaf blocks: runs of text between block-level tags, each with its ancestors, their tags, classes and
+ids. Scripts, styles, templates, the head, comments, hidden elements, what is typed into a textarea
 and the source in an iframe are never text; formulas, drawings' labels and fallback text are. The field labels each block
-main or not from ancestor-tag features, class and id words, and text features (length, links, digits, sentence
-ends); a pair of labels has a weight too, so that the context of a block counts. It is trained by
+main or not from ancestor-tag features, text features (length, links, digits, sentence ends), words of classes and ids with their
+parts of three letters, and where the block stands: the core is the article that has the most running text, or else the innermost container with most of it, and a block is outside of it, in it, or in
+a container of its own within it, of so much of the text, so many links, and so many alike beside it. A pair of labels has a weight too, so that the context of a block counts. It is trained by
 stochastic gradient steps on the exact likelihood (forward-backward) over labelled pages and decoded by Viterbi.
 
 The labelled pages are by default made by ``labelled_pages``: pages of known main text in many layouts, with
-menus, headers, footers, sidebars, notices, adverts, forms and comments around and inside it. Others can be
-given. Their number is a parameter; the model is a small table of weights and is sent to the tasks.
+menus, headers, footers, sidebars, notices, adverts, forms and comments around and inside it. On half of them all class and id words
+are made up, so that the field learns what structure alone tells. Others can be given. Their number is a parameter; the model is a small table of weights and is sent to the tasks.
 
 Defined cases: null or empty html has the empty text; html without tags is one block; unclosed and
 wrongly closed tags are mended as browsers mostly do; what follows an unclosed script, style or comment is
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import beside, map_batches, packed, packed_kind
 
-PAGES, ROUNDS, STEP, SEED = 600, 10, 0.3, 7
+PAGES, ROUNDS, STEP, SEED = 1000, 10, 0.3, 7
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -64,6 +65,7 @@ class Block:
     tags: tuple[str, ...]
     names: frozenset[str]
     linked: int = 0
+    path: tuple[_Open, ...] = ()
 
 
 class _Open:
@@ -97,7 +99,7 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(dict.fromkeys(o.tag for o in stack)), frozenset(n for o in stack for n in o.names), linked))
+                out.append(Block(text, tuple(dict.fromkeys(o.tag for o in stack)), frozenset(n for o in stack for n in o.names), linked, tuple(stack)))
             parts.clear()
         linked = 0
 
@@ -175,20 +177,87 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
+#: Elements that hold parts of a page.
+CONTAINERS = frozenset("html body div section article main td aside nav header footer form ul ol dl table blockquote details figure fieldset center".split())
+#: Words that a block of running text has; the share of it that the core holds.
+RUNNING, CORE = 8, 0.6
+#: The share of the running text that the fullest of several article or main elements must hold to be the core.
+SAID = 0.2
+
+
+@lru_cache(maxsize=1 << 14)
+def _parts(name: str) -> tuple[str, ...]:
+    """A class or id word, and its parts of three letters."""
+    whole = f"^{name}$"
+    return (f"name={name}", *(f"part={whole[i : i + 3]}" for i in range(len(whole) - 2)))
+
+
+def _step(share: float) -> int:
+    """A share in five steps."""
+    return (share > 0) + (share > 0.1) + (share > 0.3) + (share > 0.6)
+
+
 def features(found: list[Block]) -> list[list[str]]:
     """The active features of each block."""
+    # How much running text, text and link text, and which blocks each element holds.
+    running, chars, linked, first, last = ({} for _ in range(5))
+    words = [b.text.count(" ") + 1 for b in found]
+    runs = [len(b.text) if n >= RUNNING and b.linked * 2 < len(b.text) else 0 for b, n in zip(found, words, strict=True)]
+    total = sum(runs)
+    for i, b in enumerate(found):
+        for o in b.path:
+            running[o] = running.get(o, 0) + runs[i]
+            chars[o] = chars.get(o, 0) + len(b.text)
+            linked[o] = linked.get(o, 0) + b.linked
+            first.setdefault(o, i)
+            last[o] = i
+    core, place = None, -1
+    named = {o: k for b in found for k, o in enumerate(b.path) if o.tag in ("article", "main")}
+    said = max(named, key=lambda o: (running[o], chars[o] - linked[o], -first[o], named[o]), default=None)
+    if said is not None and (len({first[o] for o in named}) == 1 or running[said] >= SAID * total):
+        core, place = said, named[said]
+    else:
+        for b in found:
+            for k, o in enumerate(b.path):
+                if k > place and o.tag in CONTAINERS and running[o] >= CORE * total:
+                    core, place = o, k
+    # Containers right below the core, and how many of a kind there are.
+    below = [next((o for o in b.path[place + 1 :] if o.tag in CONTAINERS), None) if core and len(b.path) > place and b.path[place] is core else None for b in found]
+    alike: dict[tuple, set] = {}
+    inner: list[_Open | None] = []
+    for b, o in zip(found, below, strict=True):
+        # The innermost element with a name of its own, below that container or outside of the core.
+        inner.append(next((x for x in reversed(b.path) if x.names and x is not o and x is not core and x.tag in BLOCK_TAGS), None) if o is not None else None)
+        for x in {o, inner[-1]} - {None}:
+            alike.setdefault((x.tag, x.names), set()).add(x)
     out = []
-    for b in found:
+    for i, b in enumerate(found):
         n = len(b.text)
-        words = b.text.count(" ") + 1
-        f = ["bias", f"own={b.tags[-1] if b.tags else ''}", f"words={min(words, 64).bit_length()}", f"links={min(4, 4 * b.linked // n)}"]
+        own = b.tags[-1] if b.tags else ""
+        share = min(4, 4 * b.linked // n)
+        f = ["bias", f"own={own}", f"words={min(words[i], 64).bit_length()}", f"links={share}"]
         f += [f"tag={t}" for t in b.tags]
-        f += [f"name={w}" for w in b.names]
+        f += [x for w in b.names for x in _parts(w)]
         f.append("stop" if b.text[-1] in ".!?:…\"'”" else "nostop")
         if sum(map(b.text.count, "0123456789")) * 5 > n:
             f.append("digits")
         if b.text[0] in "©":
             f.append("copyright")
+        for side, j in (("before", i - 1), ("after", i + 1)):
+            f.append(f"{side}={min(4, 4 * found[j].linked // len(found[j].text))}/{min(words[j], 64).bit_length()}" if 0 <= j < len(found) else f"{side}=none")
+        if core is None or len(b.path) <= place or b.path[place] is not core:
+            where = "none" if core is None else "above" if i < first[core] else "under" if i > last[core] else "among"
+            f += [f"out={where}", f"out_own={where}/{own}", f"out_links={where}/{share}"]
+        elif (o := below[i]) is None:
+            f += ["in", f"in_own={own}", f"in_links={share}", f"in_core={core.tag}"]
+        else:
+            held, links, many = _step(running[o] / max(total, 1)), min(4, 4 * linked[o] // chars[o]), min(3, len(alike[o.tag, o.names]))
+            at = "first" if first[o] == first[core] else "last" if last[o] == last[core] else "middle"
+            deeper = sum(x.tag in CONTAINERS for x in b.path[place + 2 :])
+            within = min(3, len(alike[inner[i].tag, inner[i].names])) if inner[i] is not None else 0
+            kind = f"{o.tag}/{'named' if o.names else 'bare'}"
+            f += [f"part_of={kind}", f"part_held={kind}/{held}", f"part_links={kind}/{links}", f"part_at={kind}/{at}", f"part_at={kind}/{at}/{held}", f"alike={many}/{bool(o.names)}", f"deeper={min(deeper, 3)}", f"part_own={own}/{held}", f"inner={within}", f"inner={within}/{at}"]
+            f += [x.replace("=", "_in=", 1) for w in o.names for x in _parts(w)]
         out.append(f)
     return out
 
@@ -283,8 +352,11 @@ ASIDES = {
 }
 
 
+_ATTR = re.compile(r'(class|id)="([^"]*)"')
+
+
 def labelled_pages(n: int = PAGES, seed: int = SEED) -> Iterator[tuple[str, list[str]]]:
-    """Pages and the texts of their main blocks, in page order."""
+    """Pages and the texts of their main blocks, in page order; on every other page all names are made up."""
     rnd = random.Random(seed)
     letters = "aeiourstnlmdcpé"
     word = lambda: "".join(rnd.choices(letters, k=rnd.randint(2, 9)))
@@ -310,15 +382,26 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> Iterator[tuple[str, list
         elif kind == "form":
             inner = f'<label>{word()}</label><input type="text"><button>{word()}</button>' + (f"<p>{sentence(False)}</p>" if rnd.random() < 0.5 else "")
         elif kind == "comments":
-            inner = f"<h3>{word()}</h3>" + "".join(f'<{rnd.choice(["div", "li", "p"])} class="{rnd.choice(ASIDES["comments"])}">{prose(False)}' + rnd.choice(["", "<p>" + prose(False)]) for _ in range(rnd.randint(1, 5)))
+            if rnd.random() < 0.5:
+                # Each with its writer, and paragraphs of its own.
+                by, item, own = rnd.choice(["b", "span", "cite", "h4", "a"]), rnd.choice(["div", "li", "article", "section"]), rnd.choice([f' class="{rnd.choice(ASIDES["comments"])}"', f' class="{word()}"', ""])
+                one = lambda: f"<{item}{own}><{by}>{word()}</{by}>" + "".join(f"<p>{prose(False)}</p>" for _ in range(rnd.choice([1, 1, 2]))) + f"</{item}>"
+                items = "".join(one() for _ in range(rnd.randint(1, 6)))
+                head = rnd.choice([f"<h3>{word()}</h3>", f"<h3>{rnd.randint(1, 99)} {word()}</h3>", f"<h2>{sentence(False)}</h2>", ""])
+                return f"<{tag} {attr}>{head}{items if tag != 'ol' or item == 'li' else '<li>' + items + '</li>'}</{tag}>".replace(" >", ">")
+            inner = rnd.choice([f"<h3>{word()}</h3>", f"<h3>{word()}</h3>", ""]) + "".join(f'<{rnd.choice(["div", "li", "p"])} class="{rnd.choice(ASIDES["comments"])}">{prose(False)}' + rnd.choice(["", "<p>" + prose(False)]) for _ in range(rnd.randint(1, 5)))
             inner = re.sub(r"<(div|li|p) class=\"([\w-]+)\">([^<]*(?:<p>[^<]*)?)", r'<\1 class="\2">\3</\1>', inner)
         elif kind == "footer":
-            inner = f"&copy; {word()}.example &middot; {prose(False)}"
+            inner = rnd.choice([f"&copy; {word()}.example &middot; {prose(False)}", f"<div>Copyright {rnd.randint(1999, 2030)} {word()} {word()}</div><div><a href='/'>{word()}</a></div>", f"<p>{sentence(False)}</p><p><a href='/'>{word()}</a></p>"])
+        elif rnd.random() < 0.4:
+            linked = " ".join(f'<a href="/{word()}">{word()}</a>' for _ in range(rnd.randint(1, 3)))
+            head = rnd.choice(["", f"<h3>{word()} {word()}</h3>", f"<div>{word()} {word()}</div>"])
+            inner = f"{head}<p>{sentence(False)}</p>" + rnd.choice(["", f"<p>{linked}</p>", f"<div>{linked}</div>", f"<p>{prose(False)}</p>"])
         else:
             inner = rnd.choice(["{}", "<p>{}</p>", "<div>{}</div>", "<h4>t</h4><p>{}</p>"]).format(prose(False))
         return f"<{tag} {attr}>{inner}</{tag}>".replace(" >", ">")
 
-    for _ in range(n):
+    for number in range(n):
         main: list[str] = []
         dirty_page = rnd.random() < 0.2
 
@@ -346,7 +429,15 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> Iterator[tuple[str, list
                 body.append(f"<div>{keep(prose(dirty_page))}</div>")
             else:
                 body.append(aside(rnd.choice(["ad", "notice", "share", "form", "aside", "nav"])))
-        if rnd.random() < 0.25:
+        if rnd.random() < 0.15 and len(body) > 2:
+            # The text itself in a container, bare or named, or in sections with headings.
+            tag = rnd.choice(["div", "section"])
+            if rnd.random() < 0.5:
+                body = [body[0], f'<{tag} class="{rnd.choice(MAIN_NAMES)}">{"".join(body[1:])}</{tag}>']
+            else:
+                half = len(body) // 2
+                body = [f"<{tag}>{''.join(part)}</{tag}>" for part in (body[:half], body[half:])]
+        if rnd.random() < 0.35:
             body.append(aside("comments"))
         box = rnd.choice(["article", "article", "article", "main", "div", "section", "main-article", "div-article", "td"])
         name = rnd.choice(MAIN_NAMES)
@@ -364,7 +455,14 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> Iterator[tuple[str, list
             core = f'<{box} {rnd.choice(["class", "id"])}="{name}">{inner}</{box}>'
         before = "".join(aside(k) for k in ("header", "nav", "notice", "ad", "form", "aside") if rnd.random() < 0.45)
         after = "".join(aside(k) for k in ("comments", "aside", "ad", "form", "share", "notice", "footer") if rnd.random() < 0.4)
-        yield f"<html><head><title>{word()}</title><style>p{{}}</style></head><body>{before}{core}{after}</body></html>", main
+        if rnd.random() < 0.3:
+            outer = word()
+            before, after = f'<div class="{outer}">{before}', f"{after}</div>"
+        page = f"{before}{core}{after}"
+        if number % 2:
+            made: dict[str, str] = {}
+            page = _ATTR.sub(lambda m: f'{m[1]}="' + " ".join(made.setdefault(w, word() + rnd.choice(["", "", "-" + word()])) for w in m[2].split()) + '"', page)  # noqa: B023
+        yield f"<html><head><title>{word()}</title><style>p{{}}</style></head><body>{page}</body></html>", main
 
 
 def label(page: str, main: list[str]) -> tuple[list[list[str]], list[int]]:

@@ -8,14 +8,17 @@ The trees are grown on histograms: for each level of a tree one aggregation sums
 (leaf, feature, bin), and the driver reads those few sums (at most leaves * features * bins rows) to choose the
 splits. Gradients are whole numbers, so sums don't depend on their order and reruns agree. The
 finished trees are a CASE expression that runs in generated code. Training uses at most about
-``bound`` labelled urls, drawn by a hash of the url; scoring covers every row.
+``bound`` different labelled urls, drawn by a hash of the url, each weighing as often as it occurs; scoring covers every row.
 
 Features: url length, path depth, digits in thousands of the length, entropy of the characters, number of
-query parameters, host labels, hyphens, and for the host's last one and two labels the smoothed share
-of blocked urls among the labelled ones. While the trees are trained, a url's share is that of the other parts of the
-labelled urls (``FOLDS``, by hash), so no url sees its own label. The share tables have at most a row a training url, and only
+query parameters, host labels, hyphens, and the smoothed share of blocked urls among the labelled ones for each of ``KEYS``: the host's last one and
+two labels, the first segment of the path, and these together, down to the first character of the second segment. While the trees are trained, a url's share is that of the
+other parts of the labelled urls (``FOLDS``, by hash), so no url sees its own label, and each is learnt from a second time without some of its keys (``MASKED``), whose shares are then
+those of all, like an unknown url's. The share tables have at most a row a training url, and only
 so are broadcast.
 
+The last part is held back: its urls decide how many of the trees are kept, by their loss, and from what score on a url is blocked, by their errors.
+
 DataFrame functions only.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, fits no rule and is scored
@@ -36,8 +39,12 @@ from tessera.llm.common import ascii_lower, checkpointed
 
 Rule = tuple[str, str]
 ALLOW, BLOCK = "allow", "block"
-FEATURES = ("length", "depth", "digits", "entropy", "params", "labels", "hyphens", "suffix1", "suffix2")
-BOUND, TREES, DEPTH, BINS, RATE, L2, SMOOTH = 20_000, 10, 3, 16, 0.3, 1.0, 10.0
+#: What shares of blocked urls are taken by.
+KEYS = ("suffix1", "suffix2", "segment", "place1", "place2", "place3")
+FEATURES = ("length", "depth", "digits", "entropy", "params", "labels", "hyphens", *KEYS)
+#: What copies of training rows don't know.
+MASKED = (("place3",), ("place2", "place3"), ("place1", "place2", "place3"), ("segment", "place1", "place2", "place3"), KEYS)
+BOUND, TREES, DEPTH, BINS, RATE, L2, SMOOTH = 20_000, 12, 3, 16, 0.4, 1.0, 2.0
 #: Whole-number gradients: so many to one.
 UNIT = 1_000_000
 FOLDS = 4
@@ -105,7 +112,10 @@ def _lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
 
 def _with_features(urls: DataFrame) -> DataFrame:
     lexical = _lexical(F.col("url_url"), F.col("url_host"), F.col("url_path"))
-    return urls.select("*", *(c.alias(f"url_f_{k}") for k, c in lexical.items()), *(F.substring_index("url_host", ".", -k).alias(f"url_s{k}") for k in (1, 2)))
+    last, two = (F.substring_index("url_host", ".", -k) for k in (1, 2))
+    part = lambda k: F.regexp_extract("url_path", r"^/([^/]*)(?:/([^/]?))?", k)
+    keys = dict(zip(KEYS, (last, two, part(1), F.concat_ws("/", last, part(1)), F.concat_ws("/", two, part(1)), F.concat_ws("/", two, part(1), part(2))), strict=True))
+    return urls.select("*", *(c.alias(f"url_f_{k}") for k, c in lexical.items()), *(c.alias(f"url_s_{k}") for k, c in keys.items()))
 
 
 @dataclass
@@ -115,27 +125,31 @@ class Model:
     prior: float = 0.0
     prior_share: float = 0.0
     trees: list = field(default_factory=list)
-    shares: list[DataFrame] = field(default_factory=list)
+    shares: dict[str, DataFrame] = field(default_factory=dict)
     only: str | None = ALLOW
+    threshold: float = 0.5
 
     def margin(self) -> Column:
-        def walk(t: object) -> Column:
-            if not isinstance(t, tuple):
-                return F.lit(float(t))
-            f, cut, left, right = t
-            return F.when(F.col(f"url_f_{f}") <= cut, walk(left)).otherwise(walk(right))
+        return reduce(lambda a, t: a + _walk(t), self.trees, F.lit(self.prior))
+
 
-        return reduce(lambda a, t: a + walk(t), self.trees, F.lit(self.prior))
+def _walk(t: object) -> Column:
+    """What a tree adds to a row's margin."""
+    if not isinstance(t, tuple):
+        return F.lit(float(t))
+    f, cut, left, right = t
+    return F.when(F.col(f"url_f_{f}") <= cut, _walk(left)).otherwise(_walk(right))
 
 
 def _add_shares(featured: DataFrame, model: Model) -> DataFrame:
-    for k, table in enumerate(model.shares, 1):
-        featured = featured.join(F.broadcast(table), f"url_s{k}", "left").withColumn(f"url_f_suffix{k}", F.coalesce(f"url_f_suffix{k}", F.lit(model.prior_share)))
+    for k, table in model.shares.items():
+        featured = featured.join(F.broadcast(table), f"url_s_{k}", "left").withColumn(f"url_f_{k}", F.coalesce(f"url_f_{k}", F.lit(model.prior_share)))
     return featured
 
 
 def train(labelled: DataFrame, bound: int = BOUND, trees: int = TREES, depth: int = DEPTH) -> Model:
     """Fit on ``labelled(url_url, url_host, url_path, url_label)``, label being true for blocked urls."""
+    labelled = labelled.groupBy("url_url", "url_host", "url_path", "url_label").agg(F.count("*").alias("url_weight"))
     counted = labelled.agg(F.count("*").alias("n"), F.count_if("url_label").alias("bad")).first()
     if counted["n"] == 0 or counted["bad"] in (0, counted["n"]):
         return Model(only=BLOCK if counted["n"] and counted["bad"] else ALLOW)
@@ -143,20 +157,29 @@ def train(labelled: DataFrame, bound: int = BOUND, trees: int = TREES, depth: in
     drawn = labelled.where(F.pmod(F.xxhash64("url_url"), F.lit(1 << 30)) < int(part * (1 << 30))) if part < 1 else labelled
     part_of = F.pmod(F.xxhash64(F.lit(1), "url_url"), F.lit(FOLDS)).alias("url_fold")
     sample = checkpointed(_with_features(drawn).select("*", part_of).drop("url_url", "url_host", "url_path"))
-    seen = sample.agg(F.count("*").alias("n"), F.count_if("url_label").alias("bad")).first()
-    if seen["n"] == 0 or seen["bad"] in (0, seen["n"]):
+    bad = F.sum(F.when(F.col("url_label"), F.col("url_weight")).otherwise(0))
+    seen = sample.agg(F.sum("url_weight").alias("n"), bad.alias("bad")).first()
+    if not seen["n"] or seen["bad"] in (0, seen["n"]):
         return Model(only=BLOCK if seen["n"] and seen["bad"] else ALLOW)
     model, share = Model(only=None), seen["bad"] / seen["n"]
     model.prior_share = round(share, 6)
     smoothed = lambda bad, n: F.round((bad + SMOOTH * share) / (n + SMOOTH), 6)
     rows = sample
-    for k in (1, 2):
-        suffix = f"url_s{k}"
-        counts = checkpointed(sample.groupBy(suffix, "url_fold").agg(F.count_if("url_label").alias("bad"), F.count("*").alias("n")))
-        sums = counts.groupBy(suffix).agg(F.sum("bad").alias("all_bad"), F.sum("n").alias("all_n"))
-        model.shares.append(checkpointed(sums.select(suffix, smoothed(F.col("all_bad"), F.col("all_n")).alias(f"url_f_suffix{k}"))))
-        others = counts.join(sums, suffix).select(suffix, "url_fold", smoothed(F.col("all_bad") - F.col("bad"), F.col("all_n") - F.col("n")).alias(f"url_f_suffix{k}"))
-        rows = rows.join(F.broadcast(others), [suffix, "url_fold"])
+    for k in KEYS:
+        key = f"url_s_{k}"
+        counts = checkpointed(sample.groupBy(key, "url_fold").agg(bad.alias("bad"), F.sum("url_weight").alias("n")))
+        sums = counts.groupBy(key).agg(F.sum("bad").alias("all_bad"), F.sum("n").alias("all_n"))
+        model.shares[k] = checkpointed(sums.select(key, smoothed(F.col("all_bad"), F.col("all_n")).alias(f"url_f_{k}")))
+        others = counts.join(sums, key).select(key, "url_fold", smoothed(F.col("all_bad") - F.col("bad"), F.col("all_n") - F.col("n")).alias(f"url_f_{k}"))
+        rows = rows.join(F.broadcast(others), [key, "url_fold"])
+    # A copy of each row without some of its keys tells what a url of unknown places is like.
+    shares = [f"url_f_{k}" for k in KEYS]
+    masked = F.pmod(F.xxhash64(F.lit(2), *(f"url_s_{k}" for k in KEYS), "url_f_length"), F.lit(len(MASKED)))
+    hide = lambda k: reduce(lambda a, m: a | ((masked == m) & F.lit(k in MASKED[m])), range(len(MASKED)), F.lit(False))
+    rows = checkpointed(rows.select("url_label", "url_weight", "url_fold", *(c for c in rows.columns if c.startswith("url_f_") and c not in shares), *shares, masked.alias("masked")))
+    masked = F.col("masked")
+    hidden = rows.withColumns({f"url_f_{k}": F.when(hide(k), F.lit(model.prior_share)).otherwise(F.col(f"url_f_{k}")) for k in KEYS})
+    rows = rows.unionByName(hidden)
     steps = [F.lit(k / BINS) for k in range(1, BINS)]
     cuts = rows.agg(*(F.array_distinct(F.percentile(F.col(f"url_f_{f}"), F.array(*steps))).alias(f) for f in FEATURES)).first()
     cuts = {f: sorted(cuts[f]) for f in FEATURES}
@@ -164,17 +187,39 @@ def train(labelled: DataFrame, bound: int = BOUND, trees: int = TREES, depth: in
     def bin_of(f: str) -> Column:
         return F.array_size(F.filter(F.array(*map(F.lit, cuts[f])), lambda c: F.col(f"url_f_{f}") > c))
 
-    rows = checkpointed(rows.select("url_label", *(f"url_f_{f}" for f in FEATURES), F.array(*map(bin_of, FEATURES)).alias("bins")))
+    held = (F.col("url_fold") == FOLDS - 1).alias("held")
+    rows = checkpointed(rows.select("url_label", "url_weight", held, F.lit(model.prior).alias("margin"), *(f"url_f_{f}" for f in FEATURES), F.array(*map(bin_of, FEATURES)).alias("bins")))
+    learnt = rows.where("NOT held")
     for _ in range(trees):
-        model.trees.append(_grow(rows, model, cuts, depth))
+        model.trees.append(_grow(learnt, cuts, depth))
+        learnt = checkpointed(learnt.withColumn("margin", F.col("margin") + _walk(model.trees[-1])))
+    _settle(rows.where("held"), model)
     return model
 
 
-def _grow(rows: DataFrame, model: Model, cuts: dict[str, list[float]], depth: int) -> object:
-    """One more tree: per level, one aggregation of gradients by (leaf, feature, bin)."""
-    p = 1 / (1 + F.exp(-model.margin()))
-    g = F.round((F.col("url_label").cast("int") - p) * UNIT).cast("long")
-    h = F.round(p * (1 - p) * UNIT).cast("long")
+def _settle(held: DataFrame, model: Model) -> None:
+    """Keep as many trees as do best on the rows held back, and the threshold that errs least on them: two jobs, whose sums the driver reads."""
+    sign = F.when(F.col("url_label"), -1.0).otherwise(1.0)
+    margins = [F.lit(model.prior)]
+    for t in model.trees:
+        margins.append(margins[-1] + _walk(t))
+    loss = lambda m: F.round(F.sum(F.round(F.log1p(F.exp(sign * m)) * UNIT).cast("long") * F.col("url_weight"))).cast("long")
+    sums = held.agg(*(loss(m).alias(f"l{k}") for k, m in enumerate(margins))).first()
+    if sums["l0"] is None:
+        return
+    model.trees = model.trees[: min(range(len(margins)), key=lambda k: (sums[f"l{k}"], k))]
+    step = F.floor(100 / (1 + F.exp(-model.margin())))
+    counts = {(r["step"], r["url_label"]): r["n"] for r in held.groupBy(step.alias("step"), "url_label").agg(F.sum("url_weight").alias("n")).collect()}
+    # Blocked are the scores from a hundredth on; of thresholds that err alike the one nearest to a half.
+    errors = lambda t: sum(n for (k, bad), n in counts.items() if (k >= t) != bad)
+    model.threshold = min(range(1, 101), key=lambda t: (errors(t), abs(t - 50), t)) / 100
+
+
+def _grow(rows: DataFrame, cuts: dict[str, list[float]], depth: int) -> object:
+    """One more tree for ``rows(url_label, url_weight, margin, bins)``: per level, one aggregation of gradients by (leaf, feature, bin)."""
+    p = 1 / (1 + F.exp(-F.col("margin")))
+    g = F.round((F.col("url_label").cast("int") - p) * UNIT).cast("long") * F.col("url_weight")
+    h = F.round(p * (1 - p) * UNIT).cast("long") * F.col("url_weight")
     splits: dict[int, tuple[int, float]] = {}
     sums: dict[int, tuple[int, int]] = {}
     leaves = {1}
@@ -249,6 +294,6 @@ def judge(urls: DataFrame, rules: list[Rule], url: str = "url", labelled: DataFr
         rows = _add_shares(_with_features(rows), model)
         score = 1 / (1 + F.exp(-model.margin()))
     rows = rows.withColumn("url_score", score)
-    rows = rows.withColumn("url_verdict", F.coalesce("url_rule_verdict", F.when(F.col("url_score") > 0.5, BLOCK).otherwise(ALLOW)))
+    rows = rows.withColumn("url_verdict", F.coalesce("url_rule_verdict", F.when(F.col("url_score") >= model.threshold, BLOCK).otherwise(ALLOW)))
     added = ("url_host", "url_path", "url_rule", "url_score", "url_verdict")
     return rows.select(*(F.col("url_row")[c].alias(c) for c in urls.columns if c not in added), *added)

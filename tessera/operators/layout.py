@@ -140,19 +140,31 @@ def outline(found: DataFrame) -> DataFrame:
 
 
 def paragraphs(in_sections: DataFrame) -> DataFrame:
-    """Texts of sections: short scraps dropped, continuations merged into the paragraph before."""
+    """Texts of sections: short scraps dropped, continuations merged into the paragraph before, whose box counts.
+
+    A block goes on with the paragraph before it in its section if that doesn't end a sentence, a bracket or a quotation and it begins in lower case.
+    """
     p = in_sections.where("NOT is_heading").where((F.length("text") >= 25) | (T.word_count(F.col("text")) >= 4))
     order = Window.partitionBy("doc_id", "section_idx").orderBy("page", "pos")
-    goes_on = ~F.lag("text").over(order).rlike(r"[.!?:;]\s*$") & F.col("text").rlike(r"^\s*\p{Ll}")
+    goes_on = ~F.lag("text").over(order).rlike(r'[.!?:;)"”]\s*$') & F.col("text").rlike(r"^\p{Ll}")
     p = p.withColumn("starts", (~F.coalesce(goes_on, F.lit(False))).cast("long"))
     p = p.withColumn("paragraph", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    parts = F.array_sort(F.collect_list(F.struct("page", "pos", "text")))
+    box = [c for c in ("x0", "y0", "x1", "y1") if c in p.columns]
+    parts = F.array_sort(F.collect_list(F.struct("page", "pos", "text", *box)))
     merged = p.groupBy("doc_id", "section_idx", "section", "section_kind", "paragraph").agg(parts.alias("parts"))
     return merged.select(
-        "doc_id", "section_idx", "section", "section_kind", "paragraph", F.get("parts", 0)["page"].cast("long").alias("page"), F.array_join(F.transform("parts", lambda x: x["text"]), " ").alias("text")
+        "doc_id", "section_idx", "section", "section_kind", "paragraph", F.get("parts", 0)["page"].cast("long").alias("page"), F.array_join(F.transform("parts", lambda x: x["text"]), " ").alias("text"),
+        *(F.get("parts", 0)[c].alias(c) for c in box),
     )
 
 
+def equations(with_roles: DataFrame) -> DataFrame:
+    """``(doc_id, page, pos, label, number, text, box)`` of the blocks whose role is equation: the number stands in brackets at the end."""
+    g = lambda k: F.regexp_extract("text", EQUATION, k)
+    found = with_roles.where("role = 'equation'")
+    return found.select("doc_id", "page", "pos", F.concat(F.lit("Equation "), g(2)).alias("label"), g(2).alias("number"), g(1).alias("text"), *(c for c in ("x0", "y0", "x1", "y1") if c in found.columns))
+
+
 def abstracts(merged: DataFrame) -> DataFrame:
     """The paragraphs of kind abstract; else the first of the front matter with 60 words."""
     parts = merged.select("doc_id", F.struct("section_idx", "paragraph", "text").alias("x"), (F.col("section_kind") == "abstract").alias("own"), ((F.col("section_kind") == "front") & (T.word_count(F.col("text")) >= 60)).alias("front"))

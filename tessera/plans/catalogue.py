@@ -228,8 +228,12 @@ def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.outline(sections(spark, sf_dir))
 
 
-@query("paragraphs_merged", f"WITH {S.PARAGRAPHS} SELECT * FROM paragraphs")
+@query("paragraphs_merged", f"WITH {S.PARAGRAPHS} SELECT * EXCLUDE (x0, y0, x1, y1) FROM paragraphs")
 def paragraphs_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir).drop("x0", "y0", "x1", "y1")
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.paragraphs(layout.sectioned(layout.roles(made_blocks(spark, sf_dir))))
 
 
@@ -416,15 +420,54 @@ def followup_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", T.follow_up(F.col("text"), F.col("turn")).alias("needs_rewrite"))
 
 
-@query("split_long")
+@query("split_long", f"WITH RECURSIVE src AS (SELECT row_number() OVER () AS id, doc_id, text FROM documents), {S.split_long('src')} SELECT doc_id, i::BIGINT AS i, piece FROM src JOIN src_pieces USING (id)")
 def split_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ordered fold; tests hold it against a plain statement of the rule."""
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.split_long(F.col("text"))).alias("i", "piece"))
+    """An ordered fold."""
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.split_long(F.col("text"))).alias("i", "piece")).withColumn("i", F.col("i").cast("long"))
 
 
-@query("text_chunks")
+@query("text_chunks", f"WITH RECURSIVE {S.PARAGRAPHS}, {S.TEXT_CHUNKS} SELECT doc_id, ord, 'text' AS kind, page, section, section_kind, text, array_to_string({S.distinct_in_order(S.mentions('text'))}, ',') AS refs, x0, y0, x1, y1 FROM chunks")
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.text_chunks(paragraphs_merged(spark, sf_dir))
+    return chunking.text_chunks(_merged(spark, sf_dir)).withColumn("refs", F.array_join("refs", ","))
+
+
+_CLOSE_PARAGRAPHS = S.PARAGRAPHS.replace(S.BLOCKS, S.CLOSE_BLOCKS)
+_CLOSE_SAID = S.MENTION_SENTENCES.replace(S.BLOCKS, S.CLOSE_BLOCKS)
+_SAID_AFTER = "coalesce(chr(10) || 'Referred to in the text: ' || said_text, '')"
+
+
+@query(
+    "chunk_records",
+    rf"""WITH RECURSIVE {_CLOSE_SAID}, {S.TEXT_CHUNKS}, caps AS (
+  SELECT doc_id, page, pos, text, x0, y0, x1, y1, regexp_extract(text, '^(Table|Figure) ([0-9]+)', 1) AS word, regexp_extract(text, '^(Table|Figure) ([0-9]+)') AS label FROM roles WHERE role = 'caption'
+), visuals AS (SELECT * FROM caps QUALIFY row_number() OVER (PARTITION BY doc_id, label ORDER BY page, pos) = 1
+), said_of AS (SELECT doc_id, label, string_agg(trim(sentence), ' ' ORDER BY n) AS said_text FROM nth WHERE n <= 3 GROUP BY ALL
+), firsts AS (SELECT doc_id, section_idx, paragraph, page, text, x0 FROM paragraphs WHERE section_kind = 'front' AND {S.count("text")} >= 60 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY section_idx, paragraph) = 1
+), every AS (
+  SELECT doc_id, 1 AS rank, 'abstract' AS kind, 0 AS a, 0 AS b, 0 AS page, 'Abstract' AS section, 'abstract' AS section_kind, NULL AS label, text, NULL AS x0, NULL AS y0, NULL AS x1, NULL AS y1 FROM firsts
+  UNION ALL SELECT doc_id, 2, 'text', 0, ord, page, section, section_kind, NULL, text, x0, y0, x1, y1 FROM chunks
+  UNION ALL SELECT doc_id, CASE word WHEN 'Figure' THEN 3 ELSE 4 END, lower(word), page, pos, page, word, lower(word), label,
+                   text || CASE word WHEN 'Table' THEN chr(10) || '| label | page |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || label || ' | ' || page || ' |' ELSE '' END || {_SAID_AFTER}, x0, y0, x1, y1
+            FROM visuals LEFT JOIN said_of USING (doc_id, label)
+  UNION ALL SELECT doc_id, 5, 'equation', page, pos, page, 'Equation', 'equation', 'Equation ' || m.num, 'Equation ' || m.num || ': ' || m.eq, x0, y0, x1, y1
+            FROM (SELECT *, regexp_extract(text, '^(.{{3,}}?)\s+\((\d{{1,3}})\)\s*$', ['eq', 'num']) AS m FROM roles WHERE role = 'equation')
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, a, b) - 1 AS ord FROM every)
+SELECT doc_id, left(doc_id::VARCHAR, 8) || '-' || printf('%04d', ord) AS chunk_id, ord, kind, page::BIGINT AS page, section, section_kind, label, trim(text) AS text, array_to_string({S.distinct_in_order(S.mentions("text"))}, ',') AS refs,
+       x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM numbered""",
+)
+def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all kinds but references, numbered through, with boxes and mentions; tables have a made Markdown of two rows."""
+    with_roles = layout.roles(close_blocks(spark, sf_dir))
+    merged = layout.paragraphs(layout.sectioned(with_roles))
+    visuals = layout.captions(with_roles.where("role = 'caption'")).withColumn("place", F.col("pos")).withColumn("ord", F.col("pos"))
+    visuals = layout.first_visuals(visuals).select("doc_id", "label", F.col("text").alias("caption"), "page", "place", "kind", "x0", "y0", "x1", "y1")
+    cells = F.array(F.array(F.lit("label"), F.lit("page")), F.array("label", F.col("page").cast("string")))
+    visuals = visuals.withColumn("markdown", F.when(F.col("kind") == "Table", spatial.markdown(cells)))
+    found = chunking.visual_chunks(visuals, layout.mention_sentences(merged))
+    abstract = layout.abstracts(merged).select("doc_id", F.lit(0).alias("page"), F.col("abstract").alias("text"))
+    of = lambda k: found.where(F.col("kind") == k)
+    out = chunking.records(chunking.text_chunks(merged), abstract, of("Figure"), of("Table"), layout.equations(with_roles))
+    return out.withColumn("refs", F.array_join("refs", ","))
 
 
 @query("all_chunks")

@@ -97,8 +97,11 @@ near_lines AS (
 ), close AS (
   SELECT doc_id, page::BIGINT AS page, i::BIGINT AS ord, x0::DOUBLE AS x0, y0::DOUBLE AS y0, 546.0::DOUBLE AS x1,
          (y0 + CASE WHEN place < 2 THEN 24 WHEN place = 2 THEN 14 ELSE 12 END)::DOUBLE AS y1,
-         CASE WHEN place = 2 THEN CASE WHEN grp % 2 = 0 THEN 'Table ' ELSE 'Figure ' END || (i % 4 + 1) || '. ' || line ELSE line END AS text,
-         CASE WHEN place >= 2 THEN 9 ELSE 10 END AS size
+         CASE WHEN i % 20 = 0 THEN (['1. Introduction', '2 Methods', '3. Results', '4. Discussion', '5 Conclusion', 'Appendix'])[page % 6 + 1]
+              WHEN place = 2 THEN CASE WHEN grp % 2 = 0 THEN 'Table ' ELSE 'Figure ' END || (i % 4 + 1) || '. ' || line
+              WHEN i % 15 = 1 THEN line || ' = λ (' || (i % 7 + 1) || ')'
+              WHEN i % 15 = 6 THEN line || ' See Figure ' || (i % 4 + 1) || ' and Table ' || (i % 3 + 1) || '.' ELSE line END AS text,
+         CASE WHEN i % 20 = 0 THEN 12 WHEN place >= 2 THEN 9 ELSE 10 END AS size, i % 20 = 0 AS bold
   FROM boxed
 ), close_body AS (
   SELECT doc_id, arg_max(size, (chars, -seen)) AS body_size FROM (SELECT doc_id, size, sum(length(text)) AS chars, min(ord) AS seen FROM close GROUP BY doc_id, size) GROUP BY doc_id
@@ -110,6 +113,9 @@ near_lines AS (
   WHERE m.kind <> '' AND m.more = '' AND (m.sep <> '' OR size < body_size - 0.3)
 )"""
 
+#: The close blocks as ``blocks``, in the place of those above.
+CLOSE_BLOCKS = CLOSE[: CLOSE.index(", close_body AS")] + ", blocks AS (SELECT * FROM close)"
+
 _G = lambda k: f"regexp_extract(text, {quoted(layout.CAPTION)}, {k})"
 _CAPTION = f"({_G(2)} <> '' AND {_G(4)} = '' AND ({_G(5)} <> '' OR bold OR size < body_size - 0.3))"
 
@@ -166,11 +172,11 @@ SECTIONED = f"""{ROLES}, heads1 AS (
 ), heads AS (
   SELECT doc_id, page, ord, least(level0, 3)::BIGINT AS level, {_S} AS title, coalesce(kind0, 'other') AS kind FROM heads3 WHERE level0 IS NOT NULL
 ), sec1 AS (
-  SELECT r.doc_id, r.page, r.pos, r.ord, r.text, h.level AS hlevel, h.title, h.kind,
+  SELECT r.doc_id, r.page, r.pos, r.ord, r.text, r.x0, r.y0, r.x1, r.y1, h.level AS hlevel, h.title, h.kind,
          last_value(CASE WHEN h.level = 1 THEN h.kind END IGNORE NULLS) OVER (PARTITION BY r.doc_id ORDER BY r.page, r.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top_kind
   FROM roles r LEFT JOIN heads h ON r.doc_id = h.doc_id AND r.page = h.page AND r.ord = h.ord WHERE r.role = 'body'
 ), sectioned AS (
-  SELECT doc_id, page, pos, ord, text, hlevel IS NOT NULL AS is_heading,
+  SELECT doc_id, page, pos, ord, text, x0, y0, x1, y1, hlevel IS NOT NULL AS is_heading,
          sum((hlevel IS NOT NULL)::INT) OVER w::BIGINT AS section_idx,
          coalesce(last_value(title IGNORE NULLS) OVER w, 'Front matter') AS section,
          coalesce(last_value(CASE WHEN hlevel > 1 AND kind = 'other' THEN coalesce(top_kind, 'other') ELSE kind END IGNORE NULLS) OVER w, 'front') AS section_kind,
@@ -181,12 +187,13 @@ SECTIONED = f"""{ROLES}, heads1 AS (
 PARAGRAPHS = f"""{SECTIONED}, par1 AS (
   SELECT * FROM sectioned WHERE NOT is_heading AND (length(text) >= 25 OR {count("text")} >= 4)
 ), par2 AS (
-  SELECT *, NOT coalesce(NOT regexp_matches(lag(text) OVER w, '[.!?:;]\\s*$') AND regexp_matches(text, '^\\s*\\p{{Ll}}'), false) AS starts
+  SELECT *, NOT coalesce(NOT regexp_matches(lag(text) OVER w, '[.!?:;)"”]\\s*$') AND regexp_matches(text, '^\\p{{Ll}}'), false) AS starts
   FROM par1 WINDOW w AS (PARTITION BY doc_id, section_idx ORDER BY page, pos)
 ), par3 AS (
   SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id, section_idx ORDER BY page, pos ROWS UNBOUNDED PRECEDING)::BIGINT AS paragraph FROM par2
 ), paragraphs AS (
-  SELECT doc_id, section_idx, section, section_kind, paragraph, min(page)::BIGINT AS page, string_agg(text, ' ' ORDER BY page, pos) AS text
+  SELECT doc_id, section_idx, section, section_kind, paragraph, min(page)::BIGINT AS page, string_agg(text, ' ' ORDER BY page, pos) AS text,
+         first(x0 ORDER BY page, pos) AS x0, first(y0 ORDER BY page, pos) AS y0, first(x1 ORDER BY page, pos) AS x1, first(y1 ORDER BY page, pos) AS y1
   FROM par3 GROUP BY doc_id, section_idx, section, section_kind, paragraph
 )"""
 
@@ -200,6 +207,45 @@ MENTION_SENTENCES = f"""{PARAGRAPHS}, sent AS (
 )"""
 
 
+def split_long(source: str) -> str:
+    """``<source>_pieces(id, i, piece)`` of ``<source>(id, text)``; for a recursive WITH."""
+    return f"""{source}_s AS (
+  SELECT id, text, {sentences("text")} AS s, {count("text")} AS words FROM {source}
+), {source}_folded AS (
+  SELECT id, s, 1 AS k, 0 AS piece, s[1] AS cur, {count("s[1]")} AS n FROM {source}_s WHERE words > 260
+  UNION ALL
+  SELECT id, s, k + 1, CASE WHEN n + w > 260 THEN piece + 1 ELSE piece END, CASE WHEN n + w > 260 THEN s[k] ELSE cur END || ' ' || s[k + 1], CASE WHEN n + w > 260 THEN {count("s[k]")} ELSE n END + w
+  FROM (SELECT *, {count("s[k + 1]")} AS w FROM {source}_folded WHERE k < len(s))
+), {source}_pieces AS (
+  SELECT id, 0 AS i, text AS piece FROM {source}_s WHERE words <= 260 UNION ALL SELECT id, piece, arg_max(cur, k) FROM {source}_folded GROUP BY id, piece
+)"""
+
+
+#: ``chunks(doc_id, ord, page, section, section_kind, text, x0, y0, x1, y1)`` of ``paragraphs``; for a recursive WITH.
+TEXT_CHUNKS = f"""paras AS (
+  SELECT *, row_number() OVER () AS id FROM paragraphs WHERE section_kind NOT IN ('front', 'abstract', 'references')
+), {split_long("paras")}, parts AS (
+  SELECT doc_id, section_idx, section, section_kind, page, piece, {count("piece")} AS w, x0, y0, x1, y1, dense_rank() OVER (ORDER BY doc_id, section_idx, page) AS run,
+         row_number() OVER (PARTITION BY doc_id, section_idx, page ORDER BY paragraph, i) AS n
+  FROM paras JOIN paras_pieces USING (id)
+), packed AS (
+  SELECT run, n, 0 AS chunk, piece AS cur, w AS words, x0, y0, x1, y1 FROM parts WHERE n = 1
+  UNION ALL
+  SELECT p.run, p.n, CASE WHEN o.full THEN k.chunk + 1 ELSE k.chunk END, CASE WHEN o.anew THEN p.piece ELSE k.cur || ' ' || p.piece END, CASE WHEN o.full THEN 0 ELSE k.words END + p.w,
+         CASE WHEN o.anew THEN p.x0 ELSE least(k.x0, p.x0) END, CASE WHEN o.anew THEN p.y0 ELSE least(k.y0, p.y0) END, CASE WHEN o.anew THEN p.x1 ELSE greatest(k.x1, p.x1) END, CASE WHEN o.anew THEN p.y1 ELSE greatest(k.y1, p.y1) END
+  FROM packed k JOIN parts p ON p.run = k.run AND p.n = k.n + 1, LATERAL (SELECT k.words > 0 AND k.words + p.w > 260 AS full, k.words = 0 OR k.words + p.w > 260 AS anew) o
+), closed AS (
+  SELECT DISTINCT ON (run, chunk) * FROM packed ORDER BY run, chunk, n DESC
+), grouped AS (
+  SELECT *, sum((chunk = 0 OR words >= 30)::INT) OVER (PARTITION BY run ORDER BY chunk ROWS UNBOUNDED PRECEDING) AS grp FROM closed
+), joined_chunks AS (
+  SELECT run, grp, trim(string_agg(cur, ' ' ORDER BY chunk)) AS text, first(x0 ORDER BY chunk) AS x0, first(y0 ORDER BY chunk) AS y0, first(x1 ORDER BY chunk) AS x1, first(y1 ORDER BY chunk) AS y1 FROM grouped GROUP BY ALL
+), chunks AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_idx, page, grp) - 1 AS ord, page, section, section_kind, text, x0, y0, x1, y1
+  FROM joined_chunks JOIN (SELECT DISTINCT run, doc_id, section_idx, section, section_kind, page FROM parts) USING (run)
+)"""
+
+
 def bm25(query: str) -> str:
     """``scored(id, score)``, of documents."""
     return f"""terms AS (

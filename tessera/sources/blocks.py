@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+CLOSE_HEADINGS = ("1. Introduction", "2 Methods", "3. Results", "4. Discussion", "5 Conclusion", "Appendix")
 HEADINGS = ("1. Introduction", "2 Methods", "3. Results", "4. Discussion", "5 Conclusion", "References")
 WIDTH, HEIGHT = 612.0, 792.0
 
@@ -46,7 +47,10 @@ def from_lines(documents: DataFrame) -> DataFrame:
 
 
 def from_close_lines(documents: DataFrame) -> DataFrame:
-    """Blocks of twenty lines a page in four groups, each with a caption of a table or a figure and two lines at small, changing distances below it."""
+    """Blocks of twenty lines a page in four groups, each with a caption of a table or a figure and two lines at small, changing distances below it.
+
+    A page begins with a heading; some lines are equations, some mention visuals.
+    """
     lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where("trim(line) <> ''")
     i, slot = F.col("i"), F.col("i") % 20
     group, place = F.floor(slot / 5), slot % 5
@@ -58,7 +62,10 @@ def from_close_lines(documents: DataFrame) -> DataFrame:
     return lines.select(
         "doc_id", F.floor(i / 20).cast("int").alias("page"), i.cast("int").alias("ord"), left.cast("double").alias("x0"), y0.cast("double").alias("y0"),
         F.lit(546.0).alias("x1"), (y0 + F.when(place < 2, 24).when(place == 2, 14).otherwise(12)).cast("double").alias("y1"),
-        F.when(place == 2, F.concat(title, "line")).otherwise(F.col("line")).alias("text"), F.when(place >= 2, 9.0).otherwise(10.0).alias("size"), F.lit(False).alias("bold"),
+        F.when(slot == 0, F.get(F.array(*map(F.lit, CLOSE_HEADINGS)), F.floor(i / 20).cast("int") % 6)).when(place == 2, F.concat(title, "line"))
+        .when(i % 15 == 1, F.concat("line", F.lit(" = λ ("), (i % 7 + 1).cast("string"), F.lit(")")))
+        .when(i % 15 == 6, F.concat("line", F.lit(" See Figure "), number, F.lit(" and Table "), (i % 3 + 1).cast("string"), F.lit("."))).otherwise(F.col("line")).alias("text"),
+        F.when(slot == 0, 12.0).when(place >= 2, 9.0).otherwise(10.0).alias("size"), (slot == 0).alias("bold"),
     )
 
 

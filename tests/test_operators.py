@@ -52,6 +52,39 @@ def test_a_small_rest_joins_the_chunk_before(spark):
     assert [len(t) for t in got] == [270, 250] and got[0][-1] == "b"
 
 
+def test_chunk_records(spark):
+    """Chunks of all kinds numbered through by document; a box is about the pieces, not about a rest that joins; numbers over 9999 stay whole."""
+    kind = "doc_id long, section_idx long, section string, section_kind string, paragraph long, page long, text string, x0 double, y0 double, x1 double, y1 double"
+    long_ = " ".join(["word"] * 250)
+    rows = [(1, 1, "Methods", "methods", 1, 0, long_, 10.0, 10.0, 90.0, 50.0), (1, 1, "Methods", "methods", 2, 0, "Ten more words in this one here, as you see.", 5.0, 60.0, 95.0, 70.0), (1, 1, "Methods", "methods", 3, 0, "A small rest.", 0.0, 80.0, 99.0, 90.0), (2, 2, "Results", "results", 1, 3, "See Figure 1.", 1.0, 2.0, 3.0, 4.0)]
+    text = chunking.text_chunks(spark.createDataFrame(rows, kind))
+    abstract = spark.createDataFrame([(1, 0, "All of it.")], "doc_id long, page long, text string")
+    visuals = spark.createDataFrame([(1, "Table 2", "Table 2. Doses", 4, 1, "| a |" + "x" * 4000, 0.0, 0.0, 9.0, 9.0), (1, "Table 1", "Table 1. Cells", 2, 7, None, 0.0, 0.0, 9.0, 9.0)], "doc_id long, label string, caption string, page long, place long, markdown string, x0 double, y0 double, x1 double, y1 double")
+    said = spark.createDataFrame([(1, "Table 1", 1, "Table 1 shows it."), (1, "Table 1", 2, "So does Figure 3.")], "doc_id long, label string, n long, sentence string")
+    equations = layout.equations(spark.createDataFrame([(1, 0, 3, "equation", "a = b (7)", 1.0, 1.0, 2.0, 2.0), (1, 0, 4, "body", "c = d (8)", 1.0, 1.0, 2.0, 2.0)], "doc_id long, page long, pos long, role string, text string, x0 double, y0 double, x1 double, y1 double"))
+    refs = chunking.reference_chunks(spark.createDataFrame([(1, k, f"Entry {k}", 8 + k // 6) for k in range(1, 8)], "doc_id long, index long, text string, page long"))
+    got = chunking.records(text, abstract, None, chunking.visual_chunks(visuals, said), equations, refs).orderBy("doc_id", "ord").collect()
+    shown = [(r["doc_id"], r["chunk_id"], r["kind"], r["page"], r["section_kind"], r["label"], r["refs"]) for r in got]
+    assert shown == [
+        (1, "1-0000", "abstract", 0, "abstract", None, []), (1, "1-0001", "text", 0, "methods", None, []),
+        (1, "1-0002", "table", 2, "table", "Table 1", ["Table 1", "Figure 3"]), (1, "1-0003", "table", 4, "table", "Table 2", ["Table 2"]),
+        (1, "1-0004", "equation", 0, "equation", "Equation 7", ["Equation 7"]), (1, "1-0005", "reference", 8, "references", None, []), (1, "1-0006", "reference", 9, "references", None, []),
+        (2, "2-0000", "text", 3, "results", None, ["Figure 1"]),
+    ]
+    assert (got[1]["x0"], got[1]["y1"]) == (5.0, 70.0) and got[1]["text"].endswith("see. A small rest.")
+    assert got[2]["text"] == "Table 1. Cells\nReferred to in the text: Table 1 shows it. So does Figure 3." and len(got[3]["text"]) == len("Table 2. Doses\n") + 3000
+    assert got[4]["text"] == "Equation 7: a = b" and got[5]["text"].count("\n") == 4
+    many = chunking.with_ids(spark.range(1).select(F.lit(123456789).alias("doc_id"), F.lit(12345).cast("long").alias("ord"))).first()
+    assert many["chunk_id"] == "12345678-12345"
+
+
+def test_paragraphs_end_at_brackets_and_quotations(spark):
+    rows = [(1, 0, k, k, 0.0, float(k), 9.0, float(k + 1), t, 10.0, False, 0, "Front matter", "front", 0) for k, t in enumerate(["It was seen before (and later)", "but this one is another text", "which goes on and on without", "an end to it."])]
+    kind = "doc_id long, page int, pos long, ord int, x0 double, y0 double, x1 double, y1 double, text string, size double, is_heading boolean, section_idx long, section string, section_kind string, level long"
+    got = layout.paragraphs(spark.createDataFrame(rows, kind)).orderBy("paragraph").collect()
+    assert [(r["text"], r["y0"]) for r in got] == [("It was seen before (and later)", 0.0), ("but this one is another text which goes on and on without an end to it.", 1.0)]
+
+
 def test_public_hosts(spark):
     from tessera.sources.links import is_public_host
 

@@ -44,7 +44,7 @@ KEYS = ("suffix1", "suffix2", "segment", "place1", "place2", "place3")
 FEATURES = ("length", "depth", "digits", "entropy", "params", "labels", "hyphens", *KEYS)
 #: What copies of training rows don't know.
 MASKED = (("place3",), ("place2", "place3"), ("place1", "place2", "place3"), ("segment", "place1", "place2", "place3"), KEYS)
-BOUND, TREES, DEPTH, BINS, RATE, L2, SMOOTH = 20_000, 12, 3, 16, 0.4, 1.0, 2.0
+BOUND, TREES, DEPTH, BINS, RATE, L2, SMOOTH, PARTS = 20_000, 12, 3, 16, 0.4, 1.0, 2.0, 8
 #: Whole-number gradients: so many to one.
 UNIT = 1_000_000
 FOLDS = 4
@@ -156,7 +156,8 @@ def train(labelled: DataFrame, bound: int = BOUND, trees: int = TREES, depth: in
     part = min(1.0, bound / counted["n"])
     drawn = labelled.where(F.pmod(F.xxhash64("url_url"), F.lit(1 << 30)) < int(part * (1 << 30))) if part < 1 else labelled
     part_of = F.pmod(F.xxhash64(F.lit(1), "url_url"), F.lit(FOLDS)).alias("url_fold")
-    sample = checkpointed(_with_features(drawn).select("*", part_of).drop("url_url", "url_host", "url_path"))
+    # From here on all tables are bounded, and a few partitions hold them.
+    sample = checkpointed(_with_features(drawn).select("*", part_of).drop("url_url", "url_host", "url_path").coalesce(PARTS))
     bad = F.sum(F.when(F.col("url_label"), F.col("url_weight")).otherwise(0))
     seen = sample.agg(F.sum("url_weight").alias("n"), bad.alias("bad")).first()
     if not seen["n"] or seen["bad"] in (0, seen["n"]):
@@ -167,9 +168,9 @@ def train(labelled: DataFrame, bound: int = BOUND, trees: int = TREES, depth: in
     rows = sample
     for k in KEYS:
         key = f"url_s_{k}"
-        counts = checkpointed(sample.groupBy(key, "url_fold").agg(bad.alias("bad"), F.sum("url_weight").alias("n")))
+        counts = checkpointed(sample.groupBy(key, "url_fold").agg(bad.alias("bad"), F.sum("url_weight").alias("n")).coalesce(PARTS))
         sums = counts.groupBy(key).agg(F.sum("bad").alias("all_bad"), F.sum("n").alias("all_n"))
-        model.shares[k] = checkpointed(sums.select(key, smoothed(F.col("all_bad"), F.col("all_n")).alias(f"url_f_{k}")))
+        model.shares[k] = checkpointed(sums.select(key, smoothed(F.col("all_bad"), F.col("all_n")).alias(f"url_f_{k}")).coalesce(PARTS))
         others = counts.join(sums, key).select(key, "url_fold", smoothed(F.col("all_bad") - F.col("bad"), F.col("all_n") - F.col("n")).alias(f"url_f_{k}"))
         rows = rows.join(F.broadcast(others), [key, "url_fold"])
     # A copy of each row without some of its keys tells what a url of unknown places is like.
@@ -188,7 +189,8 @@ def train(labelled: DataFrame, bound: int = BOUND, trees: int = TREES, depth: in
         return F.array_size(F.filter(F.array(*map(F.lit, cuts[f])), lambda c: F.col(f"url_f_{f}") > c))
 
     held = (F.col("url_fold") == FOLDS - 1).alias("held")
-    rows = checkpointed(rows.select("url_label", "url_weight", held, F.lit(model.prior).alias("margin"), *(f"url_f_{f}" for f in FEATURES), F.array(*map(bin_of, FEATURES)).alias("bins")))
+    rows = rows.select("url_label", "url_weight", held, F.lit(model.prior).alias("margin"), *(f"url_f_{f}" for f in FEATURES), F.array(*map(bin_of, FEATURES)).alias("bins"))
+    rows = checkpointed(rows.coalesce(PARTS))
     learnt = rows.where("NOT held")
     for _ in range(trees):
         model.trees.append(_grow(learnt, cuts, depth))
@@ -221,10 +223,11 @@ def _grow(rows: DataFrame, cuts: dict[str, list[float]], depth: int) -> object:
     g = F.round((F.col("url_label").cast("int") - p) * UNIT).cast("long") * F.col("url_weight")
     h = F.round(p * (1 - p) * UNIT).cast("long") * F.col("url_weight")
     splits: dict[int, tuple[int, float]] = {}
+    places: dict[int, tuple[int, int]] = {}
     sums: dict[int, tuple[int, int]] = {}
     leaves = {1}
     for level in range(depth + 1):
-        leaf = _leaf(1, splits)
+        leaf = _leaf(1, places)
         cells = rows.select(leaf.alias("leaf"), g.alias("g"), h.alias("h"), F.posexplode("bins").alias("f", "b")).groupBy("leaf", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
         by: dict[tuple[int, int], dict[int, tuple[int, int]]] = {}
         for c in cells:
@@ -245,9 +248,9 @@ def _grow(rows: DataFrame, cuts: dict[str, list[float]], depth: int) -> object:
                     lg, lh = lg + x[0], lh + x[1]
                     got = gain(lg, lh) + gain(tg - lg, th - lh) - gain(tg, th)
                     if got > 1e-3 * UNIT and (best is None or got > best[0]):
-                        best = (got, f, cut)
+                        best = (got, f, cut, b)
             if best:
-                splits[k] = best[1:]
+                splits[k], places[k] = best[1:3], (best[1], best[3])
                 grown |= {2 * k, 2 * k + 1}
         leaves = grown
         if not leaves:
@@ -263,11 +266,12 @@ def _grow(rows: DataFrame, cuts: dict[str, list[float]], depth: int) -> object:
     return build(1)
 
 
-def _leaf(k: int, splits: dict[int, tuple[int, float]]) -> Column:
-    if k not in splits:
+def _leaf(k: int, places: dict[int, tuple[int, int]]) -> Column:
+    """The leaf of a row, by its bins."""
+    if k not in places:
         return F.lit(k)
-    f, cut = splits[k]
-    return F.when(F.col(f"url_f_{FEATURES[f]}") <= cut, _leaf(2 * k, splits)).otherwise(_leaf(2 * k + 1, splits))
+    f, b = places[k]
+    return F.when(F.get("bins", F.lit(f)) <= b, _leaf(2 * k, places)).otherwise(_leaf(2 * k + 1, places))
 
 
 def judge(urls: DataFrame, rules: list[Rule], url: str = "url", labelled: DataFrame | None = None) -> DataFrame:

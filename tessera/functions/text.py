@@ -116,9 +116,14 @@ def section_kind(title: Column) -> Column:
     return out
 
 
+def marker_groups(text: Column) -> Column:
+    """The different groups of markers, such as ``[S1, S2]``, in order of first use."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(MARKERS), F.lit(0)))
+
+
 def single_markers(text: Column) -> Column:
     """``[S1, S2]`` becomes ``[S1][S2]``."""
-    groups = F.array_distinct(F.regexp_extract_all(text, F.lit(MARKERS), F.lit(0)))
+    groups = marker_groups(text)
     one = lambda g: F.concat(F.lit("["), F.array_join(F.regexp_extract_all(g, F.lit(r"[SH]\d+"), F.lit(0)), "]["), F.lit("]"))
     return F.aggregate(groups, text, lambda t, g: F.replace(t, g, one(g)))
 

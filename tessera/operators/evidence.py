@@ -47,12 +47,22 @@ def context_block(sid: Column, title: Column, kind: Column, text: Column, note:
     return F.concat(F.lit("["), sid, F.lit("] "), title, F.lit(" ("), kind, F.lit(")\n"), text, F.coalesce(F.concat(F.lit("\nModel-generated note: "), note), F.lit("")))
 
 
-def validated(answer: Column, valid: Column) -> Column:
-    """``struct(text, used, warning)``: markers of unknown sources are cut out."""
-    text = T.single_markers(answer)
-    ids = T.cited(text)
+def marks(answers: DataFrame, answer: Column) -> DataFrame:
+    """``answers`` with ``marks``, the different groups of markers in each answer: behind a generator, so that what is made of them later doesn't search the text again."""
+    return answers.withColumn("marks", F.explode(F.array(T.marker_groups(answer))))
+
+
+def validated(answer: Column, valid: Column, groups: Column | None = None) -> Column:
+    """``struct(text, used, warning)``: groups of markers become single ones, and those of unknown sources are cut out.
+
+    The ids come from the few groups (``marks`` finds them once a row), and each group is replaced in the text once.
+    """
+    groups = T.marker_groups(answer) if groups is None else groups
+    own = lambda g: F.regexp_extract_all(g, F.lit(r"[SH]\d+"), F.lit(0))
+    ids = F.array_distinct(F.flatten(F.transform(groups, own)))
     bad = F.array_except(ids, valid)
-    clean = F.aggregate(bad, text, lambda t, b: F.replace(t, F.concat(F.lit("["), b, F.lit("]")), F.lit("")))
+    kept = lambda g: F.array_join(F.transform(F.filter(own(g), lambda i: F.array_contains(valid, i)), lambda i: F.concat(F.lit("["), i, F.lit("]"))), "")
+    clean = F.aggregate(groups, answer, lambda t, g: F.replace(t, g, kept(g)))
     warning = F.when(F.size(bad) > 0, F.concat(F.lit("Removed citation to non-existent source "), F.array_join(F.array_sort(bad), ", "), F.lit(".")))
     return F.struct(clean.alias("text"), F.array_intersect(ids, valid).alias("used"), warning.alias("warning"))
 

@@ -550,7 +550,8 @@ SELECT doc_id, regexp_replace(t, '\[S([6-9]|1[0-2])\]', '', 'g') AS text,
 def citations_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers are whole texts with two markers; S1 to S5 are real."""
     ids = F.concat(F.lit(" [S"), (F.col("doc_id") % 7 + 1).cast("string"), F.lit(", S"), (F.col("doc_id") % 12 + 1).cast("string"), F.lit("]"))
-    v = documents(spark, sf_dir).select("doc_id", evidence.validated(F.concat("text", ids), F.array(*(F.lit(f"S{k}") for k in range(1, 6)))).alias("v"))
+    answers = evidence.marks(documents(spark, sf_dir).select("doc_id", F.concat("text", ids).alias("answer")), F.col("answer"))
+    v = answers.select("doc_id", evidence.validated(F.col("answer"), F.array(*(F.lit(f"S{k}") for k in range(1, 6))), F.col("marks")).alias("v"))
     return v.select("doc_id", "v.text", F.array_join("v.used", ",").alias("used"), F.coalesce("v.warning", F.lit("")).alias("warning"))
 
 

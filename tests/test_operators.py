@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera import settings, store
 from tessera.operators import answer, chunking, embedding, evidence, index, layout, library, references, retrieval, spatial
-from tessera.streaming import memory
+from tessera.streaming import memory, progress
 from tessera.streaming.ingest import current, ingest
 
 
@@ -331,6 +332,55 @@ def test_ingest_from_several_streams(spark, tmp_path):
     assert dict(seen()) | {1: ""} == {1: "", 2: "v2b", 3: "v1cc", 4: "v2d"} and dict(seen())[1] in ("v2a", "v2aa")
 
 
+def test_cancelled_work_publishes_nothing(spark, tmp_path):
+    out = str(tmp_path)
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit(0).alias("ord"), F.lit("x").alias("text")).repartition(40)
+    slow = F.udf(lambda t: (time.sleep(0.25), t)[1], "string")
+
+    def build(work, pace):
+        work.step("Reading", 0.25)
+        n = docs.count()
+        work.step("Writing", 1.0)
+        index.write(docs.withColumn("text", pace(F.col("text"))), out)
+        return n
+
+    work = progress.Work(spark, lambda w: build(w, slow)).start()
+    seen = []
+    for now in work.events(0.05):
+        seen.append(now)
+        if now.step == "Writing" and 0.25 < now.fraction < 1:
+            work.cancel()
+            break
+    with pytest.raises(progress.CancelledError):
+        work.result(60)
+    assert seen[-1].step == "Writing" and index.published(spark, out) is None and store.commits(spark, out).isEmpty()
+    again = progress.Work(spark, lambda w: build(w, lambda c: c)).start()
+    assert again.result(120) == 40 and again.progress().fraction == 1.0
+    assert index.read(spark, out).count() == 40
+    # Cancelled before it began: no step runs. Errors are passed on.
+    late = progress.Work(spark, lambda w: build(w, slow))
+    late.cancel()
+    with pytest.raises(progress.CancelledError):
+        late.start().result(60)
+    with pytest.raises(ZeroDivisionError):
+        progress.Work(spark, lambda w: 1 / 0).start().result(60)
+
+
+def test_stopped_ingest_publishes_nothing(spark, tmp_path):
+    src, out, schema = str(tmp_path / "src"), str(tmp_path / "out"), "doc_id long, text string"
+    spark.createDataFrame([(k, "a") for k in range(20)], schema).repartition(10).write.parquet(src)
+    slow = F.udf(lambda n: (time.sleep(1.0), n)[1], "long")
+    run = lambda build: ingest(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "ck"), build, "v1")
+    q = run(lambda d: d.select(slow("doc_id").alias("doc_id")))
+    deadline = time.time() + 60
+    while not (tmp_path / "out" / "rows").exists() and time.time() < deadline:
+        time.sleep(0.1)
+    q.stop()
+    assert store.commits(spark, out).isEmpty()
+    run(lambda d: d.select("doc_id")).awaitTermination(120)
+    assert current(spark, out).count() == 20 and store.commits(spark, out).count() == 1
+
+
 def test_commits_of_two_writers(spark, tmp_path, monkeypatch):
     """Two writers that saw the same log get numbers and ranges of their own."""
     folder, real = str(tmp_path), store.commits

@@ -6,7 +6,7 @@ code once, with its ``k`` least ids, under each of its ``m`` segments; copies of
 add at most ``k`` answers. A round of radius ``r`` probes, for each unfinished query and segment, the values that
 differ from its own in just ``r`` bits, and verifies what it meets within the join. All codes within distance
 ``m (r + 1) - 1`` are then known, since one of their segments is within ``r``; a query is finished once its ``k``-th verified
-distance is no more. The turned bits of a round are a constant of the plan: a few thousand numbers at the radii that this many codes need.
+distance is no more. The turned bits of a round are made in the tasks.
 
 Defined cases: a null vector, or one whose length is not 64, has no code, so it is neither indexed nor a query;
 null values count as not positive; a row without an id is no answer, a query without one is a query; ties are ordered by id;
@@ -17,7 +17,6 @@ repeated rows are answers of their own up to ``k`` a code; a query id with sever
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,9 +51,13 @@ def _segments(code: Column, cuts: list[int]) -> Column:
     return F.explode(F.array(*map(part, range(len(cuts) - 1)))).alias("x")
 
 
-def _flips(width: int, r: int) -> Column:
-    """All numbers of ``r`` of the low ``width`` bits, as one constant."""
-    return F.split(F.lit(",".join(str(sum(1 << b for b in bits)) for bits in combinations(range(width), r))), ",").cast("array<bigint>")
+def _flipped(own: DataFrame, width: int, r: int) -> DataFrame:
+    """``own`` with ``flip``, a row for each number of ``r`` of the low ``width`` bits: made bit by bit in the tasks, the lowest first."""
+    d = own.withColumn("flip", F.lit(0).cast("long")).withColumn("last", F.lit(-1))
+    for _ in range(r):
+        d = d.where(F.col("last") < width - 1).withColumn("last", F.explode(F.sequence(F.col("last") + 1, F.lit(width - 1))))
+        d = d.withColumn("flip", F.col("flip").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("last"))))
+    return d.drop("last")
 
 
 def top_k(coded: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -74,7 +77,7 @@ def top_k(coded: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         if pending.isEmpty():
             break
         own = pending.select("query", "q", "far", _segments(F.col("q"), cuts)).select("query", "q", "far", "x.*").repartition(parts, "query", "s")
-        probe = own.withColumn("flip", F.explode(_flips(width, r))).where("flip < top").withColumn("value", F.col("value").bitwiseXOR(F.col("flip")))
+        probe = _flipped(own, width, r).where("flip < top").withColumn("value", F.col("value").bitwiseXOR(F.col("flip")))
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
         # No code beyond the k-th verified distance so far can be an answer.
         near = probe.alias("p").join(index.alias("i"), (F.col("p.s") == F.col("i.s")) & (F.col("p.value") == F.col("i.value")) & (distance <= F.col("far")))

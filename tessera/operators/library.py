@@ -77,3 +77,57 @@ def last_messages(all_messages: DataFrame, most: int = 200) -> DataFrame:
 def highlight_order(folded: DataFrame) -> DataFrame:
     """Highlights with ``place``, from 1 in each document, oldest first."""
     return folded.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("ts", "highlight_id")).cast("long"))
+
+
+def active_highlights(folded: DataFrame) -> DataFrame:
+    """``(doc_id, n_highlights, n_active)``: how many highlights each document has, and how many of them are used in answers."""
+    return folded.groupBy("doc_id").agg(F.count("*").alias("n_highlights"), F.count_if(F.coalesce("use_in_chat", F.lit(True))).alias("n_active"))
+
+
+def available(folded: DataFrame, files: DataFrame) -> DataFrame:
+    """Papers of ``folded(source, ...)`` that can be opened again: those from an address, and those whose file is among ``files(path)``."""
+    there = files.select(F.col("path").alias("source")).distinct().withColumn("there", F.lit(True))
+    return folded.join(there, "source", "left").where(F.col("source").rlike("(?i)^https?://") | F.col("there")).select(*folded.columns)
+
+
+def store_files(files: DataFrame, folder: str, name: str) -> int:
+    """Keep ``files(doc_id, content)`` that are not kept yet, as the batch ``name``; how many were new. A batch that comes again adds nothing."""
+    spark = files.sparkSession
+    if not commits(spark, folder).where(F.col("name") == name).isEmpty():
+        return 0
+    kept = stored_files(spark, folder)
+    one = files.groupBy("doc_id").agg(F.min("content").alias("content"))
+    new = one if kept is None else one.join(kept.select("doc_id"), "doc_id", "left_anti")
+    path = f"{folder}/files/batch={name}"
+    new.select("doc_id", "content", F.lit(False).alias("purged")).write.mode("overwrite").parquet(path)
+    rows = spark.read.parquet(path).count()
+    return rows if commit(spark, folder, name, rows) else 0
+
+
+def purge(documents: DataFrame, folder: str, name: str) -> None:
+    """Drop the files of ``documents(doc_id)`` from now on; they can be kept anew. ``compact_files`` frees their space."""
+    gone = documents.select("doc_id", F.lit(None).cast("binary").alias("content"), F.lit(True).alias("purged")).distinct()
+    gone.write.mode("overwrite").parquet(f"{folder}/files/batch={name}")
+    commit(documents.sparkSession, folder, name)
+
+
+def stored_files(spark: SparkSession, folder: str) -> DataFrame | None:
+    """``(doc_id, content)`` of the files that are kept: each document's last row counts. Only small rows are compared; contents are joined to them."""
+    known = table_or_none(spark, f"{folder}/files")
+    if known is None:
+        return None
+    known = known.join(commits(spark, folder).select("commit", F.col("name").alias("batch")), "batch")
+    last = known.groupBy("doc_id").agg(F.max(F.struct("commit", "purged", "batch")).alias("x")).where("NOT x.purged").select("doc_id", "x.batch")
+    return known.join(last, ["doc_id", "batch"], "left_semi").select("doc_id", "content")
+
+
+def compact_files(spark: SparkSession, folder: str, into: str) -> None:
+    """The files that are kept, alone, in a new folder."""
+    kept = stored_files(spark, folder)
+    if kept is not None:
+        store_files(kept, into, "compacted")
+
+
+def write_documents(documents: DataFrame, folder: str, version: int, build_key: str) -> None:
+    """``documents(doc_id, ...)`` as JSON, a line each, with the schema's version and the build key that ``sources.spans.read_documents`` asks for."""
+    documents.withColumn("schema_version", F.lit(version)).withColumn("build_key", F.lit(build_key)).write.mode("append").json(folder)

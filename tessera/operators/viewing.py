@@ -25,10 +25,10 @@ def probe(page_text: Column, snippet: Column, lengths: tuple[int, ...] = (14, 8,
 
 
 def evidence_of(cited: DataFrame, sources: DataFrame, visuals: DataFrame) -> DataFrame:
-    """``cited(sid)`` to a page and box: that of the source's visual if it has one, else its caption's, else none."""
-    s = cited.join(sources, "sid", "left")
-    v = visuals.select("label", F.coalesce("bbox", "caption_bbox").alias("box"))
-    return s.join(v, "label", "left").select("sid", "page", "label", "box", F.ltrim(F.substring_index("text", "Referred to in the text:", 1)).alias("snippet"))
+    """``cited(sid)`` to a page and box: that of the source's visual if it has one, else its caption's, else none. Labels match in any case."""
+    s = cited.join(sources, "sid", "left").withColumn("same", F.lower(F.trim("label")))
+    v = visuals.select(F.lower(F.trim("label")).alias("same"), F.coalesce("bbox", "caption_bbox").alias("box"))
+    return s.join(v, "same", "left").select("sid", "page", "label", "box", F.ltrim(F.substring_index("text", "Referred to in the text:", 1)).alias("snippet"))
 
 
 def linked(answer: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tessera import settings, store
-from tessera.operators import answer, chunking, embedding, evidence, index, layout, library, references, retrieval, spatial
+from tessera.operators import answer, chunking, embedding, evidence, index, layout, library, references, retrieval, spatial, viewing
+from tessera.sources import spans
 from tessera.streaming import memory, progress
 from tessera.streaming.ingest import current, ingest
 
@@ -332,6 +333,40 @@ def test_ingest_from_several_streams(spark, tmp_path):
     assert dict(seen()) | {1: ""} == {1: "", 2: "v2b", 3: "v1cc", 4: "v2d"} and dict(seen())[1] in ("v2a", "v2aa")
 
 
+def test_files_are_kept_once_and_purged(spark, tmp_path):
+    out = str(tmp_path / "kept")
+    files = lambda *rows: spark.createDataFrame([(d, bytearray(c)) for d, c in rows], "doc_id string, content binary")
+    assert library.store_files(files(("a", b"1"), ("b", b"2"), ("b", b"2")), out, "one") == 2
+    assert library.store_files(files(("b", b"9"), ("c", b"3")), out, "two") == 1 and library.store_files(files(("d", b"4")), out, "two") == 0
+    kept = lambda where=out: sorted((r["doc_id"], bytes(r["content"])) for r in library.stored_files(spark, where).collect())
+    assert kept() == [("a", b"1"), ("b", b"2"), ("c", b"3")]
+    library.purge(spark.createDataFrame([("a",), ("x",)], "doc_id string"), out, "gone")
+    assert kept() == [("b", b"2"), ("c", b"3")]
+    library.compact_files(spark, out, str(tmp_path / "new"))
+    assert kept(str(tmp_path / "new")) == kept()
+    assert library.store_files(files(("a", b"5")), out, "three") == 1 and kept()[0] == ("a", b"5")
+
+
+def test_library_views(spark, tmp_path):
+    marked = spark.createDataFrame([(1, True), (1, None), (1, False), (2, False)], "doc_id long, use_in_chat boolean")
+    assert {tuple(r) for r in library.active_highlights(marked).collect()} == {(1, 3, 2), (2, 1, 0)}
+    papers = spark.createDataFrame([(1, "https://a.org/x.pdf"), (2, "/data/b.pdf"), (3, "/data/gone.pdf")], "doc_id long, source string")
+    assert {r["doc_id"] for r in library.available(papers, spark.createDataFrame([("/data/b.pdf",)] * 2, "path string")).collect()} == {1, 2}
+    docs = spark.createDataFrame([(1, ["a", "b"]), (2, [])], "doc_id long, parts array<string>")
+    library.write_documents(docs, str(tmp_path), 3, "k")
+    assert sorted(map(tuple, spans.read_documents(spark, str(tmp_path), "doc_id long, parts array<string>", 3, "k").select("doc_id", "parts").collect())) == [(1, ["a", "b"]), (2, [])]
+    assert spans.read_documents(spark, str(tmp_path), "doc_id long", 4, "k").isEmpty()
+    sources = spark.createDataFrame([("S1", 3, "figure 2", "text")], "sid string, page long, label string, text string")
+    visuals = spark.createDataFrame([("Figure 2 ", [1.0], None)], "label string, bbox array<double>, caption_bbox array<double>")
+    assert viewing.evidence_of(sources.select("sid"), sources, visuals).first()["box"] == [1.0]
+
+
+def test_memory_with_a_summariser():
+    turns, summary = memory.fold([], "old", ["a" * 20, "b" * 12, "c" * 16, "d" * 20], 10, lambda s, out: f"{s}+{len(out)}")
+    assert (turns, summary) == (["c" * 16, "d" * 20], "old+2")
+    assert memory.fold([], "", ["a" * 80, "b" * 8], 4, lambda s, out: 1 / 0)[1] == "a" * 80
+
+
 def test_cancelled_work_publishes_nothing(spark, tmp_path):
     out = str(tmp_path)
     docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit(0).alias("ord"), F.lit("x").alias("text")).repartition(40)

@@ -80,7 +80,8 @@ def top_k(coded: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         probe = _flipped(own, width, r).where("flip < top").withColumn("value", F.col("value").bitwiseXOR(F.col("flip")))
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
         # No code beyond the k-th verified distance so far can be an answer.
-        near = probe.alias("p").join(index.alias("i"), (F.col("p.s") == F.col("i.s")) & (F.col("p.value") == F.col("i.value")) & (distance <= F.col("far")))
+        # Spark takes the probes, whose rows are made by generators, for few and would broadcast them.
+        near = probe.alias("p").hint("merge").join(index.alias("i"), (F.col("p.s") == F.col("i.s")) & (F.col("p.value") == F.col("i.value")) & (distance <= F.col("far")))
         near = near.select("query", "code", "first", distance.alias("distance")).distinct()
         if best is not None:
             known = best.select("query", "code", "first", "distance").join(pending, "query", "left_semi")

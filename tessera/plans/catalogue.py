@@ -493,7 +493,25 @@ def _references(merged: DataFrame) -> DataFrame:
     return references.references(own)
 
 
-@query("references_parsed")
+_O, _C = "chr(57344)", "chr(57345)"
+
+
+@query(
+    "references_parsed",
+    rf"""WITH {S.PARAGRAPHS}, own AS (SELECT doc_id, page, section_idx * 10000 + paragraph AS pos, text FROM paragraphs WHERE section_kind = 'references'
+), whole AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page, pos) AS w FROM own GROUP BY doc_id
+), cut AS (SELECT doc_id, string_split(regexp_replace(w, '(^|\s)(\[?\d{{1,3}}\]?[.)]?\s+)([A-ZÀ-Þ])', '\1' || {_O} || '\2' || {_C} || '\3', 'g'), {_O}) AS parts FROM whole
+), kinds AS (SELECT *, len(parts) > 3 AND regexp_extract(parts[2], '^\[?(\d+)', 1) IN ('0', '1') AS numbered FROM cut
+), parts AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM kinds WHERE numbered
+), placed AS (
+  SELECT *, coalesce(sum(length(part) - contains(part, {_C})::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM parts
+), ends AS (SELECT doc_id, page, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY page, pos ROWS UNBOUNDED PRECEDING) AS fin FROM own
+), entries AS (
+  SELECT p.doc_id, p.k, array_to_string({S.words(f"string_split(p.part, {_C})[-1]")}, ' ') AS text, (SELECT arg_min(e.page, e.fin) FROM ends e WHERE e.doc_id = p.doc_id AND e.fin > p.place) AS page, 15 AS least FROM placed p WHERE k > 1
+  UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, pos), array_to_string({S.words("text")}, ' '), page, 25 FROM own WHERE doc_id IN (SELECT doc_id FROM kinds WHERE NOT numbered)
+)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS index, text, page::BIGINT AS page FROM entries WHERE length(text) > least""",
+)
 def references_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _references(paragraphs_merged(spark, sf_dir))
 

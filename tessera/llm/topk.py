@@ -6,7 +6,8 @@ code once, with its ``k`` least ids, under each of its ``m`` segments; copies of
 add at most ``k`` answers. A round of radius ``r`` probes, for each unfinished query and segment, the values that
 differ from its own in just ``r`` bits, and verifies what it meets within the join. All codes within distance
 ``m (r + 1) - 1`` are then known, since one of their segments is within ``r``; a query is finished once its ``k``-th verified
-distance is no more. The turned bits of a round are made in the tasks.
+distance is no more. If that distance is ``m r + a - 1`` before the round, ``a`` segments are enough: a code as near has one of these within ``r``, or
+another within ``r - 1``, which the round before probed. The turned bits of a round are made in the tasks.
 
 Defined cases: a null vector, or one whose length is not 64, has no code, so it is neither indexed nor a query;
 null values count as not positive; a row without an id is no answer, a query without one is a query; ties are ordered by id;
@@ -76,7 +77,8 @@ def top_k(coded: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     for r in range(width + 1):
         if pending.isEmpty():
             break
-        own = pending.select("query", "q", "far", _segments(F.col("q"), cuts)).select("query", "q", "far", "x.*").repartition(parts, "query", "s")
+        own = pending.select("query", "q", "far", _segments(F.col("q"), cuts)).select("query", "q", "far", "x.*")
+        own = own.where(F.col("s") < F.col("far") - m * r + 1).repartition(parts, "query", "s")
         probe = _flipped(own, width, r).where("flip < top").withColumn("value", F.col("value").bitwiseXOR(F.col("flip")))
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
         # No code beyond the k-th verified distance so far can be an answer.

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import pages
 
 CELL, GAP = 3.0, 2
 
@@ -93,17 +94,8 @@ def clip(pad: float, width: float, height: float, dpi: float, longest: float = 2
     return F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), zoom.alias("zoom"))
 
 
-def regions(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """For each of ``n`` nodes the least that the pairs ``a[i]``, ``b[i]`` connect it with."""
-    least = np.arange(n)
-    while True:
-        low = np.minimum(least[a], least[b])
-        before = least.copy()
-        np.minimum.at(least, before[a], low)
-        np.minimum.at(least, before[b], low)
-        least = least[least]
-        if (least == before).all():
-            return least
+#: Pages of up to so many rectangles compare them in pairs, others mark a grid, whose cost is then small for each rectangle.
+FEW = 64
 
 
 def clusters(primitives: DataFrame, width: float = 612.0, height: float = 792.0) -> DataFrame:
@@ -112,31 +104,56 @@ def clusters(primitives: DataFrame, width: float = 612.0, height: float = 792.0)
     The widened rectangles cover cells of a grid over the page; covered cells that share an edge are one region, and a rectangle is of the region of its centre's cell.
     """
     h, w = math.ceil(height / CELL) + 3, math.ceil(width / CELL) + 3
+    lo = lambda v: np.maximum(np.trunc(v / CELL).astype(int) - GAP, 0)
+    hi = lambda v, most: np.maximum(np.minimum(np.trunc(v / CELL).astype(int) + GAP + 1, most), 0)
+    at = lambda v, most: np.clip(np.trunc(v / CELL).astype(int), 0, most - 1)
 
-    def group(page: pd.DataFrame) -> pd.DataFrame:
-        lo = lambda v: np.maximum(np.trunc(v.to_numpy() / CELL).astype(int) - GAP, 0)
-        hi = lambda v, most: np.minimum(np.trunc(v.to_numpy() / CELL).astype(int) + GAP + 1, most)
-        at = lambda v, most: np.clip(np.trunc(v.to_numpy() / CELL).astype(int), 0, most - 1)
+    def on_grid(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The region of each rectangle of a page of many, -1 if its centre is in none."""
         edges = np.zeros((h + 1, w + 1), int)  # each rectangle adds one between its corners once summed up
-        x0, y0, x1, y1 = lo(page.x0), lo(page.y0), np.maximum(hi(page.x1, w), 0), np.maximum(hi(page.y1, h), 0)
         some = (x1 > x0) & (y1 > y0)
-        for y, x, by in ((y0, x0, 1), (y1, x1, 1), (y0, x1, -1), (y1, x0, -1)):
-            np.add.at(edges, (y[some], x[some]), by)
+        for b, a, by in ((y0, x0, 1), (y1, x1, 1), (y0, x1, -1), (y1, x0, -1)):
+            np.add.at(edges, (b[some], a[some]), by)
         full = edges.cumsum(axis=0).cumsum(axis=1)[:h, :w] > 0
         # Runs of covered cells in a row of the grid are nodes; runs that meet in the next row are connected.
         begins = full.copy()
         begins[:, 1:] &= ~full[:, :-1]
         run = begins.cumsum().reshape(h, w) - 1
         meet = full[:-1] & full[1:]
-        region = regions(run[:-1][meet], run[1:][meet], int(begins.sum()))
-        y, x = at((page.y0 + page.y1) / 2, h), at((page.x0 + page.x1) / 2, w)
-        own = page[full[y, x]]
-        own = own.assign(region=region[run[y, x][full[y, x]]])
-        out = own.groupby("region", as_index=False).agg(x0=("x0", "min"), y0=("y0", "min"), x1=("x1", "max"), y1=("y1", "max"), n=("x0", "size"))
-        out = out[(out.x1 - out.x0 >= 40) & (out.y1 - out.y0 >= 30)]
-        return out.assign(doc_id=page.doc_id.iloc[0], page=page.page.iloc[0])[["doc_id", "page", "x0", "y0", "x1", "y1", "n"]]
-
-    return primitives.groupBy("doc_id", "page").applyInPandas(group, "doc_id bigint, page int, x0 double, y0 double, x1 double, y1 double, n bigint")
+        region = pages.regions(run[:-1][meet], run[1:][meet], int(begins.sum()))
+        return np.where(full[y, x], region[run[y, x]], -1)
+
+    def group(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        n, box = rows.num_rows, [pages.column(rows, k) for k in ("x0", "y0", "x1", "y1")]
+        x0, y0, x1, y1 = lo(box[0]), lo(box[1]), hi(box[2], w), hi(box[3], h)
+        x, y = at((box[0] + box[2]) / 2, w), at((box[1] + box[3]) / 2, h)
+        page, size = pages.numbers(starts, n), np.diff(np.append(starts, n))
+        # Rectangles that overlap or share an edge are of one region, whose name is its first rectangle's number.
+        few = np.flatnonzero(size[page] <= FEW)
+        a = np.repeat(few, size[page[few]])
+        b = np.arange(len(a)) - np.repeat(pages.offsets(size[page[few]])[:-1] - starts[page[few]], size[page[few]])
+        wide, high = np.minimum(x1[a], x1[b]) - np.maximum(x0[a], x0[b]), np.minimum(y1[a], y1[b]) - np.maximum(y0[a], y0[b])
+        some = (x1 > x0) & (y1 > y0)
+        meet = (((wide > 0) & (high >= 0)) | ((wide >= 0) & (high > 0))) & some[a] & some[b]
+        least = pages.regions(a[meet], b[meet], n)
+        over = some[b] & (x0[b] <= x[a]) & (x[a] < x1[b]) & (y0[b] <= y[a]) & (y[a] < y1[b])
+        region = np.full(n, -1)
+        region[a[over]] = least[b[over]]
+        for p in np.flatnonzero(size > FEW).tolist():
+            own = slice(starts[p], starts[p] + size[p])
+            found = on_grid(*(v[own] for v in (x0, y0, x1, y1, x, y)))
+            _, first, inverse = np.unique(found, return_index=True, return_inverse=True)
+            region[own] = np.where(found < 0, -1, starts[p] + first[inverse.ravel()])
+        own = np.flatnonzero(region >= 0)
+        first, region = np.unique(region[own], return_inverse=True)
+        region, m = region.ravel(), len(first)
+        left, top, right, bottom = (f(region, m, v[own]) for f, v in zip((pages.lowest, pages.lowest, pages.highest, pages.highest), box, strict=True))
+        large = np.flatnonzero((right - left >= 40) & (bottom - top >= 30))
+        key = [rows.column(k).take(pa.array(first[large])) for k in pages.KEY]
+        return pa.table([*key, *(pa.array(v[large]) for v in (left, top, right, bottom, np.bincount(region, minlength=m)))], names=[*pages.KEY, "x0", "y0", "x1", "y1", "n"])
+
+    given = primitives.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    return pages.map_pages(given, group, "doc_id bigint, page int, x0 double, y0 double, x1 double, y1 double, n bigint")
 
 
 def graphic_filter(width: float = 612.0, height: float = 792.0) -> Column:
@@ -228,52 +245,66 @@ def located_figures(captions: DataFrame, regions: DataFrame, blocks: DataFrame |
     that touches the box widened by ``EDGE`` points, axis labels and legends, and the box grows with each; ``absorbed`` are their numbers. The box ends at the page's edges.
     """
     box = ["x0", "y0", "x1", "y1"]
-    part = lambda df, what, **more: df.select("doc_id", "page", F.lit(what).alias("what"), *box, *(more.get(k, F.lit(None)).cast(t).alias(k) for k, t in (("ord", "long"), ("place", "long"), ("label", "string"))))
+    part = lambda df, what, **more: df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), F.lit(what).alias("what"), *(F.col(k).cast("double").alias(k) for k in box), *(more.get(k, F.lit(None)).cast(t).alias(k) for k, t in (("ord", "long"), ("place", "long"), ("label", "string"))))
     parts = part(captions, "caption", ord=F.col("ord"), label=F.col("label")).unionByName(part(regions, "region"))
     if blocks is not None:
         short = blocks.where((F.col("role") == "body") & (T.word_count(F.col("text")) < 25) & (F.col("y1") - F.col("y0") < 60))
         parts = parts.unionByName(part(short, "text", ord=F.col("ord"), place=F.col("pos")))
     parts = parts.join(captions.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")
 
-    def grown(b: np.ndarray, more: np.ndarray) -> np.ndarray:
-        return np.concatenate((np.minimum(b[:2], more[..., :2].reshape(-1, 2).min(axis=0)), np.maximum(b[2:], more[..., 2:].reshape(-1, 2).max(axis=0))))
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        left = page[page.what == "region"].sort_values(box)[box].to_numpy(float)
-        texts = page[page.what == "text"].sort_values(["place", "ord"])
-        t_box, t_ord = texts[box].to_numpy(float), texts["ord"].to_numpy(int)
-        free, out = np.ones(len(texts), bool), []
-        for c in page[page.what == "caption"].sort_values(["y0", "x0", "ord"]).itertuples():
-            lo, hi = c.x0 - 30, c.x1 + 30
+    def grown(b: list[float], *more: list[float]) -> list[float]:
+        return [min(b[0], *(m[0] for m in more)), min(b[1], *(m[1] for m in more)), max(b[2], *(m[2] for m in more)), max(b[3], *(m[3] for m in more))]
+
+    def run(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        what, ords, place, label = (rows.column(k).to_pylist() for k in ("what", "ord", "place", "label"))
+        boxes = np.stack([pages.column(rows, k) for k in box], axis=1)
+        corners, out = boxes.tolist(), []
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
+            out += of_page({k: [n for n in range(s, e) if what[n] == k] for k in ("caption", "region", "text")}, boxes, corners, ords, place, label)
+        at, *own, absorbed = zip(*out, strict=True) if out else [()] * 8
+        kinds = [pa.int64(), pa.string(), *[pa.float64()] * 4]
+        key = [rows.column(k).take(pa.array(at, pa.int64())) for k in pages.KEY]
+        return pa.table([*key, *(pa.array(v, t) for v, t in zip(own, kinds, strict=True)), pa.array(absorbed, pa.list_(pa.int64()))], names=[*pages.KEY, "ord", "label", *box, "absorbed"])
+
+    def of_page(parts: dict[str, list[int]], boxes: np.ndarray, corners: list, ords: list, place: list, label: list) -> list[tuple]:
+        left = boxes[sorted(parts["region"], key=corners.__getitem__)]
+        texts = sorted(parts["text"], key=lambda n: (place[n], ords[n]))
+        free, out = dict.fromkeys(texts), []
+        for c in sorted(parts["caption"], key=lambda n: (corners[n][1], corners[n][0], ords[n])):
+            x0, y0, x1, y1 = corners[c]
+            lo, hi = x0 - 30, x1 + 30
             wide = np.minimum(left[:, 2], hi) - np.maximum(left[:, 0], lo) > 0.4 * np.minimum(left[:, 2] - left[:, 0], hi - lo)
-            up, down = wide & (left[:, 3] <= c.y0 + 6), wide & (left[:, 1] >= c.y1 - 6)
-            pool, gap, most = (np.flatnonzero(up), c.y0 - left[:, 3], above) if up.any() else (np.flatnonzero(down), left[:, 1] - c.y1, below)
-            own, absorbed = None, []
+            up, down = wide & (left[:, 3] <= y0 + 6), wide & (left[:, 1] >= y1 - 6)
+            above_it = bool(up.any())
+            pool, gap, most = (np.flatnonzero(up), y0 - left[:, 3], above) if above_it else (np.flatnonzero(down), left[:, 1] - y1, below)
+            own, absorbed = [None] * 4, []
             if len(pool) and (gap[pool] <= most).any():
                 members = pool[[np.argmin(gap[pool])]]
-                own = left[members[0]]
+                own = left[members[0]].tolist()
                 while True:
-                    rest = np.setdiff1d(pool, members)
+                    rest = pool[~np.isin(pool, members)]
                     r = left[rest]
                     near = rest[(r[:, 1] - own[3] < JOIN) & (r[:, 3] > own[1] - JOIN) & (r[:, 0] - own[2] < JOIN) & (r[:, 2] > own[0] - JOIN)]
                     if not len(near):
                         break
-                    members, own = np.append(members, near), grown(own, left[near])
+                    members = np.append(members, near)
+                    own = grown(own, *left[near].tolist())
                 left = np.delete(left, members, axis=0)
                 for _ in range(2):
-                    for k in np.flatnonzero(free):
-                        b = t_box[k]
+                    for k in list(free):
+                        b = corners[k]
                         touches = min(b[2], own[2] + EDGE) > max(b[0], own[0] - EDGE) and min(b[3], own[3] + EDGE) > max(b[1], own[1] - EDGE)
-                        if free[k] and touches and (b[3] <= c.y0 + 2 or not up.any()):
-                            own, free[k] = grown(own, b), False
-                            absorbed.append(int(t_ord[k]))
-                x, y = (t_box[:, 0] + t_box[:, 2]) / 2, (t_box[:, 1] + t_box[:, 3]) / 2
-                free &= ~((x >= own[0]) & (x <= own[2]) & (y >= own[1]) & (y <= own[3]))  # these are the figure's too
+                        if touches and (b[3] <= y0 + 2 or not above_it):
+                            own = grown(own, b)
+                            del free[k]
+                            absorbed.append(ords[k])
+                # Texts whose centre is in the box are the figure's too.
+                free = {k: None for k in free if not (own[0] <= (corners[k][0] + corners[k][2]) / 2 <= own[2] and own[1] <= (corners[k][1] + corners[k][3]) / 2 <= own[3])}
                 own = [max(own[0], 0.0), max(own[1], 0.0), min(own[2], width), min(own[3], height)]
-            out.append((c.doc_id, c.page, c.ord, c.label, *(own if own is not None else [None] * 4), absorbed))
-        return pd.DataFrame(out, columns=["doc_id", "page", "ord", "label", *box, "absorbed"])
+            out.append((c, ords[c], label[c], *own, absorbed))
+        return out
 
-    return parts.groupBy("doc_id", "page").applyInPandas(run, "doc_id bigint, page int, ord bigint, label string, x0 double, y0 double, x1 double, y1 double, absorbed array<bigint>")
+    return pages.map_pages(parts, run, "doc_id bigint, page int, ord bigint, label string, x0 double, y0 double, x1 double, y1 double, absorbed array<bigint>")
 
 
 def figure_text(blocks: DataFrame, figures: DataFrame) -> DataFrame:

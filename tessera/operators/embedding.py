@@ -11,10 +11,10 @@ from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from tessera.functions import text as T
 
@@ -34,13 +34,22 @@ def place(feature: str) -> tuple[int, float]:
     return h, 1.0 if h >> 63 else -1.0
 
 
-def vectors(batch: pd.Series, dim: int) -> np.ndarray:
+#: Texts and features that a worker holds as Python objects at a time, and the bytes that go to it at a time, however large the table.
+SLICE, FEATURES, BATCH_BYTES = 256, 1 << 16, 8 << 20
+
+
+def counts(features: pa.Array, dim: int) -> np.ndarray:
+    """The signed counts by hash of one text's features."""
+    out = np.zeros(dim)
+    for at in range(0, len(features), FEATURES):
+        found = [place(f) for f in features.slice(at, FEATURES).to_pylist()]
+        np.add.at(out, [h % dim for h, _ in found], [s for _, s in found])
+    return out
+
+
+def vectors(batch: pa.ListArray, dim: int) -> np.ndarray:
     """A row for each list of features: signed counts by hash, dampened by a logarithm, of length one (or zero)."""
-    rows = np.repeat(np.arange(len(batch)), batch.map(len))
-    found = [place(f) for own in batch for f in own]
-    out = np.zeros((len(batch), dim))
-    if found:
-        np.add.at(out, (rows, [h % dim for h, _ in found]), [s for _, s in found])
+    out = np.array([counts(own.values, dim) for own in batch]).reshape(len(batch), dim)
     out = np.copysign(np.log1p(np.abs(out)), out)
     length = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return (out / np.maximum(length, 1e-12)).astype(np.float32)
@@ -48,11 +57,17 @@ def vectors(batch: pd.Series, dim: int) -> np.ndarray:
 
 def hash_embedding(text: Column, dim: int = DIM) -> Column:
     """The hashing embedding of a text; a null text has the zero vector."""
-
-    @pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    conf = SparkSession.active().conf
+    own = conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    # Read when the plan runs, so it can't be put back here; a session with a smaller one keeps it.
+    if own is None or not own.isdigit() or not 0 < int(own) <= BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    @arrow_udf("array<float>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series(list(vectors(batch, dim)))
+            made = np.concatenate([np.zeros((0, dim), np.float32), *(vectors(batch.slice(at, SLICE), dim) for at in range(0, len(batch), SLICE))])
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, dim), pa.int32()), pa.array(made.ravel()))
 
     return embed(features(text))
 

@@ -16,10 +16,11 @@ are dealt to one group and verified by their whole Hamming distance.
 Within a key no list of all pairs is made: a search from the fingerprints yet unreached takes all of the
 unreached within ``distance``, so the links are a forest that has the same components as all the
 pairs, and a cluster of close fingerprints costs little more than one pass over it. In a key with over ``HOT`` fingerprints the search
-ends when it finds little more; what it left, which is far from all it reached, is dealt again by blocks of the bits that the table leaves
-free: for one family by ``distance + 1`` blocks, of which one must agree, so again no link is lost; for several by drawn ones. A task holds
-``HOLD`` fingerprints of a key at most: of one with more, those of one family are all dealt again, and of several families a drawn
-``STAND_INS`` stand for those that were linked.
+ends when it finds little more; what it left, which is far from all it reached, is dealt again if it is over ``HOT`` too. A task holds about
+``HOLD`` fingerprints of a key at most: of one with more, all are dealt again. No link within a key is lost by dealing again: one family
+goes by ``distance + 1`` blocks of the bits that the table leaves free, of which one must agree; several families, and what is
+still too much after ``DEPTH`` tables, are cut into parts of half of ``HOT``, and every two parts are a group of their own, searched to the
+end. That is the comparison of all pairs of what is left of a key, in bounded groups over all tasks.
 
 Defined cases: a null text, or one without words, has fingerprint 0 and is linked like any other;
 fewer words than a shingle make one shingle of all; repeated rows share their component; a component of
@@ -49,7 +50,7 @@ SLICE = 1 << 14
 FAMILIES, WIDE_DISTANCE = 8, 86
 #: The share of bits in which texts of a similarity of 0.8 agree, and how surely they share a block.
 AGREE, FOUND = 0.8485, 0.98
-GROUP, HOT, HOLD, SPLIT_BITS, SPLITS, DEPTH, FRONTIER, PATIENCE, STAND_INS = 1 << 11, 1 << 15, 1 << 19, 8, 10, 4, 64, 64, 1 << 13
+GROUP, HOT, HOLD, BLOCK_BITS, SPLITS, DEPTH, FRONTIER, PATIENCE = 1 << 11, 1 << 15, 1 << 19, 8, 10, 4, 64, 64
 
 
 def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -141,16 +142,13 @@ def _drawn(bits: list[int], width: int, families: int, seed: int) -> list[Table]
 
 def wide_tables(n: int, families: int) -> list[Table]:
     """The tables for ``n`` fingerprints of several families."""
-    width = max(SPLIT_BITS, math.ceil(math.log2(max(n, 2) / GROUP)))
+    width = max(BLOCK_BITS, math.ceil(math.log2(max(n, 2) / GROUP)))
     return _drawn(list(range(64 * families)), width, families, SEED)
 
 
 def split_tables(table: Table, distance: int) -> list[Table]:
-    """The tables that deal a key of ``table`` again, of the bits it leaves free."""
-    families = len(table)
-    free = [b for b in range(64 * families) if not table[b // 64] >> b % 64 & 1]
-    if families > 1:
-        return _drawn(free, min(SPLIT_BITS, len(free)), families, len(free)) if free else []
+    """The tables of one family that deal a key of ``table`` again, of the bits it leaves free; none if those are too few."""
+    free = [b for b in range(64) if not table[0] >> b & 1]
     edges = [len(free) * k // (distance + 1) for k in range(distance + 2)]
     return [_masks(free[a:b], 1) for a, b in zip(edges, edges[1:], strict=False)] if len(free) > distance else []
 
@@ -183,7 +181,9 @@ def _forest(fps: np.ndarray, nodes: np.ndarray, distance: int, patience: int | N
             idle += 1
         take = FRONTIER - min(len(queue), FRONTIER)
         front, queue, open_ = np.concatenate((queue[:FRONTIER], open_[:take])), queue[FRONTIER:], open_[take:]
-        rest = np.concatenate((front, queue, open_))
+        # What waits in the only tree of the front needn't be compared with it.
+        waiting = queue[tree[queue] != tree[front[0]]] if (tree[front] == tree[front[0]]).all() else queue
+        rest = np.concatenate((front, waiting, open_))
         near = _distances(fps[front], fps[rest]) <= distance
         # Among the front itself, pairs once.
         near[:, : len(front)] &= np.triu(np.ones((len(front), len(front)), bool), 1)
@@ -194,14 +194,14 @@ def _forest(fps: np.ndarray, nodes: np.ndarray, distance: int, patience: int | N
         if len(found):
             # Of the others found, those reached now join the first that is near them; then what else is near joins trees.
             first, to = out[:, found].argmax(axis=0), rest[len(front) + found]
-            new = found >= len(queue)
+            new = found >= len(waiting)
             tree[to[new]] = tree[front[first[new]]]
             links.append((front[first[new]], to[new]))
             row, col = out[:, found].nonzero()
             also = np.unique(first[col] * FRONTIER + row)
             links.append(joins(front[also // FRONTIER], front[also % FRONTIER]))
             links.append(joins(front[first[~new]], to[~new]))
-            fresh = found[found >= len(queue)] - len(queue)
+            fresh = found[new] - len(waiting)
             queue, open_ = np.concatenate((queue, open_[fresh])), np.delete(open_, fresh)
             idle = 0 if len(fresh) >= FRONTIER else idle
         a, b = (np.concatenate([np.asarray(v, np.int64) for v in x]) for x in zip(*links, strict=True))
@@ -250,8 +250,17 @@ def _dealt(rows: DataFrame, found: dict[int, Table]) -> DataFrame:
     return map_batches(rows, run, "table bigint, key bigint, node bigint, simhash_fps array<bigint>")
 
 
+def _paired(rows: DataFrame, level: int) -> DataFrame:
+    """``rows(table, key, node, simhash_fps)`` with each key cut into parts of about half of ``HOT``: a key for every two parts, and a row once in each of its part."""
+    sizes = rows.groupBy("table", "key").agg(F.ceil(F.count("*") * 2 / min(HOT, HOLD)).alias("parts"))
+    cut = rows.join(sizes, ["table", "key"]).withColumn("part", F.pmod(F.xxhash64(F.lit(level), "node"), F.col("parts")))
+    # A key of one part is a group as it is.
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("part != other OR parts = 1")
+    return cut.select("table", F.xxhash64(F.lit(level), "table", "key", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "node", "simhash_fps")
+
+
 def _search(distance: int, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows in the order of (key, table) to links, and to rows that are dealt again (never if ``last``)."""
+    """Rows in the order of (key, table) to links, and to rows that are dealt again (if ``last``, only those of keys beyond ``HOLD``)."""
     names = ["table", "key", "a", "b", "simhash_fps"]
 
     def later(x: list[np.ndarray]) -> pa.RecordBatch:
@@ -265,12 +274,19 @@ def _search(distance: int, last: bool) -> Callable[[Iterator[pa.RecordBatch]], I
 
     def group(x: list[np.ndarray], links: list) -> np.ndarray:
         """The links of one key's rows, and the rows left over."""
-        search = _forest(x[3], x[2], distance, None if last or len(x[2]) <= HOT else PATIENCE)
-        while True:
-            try:
-                links.append(next(search))
-            except StopIteration as end:
-                return end.value
+        rest = np.arange(len(x[2]))
+        while len(rest):
+            patience = None if last or len(rest) <= HOT else PATIENCE
+            search = _forest(x[3][rest], x[2][rest], distance, patience)
+            while True:
+                try:
+                    links.append(next(search))
+                except StopIteration as end:
+                    rest = rest[end.value]
+                    break
+            if len(rest) > HOT:
+                break
+        return rest
 
     def groups(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero((np.diff(x[1]) != 0) | (np.diff(x[0]) != 0)) + 1
@@ -284,44 +300,32 @@ def _search(distance: int, last: bool) -> Callable[[Iterator[pa.RecordBatch]], I
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
-        # The key whose rows are too many to hold, and those kept of its earlier rows.
+        # The key whose rows are too many to hold.
         large: tuple[int, int] | None = None
-
-        def part(x: list[np.ndarray]) -> tuple[list[pa.RecordBatch], list[np.ndarray] | None]:
-            """One family: all rows are dealt again. Several: what is close is linked, and a few of it stand for it from then on."""
-            if x[3].shape[1] == 1 and not last:
-                return [later(x)], None
-            links: list = []
-            rest = group(x, links)
-            out = list(found(links))
-            if len(rest):
-                out.append(later([v[rest] for v in x]))
-            reached = np.setdiff1d(np.arange(len(x[2])), rest)
-            kept = reached[np.linspace(0, len(reached) - 1, min(len(reached), STAND_INS)).astype(np.int64)] if len(reached) else reached
-            return out, [v[kept] for v in x]
-
         for b in batches:
             if not b.num_rows:
                 continue
             new = [b.column(k).to_numpy() for k in range(3)]
             new.append(_words(b.column(3), b.num_rows))
+            if large is not None:
+                own = (new[0] == large[0]) & (new[1] == large[1])
+                if own.any():
+                    yield later([x[own] for x in new])
+                if own.all():
+                    continue
+                new, large = [x[~own] for x in new], None
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             same = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
             at = 0 if same.all() else int(len(same) - same[::-1].argmin())
-            ready, held = [x[:at] for x in held], [x[at:] for x in held]
             if at:
-                if large is not None:
-                    own = (ready[0] == large[0]) & (ready[1] == large[1])
-                    yield from part([x[own] for x in ready])[0]
-                    ready, large = [x[~own] for x in ready], None
-                if len(ready[0]):
-                    yield from groups(ready)
+                yield from groups([x[:at] for x in held])
+                held = [x[at:] for x in held]
             if len(held[0]) > HOLD:
                 large = (int(held[0][0]), int(held[1][0]))
-                out, held = part(held)
-                yield from out
-        if held is not None and len(held[0]):
-            yield from part(held)[0] if large is not None else groups(held)
+                yield later(held)
+                held = None
+        if held is not None:
+            yield from groups(held)
 
     return run
 
@@ -334,19 +338,25 @@ def links(nodes: DataFrame, n: int, families: int = 1, distance: int = DISTANCE)
     kind = "table bigint, key bigint, a bigint, b bigint, simhash_fps array<bigint>"
     found = dict(enumerate(([(m,) for m in tables(n, distance)] if families == 1 else wide_tables(n, families)), start=1))
     rows, all_links = nodes.select(F.lit(0).cast("long").alias("table"), F.lit(0).cast("long").alias("key"), "node", "simhash_fps"), None
+    dealt, level, paired = _dealt(rows, found), 0, False
     while True:
-        dealt = _dealt(rows, found).repartition("key").sortWithinPartitions("key", "table", "node")
-        # What agrees in so many bits, or leaves none free, isn't dealt again.
-        last = max(found) >> SPLITS * (DEPTH - 1) > 0 or not all(split_tables(t, distance) for t in found.values())
-        got = checkpointed(map_batches(dealt, _search(distance, last), kind))
+        # What agrees in so many bits, or leaves none free, isn't dealt by blocks again.
+        split = families == 1 and not paired and max(found) >> SPLITS * (DEPTH - 1) == 0 and all(split_tables(t, distance) for t in found.values())
+        ordered = dealt.repartition("key").sortWithinPartitions("key", "table", "node")
+        got = checkpointed(map_batches(ordered, _search(distance, paired or families == 1 and not split), kind))
         own = got.where("b IS NOT NULL").select("a", "b")
         all_links = own if all_links is None else all_links.unionByName(own)
         rows = got.where("b IS NULL").select("table", "key", F.col("a").alias("node"), "simhash_fps")
         which = [r[0] for r in rows.select("table").distinct().collect()]
         if not which:
             return all_links
-        # A table's number and that of its split make the number of the next.
-        found = {t << SPLITS | k: tuple(a | b for a, b in zip(found[t], extra, strict=True)) for t in which for k, extra in enumerate(split_tables(found[t], distance))}
+        level += 1
+        if split:
+            # A table's number and that of its split make the number of the next.
+            found = {t << SPLITS | k: tuple(a | b for a, b in zip(found[t], extra, strict=True)) for t in which for k, extra in enumerate(split_tables(found[t], distance))}
+            dealt = _dealt(rows, found)
+        else:
+            dealt, paired = _paired(rows, level), True
 
 
 def classes(marked: DataFrame, distance: int = DISTANCE, families: int = 1) -> DataFrame:

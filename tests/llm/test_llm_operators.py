@@ -426,6 +426,35 @@ def test_links_lose_nothing(spark, monkeypatch, hot, hold):
         assert all(bin(m).count("1") >= 12 for m in simhash.tables(n))
 
 
+@pytest.mark.parametrize("hot, hold", [(60, 1 << 19), (60, 100), (1 << 15, 100)])
+def test_links_of_several_families_lose_nothing(spark, monkeypatch, hot, hold):
+    """Keys that hold too many for one search or one task: what they link is what all pairs within them link."""
+    for name, value in {"HOT": hot, "HOLD": hold, "PATIENCE": 1, "STAND_INS": 2}.items():
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    rnd = np.random.default_rng(8)
+    # All differ within one bit in four only, so some tables have all of them under one key.
+    base, free = rnd.integers(0, 1 << 63, 2, np.uint64), rnd.choice(128, 14, replace=False)
+    values = rnd.choice(1 << 14, 700, replace=False)
+    fps = np.repeat(base[None], len(values), axis=0)
+    for k, bit in enumerate(free.tolist()):
+        fps[:, bit // 64] ^= (values >> k & 1).astype(np.uint64) << np.uint64(bit % 64)
+    nodes = spark.createDataFrame([(k, f) for k, f in enumerate(fps.view(np.int64).tolist())], "node long, simhash_fps array<long>")
+    assert any(all(not t[b // 64] >> b % 64 & 1 for b in free.tolist()) for t in simhash.wide_tables(len(fps), 2))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = simhash.links(nodes, len(fps), 2, 1)
+        roots = {r["node"]: r["root"] for r in components.components(got).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    pairs = np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2) <= 1, 1)).tolist()
+    want = list(range(len(fps)))
+    while any(want[a] != want[b] for a, b in pairs):
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    assert len(pairs) > 100 and [roots.get(k, k) for k in range(len(fps))] == want
+
+
 def test_forest_connects(monkeypatch):
     monkeypatch.setattr(simhash, "FRONTIER", 3)
     rnd = np.random.default_rng(6)

@@ -560,6 +560,31 @@ def test_top_k_at_every_number_of_segments(spark, codes):
     assert all([x[0] for x in sorted(v)] == list(range(1, len(v) + 1)) for v in got.values())
 
 
+def test_probes_follow_the_number_of_queries(spark, monkeypatch):
+    """Not the square of the table: with five times the codes and queries, the rows of turned bits are about five times as many."""
+    made, rnd, flipped = [], np.random.default_rng(9), topk._flipped
+
+    def counted(*given):
+        out = flipped(*given)
+        made[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(topk, "_flipped", counted)
+    for codes in (10_000, 50_000):
+        made.append(0)
+        base = rnd.integers(-(1 << 63), 1 << 63, codes)
+        coded = spark.createDataFrame(list(enumerate(base.tolist())), "id long, code long")
+        asked = coded.where("id % 1000 = 0").select(F.col("id").alias("query_id"), "code")
+        got = {}
+        for r in topk.top_k(coded, asked, 10).collect():
+            got.setdefault(r["query_id"], []).append((r["distance"], r["id"]))
+        for q in range(0, codes, 1000):
+            far = np.bitwise_count((base ^ base[q]).view(np.uint64))
+            assert sorted(got[q]) == sorted(zip(far.tolist(), range(codes), strict=True))[:10]
+        made[-1] /= codes // 1000
+    assert max(made) <= 1.25 * topk.PROBES and made[1] <= 1.25 * made[0]
+
+
 def test_segments_follow_the_number_of_codes():
     assert [len(topk.edges(n)) - 1 for n in (0, 1, 300, 5000, 1 << 16, 1 << 21, 1 << 30, 1 << 40)] == [8, 8, 8, 5, 4, 3, 2, 2]
     assert all(topk.edges(n)[0] == 0 and topk.edges(n)[-1] == 64 for n in (1, 99, 10**6, 10**12))

@@ -7,13 +7,19 @@ version, so a write that failed half way adds nothing, and two writers at once d
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import retrieval
+from tessera.functions import text as T
+from tessera.operators import packing, retrieval
 from tessera.store import checkpointed, commit, commits
 
 SCHEMA_VERSION = 1
@@ -102,13 +108,66 @@ def write_postings(chunks: DataFrame, folder: str, buckets: int = 256) -> None:
 
     Postings lie in a folder for each bucket of terms, sorted by term, so a batch of questions reads the buckets and row groups of its terms. ``terms`` has
     the number of chunks of each term, ``stats`` one row of the corpus's.
+
+    A chunk's terms are counted in the task that reads it, and postings go to their buckets as packed columns, the only shuffle of them; only chunks whose id
+    comes again are counted by ``retrieval.postings``, which brings their rows together.
     """
-    docs = chunks.withColumnRenamed("chunk_id", "id")
-    posted = checkpointed(retrieval.postings(docs, F.concat_ws(" ", "section", "label", "text"), "kind", "section_kind"))
-    retrieval.corpus_stats(posted).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{folder}/stats")
-    own = posted.where("term IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    own.groupBy("bucket", "term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
-    own.repartition("bucket").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").mode("overwrite").parquet(f"{folder}/postings")
+    spark, docs, text = chunks.sparkSession, chunks.withColumnRenamed("chunk_id", "id"), F.concat_ws(" ", "section", "label", "text")
+    bucket = lambda t: F.pmod(F.xxhash64(t), F.lit(tasks)).cast("int")
+    tasks = buckets * max(1, math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / buckets))
+    seen = docs.groupBy("id").agg(F.count("*").alias("rows"))
+    known = seen.agg(F.count("*").alias("n"), F.count_if(F.col("rows") > 1).alias("again")).first()
+    once, twice, length, extra = docs, None, 0, 0
+    if known["again"]:
+        again = checkpointed(seen.where("rows > 1").select(F.col("id").alias("again")))
+        once, twice = (docs.join(again, F.col("id").eqNullSafe(F.col("again")), how) for how in ("left_anti", "left_semi"))
+        twice = checkpointed(retrieval.postings(twice, text, "kind", "section_kind"))
+        own = retrieval.corpus_stats(twice).first()
+        length, extra = round(own["n"] * own["avg_length"]), twice.agg(F.sum("tf")).first()[0]
+    terms = once.select("id", "kind", "section_kind", T.tokens(text).alias("term"))
+    packed = terms.withColumn("to", F.transform("term", bucket)).mapInArrow(_counted, packing.PACKED)
+    if twice is not None:
+        packed = packed.unionByName(packing.packed(twice.where("term IS NOT NULL").withColumn("to", bucket("term"))))
+    kind = f"id {docs.schema['id'].dataType.simpleString()}, term string, tf bigint, length bigint, kind string, section_kind string, to int"
+    posted = packed.repartitionById(tasks, F.col("to")).mapInArrow(packing.rows_of, kind)
+    posted = posted.select("id", "term", "tf", "length", "kind", "section_kind", F.pmod("to", F.lit(buckets)).alias("bucket")).sortWithinPartitions("bucket", "term", "id")
+    # Ids of a term go up, so their steps take few bytes.
+    posted.write.partitionBy("bucket").options(**{"compression": "zstd", "parquet.writer.version": "v2"}).mode("overwrite").parquet(f"{folder}/postings")
+    posted = spark.read.schema(posted.schema).parquet(f"{folder}/postings")
+    posted.groupBy("bucket", "term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
+    # A chunk's length is the sum of its terms' counts.
+    total = (posted.agg(F.sum("tf")).first()[0] or 0) - (extra or 0) + length
+    stats = (known["n"], total / known["n"] if known["n"] else None, buckets)
+    spark.createDataFrame([stats], "n long, avg_length double, buckets int").write.mode("overwrite").parquet(f"{folder}/stats")
+
+
+#: Terms that are counted at once.
+COUNTED = 2_000_000
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed postings ``(id, term, tf, length, kind, section_kind)`` of rows ``(id, kind, section_kind, term, to)`` with the lists of their terms and of where these go."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column("term")), 0)).astype(np.int64)
+        part = np.cumsum(sizes) // COUNTED
+        for first in np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))[: len(part)].tolist():
+            rows = batch.slice(first, int(np.searchsorted(part, part[first], "right")) - first)
+            own, terms = sizes[first : first + rows.num_rows], rows.column("term").flatten().dictionary_encode()
+            if not len(terms):
+                continue
+            code, n = np.asarray(terms.indices).astype(np.int64), rows.num_rows
+            to = np.empty(len(terms.dictionary), np.int64)
+            to[code] = np.asarray(rows.column("to").flatten())
+            # Terms in the order of where they go; the rows of a term follow one another.
+            order = np.argsort(to, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            key, tf = np.unique(place[code] * n + np.repeat(np.arange(n), own), return_counts=True)
+            term, row = np.divmod(key, n)
+            row, to, words = pa.array(row), to[order][term], terms.dictionary.take(pa.array(order))
+            made = {"id": rows.column("id").take(row), "term": words.take(pa.array(term)), "tf": pa.array(tf, pa.int64()), "length": pa.array(own).take(row)}
+            table = pa.table(made | {k: rows.column(k).take(row) for k in ("kind", "section_kind")})
+            yield from packing.cut(table, to)
 
 
 def read_postings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:

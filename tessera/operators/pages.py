@@ -10,7 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import packing
+
 KEY = ["doc_id", "page"]
+#: Rows of pages that are worked on at once.
+ROWS = 20_000
 
 
 def whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -45,19 +49,68 @@ def whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, n
         yield made()
 
 
+def _changes(table: pa.Table | pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """The first of the rows that follow one another with the same values."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for name in names:
+        null, v = np.asarray(pc.is_null(table.column(name))), np.asarray(pc.fill_null(table.column(name), 0))
+        new[1:] |= (v[1:] != v[:-1]) | (null[1:] != null[:-1])
+    return np.flatnonzero(new)
+
+
+def pieces(table: pa.Table) -> pa.Table:
+    """A row for each piece of a page in ``table(to, doc_id, page, ...)``, its other columns as lists: rows that follow one another, or all of a page here where few do."""
+    first = _changes(table, ["to", *KEY])
+    if len(first) * 4 > table.num_rows:
+        table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("to", *KEY)]))
+        first = _changes(table, ["to", *KEY])
+    at, keys = pa.array(np.append(first, table.num_rows), pa.int32()), pa.array(first)
+    columns = {k: table.column(k).take(keys) if k in ("to", *KEY) else pa.ListArray.from_arrays(at, packing.one(table.column(k))) for k in table.column_names}
+    return pa.table(columns)
+
+
+def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``pieces``, about ``ROWS`` of whole pieces in a batch."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        other = next(k for k in b.schema.names if k not in KEY)
+        sizes = np.asarray(pc.list_value_length(b.column(other))).astype(np.int64)
+        part = (np.cumsum(sizes) - 1) // ROWS
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            own, row = b.slice(x, y - x), pa.array(np.repeat(np.arange(y - x), sizes[x:y]))
+            yield pa.RecordBatch.from_arrays([own.column(k).take(row) if k in KEY else own.column(k).flatten() for k in own.schema.names], own.schema.names)
+
+
 def map_pages(parts: DataFrame, run: Callable[[pa.Table, np.ndarray], pa.RecordBatch | pa.Table], kind: str) -> DataFrame:
     """``run`` over all rows of many pages of ``parts(doc_id, page, ...)`` at a time.
 
-    Pages are dealt by hash to a fixed number of tasks: rows are few bytes beside the work on them, so by bytes alone Spark would leave it to a few tasks.
+    Pages are dealt by hash to a fixed number of tasks: rows are few bytes beside the work on them, so by bytes alone Spark would leave it to a few tasks. They travel as packed columns, and a
+    task brings the pieces of a page together by sorting, which is not bound to memory.
     """
     tasks = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts.sparkSession.sparkContext.defaultParallelism)
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in packing.gathered(batches):
+            table = pieces(table)
+            yield from packing.cut(table.drop_columns(["to"]), np.asarray(table["to"]))
+            del table
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_pages(batches):
+        for table, starts in whole_pages(put_together(batches)):
             yield from run(table, starts).to_batches() or ()
+        pa.default_memory_pool().release_unused()
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in packing.rows_of(batches):
+            yield b.select(parts_columns)
 
-    # By a hash of their own: a union of joins already dealt by KEY would pass for dealt, although its parts may be coalesced apart.
-    return parts.repartition(tasks, F.xxhash64(*KEY)).sortWithinPartitions(*KEY).mapInArrow(task, kind)
+    parts_columns = parts.columns
+    listed = ", ".join(f"`{f.name}` {f.dataType.simpleString() if f.name in KEY else f'array<{f.dataType.simpleString()}>'}" for f in parts.schema)
+    dealt = parts.withColumn("to", F.pmod(F.xxhash64(*KEY), F.lit(tasks)).cast("int")).mapInArrow(deal, packing.PACKED).repartitionById(tasks, F.col("to"))
+    return dealt.mapInArrow(lists, listed).sortWithinPartitions(*KEY).mapInArrow(task, kind)
 
 
 def numbers(starts: np.ndarray, n: int) -> np.ndarray:

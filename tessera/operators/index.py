@@ -142,7 +142,7 @@ def write_postings(chunks: DataFrame, folder: str, buckets: int = 256) -> None:
 
 
 #: Terms that are counted at once.
-COUNTED = 2_000_000
+COUNTED = 1_000_000
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,6 +168,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made = {"id": rows.column("id").take(row), "term": words.take(pa.array(term)), "tf": pa.array(tf, pa.int64()), "length": pa.array(own).take(row)}
             table = pa.table(made | {k: rows.column(k).take(row) for k in ("kind", "section_kind")})
             yield from packing.cut(table, to)
+            del table, key, tf, term, row, made
+        pa.default_memory_pool().release_unused()  # workers wait for the next stage beside those that run
 
 
 def read_postings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
